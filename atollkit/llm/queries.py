@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atollkit.llm import bpe, rules, token_files, warc
+from atollkit.llm import bpe, rules, substring_dedup, suffix_dedup, token_files, warc
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -18,6 +18,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(read(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(read(spark, sf_dir, "pages"), least=0)
 
@@ -26,6 +31,11 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe(read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, ids=False, decoded=False)
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents"), length=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(read(spark, sf_dir, "documents"), JSON, end_id=2, ids=False)
 
@@ -36,6 +46,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_warc_salvage, op5_bpe_round_trip, op8_repair_token_files, op9_quality_rules)
+    f.__name__: f for f in (op1_substring_dedup, op2_warc_salvage, op5_bpe_round_trip, op6_suffix_array_dedup, op8_repair_token_files, op9_quality_rules)
 }
 ORACLES: dict[str, str] = {}
