@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atollkit.llm import bpe, rules, substring_dedup, suffix_dedup, token_files, warc
+from atollkit.llm import bpe, jaccard_join, rules, substring_dedup, suffix_dedup, token_files, warc
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -45,7 +45,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc.doc_id").alias("doc_id"), *(F.col(f"m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"), n=5, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_warc_salvage, op5_bpe_round_trip, op6_suffix_array_dedup, op8_repair_token_files, op9_quality_rules)
+    f.__name__: f for f in (op1_substring_dedup, op2_warc_salvage, op5_bpe_round_trip, op6_suffix_array_dedup, op8_repair_token_files, op9_quality_rules, op10_jaccard_join)
 }
 ORACLES: dict[str, str] = {}

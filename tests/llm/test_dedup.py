@@ -6,6 +6,8 @@ from collections import defaultdict
 
 import pytest
 
+from atollkit.llm.components import components
+from atollkit.llm.jaccard_join import jaccard_components
 from atollkit.llm.substring_dedup import doubling, substring_dedup
 from atollkit.llm.suffix_dedup import suffix_dedup
 
@@ -98,3 +100,55 @@ def test_dedup_of_nothing_and_null_ids(spark, docs):
     got = sorted((r.doc_id is None, r.n_removed) for r in suffix_dedup(two).collect())
     assert got == [(False, 0), (True, len(page)), (True, len(page))]
     assert all(r.n_removed == r.n_words for r in substring_dedup(two.where("doc_id is null")).collect())
+
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute_jaccard(rows, percent):
+    sets = []
+    for _, t in rows:
+        w = words((t or "").translate(LOW))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                up[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), d), d)
+    return sorted((d, len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("percent", [80, 60])
+def test_jaccard_components(spark, docs, rows, percent):
+    got = sorted(tuple(r) for r in jaccard_components(docs, 5, percent).collect())
+    assert got == brute_jaccard(rows, percent)
+
+
+def test_jaccard_chain(spark):
+    """Neighbours link, ends do not: one component all the same."""
+    base = ["t%d" % i for i in range(200)]
+    chain = [" ".join(base[i * 8 : i * 8 + 120]) for i in range(9)]
+    rows = [(i, t) for i, t in enumerate(chain)]
+    got = sorted(tuple(r) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_jaccard(rows, 80) and {r[2] for r in got} == {0}
+
+
+def test_jaccard_of_nothing(spark, docs):
+    assert jaccard_components(docs.limit(0)).count() == 0
+    got = jaccard_components(spark.createDataFrame([(None, "a b"), (None, None), (3, "A b"), (3, "A b")], "doc_id long, text string")).collect()
+    assert sorted((r.n_shingles, r.component_id or -1) for r in got) == [(0, -1), (1, 3), (1, 3), (1, 3)]
+
+
+def test_components(spark):
+    edges = [(f"{i:04}", f"{i + 1:04}") for i in range(60)] + [("a", "b"), ("c", "b"), ("x", "x")]
+    got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert {got[f"{i:04}"] for i in range(61)} == {"0000"} and got["c"] == "a" and got["x"] == "x"
