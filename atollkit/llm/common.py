@@ -37,17 +37,19 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone (null text: empty), so that other columns and their names do not matter."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def texts(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id and text alone (null text: empty), so that other columns and their names do not matter.
 
+    With carry, each whole row comes along as the struct rest."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *([F.struct("*").alias("rest")] if carry else []))
 
-def blocked(docs: DataFrame, block_bytes: int = 2 << 20) -> tuple[DataFrame, int]:
+
+def blocked(docs: DataFrame, carry: bool = False, block_bytes: int = 2 << 20) -> tuple[DataFrame, int]:
     """(doc_id, text, block) and the number of blocks, each of about block_bytes of text.
 
     A document's block is a hash of id and text, so that every pass over the data forms the same blocks,
     also after a lost executor."""
-    rows = texts(docs)
+    rows = texts(docs, carry)
     total = rows.agg(F.sum(F.octet_length("text") + F.lit(64))).first()[0] or 0
     n = max(64, int(total // block_bytes) + 1)
     return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), n

@@ -49,11 +49,12 @@ def meets(parts: list[np.ndarray]) -> list[np.ndarray]:
     return np.split(out, np.cumsum([len(p) for p in parts])[:-1])
 
 
-def sorted_rows(t: pa.Table) -> tuple[list, list[bytes]]:
-    """Ids and texts of a block in the order of (id, text), nulls last."""
+def sorted_rows(t: pa.Table) -> tuple[list, list[bytes], pa.ChunkedArray | None]:
+    """Ids, texts and what is carried with them (None if nothing is) of a block in the order of (id, text), nulls last."""
     ids, rows = t.column("doc_id").to_pylist(), t.column("text").cast(pa.binary()).to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, rows[i]))
-    return [ids[i] for i in order], [rows[i] for i in order]
+    rest = t.column("rest").take(pa.array(order, pa.int64())) if "rest" in t.column_names else None
+    return [ids[i] for i in order], [rows[i] for i in order], rest
 
 
 def _by_level(t: pa.Table) -> dict[int, dict[int, bytes]]:
@@ -68,8 +69,8 @@ def _rows(block: int, level: int, found: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table({"block": pa.array([block] * n, pa.int32()), "level": pa.array([level] * n, pa.int32()), "bucket": pa.array([b for b, _ in found], pa.int32()), "data": pa.array([d for _, d in found], pa.binary())})
 
 
-def over_blocks(blocked: DataFrame, answers: DataFrame | None, fn: Callable, schema: str) -> DataFrame:
-    """fn(block, ids, texts, answers by level and bucket) for each block."""
+def over_blocks(blocked: DataFrame, answers: DataFrame | None, fn: Callable, schema) -> DataFrame:
+    """fn(block, ids, texts, rest, answers by level and bucket) for each block."""
     if answers is None:
         def alone(key, t):
             return fn(key[0].as_py(), *sorted_rows(t), {})
@@ -82,12 +83,12 @@ def over_blocks(blocked: DataFrame, answers: DataFrame | None, fn: Callable, sch
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(both, schema)
 
 
-def rounds(blocked: DataFrame, ask: Callable, answer: list[Callable], finish: Callable, schema: str) -> DataFrame:
-    """One round for each answer function, then finish(ids, texts, answers) -> pa.Table of schema for each block.
+def rounds(blocked: DataFrame, ask: Callable, answer: list[Callable], finish: Callable, schema) -> DataFrame:
+    """One round for each answer function, then finish(ids, texts, rest, answers) -> pa.Table of schema for each block.
 
     ask(level, ids, texts, answers) -> [(bucket, data)]; answer(blocks, datas) -> datas in the same order."""
     def question(level):
-        return lambda block, ids, texts, got: _rows(block, level, ask(level, ids, texts, got))
+        return lambda block, ids, texts, rest, got: _rows(block, level, ask(level, ids, texts, got))
 
     def bucket(level, reply):
         def run(key, t):
@@ -103,4 +104,4 @@ def rounds(blocked: DataFrame, ask: Callable, answer: list[Callable], finish: Ca
     for level, reply in enumerate(answer):
         said = over_blocks(blocked, answers, question(level), ROW).groupBy("bucket").applyInArrow(bucket(level, reply), ROW)
         answers = said if answers is None else answers.unionByName(said)
-    return over_blocks(blocked, answers, lambda block, ids, texts, got: finish(ids, texts, got), schema)
+    return over_blocks(blocked, answers, lambda block, ids, texts, rest, got: finish(ids, texts, rest, got), schema)

@@ -72,7 +72,7 @@ def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
         c = deal(keys, buckets)
         return [(b, pack(keys[c[b] : c[b + 1]], 5) + np.minimum(counts[c[b] : c[b + 1]], 65_535).astype("<u2").tobytes()) for b in range(buckets) if c[b + 1] > c[b]]
 
-    def finish(ids, texts, got):
+    def finish(ids, texts, rest, got):
         s = Sets(texts, n)
         keys, inverse = np.unique(s.flat, return_inverse=True)
         c, answer = deal(keys, buckets), got.get(0, {})
@@ -230,3 +230,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     alone = sets.where("tokens is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     held = skew_join(sets.where("tokens is not null").select("doc_id", "n_shingles", "cls"), by_class, "cls").select("doc_id", "n_shingles", "component_id")
     return alone.unionByName(held)
+
+
+def distinct_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs with one document of each component, that with the smallest doc_id; equal rows of it are one.
+
+    Rows without an id cannot be named by a component: they stay."""
+    found = jaccard_components(docs, n, percent)
+    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

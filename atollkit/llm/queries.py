@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atollkit.llm import bpe, jaccard_join, rules, substring_dedup, suffix_dedup, token_files, warc
+from atollkit.llm import bpe, jaccard_join, packing, quality, rules, substring_dedup, suffix_dedup, token_files, topk, warc
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -27,6 +27,17 @@ def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(read(spark, sf_dir, "pages"), least=0)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+    doc_id = F.col("doc.doc_id")
+    return out.select(doc_id.alias("doc_id"), quality.held_out(doc_id).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), JSON, end_id=0, size=2048)
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe(read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, ids=False, decoded=False)
 
@@ -36,6 +47,11 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
+
+
 def op8_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(read(spark, sf_dir, "documents"), JSON, end_id=2, ids=False)
 
@@ -50,6 +66,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_warc_salvage, op5_bpe_round_trip, op6_suffix_array_dedup, op8_repair_token_files, op9_quality_rules, op10_jaccard_join)
+    f.__name__: f for f in (op1_substring_dedup, op2_warc_salvage, op3_quality_classifier, op4_best_fit_packing, op5_bpe_round_trip, op6_suffix_array_dedup, op7_cover_tree_top_k, op8_repair_token_files, op9_quality_rules, op10_jaccard_join)
 }
 ORACLES: dict[str, str] = {}

@@ -97,7 +97,7 @@ def substring_dedup(docs: DataFrame, window: int = 35) -> DataFrame:
     def reply(w):
         return lambda blocks, datas: [np.packbits(m).tobytes() for m in meets([unpack(d, w) for d in datas])]
 
-    def finish(ids, texts, got):
+    def finish(ids, texts, rest, got):
         state = levels(texts, got, len(lengths))
         n_words, n_removed, kept = [], [], []
         for (lo, hi), r in zip(state.spans, state.runs, strict=True):

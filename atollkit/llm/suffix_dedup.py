@@ -15,8 +15,11 @@ long as its last window reaches, suffixes of dictionary phrases decide the corpu
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from atollkit.llm.common import BYTE, U, blocked, pack, prefix_sums, runs, sliding_min, spans_hash, unpack, windows_hash
 from atollkit.llm.exchange import bits, deal, meets, rounds
@@ -222,16 +225,19 @@ class State:
         return out
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 28) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (bytes left) of every document.
+def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 28, carry: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (bytes left) of every document; with carry also
+    rest, the document's own row without its text.
 
     Texts are UTF-8 bytes. A byte goes if it lies in a `length`-byte string that also starts in a document with a smaller
     doc_id, so that the first document keeps each passage; matches stay within documents and are judged on the input.
     Null and empty texts have no bytes. Rows that share an id do not remove each other's bytes; null ids count as the
     largest. Columns other than doc_id and text are not read. A task holds one block of a few MB, or one longer text with about
     80 bytes a byte of it. Hashes of 96 bits stand for phrases, bytes for the dictionary."""
-    rows, n = blocked(docs)
+    rows, n = blocked(docs, carry)
+    rows = rows.withColumn("rest", F.col("rest").dropFields("text")) if carry else rows
     buckets = max(48, n // 4)
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()), *([rows.schema["rest"]] if carry else [])])
 
     def state(ids, texts, got, upto):
         s = State(ids, texts, length, k, buckets)
@@ -255,7 +261,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 28) -> DataFrame:
     def lonely(blocks, datas):
         return [np.packbits(m).tobytes() for m in meets([unpack(d, 4) for d in datas])]
 
-    def finish(ids, texts, got):
+    def finish(ids, texts, rest, got):
         s = state(ids, texts, got, 2)
         out = []
         for p, gone in zip(s.parses, s.gone(got.get(2, {})), strict=True):
@@ -263,6 +269,18 @@ def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 28) -> DataFrame:
                 g = gone[lo:hi]
                 out.append((hi - lo, int(g.sum()), int((np.diff(g.view(np.int8), prepend=np.int8(0)) == 1).sum()), p.raw[lo:hi][~g].tobytes()))
         cols = list(zip(*out, strict=True)) or [[], [], [], []]
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), **{n: pa.array(c, pa.int64()) for n, c in zip(("n_bytes", "n_removed", "n_spans"), cols, strict=False)}, "kept": pa.array(cols[3], pa.binary())})
+        more = {"rest": rest} if carry else {}
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), **{n: pa.array(c, pa.int64()) for n, c in zip(("n_bytes", "n_removed", "n_spans"), cols, strict=False)}, "kept": pa.array(cols[3], pa.binary()), **more})
 
-    return rounds(rows, ask, [lonely, parse_order, dictionary_order(length)], finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rounds(rows, ask, [lonely, parse_order, dictionary_order(length)], finish, schema)
+
+
+def deduplicated_documents(docs: DataFrame, length: int = 50) -> DataFrame:
+    """docs with the bytes left as text (parts of characters that were cut fall out) and n_chars, if there, to match."""
+    @F.pandas_udf("string")
+    def whole(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: b.decode("utf-8", "ignore"))
+
+    out = suffix_dedup(docs, length, carry=True).select("rest", whole("kept").alias("text"))
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*(made[c].alias(c) if c in made else F.col("rest")[c].alias(c) for c in docs.columns))

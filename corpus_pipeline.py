@@ -1,12 +1,50 @@
-"""A training-data pipeline over documents: each stage is one of the library's operators."""
+"""A training-data pipeline over documents; each stage is one of the library's operators, run on all that its predecessor kept."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from atollkit.llm import jaccard_join, packing, quality, rules, suffix_dedup
+from atollkit.llm.common import new_path
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled classifier scores 0.3 or more."""
+    return quality.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the threshold table keeps."""
+    return rules.kept_documents(docs)
+
+
+def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard_join.distinct_documents(docs, n=5, percent=80)
+
+
+def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-byte passages of documents with smaller ids."""
+    return suffix_dedup.deduplicated_documents(docs, length=50)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=2048)
+
+
+STAGES = [("quality classifier", quality_classifier), ("quality rules", quality_rules), ("n-gram Jaccard join", jaccard), ("suffix-array dedup", suffix_array), ("best-fit packing", pack)]
+
+#: The classifier and the tokenizer are beyond SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The last stage's rows for the documents table; what each stage returns is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = new_path(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
