@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atollkit.llm import bpe, jaccard_join, packing, quality, rules, substring_dedup, suffix_dedup, token_files, topk, warc
+from atollkit.llm import bpe, jaccard_join, oracles, packing, quality, rules, substring_dedup, suffix_dedup, token_files, topk, warc
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -68,4 +68,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_warc_salvage, op3_quality_classifier, op4_best_fit_packing, op5_bpe_round_trip, op6_suffix_array_dedup, op7_cover_tree_top_k, op8_repair_token_files, op9_quality_rules, op10_jaccard_join)
 }
-ORACLES: dict[str, str] = {}
+#: The others need a tokenizer or a model; tests hold them against brute force, round trips or held-out rows.
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": oracles.substring_dedup(35),
+    "op2_warc_salvage": oracles.warc(),
+    "op6_suffix_array_dedup": oracles.suffix_dedup(50),
+    "op7_cover_tree_top_k": oracles.top_k(10, 1024, 100),
+    "op9_quality_rules": oracles.quality_rules(),
+    "op10_jaccard_join": oracles.jaccard(5, 80),
+}
