@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import lru_cache
@@ -34,7 +35,16 @@ def new_path(spark: SparkSession, kind: str) -> str:
 def pinned(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint().toDF(*df.columns)
+    release(df.sparkSession)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that nothing refers to any more, now instead of at the driver's next
+    garbage collection; call it after a checkpoint has cut a lineage with large shuffles."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def texts(docs: DataFrame, carry: bool = False) -> DataFrame:
@@ -176,7 +186,7 @@ def unpack(blob: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def runs(rows: list[bytes], most: int = 4 << 20):
+def runs(rows: list[bytes], most: int = 1 << 20):
     """(from, to) of consecutive texts that together have about most bytes at most; a longer text is alone."""
     lo, size = 0, 0
     for i, r in enumerate(rows):

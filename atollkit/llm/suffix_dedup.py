@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from atollkit.llm.common import BYTE, U, blocked, pack, prefix_sums, runs, sliding_min, spans_hash, unpack, windows_hash
+from atollkit.llm.common import BYTE, U, blocked, mix, pack, prefix_sums, runs, sliding_min, spans_hash, unpack, windows_hash
 from atollkit.llm.exchange import bits, deal, meets, rounds
 
 LAST = (1 << 63) - 1
@@ -52,7 +52,7 @@ class Parse:
         begin = np.flatnonzero((np.diff(t, prepend=-1) != 0) | (np.diff(idx, prepend=-9) != 1))
         self.lo, self.hi = idx[begin], idx[np.append(begin[1:], len(idx)) - 1]
         self.doc = np.searchsorted(self.at, self.lo, "right") - 1
-        self.trigger = h[t[begin]]
+        self.trigger = mix(h[t[begin]])  # least values crowd near 0: mixed again, buckets get equal shares
         self.phrase = spans_hash(c, self.lo, self.hi + length, 0)
 
     def keep(self, mask: np.ndarray) -> None:
@@ -236,7 +236,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 28, carry: bool = F
     80 bytes a byte of it. Hashes of 96 bits stand for phrases, bytes for the dictionary."""
     rows, n = blocked(docs, carry)
     rows = rows.withColumn("rest", F.col("rest").dropFields("text")) if carry else rows
-    buckets = max(48, n // 4)
+    buckets = max(48, n // 2)
     schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()), *([rows.schema["rest"]] if carry else [])])
 
     def state(ids, texts, got, upto):
