@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from atollkit.functions import crs, kernels
+from atollkit.functions.geometry_udf import ARROW_GEOMETRY, as_rows, rowwise
 from atollkit.functions.scalars import fmt_date, format_eunis, unique_feature_name
 from atollkit.operators.grid import insert_if_absent
 from atollkit.operators.spatial import candidates, points_in_polygons, union_area
@@ -60,10 +61,7 @@ def polygon_amounts(features: DataFrame, units: DataFrame, size: float = 8.0) ->
 
     Features and units meet on tiles; the overlap is a clip of the feature to the unit, exact for concave features too.
     Amounts add up before anything else is joined."""
-    @F.pandas_udf("double")
-    def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([kernels.overlap_area(kernels.rings(y), kernels.rings(x)[0]) for x, y in zip(a, b, strict=True)], dtype=float)
-
+    overlap = rowwise(lambda a, b: kernels.overlap_area(kernels.rings(b), kernels.rings(a)[0]), "double")
     pairs = candidates(units.select("id", "geometry"), features.select("feature_id", "other"), "geometry", "other", size)
     sums = pairs.select("feature_id", "id", overlap("geometry", "other").alias("amount")).groupBy("feature_id", "id").agg(F.sum("amount").alias("amount"))
     return sums.where("amount > 0")
@@ -142,12 +140,11 @@ def prune_unused(meta: DataFrame, used: DataFrame, key: str = "unique_id") -> Da
 def repair_and_check(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(sound rows with repaired geometry, rejects of key and reason). Repair drops repeated points, closes rings and
     turns them the right way; what then crosses itself or has too few points is rejected."""
-    from atollkit.sources.geometry_io import as_rows
+    def run(s: pa.Array) -> pa.Array:
+        fixed = [kernels.repaired(kernels.rings(g)) if g is not None else [] for g in s.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([as_rows(g) for g in fixed], ARROW_GEOMETRY), pa.array([kernels.validity_reason(g) for g in fixed], pa.string())], ["geometry", "reason"])
 
-    @F.pandas_udf(f"geometry {crs.GEOMETRY}, reason string")
-    def repair(s: pd.Series) -> pd.DataFrame:
-        fixed = [kernels.repaired(kernels.rings(g)) if g is not None else [] for g in s]
-        return pd.DataFrame({"geometry": [as_rows(g) for g in fixed], "reason": [kernels.validity_reason(g) for g in fixed]})
+    repair = F.arrow_udf(run, f"geometry {crs.GEOMETRY}, reason string")
 
     rows = df.withColumn("_r", repair("geometry"))
     return rows.where("_r.reason IS NULL").withColumn("geometry", F.col("_r.geometry")).drop("_r"), rows.where("_r.reason IS NOT NULL").select(key, F.col("_r.reason").alias("reason"))
@@ -160,11 +157,6 @@ def reasons(rejects: DataFrame, n: int = 10) -> DataFrame:
 
 def split_at_dateline(df: DataFrame) -> DataFrame:
     """df with polygons that cross 180 degrees in two rows, east and west."""
-    from atollkit.sources.geometry_io import as_rows
-
-    @F.pandas_udf(f"array<{crs.GEOMETRY}>")
-    def split(s: pd.Series) -> pd.Series:
-        return s.map(lambda g: [as_rows(p) for p in kernels.split_at_dateline(kernels.rings(g))])
-
+    split = rowwise(lambda g: [as_rows(p) for p in kernels.split_at_dateline(kernels.rings(g))], f"array<{crs.GEOMETRY}>")
     others = [c for c in df.columns if c != "geometry"]
     return df.where(F.col("geometry").isNotNull()).select(*others, F.explode(split("geometry")).alias("geometry"))

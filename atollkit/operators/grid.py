@@ -6,14 +6,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atollkit.functions import crs, kernels
+from atollkit.functions.geometry_udf import as_rows, rowwise
 from atollkit.functions.scalars import grid_name, scale_level
 from atollkit.operators.spatial import spatial_join
-from atollkit.sources.geometry_io import as_rows
 
 R3 = math.sqrt(3)
 
@@ -43,9 +43,9 @@ def polyfill(areas: DataFrame, resolution: int, edge0: float = 64.0, variant: st
     rows = F.explode(F.sequence(F.floor(F.col("b.y0") / (high * block)), F.floor(F.col("b.y1") / (high * block))))
     dealt = parts.select("project_area", "geometry", "b", rows.alias("band")).repartition("project_area", "band")
 
-    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for area, geom, box, band in zip(f["project_area"], f["geometry"], f["b"], f["band"], strict=True):
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for area, geom, box, band in zip(*(t.column(c).to_pylist() for c in ("project_area", "geometry", "b", "band")), strict=True):
                 polygon = kernels.rings(geom)
                 for r in range(int(band) * block, (int(band) + 1) * block):
                     y = r * high
@@ -56,9 +56,9 @@ def polyfill(areas: DataFrame, resolution: int, edge0: float = 64.0, variant: st
                     q = q[kernels.points_in_polygon(x, np.full(len(x), y), polygon)]
                     if not len(q):
                         continue
-                    yield pd.DataFrame({"h3_index": [f"{resolution}:{i}:{r}" for i in q], "project_area": area, "x": (q + r / 2) * wide, "y": y})
+                    yield pa.RecordBatch.from_pydict({"h3_index": [f"{resolution}:{i}:{r}" for i in q], "project_area": pa.array([area] * len(q), pa.string()), "x": (q + r / 2) * wide, "y": np.full(len(q), y)})
 
-    cells = dealt.mapInPandas(fill, "h3_index string, project_area string, x double, y double")
+    cells = dealt.mapInArrow(fill, "h3_index string, project_area string, x double, y double")
     return cells.select("h3_index", F.lit(resolution).alias("resolution"), scale_level(F.lit(resolution), variant).alias("scale_level"), "project_area", hexagon(F.col("x"), F.col("y"), edge).alias("geometry"), F.lit(1.0).alias("cost"), F.lit(0).alias("status"))
 
 
@@ -148,19 +148,13 @@ def clip_to_box(cells: DataFrame, box: tuple) -> DataFrame:
     x0, y0, x1, y1 = box
     window = np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)], float)
 
-    @F.pandas_udf(crs.GEOMETRY)
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda g: as_rows(kernels.clip_polygon(kernels.rings(g), window)))
-
+    cut = rowwise(lambda g: as_rows(kernels.clip_polygon(kernels.rings(g), window)), crs.GEOMETRY)
     return cells.withColumn("geometry", cut("geometry")).where(F.size("geometry") > 0)
 
 
 def clip_grid(cells: DataFrame, area: DataFrame) -> DataFrame:
     """Cells (convex, with a key cell) cut to the polygons of area, attributes kept; only parts with an area remain."""
-    @F.pandas_udf(crs.GEOMETRY)
-    def cut(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([as_rows(kernels.clip_polygon(kernels.rings(y), kernels.rings(x)[0])) for x, y in zip(a, b, strict=True)])
-
+    cut = rowwise(lambda a, b: as_rows(kernels.clip_polygon(kernels.rings(b), kernels.rings(a)[0])), crs.GEOMETRY)
     pairs = spatial_join(cells, area.select(F.col("geometry").alias("other")), "geometry", "other")
     out = pairs.withColumn("geometry", cut("geometry", "other")).select(*cells.columns)
     return out.where((F.size("geometry") > 0) & (crs.planar_area(F.col("geometry")) > 0))

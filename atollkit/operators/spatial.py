@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atollkit.functions import crs, kernels
+from atollkit.functions.geometry_udf import rowwise
 
 PREDICATES = {"intersects": kernels.intersects, "contains": kernels.contains, "touches": kernels.touches}
 
@@ -22,12 +23,7 @@ def tiles(b: Column, size: float) -> Column:
 def predicate(name: str):
     """Exact test of two geometry columns."""
     test = PREDICATES[name]
-
-    @F.pandas_udf("boolean")
-    def holds(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([test(kernels.rings(x), kernels.rings(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
-
-    return holds
+    return rowwise(lambda a, b: test(kernels.rings(a), kernels.rings(b)), "boolean")
 
 
 def candidates(a: DataFrame, b: DataFrame, a_geom: str, b_geom: str, size: float) -> DataFrame:
@@ -56,10 +52,7 @@ def spatial_join(a: DataFrame, b: DataFrame, a_geom: str = "geometry", b_geom: s
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float = 8.0) -> DataFrame:
     """Rows of points (x, y) with the columns of each polygon (geometry) they lie in; lower and left edges count."""
-    @F.pandas_udf("boolean")
-    def inside(x: pd.Series, y: pd.Series, g: pd.Series) -> pd.Series:
-        return pd.Series([bool(kernels.points_in_polygon(np.array([a]), np.array([b]), kernels.rings(p))[0]) for a, b, p in zip(x, y, g, strict=True)], dtype=bool)
-
+    inside = rowwise(lambda x, y, g: bool(kernels.points_in_polygon(np.array([x]), np.array([y]), kernels.rings(g))[0]), "boolean")
     tile = F.struct(F.floor(F.col("x") / size).alias("i"), F.floor(F.col("y") / size).alias("j"))
     b = crs.bbox(F.col("geometry"))
     right = polygons.withColumn("_b", b).withColumn("_t", F.explode(tiles(F.col("_b"), size)))
@@ -93,10 +86,7 @@ def boundary_lengths(units: DataFrame, scale: float = 1000.0, digits: int = 6) -
 
 def boundary_lengths_general(units: DataFrame, scale: float = 1000.0, size: float = 8.0) -> DataFrame:
     """boundary_lengths of any polygons (id, geometry): a spatial join and the length along which edges run together."""
-    @F.pandas_udf("double")
-    def along(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([sum(kernels.shared_boundary(p, q) for p in kernels.rings(x) for q in kernels.rings(y)) for x, y in zip(a, b, strict=True)], dtype=float)
-
+    along = rowwise(lambda a, b: sum(kernels.shared_boundary(p, q) for p in kernels.rings(a) for q in kernels.rings(b)), "double")
     other = units.select(F.col("id").alias("id2"), F.col("geometry").alias("other"))
     pairs = candidates(units.select(F.col("id").alias("id1"), "geometry"), other, "geometry", "other", size).where("id1 < id2")
     return pairs.where(predicate("touches")("geometry", "other")).select("id1", "id2", (along("geometry", "other") / scale).alias("boundary"))
@@ -118,12 +108,12 @@ def union_area(df: DataFrame, by: list[str], size: float = 8.0, overlapping: boo
     rows = df.select(*by, "geometry", F.explode(tiles(crs.bbox(F.col("geometry")), size)).alias("t")).select(*by, "geometry", "t.i", "t.j")
     schema = rows.select(*by).schema
 
-    def sweep(key, f: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[-2] * size, key[-1] * size
+    def sweep(key, t: pa.Table) -> pa.Table:
+        i, j = key[-2].as_py() * size, key[-1].as_py() * size
         window = np.array([(i, j), (i + size, j), (i + size, j + size), (i, j + size), (i, j)], float)
-        parts = [p for g in f["geometry"] if (p := kernels.clip_polygon(kernels.rings(g), window))]
-        return pd.DataFrame([[*key[:-2], kernels.union_area(parts)]], columns=[*by, "area"])
+        parts = [p for g in t.column("geometry").to_pylist() if (p := kernels.clip_polygon(kernels.rings(g), window))]
+        return t.select(by).slice(0, 1).append_column("area", pa.array([kernels.union_area(parts)]))
 
     distinct = rows.dropDuplicates()  # equal polygons cover the same
-    swept = distinct.groupBy(*by, "i", "j").applyInPandas(sweep, schema.add("area", "double"))
+    swept = distinct.groupBy(*by, "i", "j").applyInArrow(sweep, schema.add("area", "double"))
     return swept.groupBy(*by).agg(F.sum("area").alias("area"))

@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from atollkit.functions import kernels
 from atollkit.functions.crs import GEOMETRY
-
-
-def as_rows(polygon) -> list:
-    return [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in polygon]
+from atollkit.functions.geometry_udf import as_rows, rowwise
 
 
 def from_wkt(df: DataFrame, text: str, name: str) -> DataFrame:
     """df with a row for each polygon of the WKT text; null and empty texts give none. A point is a ring of one vertex."""
-    @F.pandas_udf(f"array<{GEOMETRY}>")
-    def parse(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [as_rows(p) for p in kernels.parse_wkt(t)] if isinstance(t, str) and t.strip() else [])
-
+    parse = rowwise(lambda t: [as_rows(p) for p in kernels.parse_wkt(t)] if t and t.strip() else [], f"array<{GEOMETRY}>")
     others = [c for c in df.columns if c not in (text, name)]
     return df.select(*others, F.explode(parse(F.col(text))).alias(name))
 
