@@ -191,6 +191,11 @@ def write_grids(cells: DataFrame, path: str) -> None:
     cells.write.mode("overwrite").partitionBy("project_area", "resolution").parquet(path)
 
 
+def read_grids(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What write_grids wrote; the schema is given, as no grids leave no files to infer it from."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def replace_grid(existing: DataFrame, new: DataFrame) -> DataFrame:
     """existing without the rows of new's areas and resolutions, and new."""
     keys = new.select("project_area", "resolution").distinct()

@@ -108,7 +108,7 @@ def union_area(df: DataFrame, by: list[str], size: float = 8.0, overlapping: boo
     rows = df.select(*by, "geometry", F.explode(tiles(crs.bbox(F.col("geometry")), size)).alias("t")).select(*by, "geometry", "t.i", "t.j")
     schema = rows.select(*by).schema
 
-    def sweep(key, t: pa.Table) -> pa.Table:
+    def sweep(key, t):
         i, j = key[-2].as_py() * size, key[-1].as_py() * size
         window = np.array([(i, j), (i + size, j), (i + size, j + size), (i, j + size), (i, j)], float)
         parts = [p for g in t.column("geometry").to_pylist() if (p := kernels.clip_polygon(kernels.rings(g), window))]

@@ -99,7 +99,7 @@ def gr12(t):
     path = scratch(t, "grids")
     cells = t("cells").withColumn("project_area", F.lower(F.trim("project_area")))
     g.write_grids(cells, path)
-    written = t.spark.read.parquet(path)
+    written = g.read_grids(t.spark, path, cells.schema)
     names = g.list_grids(written).where("resolution = 7")
     return written.where("resolution = 7").join(names, ["project_area", "resolution"], "left_semi").select("project_area", "resolution", "h3_index")
 
