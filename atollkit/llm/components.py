@@ -16,12 +16,11 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     both = pinned(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = pinned(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("comp")))
     for _ in range(rounds):
-        near = skew_join(both.select(F.col("b").alias("id"), F.col("a").alias("to")), labels, "id", "inner").select(F.col("to").alias("id"), "comp")
-        least = near.unionByName(labels).groupBy("id").agg(F.min("comp").alias("comp"))
+        near = skew_join(both.select(F.col("b").alias("id"), F.col("a").alias("to")), labels, "id", "inner").select(F.col("to").alias("id"), "comp", F.lit(None).cast("string").alias("old"))
+        least = near.unionByName(labels.withColumn("old", F.col("comp"))).groupBy("id").agg(F.min("comp").alias("comp"), F.max("old").alias("old"))
         jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("further"))
-        new = pinned(skew_join(least, jump, "comp", "left").select("id", F.least("comp", F.coalesce("further", "comp")).alias("comp")))
-        moved = new.join(labels.withColumnRenamed("comp", "old"), "id").where("comp != old").limit(1).count()
-        labels = new
-        if not moved:
+        new = pinned(skew_join(least, jump, "comp").select("id", F.least("comp", F.coalesce("further", "comp")).alias("comp"), "old"))
+        labels = new.select("id", "comp")
+        if new.where("comp != old").isEmpty():
             return labels
     raise RuntimeError("components did not settle")

@@ -12,7 +12,9 @@ from atollkit.llm.components import components
 from atollkit.llm.exchange import deal, rounds
 
 #: Members of a group, and queries that open it together, aimed at.
-GROUP, QUERIES = 256, 512
+GROUP, QUERIES = 512, 512
+#: Bytes kept of a token: two of a pair's tokens meet by chance with odds of about 1 in 10**9.
+WIDTH = 6
 
 
 def prefix_length(n, percent: int):
@@ -46,10 +48,12 @@ class Sets:
 
 
 def frequency_classes(blocks: list[int], datas: list[bytes]) -> list[bytes]:
-    """For each block's tokens a class of their document frequency: 0 for one document, then quarters of powers of two."""
-    sizes = [len(d) // 7 for d in datas]
-    token = np.concatenate([unpack(d[: 5 * n], 5) for d, n in zip(datas, sizes, strict=True)])
-    count = np.concatenate([np.frombuffer(d, "<u2", n, 5 * n) for d, n in zip(datas, sizes, strict=True)]).astype(np.int64)
+    """For each block's tokens a class of their document frequency: 0 for one document, then quarters of powers of two.
+
+    A block counts 255 at most: the classes only order tokens, and every document sees the same order."""
+    sizes = [len(d) // 5 for d in datas]
+    token = np.concatenate([unpack(d[: 4 * n], 4) for d, n in zip(datas, sizes, strict=True)])
+    count = np.concatenate([np.frombuffer(d, np.uint8, n, 4 * n) for d, n in zip(datas, sizes, strict=True)]).astype(np.int64)
     order = np.argsort(token, kind="stable")
     s = token[order]
     group = np.cumsum(np.append(False, s[1:] != s[:-1]))
@@ -60,9 +64,9 @@ def frequency_classes(blocks: list[int], datas: list[bytes]) -> list[bytes]:
 
 
 def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, cls (a digest of the set), lone and tokens of every document.
+    """doc_id, n_shingles, cls (a digest of the set), lone, tokens and gkey (of the most frequent token) of every document.
 
-    Tokens come rarest first; lone of them occur in one document alone. tokens is null where so many are lone that no other
+    Tokens come rarest first, WIDTH bytes each; lone of them occur in one document alone. tokens is null where so many are lone that no other
     set can be similar enough."""
     rows, blocks = blocked(docs)
     buckets = max(48, blocks // 4)
@@ -70,7 +74,7 @@ def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def ask(level, ids, texts, got):
         keys, counts = np.unique(Sets(texts, n).flat, return_counts=True)
         c = deal(keys, buckets)
-        return [(b, pack(keys[c[b] : c[b + 1]], 5) + np.minimum(counts[c[b] : c[b + 1]], 65_535).astype("<u2").tobytes()) for b in range(buckets) if c[b + 1] > c[b]]
+        return [(b, pack(keys[c[b] : c[b + 1]], 4) + np.minimum(counts[c[b] : c[b + 1]], 255).astype(np.uint8).tobytes()) for b in range(buckets) if c[b + 1] > c[b]]
 
     def finish(ids, texts, rest, got):
         s = Sets(texts, n)
@@ -80,25 +84,28 @@ def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
         mixed = mix(s.flat ^ U(0xA0761D6478BD642F))
         sums, sums2 = np.concatenate([[U(0)], np.cumsum(s.flat)]), np.concatenate([[U(0)], np.cumsum(mixed)])
         digests = [(x[s.at[1:]] - x[s.at[:-1]]).tolist() for x in (sums, sums2)]
-        cls, lone, tokens = [], [], []
+        cls, lone, tokens, gkeys = [], [], [], []
         for lo, hi, one, two in zip(s.at[:-1], s.at[1:], *digests, strict=True):
             size = int(hi - lo)
             r = rare[lo:hi]
             alone = int((r == 0).sum())
+            gkeys.append(None)
             lone.append(alone)
             if not size or alone >= prefix_length(size, percent):
                 cls.append(None)
                 tokens.append(None)
                 continue
             cls.append(f"{one:016x}{two:016x}{size:x}")
-            tokens.append(s.flat[lo:hi][np.lexsort((s.flat[lo:hi], r))].astype("<u8").tobytes())
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(s.size, pa.int64()), "cls": pa.array(cls, pa.string()), "lone": pa.array(lone, pa.int32()), "tokens": pa.array(tokens, pa.binary())})
+            kept = s.flat[lo:hi][np.lexsort((s.flat[lo:hi], r))]
+            tokens.append(pack(kept, WIDTH))
+            gkeys[-1] = int(kept[-1] >> U(1))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(s.size, pa.int64()), "cls": pa.array(cls, pa.string()), "lone": pa.array(lone, pa.int32()), "tokens": pa.array(tokens, pa.binary()), "gkey": pa.array(gkeys, pa.int64())})
 
-    return rounds(rows, ask, [frequency_classes], finish, "doc_id long, n_shingles long, cls string, lone int, tokens binary")
+    return rounds(rows, ask, [frequency_classes], finish, "doc_id long, n_shingles long, cls string, lone int, tokens binary, gkey long")
 
 
 def _sorted(raw: bytes) -> np.ndarray:
-    return np.sort(np.frombuffer(raw, "<u8"))
+    return np.sort(unpack(raw, WIDTH))
 
 
 def _shared(q: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -108,41 +115,50 @@ def _shared(q: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return hits[at[1:]] - hits[at[:-1]]
 
 
-def with_groups(classes: DataFrame, percent: int) -> DataFrame:
-    """classes with gid (their group) and leader: similar sets fall together by a min-hash, in parts of about GROUP,
-    and within a part each set joins the first leader that it links with, or leads itself."""
-    keyed = classes.mapInArrow(_min_hash, "cls string, rep long, n long, lone int, tokens binary, gkey long")
-    hot = keyed.groupBy("gkey").count().where(F.col("count") > GROUP)
-    parts = F.coalesce(F.ceil(F.col("count") / GROUP), F.lit(1))
-    salted = skew_join(keyed, hot, "gkey").select("cls", "rep", "n", "lone", "tokens", F.concat_ws("-", F.col("gkey"), F.pmod(F.xxhash64("cls"), parts)).alias("part"))
-
-    def stars(key, t):
-        order = np.lexsort((t.column("cls").to_numpy(zero_copy_only=False).astype(str), t.column("rep").fill_null((1 << 63) - 1).to_numpy()))
-        t = t.take(pa.array(order))
-        cls, tokens = t.column("cls").to_pylist(), [_sorted(x) for x in t.column("tokens").to_pylist()]
-        leaders: list[int] = []
-        mine = []
-        for i, q in enumerate(tokens):
-            near = [j for j in leaders if percent * len(tokens[j]) <= 100 * len(q) and percent * len(q) <= 100 * len(tokens[j])]
-            found = i
-            for j in near:
-                both = int(_shared(q, tokens[j], np.array([0, len(tokens[j])]))[0])
-                if 100 * both >= percent * (len(q) + len(tokens[j]) - both):
-                    found = j
-                    break
-            if found == i:
-                leaders.append(i)
-            mine.append(cls[found])
-        part = key[0].as_py()
-        return t.select(["cls", "rep", "n", "lone", "tokens"]).append_column("leader", pa.array(mine, pa.string())).append_column("gid", pa.array([f"{part}/{m[:12]}" for m in mine], pa.string()))
+MEMBERS = "cls string, rep long, lone int, tokens binary, leader string, gid string"
 
-    return salted.groupBy("part").applyInArrow(stars, "cls string, rep long, n long, lone int, tokens binary, leader string, gid string")
 
+def with_groups(classes: DataFrame, parts: int, percent: int) -> DataFrame:
+    """classes in groups: MEMBERS with gid (their group) and leader.
 
-def _min_hash(batches):
-    for b in batches:
-        keys = [int(mix(np.frombuffer(x, "<u8") ^ U(0x9FB21C651E98DF25)).min() >> U(1)) for x in b.column("tokens").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], [*b.schema.names, "gkey"])
+    Sets with the same most frequent token come side by side; such a range, however many sets it holds, is cut into groups of
+    at most GROUP. In a group each set goes to the first leader that it links with, or leads itself."""
+    ordered = classes.repartitionByRange(parts, "gkey", "cls").sortWithinPartitions("gkey", "cls")
+
+    def run(batches):
+        held, key = [], None
+        for b in batches:
+            for row in b.to_pylist():
+                if held and (row["gkey"] != key or len(held) == GROUP):
+                    yield stars(held, percent)
+                    held = []
+                key = row["gkey"]
+                held.append(row)
+        if held:
+            yield stars(held, percent)
+
+    return ordered.mapInArrow(run, MEMBERS)
+
+
+def stars(rows: list[dict], percent: int) -> pa.RecordBatch:
+    """The rows of a group with their leaders."""
+    tokens = [_sorted(r["tokens"]) for r in rows]
+    leaders: list[int] = []
+    mine = []
+    for i, q in enumerate(tokens):
+        found = i
+        for j in leaders:
+            x = tokens[j]
+            if percent * len(x) <= 100 * len(q) and percent * len(q) <= 100 * len(x):
+                both = int(_shared(q, x, np.array([0, len(x)]))[0])
+                if 100 * both >= percent * (len(q) + len(x) - both):
+                    found = j
+                    break
+        if found == i:
+            leaders.append(i)
+        mine.append(rows[found]["cls"])
+    cols = [pa.array([r[c] for r in rows], t) for c, t in (("cls", pa.string()), ("rep", pa.int64()), ("lone", pa.int32()), ("tokens", pa.binary()))]
+    return pa.RecordBatch.from_arrays([*cols, pa.array(mine), pa.array([rows[0]["cls"]] * len(rows))], [f.split()[0] for f in MEMBERS.split(", ")])
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -151,7 +167,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             cls, tok = [], []
             for c, lone, raw in zip(b.column("cls").to_pylist(), b.column("lone").to_pylist(), b.column("tokens").to_pylist(), strict=True):
-                x = np.frombuffer(raw, "<i8")
+                x = unpack(raw, WIDTH).astype(np.int64)
                 x = x[lone : prefix_length(len(x), percent)]
                 tok.append(x)
                 cls += [c] * len(x)
@@ -160,50 +176,50 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("cls", "lone", "tokens").mapInArrow(run, "cls string, token long")
 
 
-def links_between(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): components a and b of members (cls, gid, comp, n, lone, tokens) in which some pair of sets links.
+def links_between(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components a and b in which some pair of sets links. sets has cls, gid, lone and tokens, comps cls and comp.
 
-    Of two components that share a prefix token the smaller one's sets are the queries. A query meets the groups of the
-    larger one, whose token unions bound its overlap; only groups that qualify are opened."""
-    sizes = members.groupBy("comp").agg(F.count("*").alias("members"))
-    rank = skew_join(members.select("cls", "comp"), sizes, "comp").select("cls", F.struct("members", "comp").alias("at"))
-    rows = skew_join(prefixes(members, percent), rank, "cls", "inner").select("token", "cls", "at")
+    A set asks the groups that share a token of its prefix and hold a set of a larger component (ties by name), so each pair
+    of components is asked in one direction. The group's token union bounds the overlap; groups that qualify are opened."""
+    sizes = comps.groupBy("comp").agg(F.count("*").alias("members"))
+    rank = skew_join(comps.select("cls", "comp"), sizes, "comp").select("cls", F.struct("members", "comp").alias("at"))
+    ranked = pinned(skew_join(sets.select("cls", "gid"), rank, "cls", "inner").select("cls", "gid", "at"))
+    rows = skew_join(prefixes(sets, percent), ranked, "cls", "inner").select("token", "cls", "gid", "at")
     ends = rows.groupBy("token").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low != high")
-    rows = skew_join(rows, ends, "token", "inner")
+    rows = pinned(skew_join(rows, ends, "token", "inner"))
     asking = rows.where("at < high").select("token", "cls", "at")
-    asked = rows.where("at > low").select("token", F.col("at").alias("other")).distinct()
-    pairs = skew_join(asking, asked, "token", "inner").where("at < other").select("cls", F.col("at.comp").alias("comp"), F.col("other.comp").alias("other")).distinct()
-    groups = members.select(F.col("comp").alias("other"), "gid").distinct()
-    opened = skew_join(pairs, groups, "other", "inner").select("cls", "comp", "other", "gid")
+    asked = rows.where("at > low").groupBy("token", "gid").agg(F.max("at").alias("most"))
+    opened = pinned(skew_join(asking, asked, "token", "inner").where("at < most").select("cls", "at", "gid").distinct())
     count = opened.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
     opened = skew_join(opened, count, "gid").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    queries = skew_join(opened, members.select("cls", "tokens"), "cls", "inner").select("gid", "part", "comp", "other", "tokens")
-    held = skew_join(members.select("gid", "tokens"), count, "gid", "inner").select("gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "tokens")
+    queries = skew_join(opened, sets.select("cls", "tokens"), "cls", "inner").select("gid", "part", F.col("at.members").alias("members"), F.col("at.comp").alias("comp"), "tokens")
+    held = skew_join(sets.select("cls", "gid", "tokens"), count, "gid", "inner").select("cls", "gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "tokens")
+    held = skew_join(held, ranked.select("cls", "at"), "cls", "inner").select("gid", "part", F.col("at.members").alias("members"), F.col("at.comp").alias("comp"), "tokens")
 
     def check(key, q, g):
-        sets = [_sorted(x) for x in g.column("tokens").to_pylist()]
-        flat = np.concatenate(sets) if sets else np.zeros(0, U)
-        at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
+        sets_ = [_sorted(x) for x in g.column("tokens").to_pylist()]
+        flat = np.concatenate(sets_) if sets_ else np.zeros(0, U)
+        at = np.concatenate([[0], np.cumsum([len(s) for s in sets_])]).astype(np.int64)
         size, union = np.diff(at), np.unique(flat)
+        place = list(zip(g.column("members").to_pylist(), g.column("comp").to_pylist(), strict=True))
         found = set()
-        for raw, a, b in zip(*(q.column(c).to_pylist() for c in ("tokens", "comp", "other")), strict=True):
-            if (a, b) in found or not len(union):
-                continue
+        for raw, *mine in zip(*(q.column(c).to_pylist() for c in ("tokens", "members", "comp")), strict=True) if len(union) else ():
             x = _sorted(raw)
             if 100 * int(_shared(x, union, np.array([0, len(union)]))[0]) < percent * len(x):
                 continue
             both = _shared(x, flat, at)
-            if (100 * both >= percent * (len(x) + size - both)).any():
-                found.add((a, b))
+            linked = np.flatnonzero(100 * both >= percent * (len(x) + size - both))
+            found.update((mine[1], place[i][1]) for i in linked if place[i] > tuple(mine))
         return pa.table({"a": pa.array([a for a, _ in found], pa.string()), "b": pa.array([b for _, b in found], pa.string())})
 
+    held = held.toDF(*held.columns)  # columns of its own: both sides come from sets
     return queries.groupBy("gid", "part").cogroup(held.groupBy("gid", "part")).applyInArrow(check, "a string, b string").distinct()
 
 
-def merged(members: DataFrame, percent: int, among: DataFrame) -> DataFrame:
-    """members with comp replaced by that of the components which links among the given rows join."""
-    joined = components(links_between(among, percent)).select(F.col("id").alias("comp"), F.col("comp").alias("to"))
-    return skew_join(members, joined, "comp").withColumn("comp", F.coalesce("to", "comp")).drop("to")
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps (cls, rep, comp) with the components that the links join made one."""
+    joined = components(links).select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    return pinned(skew_join(comps, joined, "comp").withColumn("comp", F.coalesce("to", "comp")).select("cls", "rep", "comp"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -220,15 +236,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
        the token union of a group bounds the overlap, qualifying groups are opened and checked exactly.
     Only links within one component are left out, so no component is lost."""
     sets = pinned(shingle_sets(docs, n, percent))
-    classes = sets.where("tokens is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("lone").alias("lone"), F.first("tokens").alias("tokens"))
-    members = pinned(with_groups(classes, percent).withColumn("comp", F.col("leader")))
-    members = pinned(merged(members, percent, members.where("cls = leader")))
-    last = components(links_between(members, percent)).select(F.col("id").alias("comp"), F.col("comp").alias("to"))
-    final = skew_join(members.select("cls", "rep", "comp"), last, "comp").select("cls", "rep", F.coalesce("to", "comp").alias("comp"))
-    least = final.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    by_class = skew_join(final.select("cls", "comp"), least, "comp").select("cls", "component_id")
+    live = sets.where("tokens is not null")
+    parts = max(12, int((live.agg(F.sum(F.length("tokens"))).first()[0] or 0) >> 21))
+    classes = live.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("lone").alias("lone"), F.first("tokens").alias("tokens"), F.first("gkey").alias("gkey"))
+    members = pinned(with_groups(classes, parts, percent))
+    comps = members.select("cls", "rep", F.col("leader").alias("comp"))
+    led = members.where("cls = leader")
+    comps = merged(comps, links_between(led, led.select("cls", F.col("leader").alias("comp")), percent))
+    comps = merged(comps, links_between(members, comps, percent))
+    least = comps.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    by_class = skew_join(comps.select("cls", "comp"), least, "comp").select("cls", "component_id")
     alone = sets.where("tokens is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    held = skew_join(sets.where("tokens is not null").select("doc_id", "n_shingles", "cls"), by_class, "cls").select("doc_id", "n_shingles", "component_id")
+    held = skew_join(live.select("doc_id", "n_shingles", "cls"), by_class, "cls").select("doc_id", "n_shingles", "component_id")
     return alone.unionByName(held)
 
 
