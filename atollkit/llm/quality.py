@@ -21,7 +21,7 @@ FOLDS = 5
 
 def features(rows: list[bytes]) -> np.ndarray:
     """One row a text: shares of bytes and of hashed words, sizes, repeated words, word triples and lines."""
-    parts = [_features(rows[lo:hi]) for lo, hi in runs(rows, 2 << 20)]
+    parts = [_features(rows[lo:hi]) for lo, hi in runs(rows)]
     return np.concatenate(parts) if parts else np.zeros((0, 256 + CELLS + 6), np.float32)
 
 

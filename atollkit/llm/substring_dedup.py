@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from atollkit.llm.common import U, Words, blocked, pack, prefix_sums, runs, sliding_min, unpack, windows_hash
+from atollkit.llm.common import U, Words, blocked, mix, pack, prefix_sums, runs, sliding_min, unpack, windows_hash
 from atollkit.llm.exchange import bits, deal, meets, rounds
 
 
@@ -53,8 +53,8 @@ class Levels:
         self.places, hashes = [], []
         for r in self.runs:
             at, h = r.asked(length, self.window)
-            self.places.append(h[at])
-            hashes.append(h[np.unique(at)])
+            self.places.append(mix(h[at]))  # least values crowd near 0: mixed again, buckets get equal shares
+            hashes.append(mix(h[np.unique(at)]))
         self.keys, counts = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, U), return_counts=True)
         self.own = counts > 1
         self.cuts = deal(self.keys, self.buckets)
