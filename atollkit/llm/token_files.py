@@ -39,13 +39,14 @@ def repair(ids: np.ndarray, last: np.ndarray, first: int, most_rules: int, round
             break
         key = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
         cell = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CELLS)).astype(np.uint16)
-        n = np.bincount(cell[~last[:-1]], minlength=1 << CELLS)
+        n = np.bincount(cell, minlength=1 << CELLS)
         kept = np.zeros(1 << CELLS, np.uint64)
         kept[cell] = key
         room = min(2048, most_rules - made)
         bar = max(least, int(np.partition(n, -room)[-room]))
         hot = n >= bar
-        at = np.flatnonzero(hot[cell] & (kept[cell] == key) & ~last[:-1])
+        at = np.flatnonzero(hot[cell])
+        at = at[(kept[cell[at]] == key[at]) & ~last[at]]
         if not len(at):
             break
         new_run = np.diff(at, prepend=-2) != 1
@@ -77,13 +78,9 @@ def repair(ids: np.ndarray, last: np.ndarray, first: int, most_rules: int, round
     return s, last, np.concatenate(rules), np.concatenate(lengths)
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: int) -> np.ndarray:
-    """The ids behind the symbols, level by level."""
-    s = symbols.astype(np.uint32)
-    while len(s):
-        big = s >= first
-        if not big.any():
-            break
+def by_levels(s: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
+    """The ids behind the symbols, each round putting every nonterminal's pair in its place."""
+    while (big := s >= first).any():
         at = np.arange(len(s)) + np.cumsum(big) - big
         out = np.empty(len(s) + int(big.sum()), np.uint32)
         out[at[~big]] = s[~big]
@@ -93,6 +90,25 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: i
     return s
 
 
+def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: int, table: np.ndarray | None = None) -> np.ndarray:
+    """The ids behind the symbols: each is copied from the table of all rules' expansions, found by their lengths."""
+    table = by_levels(np.arange(first, first + len(rules), dtype=np.uint32), rules, first) if table is None else table
+    s = symbols.astype(np.int64)
+    rule = s - first
+    big = rule >= 0
+    n = np.ones(len(s), np.int64)
+    n[big] = lengths[rule[big]]
+    start = np.full(len(s), -1, np.int64)
+    start[big] = (np.cumsum(lengths) - lengths)[rule[big]]
+    ends = np.cumsum(n)
+    out = np.empty(int(ends[-1]) if len(s) else 0, np.uint32)
+    out[(ends - 1)[~big]] = s[~big]
+    m, where = n[big], (ends - n)[big]
+    step = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+    out[np.repeat(where, m) + step] = table[np.repeat(start[big], m) + step]
+    return out
+
+
 def write_shard(part: int, shard: int, doc_ids: list, rows: list[bytes], vocab: int, most_rules: int) -> bytes:
     ids = np.frombuffer(b"".join(rows), "<u4")
     counts = np.fromiter((len(r) // 4 for r in rows), np.int64, len(rows))
@@ -132,12 +148,15 @@ class Shard:
         if raw[at : at + len(TRAILER)] != TRAILER:
             raise ValueError(f"no trailer at byte {at}")
         self.end = at + len(TRAILER)
+        self.table = None
 
     def document(self, k: int) -> np.ndarray:
         return self.documents(k, k + 1)
 
     def documents(self, lo: int, hi: int) -> np.ndarray:
-        return expand(self.symbols[self.symbol_at[lo] : self.symbol_at[hi]], self.rules, self.lengths, self.first)
+        if self.table is None:
+            self.table = by_levels(np.arange(self.first, self.first + len(self.rules), dtype=np.uint32), self.rules, self.first)
+        return expand(self.symbols[self.symbol_at[lo] : self.symbol_at[hi]], self.rules, self.lengths, self.first, self.table)
 
 
 def shards(raw: bytes):

@@ -13,18 +13,24 @@ from functools import lru_cache
 import numpy as np
 
 SAFE = re.compile(r" (?=\S)")
-CACHE = 500_000
+CACHE = 1_200_000
 #: Characters that are split into pieces together.
 RUN = 1_500_000
+MARKS = ".,;:!?"
 
 
 class Pieces:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        # A piece of letters alone is one pre-token: for a run of such pieces the space is the only boundary.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.pre_tokenizer = Sequence([Split(" ", "merged_with_next"), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.kept: dict[str, bytes] = {}
+        self.marks = dict(zip(MARKS, self._each(list(MARKS)), strict=True))
         vocab = self.tok.get_vocab()
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)
         self.spaced[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
@@ -32,30 +38,52 @@ class Pieces:
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        plain = [p for p in new if " " not in p]
+    def _learn(self, new: set[str]) -> None:
+        """Encode new pieces and keep their ids; new gains the words of those that end in a mark.
+
+        A word and a mark of MARKS after it are two pre-tokens, so their ids follow one another."""
+        marked = [p for p in new if p[-1:] in self.marks and p[:-1].isalpha()]
+        new.update({p[:-1] for p in marked}.difference(self.kept))
+        done = set(marked)
+        others = [p for p in new if p not in done]
+        self._joined(self.letters, [p for p in others if p.isalpha()])
+        self._joined(self.tok, [p for p in others if not p.isalpha() and " " not in p])
+        rest = [p for p in others if " " in p]
+        self.kept.update(zip(rest, self._each([" " + p for p in rest]), strict=True))
+        for p in marked:
+            self.kept[p] = self.kept[p[:-1]] + self.marks[p[-1]]
+
+    def _joined(self, tok, plain: list[str]) -> None:
+        """Pieces that are encoded as one text; the tokens that begin with a space show where each begins."""
         for i in range(0, len(plain), 4000):
             part = plain[i : i + 4000]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.spaced[ids])
             if len(at) != len(part):
                 self.kept.update(zip(part, self._each([" " + p for p in part]), strict=True))
                 continue
             raw, at = ids.tobytes(), (at * 4).tolist()
             self.kept.update(zip(part, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)], strict=True))
-        if len(plain) < len(new):
-            rest = [p for p in new if " " in p]
-            self.kept.update(zip(rest, self._each([" " + p for p in rest]), strict=True))
 
     def _run(self, texts: list[str]) -> list[bytes]:
         split = [SAFE.split(t) for t in texts]
-        heads = self._each([s[0] for s in split])
-        kept, new = self.kept, set()
-        for s in split:
-            new.update(set(s[1:]) - kept.keys())
+        kept, get = self.kept, self.kept.get
+        out, holes, new = self._each([s[0] for s in split]), [], set()
+        for d, s in enumerate(split):
+            del s[0]
+            found = list(map(get, s))
+            if None in found:
+                at = [i for i, x in enumerate(found) if x is None]
+                new.update([s[i] for i in at])
+                holes.append((d, s, found, at))
+            else:
+                out[d] += b"".join(found)
         full = len(kept) >= CACHE
-        self._learn(list(new))
-        out = [h + b"".join([kept[p] for p in s[1:]]) for h, s in zip(heads, split, strict=True)]
+        self._learn(new)
+        for d, s, found, at in holes:
+            for i in at:
+                found[i] = kept[s[i]]
+            out[d] += b"".join(found)
         if full:
             for p in new:
                 del kept[p]
