@@ -53,7 +53,7 @@ def op7_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_files(read(spark, sf_dir, "documents"), JSON, end_id=2, ids=False)
+    return token_files.token_files(read(spark, sf_dir, "documents"), JSON, end_id=2, ids=False, literal=False)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,18 +167,18 @@ def shards(raw: bytes):
         at = s.end
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocab: int = 50_257, shard_ids: int = 1 << 20, part_bytes: int = 8 << 20) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocab: int = 50_257, shard_ids: int = 1 << 20, part_bytes: int = 8 << 20, literal: bool = True) -> None:
     """Encode every whole text (null: empty), end it with end_id, and write ids in ascending doc_id order to files at path.
 
     One range shuffle orders the documents; each task then encodes and compresses shards of about shard_ids ids, never
     splitting a document. Files go through Spark's own committer, so a lost executor's tasks run again. Null ids come
-    first; repeated rows all stay."""
+    first; repeated rows all stay. Special tokens' contents are read as text if literal, else as the library reads them."""
     rows = texts(docs)
     total = rows.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
     most_rules = (1 << 16) - vocab if vocab < 1 << 16 else 1 << 16
 
     def run(batches):
-        tok, part, shard = pieces(tokenizer), TaskContext.get().partitionId(), 0
+        tok, part, shard = pieces(tokenizer, literal), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         out_ids, out, size = [], [], 0
 
@@ -231,9 +231,9 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     return out.select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if ids else []))
 
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, ids: bool = True) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, ids: bool = True, literal: bool = True) -> DataFrame:
     """Write the files, by default under the shared folder, and read them back."""
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
-    write_tokens(docs, path, tokenizer, end_id)
+    write_tokens(docs, path, tokenizer, end_id, literal=literal)
     return read_tokens(spark, path, ids)

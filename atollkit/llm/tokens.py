@@ -2,7 +2,7 @@
 
 A space that a non-space follows always begins a new pre-token, so a text's ids are those of its pieces between
 such spaces, one after the other. Each worker encodes each new piece once and keeps the ids of the first
-CACHE pieces that it meets.
+CACHE pieces that it meets. A text that holds the content of an added token goes to the plain library as a whole.
 """
 
 from __future__ import annotations
@@ -20,12 +20,16 @@ MARKS = ".,;:!?"
 
 
 class Pieces:
-    def __init__(self, path: str):
+    """With literal, special tokens' contents are text like any other; else texts get the library's own ids for them."""
+
+    def __init__(self, path: str, literal: bool = False):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
+        self.plain = Tokenizer.from_file(path)
+        self.added = [] if literal else [a.content for a in self.plain.get_added_tokens_decoder().values()]
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = True  # pieces hold no added token, or are to be read literally
         # A piece of letters alone is one pre-token: for a run of such pieces the space is the only boundary.
         self.letters = Tokenizer.from_file(path)
         self.letters.pre_tokenizer = Sequence([Split(" ", "merged_with_next"), ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -35,8 +39,8 @@ class Pieces:
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)
         self.spaced[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
 
-    def _each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _each(self, texts: list[str], tok=None) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in (tok or self.tok).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[str]) -> None:
         """Encode new pieces and keep their ids; new gains the words of those that end in a mark.
@@ -66,9 +70,14 @@ class Pieces:
             self.kept.update(zip(part, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)], strict=True))
 
     def _run(self, texts: list[str]) -> list[bytes]:
+        whole = [d for d, t in enumerate(texts) if any(a in t for a in self.added)]
         split = [SAFE.split(t) for t in texts]
+        for d in whole:
+            split[d] = [""]
         kept, get = self.kept, self.kept.get
         out, holes, new = self._each([s[0] for s in split]), [], set()
+        for d, ids in zip(whole, self._each([texts[d] for d in whole], self.plain), strict=True):
+            out[d] = ids
         for d, s in enumerate(split):
             del s[0]
             found = list(map(get, s))
@@ -103,6 +112,6 @@ class Pieces:
 
 
 @lru_cache(2)
-def pieces(path: str) -> Pieces:
-    """One for each worker and vocabulary file."""
-    return Pieces(path)
+def pieces(path: str, literal: bool = False) -> Pieces:
+    """One for each worker, vocabulary file and reading of special tokens."""
+    return Pieces(path, literal)
