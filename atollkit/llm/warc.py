@@ -19,6 +19,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: An empty gzip member: it may stand between any two members.
 EMPTY_MEMBER = bytes.fromhex("1f8b080000000000000303000000000000000000")
 MEMBER, VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/1\.[01]\r\n")
+#: Where a member or a record may begin.
+BEGIN = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -149,39 +151,42 @@ def _inflate(raw: bytes, at: int) -> tuple[bytes, int, bool]:
 def salvage(raw: bytes):
     """Every record of an archive's bytes that passes its checks, and a row for each quarantined gap between them.
 
-    Gzip members are checked by their CRC and length. After a failed check the reader searches for the next place
-    where a valid member, or in plain archives a version line with a sound record, begins."""
+    Gzip members are checked by their CRC and length, plain records by their length and digests; whatever a sound record
+    holds is its payload. After a failed check the reader searches for the nearer of the next sound member and the next
+    version line with a sound record."""
     at = 0
     while at < len(raw):
-        if raw[at : at + 3] != MEMBER:
-            nxt = raw.find(MEMBER, at)
-            end = nxt if nxt >= 0 else len(raw)
-            yield from _plain(raw[at:end], at)
-            at = end
-            continue
-        try:
-            body, end, ended = _inflate(raw, at)
-            reason = "" if ended else "member cut short"
-        except zlib.error as e:
-            reason = f"member damaged: {str(e)[:60]}"
-        if not reason:
-            if body:
-                for r in _plain(body, 0):
-                    r["at"] = at
-                    if r["kind"] == "gap":
-                        r |= {"length": end - at, "reason": f"in a member: {r['reason']}"}
-                    yield r
-            at = end
-            continue
-        end = at + 1
-        while (end := raw.find(MEMBER, end)) >= 0 and not _sound(raw, end):
-            end += 1
-        end = end if end >= 0 else len(raw)
+        if raw[at : at + 3] == MEMBER:
+            try:
+                body, end, ended = _inflate(raw, at)
+                reason = "" if ended else "member cut short"
+            except zlib.error as e:
+                reason = f"member damaged: {str(e)[:60]}"
+            if not reason:
+                if body:
+                    for r in _plain(body, 0):
+                        r["at"] = at
+                        if r["kind"] == "gap":
+                            r |= {"length": end - at, "reason": f"in a member: {r['reason']}"}
+                        yield r
+                at = end
+                continue
+        else:
+            got = _record(raw, at)
+            if isinstance(got, tuple):
+                got[0]["at"], at = at, got[1]
+                yield got[0]
+                continue
+            reason = got
+        end = next((m.start() for m in BEGIN.finditer(raw, at + 1) if _sound(raw, m.start())), len(raw))
         yield {"kind": "gap", "at": at, "length": end - at, "reason": reason}
         at = end
 
 
 def _sound(raw: bytes, at: int) -> bool:
+    """Whether a whole member or record begins at a byte."""
+    if raw[at : at + 3] != MEMBER:
+        return isinstance(_record(raw, at), tuple)
     try:
         return _inflate(raw, at)[2]
     except zlib.error:
