@@ -129,6 +129,11 @@ def fe16(t):
     return f.prune_unused(t("features"), t("puvspr").where("pu < 20").select("species")).select("unique_id", "alias")
 
 
+@query("fe16_prune_unused_all", "SELECT unique_id, alias FROM features WHERE created_by = 'global admin' OR unique_id IN (SELECT species FROM puvspr)")
+def fe16_all(t):
+    return f.prune_unused(t("features"), t("puvspr").select("species")).select("unique_id", "alias")
+
+
 MEET = "s.x0 <= u.ix + 1 AND s.x1 >= u.ix AND s.y0 <= u.iy + 1 AND s.y1 >= u.iy"
 
 

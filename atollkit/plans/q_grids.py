@@ -61,6 +61,13 @@ def gr7(t):
     return cells.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.max("id").cast("long").alias("last"))
 
 
+@query("gr7_make_grid_cells", f"SELECT CAST(ROW_NUMBER() OVER (ORDER BY r, c) AS BIGINT) AS id, CAST(x0 - 4 + c * 4 AS DOUBLE) AS x0, CAST(y1 - r * 4 AS DOUBLE) AS y0, CAST(x0 + c * 4 AS DOUBLE) AS x1, CAST(y1 + 4 - r * 4 AS DOUBLE) AS y1 FROM (SELECT DISTINCT r, c, z.x0, z.y1 FROM (SELECT *, CAST(ceil((x1 - x0 + 8) / 4.0) AS BIGINT) AS nc, CAST(ceil((y1 - y0 + 8) / 4.0) AS BIGINT) AS nr FROM {BOX} e) z, LATERAL (SELECT unnest(range(0, z.nr)) AS r) p, LATERAL (SELECT unnest(range(0, z.nc)) AS c) q, boxes b WHERE z.x0 - 4 + c * 4 <= b.x1 AND z.x0 + c * 4 >= b.x0 AND z.y1 + 4 - r * 4 >= b.y0 AND z.y1 - r * 4 <= b.y1) d")
+def gr7_cells(t):
+    box = (0.0, 0.0, 0.0, 0.0) if t("boxes").isEmpty() else extent(t)
+    cells = g.make_grid(boxes(t), box, "square", cell_width=4.0).withColumn("b", crs.bbox(F.col("geometry")))
+    return cells.select(F.col("id").cast("long").alias("id"), "b.x0", "b.y0", "b.x1", "b.y1")
+
+
 OVERLAP = "greatest(0, least(b.x1, u.ix + 1) - greatest(b.x0, u.ix)) * greatest(0, least(b.y1, u.iy + 1) - greatest(b.y0, u.iy))"
 
 
