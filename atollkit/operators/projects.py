@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from atollkit.functions.scalars import area_from_alias
@@ -154,12 +154,17 @@ def scenario_group(params: DataFrame, blm: list[float], step: int) -> DataFrame:
     return rows.select((F.col("project_id") + (F.col("i") + 1) * step).alias("project_id"), "key", value.alias("value"))
 
 
-def clone_names(projects: DataFrame, ids: DataFrame, most: int = 20) -> DataFrame:
-    """(id, name) for clones of the projects: _copy is added until the name is free."""
-    names = projects.select(F.col("name").alias("taken"))
-    tries = projects.join(ids, "id").select("id", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k"), "name").select("id", "k", F.concat("name", F.expr("repeat('_copy', k)")).alias("name"))
-    free = tries.join(names, tries.name == names.taken, "left_anti")
-    return free.groupBy("id").agg(F.min_by("name", "k").alias("name"))
+def clone_names(projects: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, name) for clones of the projects: _copy is added until the name is free, however often that is."""
+    root = F.regexp_replace("name", "(_copy)+$", "")
+    copies = ((F.length("name") - F.length(root)) / 5).cast("int")
+    taken = projects.select(root.alias("root"), copies.alias("taken")).distinct()
+    asked = projects.join(ids, "id").select("id", "name", root.alias("root"), copies.alias("copies")).distinct()
+    more = asked.join(taken, "root").where(F.col("taken") > F.col("copies")).select("id", "name", (F.col("taken") - F.col("copies")).alias("k"))
+    place = F.row_number().over(Window.partitionBy("id", "name").orderBy("k"))
+    run = more.withColumn("place", place).where("k = place").groupBy("id", "name").agg(F.max("k").alias("k"))  # names taken without a gap
+    free = asked.join(run, ["id", "name"], "left").withColumn("k", F.coalesce("k", F.lit(0)) + 1)
+    return free.groupBy("id").agg(F.min_by(F.expr("concat(name, repeat('_copy', k))"), "k").alias("name"))
 
 
 def clone_projects(table: DataFrame, ids: DataFrame, key: str = "project_id") -> DataFrame:
