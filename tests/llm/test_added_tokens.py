@@ -1,12 +1,13 @@
 """Texts with an added token's content get the library's own ids."""
 
+import random
 import zlib
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from atollkit.llm import packing, queries
+from atollkit.llm import packing, queries, tokens
 from atollkit.llm.tokens import Pieces
 
 TEXTS = ["end of file <|endoftext|> next", "", "no such token here", "<|endoftext|>", "a<|endoftext|><|endoftext|>b  c", "<|endoftext <|endof text|>", " x y" * 900 + " <|endoftext|>" + " y z" * 900]
@@ -42,3 +43,19 @@ def test_queries(spark, tmp_path, ids):
     assert {(r.doc_id, r.start): (r.length, r.ids_crc32) for r in packed} == want
     rows = packing.pieces(spark.read.parquet(f"{tmp_path}/documents.parquet"), queries.JSON, 0, 2048, ids=True).collect()
     assert any(50256 in np.frombuffer(r.ids, "<u4") for r in rows)
+
+
+def test_odd_texts_and_a_small_cache(monkeypatch):
+    rnd = random.Random(1)
+    chars = "ab zZ  \n\t\r.,!?'sß\x85 é\u0301漢ⅷ٣3\x1c\x00\U0001d4b3'll<|endoftext|>\u3000—“"
+    texts = ["".join(rnd.choice(chars) for _ in range(rnd.randrange(60))) for _ in range(1500)]
+    texts += [" ".join("".join(rnd.choice(chars[:20]) for _ in range(rnd.randrange(80))) for _ in range(rnd.randrange(30))) for _ in range(300)]
+    plain = Tokenizer.from_file(queries.JSON)
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for room in (40 << 20, 20_000, 0):
+        monkeypatch.setattr(tokens, "CACHE", room)
+        monkeypatch.setattr(tokens, "RUN", 3000)
+        tok = Pieces(queries.JSON)
+        for _ in range(2):
+            assert list(tok.encode(texts)) == want
+        assert sum(map(len, tok.kept)) <= max(room, 1) + 20_000

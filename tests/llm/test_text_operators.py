@@ -85,6 +85,27 @@ def test_repair_round_trip():
     assert len(token_files.write_shard(0, 0, [1], [np.tile(np.arange(7), 9000).astype("<u4").tobytes()], 50_257, 15_000)) < 20_000
 
 
+def test_repair_counts_pairs_exactly():
+    rng = np.random.default_rng(1)
+    ids = rng.zipf(1.3, 30_000).astype(np.uint32) % 900
+    ends = np.arange(100, 30_001, 100)
+    most = token_files.LEAST
+    symbols, at, rules, lengths = token_files.repair(ids, ends, 1000, 5000)
+    assert (token_files.by_levels(symbols, rules, 1000) == ids).all() and at[-1] == len(symbols)
+    pairs = Counter((a, b) for lo, hi in zip([0, *at[:-1]], at, strict=True) for a, b in zip(symbols[lo : hi - 1].tolist(), symbols[lo + 1 : hi].tolist(), strict=True))
+    # Nothing frequent is left: only a pair that overlaps itself counts more often than it can be replaced.
+    assert all(n < most or a == b and n < 2 * most for (a, b), n in pairs.items())
+    with pytest.raises(ValueError, match="vocabulary"):
+        token_files.write_shard(0, 0, [1], [np.array([7], "<u4").tobytes()], 7, 10)
+
+
+def test_text_writer_keeps_all_bytes(spark, tmp_path):
+    raw = bytes(range(256)) * 3 + b"\r\n\r\n"
+    df = spark.createDataFrame([(bytearray(raw),)], "value binary").select(F.col("value").cast("string").alias("value"))
+    df.write.option("encoding", "ISO-8859-1").option("lineSep", token_files.TRAILER.decode("latin-1")).text(str(tmp_path / "t"))
+    assert b"".join(p.read_bytes() for p in (tmp_path / "t").glob("part-*")) == raw + token_files.TRAILER
+
+
 def brute_rules(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
