@@ -89,6 +89,21 @@ def _albers_inverse(x: pd.Series, y: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"x": ALBERS[3] + np.degrees(np.arctan2(x, y) / n), "y": np.degrees(phi)})
 
 
+def forward(name: str, x: Column, y: Column) -> Column:
+    """Struct (x, y) of longitude and latitude in EPSG:4326, EPSG:3410, EPSG:6933 or the impact model's albers."""
+    one = F.array(F.array(F.struct(x.alias("x"), y.alias("y"))))
+    made = {"EPSG:4326": lambda g: g, "EPSG:3410": to_ease_grid, "EPSG:6933": to_ease2, "albers": to_albers}[name](one)
+    return made[0][0]
+
+
+def inverse(name: str, x: Column, y: Column) -> Column:
+    """Struct (x, y) of longitude and latitude from coordinates in EPSG:4326, EPSG:3410 or albers."""
+    if name == "albers":
+        return albers_inverse(x, y)
+    one = F.array(F.array(F.struct(x.alias("x"), y.alias("y"))))
+    return {"EPSG:4326": lambda g: g, "EPSG:3410": from_ease_grid}[name](one)[0][0]
+
+
 def box_geometry(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """An axis-aligned rectangle, anticlockwise."""
     p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from atollkit.functions.crs import GEOMETRY
@@ -13,16 +15,88 @@ ARROW_GEOMETRY = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.floa
 KINDS = {"boolean": pa.bool_(), "double": pa.float64(), GEOMETRY: ARROW_GEOMETRY, f"array<{GEOMETRY}>": pa.list_(ARROW_GEOMETRY)}
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Ends of each row's items among all, after a first 0, and the items."""
+    return np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))).astype(np.int64), column.flatten()
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rings up to each row, points up to each ring, points) of a geometry column, from its flat buffers."""
+    rows, rings = _lists(column)
+    ends, points = _lists(rings)
+    x, y = (points.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    return rows, ends, np.stack([x, y], 1) if len(x) else np.zeros((0, 2))
+
+
+def polygons(column: pa.Array) -> list:
+    """Each row's rings as arrays of points, None for null; the arrays are views of one."""
+    rows, ends, points = flat(column)
+    rings = [points[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    out: list = [rings[a:b] for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
+    if column.null_count:
+        for i in np.flatnonzero(column.is_null().to_numpy(zero_copy_only=False)):
+            out[i] = None
+    return out
+
+
+def arrow_polygons(rows: list) -> pa.Array:
+    """A geometry column from lists of rings of points."""
+    rings = [np.asarray(r, float).reshape(-1, 2) for g in rows if g is not None for r in g]
+    points = np.concatenate(rings) if rings else np.zeros((0, 2))
+    inner = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(r) for r in rings])), pa.int32()), pa.StructArray.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], ["x", "y"]))
+    ends = np.append(0, np.cumsum([0 if g is None else len(g) for g in rows]))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner, mask=pa.array([g is None for g in rows], pa.bool_()))
+
+
+def _column(values: list, kind: str) -> pa.Array:
+    if kind == GEOMETRY:
+        return arrow_polygons(values)
+    if kind == f"array<{GEOMETRY}>":
+        ends = np.append(0, np.cumsum([0 if v is None else len(v) for v in values]))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), arrow_polygons([g for v in values if v is not None for g in v]), mask=pa.array([v is None for v in values], pa.bool_()))
+    return pa.array(values, KINDS[kind])
+
+
 def rowwise(fn: Callable, kind: str):
-    """fn of one row's values (geometries as lists of rings of points) as a column function that returns kind.
+    """fn of one row's values (geometries as lists of arrays of points) as a column function that returns kind; null where the
+    first value is null.
 
-    Geometry kernels are numpy code on one or two polygons; batches go between Spark and Python by Arrow."""
+    Kernels are numpy code on one or two polygons; their points are views of the batch's flat buffers. What a box can
+    decide is decided by built-in functions before (see is_box), and comes here as null."""
     def run(*columns: pa.Array) -> pa.Array:
-        return pa.array([fn(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)], KINDS[kind])
+        values = [polygons(c) if pa.types.is_list(c.type) else c.to_pylist() for c in columns]
+        return _column([None if row[0] is None else fn(*row) for row in zip(*values, strict=True)], kind)
 
     return F.arrow_udf(run, kind)
 
 
+def _points_inside(x: pa.Array, y: pa.Array, geometry: pa.Array) -> pa.Array:
+    """Even-odd test of each row's point in its polygon, over all edges of the batch at once; lower and left edges count."""
+    rows, ends, p = flat(geometry)
+    start = np.ones(len(p), bool)
+    start[ends[:-1][ends[:-1] < len(p)]] = False
+    b = np.flatnonzero(start)  # every point but the first of a ring ends an edge
+    owner = np.repeat(np.arange(len(rows) - 1), ends[rows[1:]] - ends[rows[:-1]])[b]
+    px, py = (c.to_numpy(zero_copy_only=False)[owner] for c in (x, y))
+    (ax, ay), (bx, by) = p[b - 1].T, p[b].T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        hit = (((ay <= py) & (py < by)) | ((by <= py) & (py < ay))) & (px < (bx - ax) * (py - ay) / (by - ay) + ax)
+    return pa.array(np.bincount(owner[hit], minlength=len(rows) - 1) % 2 == 1, mask=geometry.is_null().to_numpy(zero_copy_only=False))
+
+
+def points_inside(x: Column, y: Column, geometry: Column) -> Column:
+    return F.arrow_udf(_points_inside, "boolean")(x, y, geometry)
+
+
+def is_box(geom: Column, box: Column) -> Column:
+    """Whether a geometry is its own box: one ring of five points, each a corner, along the edges in turn."""
+    ring = geom[0]
+    corner = lambda p: ((p.x == box.x0) | (p.x == box.x1)) & ((p.y == box.y0) | (p.y == box.y1))
+    straight = F.forall(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.get(ring, i).x == F.get(ring, i + 1).x) != (F.get(ring, i).y == F.get(ring, i + 1).y))
+    whole = (box.x0 < box.x1) & (box.y0 < box.y1)
+    return F.coalesce((F.size(geom) == 1) & (F.size(ring) == 5) & whole & F.forall(ring, corner) & straight & (ring[0] == ring[4]), F.lit(False))
+
+
 def as_rows(polygon) -> list:
-    """A row's geometry from arrays of points."""
-    return [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in polygon]
+    """A row's geometry, as rowwise functions return it."""
+    return list(polygon)

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from atollkit.functions import crs, kernels
-from atollkit.functions.geometry_udf import ARROW_GEOMETRY, as_rows, rowwise
+from atollkit.functions.geometry_udf import arrow_polygons, polygons, rowwise
 from atollkit.functions.scalars import fmt_date, format_eunis, unique_feature_name
 from atollkit.operators.grid import insert_if_absent
-from atollkit.operators.spatial import candidates, points_in_polygons, union_area
+from atollkit.operators.spatial import candidates, overlaps, points_in_polygons, union_area
 
 
 def split_layer(layer: DataFrame, field: str | None = None, name: str | None = None, source: str = "layer") -> DataFrame:
@@ -22,12 +22,14 @@ def split_layer(layer: DataFrame, field: str | None = None, name: str | None = N
     return rows.withColumns({"feature_class_name": unique_feature_name("f_", alias), "alias": alias, "description": F.lit(f"Imported from '{source}' and split by '{field}' field")})
 
 
-def register_polygon_features(layer: DataFrame, existing: DataFrame, size: float = 8.0) -> DataFrame:
+def register_polygon_features(layer: DataFrame, existing: DataFrame, size: float = 8.0, metric: bool = False) -> DataFrame:
     """existing (feature_class_name, alias, _area, x0, y0, x1, y1, source) and the layer's features: dissolved area and box.
 
-    A feature whose alias exists already is left out."""
+    With metric the layer is in degrees and areas are in square metres of EPSG:3410 (size is then in metres); the box stays in degrees. A
+    feature whose alias exists already is left out."""
     by = ["feature_class_name", "alias"]
-    made = union_area(layer, by, size).join(crs.envelope_agg(layer, "geometry", by), by)
+    flat = layer.withColumn("geometry", crs.to_ease_grid(F.col("geometry"))) if metric else layer
+    made = union_area(flat, by, size).join(crs.envelope_agg(layer, "geometry", by), by)
     made = made.select(*by, F.col("area").alias("_area"), "x0", "y0", "x1", "y1", F.lit("Imported shapefile").alias("source"))
     return insert_if_absent(existing, made, "alias")
 
@@ -56,14 +58,20 @@ def eunis_code_index(layer: DataFrame, code: str, order: str) -> DataFrame:
     return numbered.groupBy(format_eunis(F.col(code)).alias("code")).agg(F.max("id").alias("id"))
 
 
-def polygon_amounts(features: DataFrame, units: DataFrame, size: float = 8.0) -> DataFrame:
-    """(feature_id, id, amount): area of each feature (feature_id, other) within each convex unit (id, geometry), over 0.
-
-    Features and units meet on tiles; the overlap is a clip of the feature to the unit, exact for concave features too.
-    Amounts add up before anything else is joined."""
-    overlap = rowwise(lambda a, b: kernels.overlap_area(kernels.rings(b), kernels.rings(a)[0]), "double")
-    pairs = candidates(units.select("id", "geometry"), features.select("feature_id", "other"), "geometry", "other", size)
-    sums = pairs.select("feature_id", "id", overlap("geometry", "other").alias("amount")).groupBy("feature_id", "id").agg(F.sum("amount").alias("amount"))
+def polygon_amounts(features: DataFrame, units: DataFrame, size: float = 8.0, project: str | None = None, metric: bool = False) -> DataFrame:
+    """(feature_id, id, amount): area of each feature (feature_id, other) within each unit (id, geometry), over 0; with project, a
+    column of units, also that column. Any simple polygons will do, with holes or concave.
+
+    With metric both are given in degrees and the amount is in square metres of EPSG:3410: the projection is a
+    cylinder's, which keeps boxes boxes. Features and units meet on tiles (of the given coordinates); amounts add up before anything else is joined."""
+    keys = ["feature_id", *([project] if project else []), "id"]
+    pairs = candidates(units.select(*keys[1:], "geometry"), features.select("feature_id", "other"), "geometry", "other", size)
+    if metric:
+        flat = lambda c: crs.to_ease_grid(F.col(c))
+        box = lambda c: F.struct(crs.bbox(flat(c)).alias("b"), F.col(f"{c}_own").alias("own"))
+        pairs = pairs.withColumns({"geometry_own": F.col("_a.own"), "other_own": F.col("_b.own")}).withColumns({"_a": box("geometry"), "_b": box("other"), "geometry": flat("geometry"), "other": flat("other")})
+        pairs = pairs.withColumns({c: F.struct(f"{c}.b.*", f"{c}.own") for c in ("_a", "_b")})
+    sums = pairs.select(*keys, overlaps(pairs, "geometry", "other").alias("amount")).groupBy(*keys).agg(F.sum("amount").alias("amount"))
     return sums.where("amount > 0")
 
 
@@ -141,8 +149,8 @@ def repair_and_check(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(sound rows with repaired geometry, rejects of key and reason). Repair drops repeated points, closes rings and
     turns them the right way; what then crosses itself or has too few points is rejected."""
     def run(s: pa.Array) -> pa.Array:
-        fixed = [kernels.repaired(kernels.rings(g)) if g is not None else [] for g in s.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([as_rows(g) for g in fixed], ARROW_GEOMETRY), pa.array([kernels.validity_reason(g) for g in fixed], pa.string())], ["geometry", "reason"])
+        fixed = [kernels.repaired(g) if g is not None else [] for g in polygons(s)]
+        return pa.StructArray.from_arrays([arrow_polygons(fixed), pa.array([kernels.validity_reason(g) for g in fixed], pa.string())], ["geometry", "reason"])
 
     repair = F.arrow_udf(run, f"geometry {crs.GEOMETRY}, reason string")
 
@@ -157,6 +165,6 @@ def reasons(rejects: DataFrame, n: int = 10) -> DataFrame:
 
 def split_at_dateline(df: DataFrame) -> DataFrame:
     """df with polygons that cross 180 degrees in two rows, east and west."""
-    split = rowwise(lambda g: [as_rows(p) for p in kernels.split_at_dateline(kernels.rings(g))], f"array<{crs.GEOMETRY}>")
+    split = rowwise(kernels.split_at_dateline, f"array<{crs.GEOMETRY}>")
     others = [c for c in df.columns if c != "geometry"]
     return df.where(F.col("geometry").isNotNull()).select(*others, F.explode(split("geometry")).alias("geometry"))

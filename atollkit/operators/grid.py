@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atollkit.functions import crs, kernels
-from atollkit.functions.geometry_udf import as_rows, rowwise
+from atollkit.functions.geometry_udf import rowwise
 from atollkit.functions.scalars import grid_name, scale_level
 from atollkit.operators.spatial import spatial_join
 
@@ -77,7 +77,8 @@ def polyfill_multi(areas: DataFrame, resolutions: list[int], **options) -> DataF
 
 
 def _lattice(spark: SparkSession, rows: int, cols: int) -> DataFrame:
-    return spark.range(rows).select(F.col("id").cast("int").alias("row_number")).select("row_number", F.explode(F.sequence(F.lit(0), F.lit(max(cols, 1) - 1))).alias("col_number")).limit(rows * cols if cols else 0)
+    """Rows and columns of a lattice: rows are dealt out over tasks, columns made in place."""
+    return spark.range(rows).select(F.col("id").cast("int").alias("row_number")).where(F.lit(cols > 0)).select("row_number", F.explode(F.sequence(F.lit(0), F.lit(max(cols, 1) - 1))).alias("col_number"))
 
 
 def hex_grid_pointy(spark: SparkSession, box: tuple, r: float, clip: bool = False) -> DataFrame:
@@ -148,13 +149,13 @@ def clip_to_box(cells: DataFrame, box: tuple) -> DataFrame:
     x0, y0, x1, y1 = box
     window = np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)], float)
 
-    cut = rowwise(lambda g: as_rows(kernels.clip_polygon(kernels.rings(g), window)), crs.GEOMETRY)
+    cut = rowwise(lambda g: kernels.clip_polygon(g, window), crs.GEOMETRY)
     return cells.withColumn("geometry", cut("geometry")).where(F.size("geometry") > 0)
 
 
 def clip_grid(cells: DataFrame, area: DataFrame) -> DataFrame:
     """Cells (convex, with a key cell) cut to the polygons of area, attributes kept; only parts with an area remain."""
-    cut = rowwise(lambda a, b: as_rows(kernels.clip_polygon(kernels.rings(b), kernels.rings(a)[0])), crs.GEOMETRY)
+    cut = rowwise(lambda a, b: kernels.clip_polygon(b, a[0]), crs.GEOMETRY)
     pairs = spatial_join(cells, area.select(F.col("geometry").alias("other")), "geometry", "other")
     out = pairs.withColumn("geometry", cut("geometry", "other")).select(*cells.columns)
     return out.where((F.size("geometry") > 0) & (crs.planar_area(F.col("geometry")) > 0))
@@ -215,8 +216,13 @@ def linked_projects(grids: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def import_grid_checks(df: DataFrame) -> DataFrame:
-    """One row with the count of puid (nulls not counted) of an uploaded grid, its puid cast to integers; puid must be lower case."""
+    """One row with the count of puid (nulls not counted) of an uploaded grid, its puid cast to integers, and, where it has
+    geometries, their envelope (x0, y0, x1, y1); puid must be lower case."""
     if "puid" not in df.columns:
         wrong = "upper-case" if any(c.lower() == "puid" for c in df.columns) else "no"
         raise ValueError(f"the grid has {wrong} puid column")
-    return df.select(F.col("puid").try_cast("int").alias("puid")).agg(F.count("puid").alias("planning_unit_count"))
+    counted = [F.count("puid").alias("planning_unit_count")]
+    if "geometry" not in df.columns:
+        return df.select(F.col("puid").try_cast("int").alias("puid")).agg(*counted)
+    ends = [(F.min if c.endswith("0") else F.max)(f"b.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    return df.select(F.col("puid").try_cast("int").alias("puid"), crs.bbox(F.col("geometry")).alias("b")).agg(*counted, *ends)

@@ -11,13 +11,14 @@ from atollkit.operators.spatial import spatial_join
 
 
 def protected_intersections(sites: DataFrame, units: DataFrame, size: float = 8.0) -> DataFrame:
-    """Distinct (iucn_cat, puid) of sites (iucn_cat, other) and the units (id, geometry) they meet, in that order.
+    """Distinct (iucn_cat, puid) of sites (iucn_cat, other) and the units (id, geometry) they meet.
 
-    Sites beyond the units' common box fall out first; one row of four numbers is broadcast for it."""
-    box = units.agg(F.min(crs.bbox(F.col("geometry")).x0).alias("ex0"), F.min(crs.bbox(F.col("geometry")).y0).alias("ey0"), F.max(crs.bbox(F.col("geometry")).x1).alias("ex1"), F.max(crs.bbox(F.col("geometry")).y1).alias("ey1"))
+    Sites beyond the units' common box fall out first; one row of four numbers is broadcast for it. Equal sites of a category
+    are one."""
+    box = crs.envelope_agg(units, "geometry", []).select(*(F.col(c).alias(f"e{c}") for c in ("x0", "y0", "x1", "y1")))
     b = crs.bbox(F.col("other"))
-    near = sites.select("iucn_cat", "other", b.alias("b")).join(F.broadcast(box), F.expr("b.x0 <= ex1 AND b.x1 >= ex0 AND b.y0 <= ey1 AND b.y1 >= ey0")).select("iucn_cat", "other")
-    return spatial_join(units.select("id", "geometry"), near, size=size).select("iucn_cat", F.col("id").alias("puid")).distinct().orderBy("iucn_cat", "puid")
+    near = sites.select("iucn_cat", "other", b.alias("b")).join(F.broadcast(box), F.expr("b.x0 <= ex1 AND b.x1 >= ex0 AND b.y0 <= ey1 AND b.y1 >= ey0")).select("iucn_cat", "other").distinct()
+    return spatial_join(units.select("id", "geometry"), near, size=size).select("iucn_cat", F.col("id").alias("puid")).distinct()
 
 
 def protected_by_category(pairs: DataFrame) -> DataFrame:

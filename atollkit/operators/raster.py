@@ -27,18 +27,22 @@ def log_minmax(cells: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("v", F.coalesce(scaled, F.lit(0.0))).select(cells.columns)
 
 
-def resample(cells: DataFrame, src: tuple, dst: tuple) -> DataFrame:
+def resample(cells: DataFrame, src: tuple, dst: tuple, src_crs: str | None = None, dst_crs: str | None = None) -> DataFrame:
     """Bilinear values on another grid. A grid is (x0, y0, dx, dy, rows, cols) from the top left down.
 
+    If the grids have different coordinates (names as in crs.forward), a target cell's centre is projected back to
+    longitude and latitude and on to those of the source.
+
     Each target cell asks for the four source cells around its centre by their keys; weights of missing ones are left out
     and the rest add up to 1 again. Targets without any neighbour are left out (no data)."""
     sx, sy, sdx, sdy, _, _ = src
     tx, ty, tdx, tdy, rows, cols = dst
     spark = cells.sparkSession
-    target = spark.range(rows).select(F.col("id").cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("c"))
-    fx = (tx + (F.col("c") + 0.5) * tdx - sx) / sdx - 0.5
-    fy = (sy - (ty - (F.col("r") + 0.5) * tdy)) / sdy - 0.5
-    asked = target.select("r", "c", fx.alias("fx"), fy.alias("fy"))
+    target = spark.range(rows).where(F.lit(cols > 0)).select(F.col("id").cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(max(cols, 1) - 1))).alias("c"))
+    target = target.select("r", "c", (tx + (F.col("c") + 0.5) * tdx).alias("x"), (ty - (F.col("r") + 0.5) * tdy).alias("y"))
+    if src_crs != dst_crs:
+        target = target.select("r", "c", crs.inverse(dst_crs, F.col("x"), F.col("y")).alias("p")).select("r", "c", crs.forward(src_crs, F.col("p.x"), F.col("p.y")).alias("p")).select("r", "c", "p.x", "p.y")
+    asked = target.select("r", "c", ((F.col("x") - sx) / sdx - 0.5).alias("fx"), ((sy - F.col("y")) / sdy - 0.5).alias("fy"))
     wx, wy = F.col("fx") - F.floor("fx"), F.col("fy") - F.floor("fy")
     four = F.array(*(F.struct((F.floor("fy") + j).cast("int").alias("sr"), (F.floor("fx") + i).cast("int").alias("sc"), ((wx if i else 1 - wx) * (wy if j else 1 - wy)).alias("w")) for j in (0, 1) for i in (0, 1)))
     need = asked.select("r", "c", F.explode(four).alias("n")).select("r", "c", "n.sr", "n.sc", "n.w").where("w > 0")
@@ -47,16 +51,18 @@ def resample(cells: DataFrame, src: tuple, dst: tuple) -> DataFrame:
     return met.groupBy("layer", "r", "c").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
 
 
-def prepare_upload(cells: DataFrame, src: tuple, template: tuple) -> DataFrame:
-    """Negative values out, logarithm and scale, then the template's grid."""
-    return resample(log_minmax(clamp_negative(cells), ["layer"]), src, template)
+def prepare_upload(cells: DataFrame, src: tuple, template: tuple, src_crs: str | None = None, crs_: str | None = None) -> DataFrame:
+    """Negative values out, logarithm and scale, then the template's grid and coordinates."""
+    return resample(log_minmax(clamp_negative(cells), ["layer"]), src, template, src_crs, crs_)
 
 
 def pressures(cells: DataFrame, pad: DataFrame, activity: str) -> DataFrame:
     """A layer for each pressure of an activity: values times its score, zeros left out; layers are named after pressures."""
     scores = pad.where(F.col("activity") == activity).select(replace_chars(F.col("pressure")).alias("name"), F.col("rppscore").cast("double").alias("w")).distinct()
-    out = cells.join(scores, F.lit(True))  # a few scores: each makes a layer of its own
-    return out.select(F.col("name").alias("layer"), "r", "c", (F.col("v") * F.col("w")).alias("v")).where("v != 0")
+    # Scores of one activity, one for each of its pressures: a value meets them as an array of its own row, no join of all with all.
+    listed = scores.agg(F.collect_list(F.struct("name", "w")).alias("scores"))
+    out = cells.where("v != 0").crossJoin(F.broadcast(listed)).select("r", "c", "v", F.explode("scores").alias("s"))
+    return out.select(F.col("s.name").alias("layer"), "r", "c", (F.col("v") * F.col("s.w")).alias("v")).where("v != 0")
 
 
 def sensitivity_long(maresa: DataFrame, jncc: DataFrame) -> DataFrame:

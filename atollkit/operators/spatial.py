@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atollkit.functions import crs, kernels
-from atollkit.functions.geometry_udf import rowwise
+from atollkit.functions.geometry_udf import is_box, points_inside, polygons, rowwise
 
 PREDICATES = {"intersects": kernels.intersects, "contains": kernels.contains, "touches": kernels.touches}
 
@@ -23,41 +23,76 @@ def tiles(b: Column, size: float) -> Column:
 def predicate(name: str):
     """Exact test of two geometry columns."""
     test = PREDICATES[name]
-    return rowwise(lambda a, b: test(kernels.rings(a), kernels.rings(b)), "boolean")
+    return rowwise(lambda a, b: test(a, b), "boolean")
+
+
+def of_boxes(name: str, p: Column, q: Column) -> Column:
+    """The same test of two rectangles, by built-in functions."""
+    meet = (p.x0 <= q.x1) & (q.x0 <= p.x1) & (p.y0 <= q.y1) & (q.y0 <= p.y1)
+    if name == "intersects":
+        return meet
+    if name == "contains":
+        return (p.x0 <= q.x0) & (q.x1 <= p.x1) & (p.y0 <= q.y0) & (q.y1 <= p.y1)
+    return meet & ~((p.x0 < q.x1) & (q.x0 < p.x1) & (p.y0 < q.y1) & (q.y0 < p.y1))
+
+
+def boxed(df: DataFrame, geom: str, name: str, size: float) -> DataFrame:
+    """df's rows with a geometry, its box and whether it is one (name), and a row for each tile (_t) of the box."""
+    rows = df.where(F.col(geom).isNotNull()).withColumn("_box", crs.bbox(F.col(geom)))
+    made = F.struct("_box.*", is_box(F.col(geom), F.col("_box")).alias("own"))
+    return rows.withColumn(name, made).drop("_box").withColumn("_t", F.explode(tiles(F.col(name), size)))
 
 
 def candidates(a: DataFrame, b: DataFrame, a_geom: str, b_geom: str, size: float) -> DataFrame:
-    """Pairs whose boxes meet, each once.
+    """Pairs whose boxes meet, each once, with the boxes as _a and _b.
 
     Both sides are dealt out by the tiles of their boxes and joined on the tile; a pair stays only in the tile of the lower
     left corner of the boxes' overlap, so no distinct is needed. Rows without geometry drop out."""
-    left = a.where(F.col(a_geom).isNotNull()).withColumn("_a", crs.bbox(F.col(a_geom))).withColumn("_t", F.explode(tiles(F.col("_a"), size)))
-    right = b.where(F.col(b_geom).isNotNull()).withColumn("_b", crs.bbox(F.col(b_geom))).withColumn("_t", F.explode(tiles(F.col("_b"), size)))
+    left, right = boxed(a, a_geom, "_a", size), boxed(b, b_geom, "_b", size)
     p, q = F.col("_a"), F.col("_b")
-    meet = (p.x0 <= q.x1) & (q.x0 <= p.x1) & (p.y0 <= q.y1) & (q.y0 <= p.y1)
     corner = (F.col("_t.i") == F.floor(F.greatest(p.x0, q.x0) / size)) & (F.col("_t.j") == F.floor(F.greatest(p.y0, q.y0) / size))
-    return left.join(right, "_t").where(meet & corner).drop("_t", "_a", "_b")
+    return left.join(right, "_t").where(of_boxes("intersects", p, q) & corner).drop("_t")
+
+
+def unless(plain: Column, name: str) -> Column:
+    """A geometry, or null where `plain` decides without it: so no row of that kind is worked on in Python."""
+    return F.when(~plain, F.col(name))
 
 
 def spatial_join(a: DataFrame, b: DataFrame, a_geom: str = "geometry", b_geom: str = "other", pred: str = "intersects", how: str = "inner", size: float = 8.0) -> DataFrame:
     """Pairs of rows whose geometries intersect (touching counts), or the first contains the second, or they only touch.
 
-    Column names of the two sides must differ. left_semi keeps a's rows that have any partner. A tile should be about as
-    large as a common geometry; the result does not depend on it."""
+    Column names of the two sides must differ. left_semi keeps a's rows that have any partner. Two rectangles are told
+    by built-in functions, other pairs by kernels over Arrow batches. A tile should be about as large as a common geometry; the result does not
+    depend on it."""
     if how not in ("inner", "left_semi"):
         raise ValueError(f"unknown join {how!r}")
-    pairs = candidates(a, b, a_geom, b_geom, size).where(predicate(pred)(F.col(a_geom), F.col(b_geom)))
+    p, q = F.col("_a"), F.col("_b")
+    both = p.own & q.own
+    exact = predicate(pred)(unless(both, a_geom), unless(both, b_geom))
+    pairs = candidates(a, b, a_geom, b_geom, size).where(F.when(both, of_boxes(pred, p, q)).otherwise(exact)).drop("_a", "_b")
     return pairs if how == "inner" else pairs.select(a.columns).distinct()
 
 
+def overlaps(pairs: DataFrame, a_geom: str, b_geom: str) -> Column:
+    """The area that the geometries of each pair of candidates() share; two rectangles by built-in functions."""
+    p, q = F.col("_a"), F.col("_b")
+    both = p.own & q.own
+    side = lambda low, high: F.greatest(F.least(p[high], q[high]) - F.greatest(p[low], q[low]), F.lit(0.0))
+    exact = rowwise(lambda a, b: kernels.overlap_area(b, a), "double")
+    return F.when(both, side("x0", "x1") * side("y0", "y1")).otherwise(exact(unless(both, a_geom), unless(both, b_geom)))
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float = 8.0) -> DataFrame:
-    """Rows of points (x, y) with the columns of each polygon (geometry) they lie in; lower and left edges count."""
-    inside = rowwise(lambda x, y, g: bool(kernels.points_in_polygon(np.array([x]), np.array([y]), kernels.rings(g))[0]), "boolean")
+    """Rows of points (x, y) with the columns of each polygon (geometry) they lie in; lower and left edges count.
+
+    Rectangles are told by built-in functions, other polygons over all edges of an Arrow batch at once."""
     tile = F.struct(F.floor(F.col("x") / size).alias("i"), F.floor(F.col("y") / size).alias("j"))
-    b = crs.bbox(F.col("geometry"))
-    right = polygons.withColumn("_b", b).withColumn("_t", F.explode(tiles(F.col("_b"), size)))
-    near = points.withColumn("_t", tile).join(right, "_t").where(F.col("x").between(F.col("_b.x0"), F.col("_b.x1")) & F.col("y").between(F.col("_b.y0"), F.col("_b.y1")))
-    return near.where(inside("x", "y", "geometry")).drop("_t", "_b")
+    right = boxed(polygons, "geometry", "_b", size)
+    x, y, b = F.col("x"), F.col("y"), F.col("_b")
+    near = points.withColumn("_t", tile).join(right, "_t").where(x.between(b.x0, b.x1) & y.between(b.y0, b.y1))
+    exact = points_inside(x.cast("double"), y.cast("double"), unless(b.own, "geometry"))
+    return near.where(F.when(b.own, (x < b.x1) & (y < b.y1)).otherwise(exact)).drop("_t", "_b")
 
 
 def edge_keys(units: DataFrame, digits: int = 6) -> DataFrame:
@@ -86,10 +121,10 @@ def boundary_lengths(units: DataFrame, scale: float = 1000.0, digits: int = 6) -
 
 def boundary_lengths_general(units: DataFrame, scale: float = 1000.0, size: float = 8.0) -> DataFrame:
     """boundary_lengths of any polygons (id, geometry): a spatial join and the length along which edges run together."""
-    along = rowwise(lambda a, b: sum(kernels.shared_boundary(p, q) for p in kernels.rings(a) for q in kernels.rings(b)), "double")
+    along = rowwise(lambda a, b: sum(kernels.shared_boundary(p, q) for p in a for q in b), "double")
     other = units.select(F.col("id").alias("id2"), F.col("geometry").alias("other"))
-    pairs = candidates(units.select(F.col("id").alias("id1"), "geometry"), other, "geometry", "other", size).where("id1 < id2")
-    return pairs.where(predicate("touches")("geometry", "other")).select("id1", "id2", (along("geometry", "other") / scale).alias("boundary"))
+    pairs = spatial_join(units.select(F.col("id").alias("id1"), "geometry"), other, pred="touches", size=size).where("id1 < id2")
+    return pairs.select("id1", "id2", (along("geometry", "other") / scale).alias("boundary"))
 
 
 def outer_boundary(units: DataFrame, scale: float = 1000.0, digits: int = 6) -> DataFrame:
@@ -111,7 +146,7 @@ def union_area(df: DataFrame, by: list[str], size: float = 8.0, overlapping: boo
     def sweep(key, t):
         i, j = key[-2].as_py() * size, key[-1].as_py() * size
         window = np.array([(i, j), (i + size, j), (i + size, j + size), (i, j + size), (i, j)], float)
-        parts = [p for g in t.column("geometry").to_pylist() if (p := kernels.clip_polygon(kernels.rings(g), window))]
+        parts = [p for g in polygons(t.column("geometry").combine_chunks()) if g and (p := kernels.clip_polygon(g, window))]
         return t.select(by).slice(0, 1).append_column("area", pa.array([kernels.union_area(parts)]))
 
     distinct = rows.dropDuplicates()  # equal polygons cover the same

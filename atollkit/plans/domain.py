@@ -24,9 +24,9 @@ VIEWS = {
     "features": "SELECT s_suppkey AS unique_id, concat('f_', s_suppkey) AS feature_class_name, s_name AS alias, CASE WHEN s_suppkey % 10 = 0 THEN 'global admin' ELSE 'user' END AS created_by FROM supplier",
     "params": "SELECT o_orderkey AS project_id, concat('Input file\\nBLM ', o_custkey, '\\nNUMREPS ', o_orderkey % 100, '\\nPRIVATE ', CASE WHEN o_orderkey % 2 = 0 THEN 'True' ELSE 'False' END, '\\nPLANNING_UNIT_NAME pu_', lower(o_orderstatus), '\\n') AS text FROM orders",
     "sites": "SELECT c_custkey AS site_id, c_mktsegment AS iucn_cat, c_custkey % 47 AS x0, c_custkey * 7 % 41 AS y0, c_custkey % 47 + 1 + c_custkey % 5 AS x1, c_custkey * 7 % 41 + 1 + c_custkey % 4 AS y1 FROM customer",
-    "boxes": "SELECT s_suppkey AS feature_id, s_suppkey * 3 % 43 AS x0, s_suppkey * 11 % 37 AS y0, s_suppkey * 3 % 43 + 2 + s_suppkey % 6 AS x1, s_suppkey * 11 % 37 + 1 + s_suppkey % 5 AS y1 FROM supplier",
-    "raster": "SELECT concat('eco_', l_suppkey % 5) AS layer, CAST(l_partkey % 40 AS INT) AS r, CAST(floor(l_partkey / 40) % 40 AS INT) AS c, MAX(CAST(round(l_discount * 100) AS DOUBLE)) AS v FROM lineitem GROUP BY l_suppkey % 5, l_partkey % 40, floor(l_partkey / 40) % 40",
-    "stressors": "SELECT concat('p_', l_linenumber) AS layer, CAST(l_partkey % 40 AS INT) AS r, CAST(floor(l_partkey / 40) % 40 AS INT) AS c, MAX(CAST(round(l_tax * 100) AS DOUBLE)) AS v FROM lineitem GROUP BY l_linenumber, l_partkey % 40, floor(l_partkey / 40) % 40",
+    "boxes": "SELECT s_suppkey AS feature_id, s_suppkey * 3 % 43 AS x0, CAST(s_suppkey * 11 % 37 + floor(s_suppkey / 37) * 37 AS BIGINT) AS y0, s_suppkey * 3 % 43 + 2 + s_suppkey % 6 AS x1, CAST(s_suppkey * 11 % 37 + floor(s_suppkey / 37) * 37 + 1 + s_suppkey % 5 AS BIGINT) AS y1 FROM supplier",
+    "raster": "SELECT concat('eco_', l_suppkey % 5) AS layer, CAST(l_partkey % 40 AS INT) AS r, CAST(floor(l_partkey / 40) AS INT) AS c, MAX(CAST(round(l_discount * 100) AS DOUBLE)) AS v FROM lineitem GROUP BY l_suppkey % 5, l_partkey % 40, floor(l_partkey / 40)",
+    "stressors": "SELECT concat('p_', l_linenumber) AS layer, CAST(l_partkey % 40 AS INT) AS r, CAST(floor(l_partkey / 40) AS INT) AS c, MAX(CAST(round(l_tax * 100) AS DOUBLE)) AS v FROM lineitem GROUP BY l_linenumber, l_partkey % 40, floor(l_partkey / 40)",
     "sens": "SELECT concat('eco_', e) AS eco, concat('p_', p) AS pressure, CAST((e * 3 + p) % 4 AS INT) AS score FROM (SELECT DISTINCT s_suppkey % 5 AS e FROM supplier) a CROSS JOIN (SELECT DISTINCT l_linenumber AS p FROM lineitem) b",
     "pad": "SELECT p_partkey AS pos, p_type AS activity, p_brand AS category, concat('p_', 1 + p_size % 7) AS pressure, CASE WHEN p_size % 2 = 0 THEN 'low' ELSE 'high' END AS rpptitle FROM part",
     "run_log": "SELECT user_id AS pid, user_id % 10 AS user_id, user_id % 7 AS project_id, MIN(ts) AS starttime, COUNT(*) AS done, CASE WHEN user_id % 3 = 0 THEN 'Running' WHEN user_id % 3 = 1 THEN 'Completed' ELSE 'Stopped' END AS status FROM events GROUP BY user_id",
@@ -46,6 +46,11 @@ class Tables:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self.sql(VIEWS[name])
 
+    def columns(self, raster: str) -> int:
+        """Columns of a raster, as far as it has values: one number."""
+        last = self(raster).agg({"c": "max"}).first()[0]
+        return 0 if last is None else last + 1
+
     def sql(self, text: str, **more: DataFrame) -> DataFrame:
         """A statement over tables and views by their own names."""
         import re

@@ -33,7 +33,7 @@ def fe1(t):
 
 
 GRID = "SELECT unnest(range(0, 60)) AS gx"
-DISSOLVED = "SELECT k, CAST(COUNT(DISTINCT cx * 1000 + cy) AS DOUBLE) AS area FROM (SELECT feature_id % 7 AS k, unnest(range(x0, x1)) AS cx, y0, y1 FROM boxes) a, LATERAL (SELECT unnest(range(a.y0, a.y1)) AS cy) b GROUP BY k"
+DISSOLVED = "SELECT k, CAST(COUNT(DISTINCT cx * 1000000 + cy) AS DOUBLE) AS area FROM (SELECT feature_id % 7 AS k, unnest(range(x0, x1)) AS cx, y0, y1 FROM boxes) a, LATERAL (SELECT unnest(range(a.y0, a.y1)) AS cy) b GROUP BY k"
 
 
 @query("fe2_register_polygons", f"SELECT concat('f', d.k) AS alias, d.area AS _area, CAST(MIN(b.x0) AS DOUBLE) AS x0, CAST(MAX(b.y1) AS DOUBLE) AS y1 FROM ({DISSOLVED}) d JOIN boxes b ON b.feature_id % 7 = d.k WHERE d.k != 3 GROUP BY d.k, d.area")
@@ -70,6 +70,36 @@ def fe6(t):
     return f.polygon_amounts(boxes(t, "other"), unit_squares(t))
 
 
+@query("fe6_amounts_metric", f"SELECT u.status AS project_id, b.feature_id, u.id, round(radians(least(b.x1, u.ix + 1) - greatest(b.x0, u.ix)) * 6371228.0 * 6371228.0 * (sin(radians(least(b.y1, u.iy + 1) / 100.0)) - sin(radians(greatest(b.y0, u.iy) / 100.0))) / 1e6, 2) AS km2 FROM boxes b JOIN units u ON {OVERLAP} > 0")
+def fe6c(t):
+    u, b = t("units"), t("boxes")
+    units = u.select("id", F.col("status").alias("project_id"), crs.box_geometry(u.ix, u.iy / 100, u.ix + 1, (u.iy + 1) / 100).alias("geometry"))
+    features = b.select("feature_id", crs.box_geometry(b.x0, b.y0 / 100, b.x1, b.y1 / 100).alias("other"))
+    out = f.polygon_amounts(features, units, project="project_id", metric=True)
+    return out.select("project_id", "feature_id", "id", F.round(F.col("amount") / 1e6, 2).alias("km2"))
+
+
+def notched_sites(t, name="geometry"):
+    """Sites without their upper right part beyond one unit: concave."""
+    s = t("sites")
+    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    ring = F.array(p(s.x0, s.y0), p(s.x1, s.y0), p(s.x1, s.y0 + 1), p(s.x0 + 1, s.y0 + 1), p(s.x0 + 1, s.y1), p(s.x0, s.y1), p(s.x0, s.y0))
+    return s.select("site_id", "iucn_cat", F.array(ring).alias(name))
+
+
+def shared(x0, y0, x1, y1):
+    return f"greatest(0, least(b.x1, {x1}) - greatest(b.x0, {x0})) * greatest(0, least(b.y1, {y1}) - greatest(b.y0, {y0}))"
+
+
+NOTCHED = f"({shared('s.x0', 's.y0', 's.x1', 's.y1')} - {shared('s.x0 + 1', 's.y0 + 1', 's.x1', 's.y1')})"
+
+
+@query("fe6_amounts_notched", f"SELECT b.feature_id, s.site_id AS id, CAST({NOTCHED} AS DOUBLE) AS amount FROM boxes b JOIN sites s ON {NOTCHED} > 0")
+def fe6d(t):
+    out = f.polygon_amounts(boxes(t, "other"), notched_sites(t).withColumnRenamed("site_id", "id"))
+    return out.withColumn("amount", F.round("amount", 6))
+
+
 @query("fe6_point_amounts", "SELECT l_suppkey AS feature_id, l_partkey AS id, SUM(l_quantity) AS amount FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_suppkey, l_partkey")
 def fe6b(t):
     points = t("lineitem").select(F.col("l_suppkey").alias("feature_id"), (F.col("l_partkey") % 50 + 0.5).alias("x"), (F.floor(F.col("l_partkey") / 50) + 0.5).alias("y"), F.col("l_quantity").alias("value"))

@@ -130,6 +130,11 @@ def gr15(t):
     return g.linked_projects(t("grids"), t("projects"))
 
 
+@query("gr16_import_grid_envelope", "SELECT COUNT(*) AS planning_unit_count, CAST(MIN(ix) AS DOUBLE) AS x0, CAST(MIN(iy) AS DOUBLE) AS y0, CAST(MAX(ix) + 1 AS DOUBLE) AS x1, CAST(MAX(iy) + 1 AS DOUBLE) AS y1 FROM units")
+def gr16b(t):
+    return g.import_grid_checks(unit_squares(t).withColumnRenamed("id", "puid"))
+
+
 @query("gr16_import_grid_checks", "SELECT COUNT(*) AS planning_unit_count FROM part WHERE p_size % 3 != 0")
 def gr16(t):
     return g.import_grid_checks(t("part").select(F.when(F.col("p_size") % 3 != 0, F.col("p_partkey").cast("string")).alias("puid")))

@@ -7,7 +7,16 @@ from atollkit.plans.domain import query
 from atollkit.plans.q_features import boxes, unit_squares
 from atollkit.sources.io import load_pad
 
-GRID = (0.0, 40.0, 1.0, 1.0, 40, 40)
+ROWS = 40
+
+
+def grid(t):
+    """Cells of size 1, as many columns as the data has."""
+    return (0.0, float(ROWS), 1.0, 1.0, ROWS, t.columns("raster"))
+
+
+def coarse(t):
+    return (0.0, float(ROWS), 2.0, 2.0, ROWS // 2, -(-t.columns("raster") // 2))
 
 
 def pad(t):
@@ -26,18 +35,33 @@ def ra2(t):
 
 RESAMPLED = """SELECT layer, tr AS r, tc AS c, round(SUM(w * v) / SUM(w), 6) AS v FROM (
 SELECT x.layer, t.tr, t.tc, x.v, (1 - abs(x.c - (t.tc * 2 + 0.5))) * (1 - abs(x.r - (t.tr * 2 + 0.5))) AS w FROM raster x
-JOIN (SELECT CAST(a AS INT) AS tr, CAST(b AS INT) AS tc FROM (SELECT unnest(range(0, 20)) AS a) p CROSS JOIN (SELECT unnest(range(0, 20)) AS b) q) t
+JOIN (SELECT CAST(a AS INT) AS tr, CAST(b AS INT) AS tc FROM (SELECT unnest(range(0, 20)) AS a) p CROSS JOIN (SELECT unnest(range(0, CAST(ceil((SELECT MAX(c) + 1 FROM raster) / 2.0) AS BIGINT))) AS b) q) t
 ON abs(x.c - (t.tc * 2 + 0.5)) < 1 AND abs(x.r - (t.tr * 2 + 0.5)) < 1) z GROUP BY layer, tr, tc"""
 
 
 @query("ra3_resample", RESAMPLED)
 def ra3(t):
-    return ra.resample(t("raster"), GRID, (0.0, 40.0, 2.0, 2.0, 20, 20)).withColumn("v", F.round("v", 6))
+    return ra.resample(t("raster"), grid(t), coarse(t)).withColumn("v", F.round("v", 6))
+
+
+#: A raster in degrees on a metric grid of EPSG:3410; M is the width of a cell.
+M = 120000.0
+LON, LAT = f"degrees((t.tc + 0.5) * {M} / (6371228.0 * cos(radians(30.0))))", f"degrees(asin((20 - t.tr - 0.5) * {M} * cos(radians(30.0)) / 6371228.0))"
+PROJECTED = f"""SELECT layer, tr AS r, tc AS c, round(SUM(w * v) / SUM(w), 6) AS v FROM (
+SELECT x.layer, t.tr, t.tc, x.v, (1 - abs(x.c - ({LON} - 0.5))) * (1 - abs(x.r - (20 - {LAT} - 0.5))) AS w FROM raster x
+JOIN (SELECT CAST(a AS INT) AS tr, CAST(b AS INT) AS tc FROM (SELECT unnest(range(0, 40)) AS a) p CROSS JOIN (SELECT unnest(range(0, 30)) AS b) q) t
+ON abs(x.c - ({LON} - 0.5)) < 1 AND abs(x.r - (20 - {LAT} - 0.5)) < 1) z GROUP BY layer, tr, tc"""
+
+
+@query("ra3_resample_projected", PROJECTED)
+def ra3b(t):
+    degrees = (0.0, 20.0, 1.0, 1.0, ROWS, t.columns("raster"))
+    return ra.resample(t("raster"), degrees, (0.0, 20 * M, M, M, 40, 30), "EPSG:4326", "EPSG:3410").withColumn("v", F.round("v", 6))
 
 
 @query("ra4_prepare_upload", RESAMPLED.replace("FROM raster x", "FROM (SELECT layer, r, c, COALESCE((ln(v + 1) - least_) / NULLIF(most - least_, 0), 0.0) AS v FROM (SELECT *, MIN(ln(v + 1)) OVER (PARTITION BY layer) AS least_, MAX(ln(v + 1)) OVER (PARTITION BY layer) AS most FROM raster) y) x"))
 def ra4(t):
-    return ra.prepare_upload(t("raster"), GRID, (0.0, 40.0, 2.0, 2.0, 20, 20)).withColumn("v", F.round("v", 6))
+    return ra.prepare_upload(t("raster"), grid(t), coarse(t)).withColumn("v", F.round("v", 6))
 
 
 @query("ra5_pressures", "SELECT s.name AS layer, x.r, x.c, round(x.v * s.w, 6) AS v FROM raster x CROSS JOIN (SELECT DISTINCT replace(pressure, '_', '') AS name, CASE WHEN rpptitle = 'low' THEN 0.3 ELSE 1.0 END AS w FROM pad WHERE activity = 'ECONOMY') s WHERE x.layer = 'eco_1' AND x.v != 0")
@@ -94,17 +118,17 @@ def ra8b(t):
 
 @query("ra9_mask_by_polygon", "SELECT DISTINCT x.layer, x.r, x.c, x.v FROM raster x JOIN boxes b ON x.c + 0.5 >= b.x0 AND x.c + 0.5 < b.x1 AND 39.5 - x.r >= b.y0 AND 39.5 - x.r < b.y1")
 def ra9(t):
-    return ra.mask_by_polygon(t("raster"), boxes(t), GRID)
+    return ra.mask_by_polygon(t("raster"), boxes(t), grid(t))
 
 
-@query("ra10_cost_from_impact", "SELECT u.id, CASE WHEN u.ix < 40 AND u.iy < 40 THEN 100 + 100 * COALESCE(greatest(x.v, 0), 0.0) ELSE 0.0 END AS cost FROM units u LEFT JOIN (SELECT * FROM raster WHERE layer = 'eco_2') x ON x.c = u.ix AND x.r = 39 - u.iy")
+@query("ra10_cost_from_impact", "SELECT u.id, CASE WHEN u.ix < (SELECT MAX(c) + 1 FROM raster) AND u.iy < 40 THEN 100 + 100 * COALESCE(greatest(x.v, 0), 0.0) ELSE 0.0 END AS cost FROM units u LEFT JOIN (SELECT * FROM raster WHERE layer = 'eco_2') x ON x.c = u.ix AND x.r = 39 - u.iy")
 def ra10(t):
-    return ra.cost_from_impact(t("raster").where("layer = 'eco_2'"), unit_squares(t), GRID)
+    return ra.cost_from_impact(t("raster").where("layer = 'eco_2'"), unit_squares(t), grid(t))
 
 
 @query("ra11_raster_extent", "SELECT layer, CAST(MIN(c) AS DOUBLE) AS xmin, CAST(39 - MAX(r) AS DOUBLE) AS ymin, CAST(MAX(c) + 1 AS DOUBLE) AS xmax, CAST(40 - MIN(r) AS DOUBLE) AS ymax FROM raster GROUP BY layer")
 def ra11(t):
-    return ra.raster_extent(t("raster"), GRID)
+    return ra.raster_extent(t("raster"), grid(t))
 
 
 @query("ra12_activities", "SELECT activity, category, CAST(concat('0x', substr(sha1(activity), 1, 6)) AS BIGINT) AS id FROM (SELECT activity, category, ROW_NUMBER() OVER (PARTITION BY activity ORDER BY pos) AS n FROM pad) x WHERE n = 1")

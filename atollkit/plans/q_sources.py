@@ -1,19 +1,18 @@
 """Queries of sources and sinks: what is written is read back."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
+from atollkit.functions import crs
 from atollkit.plans.domain import query
+from atollkit.session import shared_folder
 from atollkit.sources import geometry_io, io
 
 
 def scratch(t, kind):
     """A new folder that all executors share."""
-    import uuid
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 @query("io1_read_table", "SELECT species, pu, amount FROM puvspr")
@@ -72,20 +71,30 @@ def io7(t):
 @query("io8_ascii_grid", "SELECT layer, r, c, v FROM raster")
 def io8(t):
     path = scratch(t, "grids")
-    geometry_io.write_ascii_grids(t("raster"), path, 40, 40)
+    geometry_io.write_ascii_grids(t("raster"), path, 40, t.columns("raster"))
     return io.read_ascii_grid(t.spark, path, "*.txt")
 
 
 @query("io9_wkt_round_trip", "SELECT feature_id, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area FROM boxes")
 def io9(t):
-    from atollkit.functions import crs
-
     boxes = t.sql("SELECT feature_id, concat('POLYGON ((', x0, ' ', y0, ', ', x1, ' ', y0, ', ', x1, ' ', y1, ', ', x0, ' ', y1, ', ', x0, ' ', y0, '))') AS wkt FROM boxes")
     there = geometry_io.from_wkt(boxes, "wkt", "geometry")
     back = geometry_io.from_wkt(geometry_io.to_wkt(there, "geometry", "text").drop("geometry"), "text", "geometry")
     return back.select("feature_id", crs.planar_area(F.col("geometry")).alias("area"))
 
 
+@query("io9_geojson", "SELECT feature_id, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area FROM boxes")
+def io9b(t):
+    path = scratch(t, "geojson")
+    b = t("boxes")
+    point = lambda x, y: F.array(x.cast("double"), y.cast("double"))
+    ring = F.array(point(b.x0, b.y0), point(b.x1, b.y0), point(b.x1, b.y1), point(b.x0, b.y1), point(b.x0, b.y0))
+    shape = F.struct(F.struct(b.feature_id.cast("string").alias("id")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
+    layers = b.select((b.feature_id % 50).alias("part"), F.floor(b.feature_id / 5000).alias("chunk"), shape.alias("f")).groupBy("part", "chunk").agg(F.collect_list("f").alias("features"))
+    layers.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return geometry_io.read_geojson(t.spark, path).select(F.col("properties.id").cast("long").alias("feature_id"), crs.planar_area(F.col("geometry")).alias("area"))
+
+
 @query("io11_load_pad", "SELECT pos, activity, pressure, CASE WHEN rpptitle = 'low' THEN 0.3 ELSE 1.0 END::DOUBLE AS rppscore FROM pad")
 def io11(t):
     return io.load_pad(t("pad").toDF("POS", "Activity", "Category", "Pressure", "RPPTitle")).select("pos", "activity", "pressure", "rppscore")

@@ -6,7 +6,7 @@ from atollkit.functions import crs
 from atollkit.operators import features as f
 from atollkit.operators import spatial as s
 from atollkit.plans.domain import query
-from atollkit.plans.q_features import DISSOLVED, MEET, boxes, sites, unit_squares
+from atollkit.plans.q_features import DISSOLVED, MEET, boxes, notched_sites, sites, unit_squares
 
 R, K = 6371228.0, "cos(radians(30.0))"
 
@@ -85,6 +85,20 @@ def sj1b(t):
     return s.spatial_join(sites(t), unit_squares(t).select("id", "geometry"), "other", "geometry", pred="contains").select("site_id", "id")
 
 
+WITHIN = "s.x0 <= u.ix AND s.x1 >= u.ix + 1 AND s.y0 <= u.iy AND s.y1 >= u.iy + 1 AND (u.ix + 1 <= s.x0 + 1 OR u.iy + 1 <= s.y0 + 1)"
+
+
+@query("sj1_contains_notched", f"SELECT s.site_id, u.id FROM sites s JOIN units u ON {WITHIN}")
+def sj1d(t):
+    return s.spatial_join(notched_sites(t, "other"), unit_squares(t).select("id", "geometry"), "other", "geometry", pred="contains").select("site_id", "id")
+
+
+@query("sj2_points_in_notched", "SELECT s.site_id, u.id FROM sites s JOIN units u ON u.ix >= s.x0 AND u.ix < s.x1 AND u.iy >= s.y0 AND u.iy < s.y1 AND (u.ix < s.x0 + 1 OR u.iy < s.y0 + 1)")
+def sj2b(t):
+    points = t("units").select("id", (F.col("ix") + 0.5).alias("x"), (F.col("iy") + 0.5).alias("y"))
+    return s.points_in_polygons(points, notched_sites(t)).select("site_id", "id")
+
+
 @query("sj1_touches", f"SELECT s.site_id, u.id FROM sites s JOIN units u ON {MEET} AND NOT (s.x0 < u.ix + 1 AND s.x1 > u.ix AND s.y0 < u.iy + 1 AND s.y1 > u.iy)")
 def sj1c(t):
     return s.spatial_join(sites(t), unit_squares(t).select("id", "geometry"), "other", "geometry", pred="touches").select("site_id", "id")

@@ -8,14 +8,14 @@ from pyspark.sql import types as T
 
 from atollkit.functions import kernels
 from atollkit.functions.crs import GEOMETRY
-from atollkit.functions.geometry_udf import as_rows, rowwise
+from atollkit.functions.geometry_udf import rowwise
 
 
 def from_wkt(df: DataFrame, text: str, name: str) -> DataFrame:
     """df with a row for each polygon of the WKT text; null and empty texts give none. A point is a ring of one vertex."""
-    parse = rowwise(lambda t: [as_rows(p) for p in kernels.parse_wkt(t)] if t and t.strip() else [], f"array<{GEOMETRY}>")
+    parse = rowwise(lambda t: kernels.parse_wkt(t) if t.strip() else [], f"array<{GEOMETRY}>")
     others = [c for c in df.columns if c not in (text, name)]
-    return df.select(*others, F.explode(parse(F.col(text))).alias(name))
+    return df.select(*others, F.explode(parse(F.coalesce(F.col(text), F.lit("")))).alias(name))
 
 
 def to_wkt(df: DataFrame, geom: str, name: str) -> DataFrame:
@@ -36,14 +36,15 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_ascii_grids(cells: DataFrame, path: str, rows: int, cols: int, nodata: int = -9999) -> None:
-    """One ESRI ASCII grid a layer, each in a folder layer=... below path, whose name read_ascii_grid takes as the label.
+    """One ESRI ASCII grid a layer, in a folder layer=... below path, whose name read_ascii_grid takes as the label.
 
-    Each row's line is built in its own group; a layer's lines meet in one row, as a grid file needs."""
+    Each row's line is built in its own group. Lines are dealt out by ranges of layer and row and written in that order, the header before
+    row 0: a layer's files, in the order of their names, are the grid, and no task holds more than its range."""
     lines = cells.groupBy("layer", "r").agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("m"))
     value = lambda c: F.coalesce(F.element_at("m", c).cast("string"), F.lit(str(nodata)))
     body = lines.select("layer", "r", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(cols - 1)), value), " ").alias("value"))
     spine = cells.select("layer").distinct().select("layer", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("r"))
     full = spine.join(body, ["layer", "r"], "left").select("layer", "r", F.coalesce("value", F.lit(" ".join([str(nodata)] * cols))).alias("value"))
     head = cells.select("layer").distinct().select("layer", F.lit(-1).alias("r"), F.lit(f"ncols {cols}\nnrows {rows}\nxllcorner 0\nyllcorner 0\ncellsize 1\nNODATA_value {nodata}").alias("value"))
-    text = full.unionByName(head).groupBy("layer").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "value"))), lambda x: x.value), "\n").alias("value"))
-    text.repartition("layer").write.partitionBy("layer").text(path)
+    ordered = full.unionByName(head).repartitionByRange("layer", "r").sortWithinPartitions("layer", "r")
+    ordered.select("layer", "value").write.partitionBy("layer").text(path)

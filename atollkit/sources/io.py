@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,11 +43,17 @@ def read_table(spark: SparkSession, path: str, schema: str | T.StructType, sep:
     sep = sep or ("\t" if "\t" in header else ",")
     names = [h.strip().strip('"').lower() for h in header.split(sep)]
     by_name = {f.name.lower(): f for f in empty.schema.fields}
-    read_as = T.StructType([by_name.get(n, T.StructField(f"_c{i}", T.StringType())) for i, n in enumerate(names)])
-    parsed = lines.where(F.col("value") != header).select(F.from_csv("value", F.lit(read_as.simpleString()[7:-1].replace(":", " ")), {"sep": sep, "mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    read_as = T.StructType([*(by_name.get(n, T.StructField(f"_c{i}", T.StringType())) for i, n in enumerate(names)), T.StructField("_misfit", T.StringType())])
     fits = [f.name for f in empty.schema.fields if f.name.lower() in names]
-    rows = parsed.select(*(F.col(f.name) if f.name in fits else F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema.fields))
-    return rows.where(F.coalesce(*(F.col(c).isNotNull() for c in fits[:1]), F.lit(False))) if fits else empty
+    if not fits:
+        return empty
+    # A short line's last fields are null; a line with too many, or with a value of another kind, is the parser's corrupt record.
+    missing = F.greatest(F.lit(0), F.lit(len(names)) - F.size(F.split("value", re.escape(sep))))
+    whole = F.concat("value", F.repeat(F.lit(sep), missing.cast("int")))
+    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_misfit"}
+    parsed = lines.where((F.col("value") != header) & (F.trim("value") != "")).select(F.from_csv(whole, F.lit(", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in read_as)), options).alias("r"))
+    rows = parsed.where(F.col("r._misfit").isNull())
+    return rows.select(*(F.col("r")[f.name].alias(f.name) if f.name in fits else F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema.fields))
 
 
 #: Columns of solver files by kind.
@@ -114,34 +117,29 @@ def delete_records(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     return df.join(ids.select(id_col).distinct(), id_col, "left_anti")
 
 
-CELLS = "layer string, r int, c int, v double"
-
-
 def read_ascii_grid(spark: SparkSession, path: str, files: str = "*.asc") -> DataFrame:
-    """Cells of all ESRI ASCII grids below path, labelled by file stem, or by a layer=... folder; no-data cells are left out, so the table is sparse."""
-    def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for name, raw in zip(f["path"], f["content"], strict=True):
-                grid, missing = parse_ascii_grid(bytes(raw).decode())
-                r, c = np.nonzero(~np.isnan(grid) & (grid != missing))
-                folder = re.search("layer=([^/]+)/", name)
-                yield pd.DataFrame({"layer": folder[1] if folder else name.rsplit("/", 1)[-1].rsplit(".", 1)[0], "r": r.astype("int32"), "c": c.astype("int32"), "v": grid[r, c]})
-
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", files).load(path)
-    return found.select("path", "content").mapInPandas(cells, CELLS)
-
-
-def parse_ascii_grid(text: str) -> tuple[np.ndarray, float]:
-    """The values and the no-data value of one grid; row 0 is the top."""
-    head, rows = {}, []
-    for line in text.splitlines():
-        words = line.split()
-        if not rows and words and words[0][0].isalpha() and words[0].lower() != "nan":
-            head[words[0].lower()] = float(words[1])
-        elif words:
-            rows.append(np.array(words, float))
-    grid = np.concatenate(rows).reshape(int(head["nrows"]), int(head["ncols"])) if rows else np.zeros((0, 0))
-    return grid, head.get("nodata_value", -9999.0)
+    """(layer, r, c, v) of all ESRI ASCII grids below path, labelled by file stem, or by a layer=... folder, whose files are one grid in
+    the order of their names; no-data cells are left out, so the table is sparse. Row 0 is the top.
+
+    Files are read as lines, however large they are: a line's row is its place in its stretch of the file and the lines of the
+    stretches before. A line that has not as many values as ncols says is an error."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files).text(path)
+    name = F.col("_metadata.file_path")
+    folder = F.regexp_extract(name, "layer=([^/]+)/", 1)
+    layer = F.when(folder != "", folder).otherwise(F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.[^.]*$", ""))
+    lines = text.select(layer.alias("layer"), F.struct(name.alias("f"), F.col("_metadata.file_block_start").alias("b")).alias("at"), F.trim("value").alias("value")).where("value != ''")
+    is_head = F.col("value").rlike("^[A-Za-z]") & ~F.lower("value").startswith("nan")
+    word = F.split("value", r"\s+")
+    said = lambda key: F.max(F.when(F.lower(word[0]) == key, word[1].cast("double")))
+    heads = lines.where(is_head).groupBy("layer").agg(said("ncols").alias("ncols"), said("nodata_value").alias("nodata"))
+    rows = lines.where(~is_head).withColumn("n", F.monotonically_increasing_id())  # ascends by one within a stretch
+    parts = rows.groupBy("layer", "at").agg(F.min("n").alias("first"), F.count("*").alias("lines"))
+    before = F.sum("lines").over(Window.partitionBy("layer").orderBy("at")) - F.col("lines")  # one row a stretch of a file
+    placed = rows.join(parts.withColumn("before", before), ["layer", "at"]).join(heads, "layer")
+    right = F.when(F.size(word) == F.col("ncols"), word).otherwise(F.raise_error(F.concat(F.lit("a row of other length than ncols in "), "layer")))
+    cells = placed.select("layer", (F.col("before") + F.col("n") - F.col("first")).cast("int").alias("r"), "nodata", F.posexplode(right).alias("c", "v"))
+    value = F.col("v").cast("double")
+    return cells.where(~F.isnan(value) & (value != F.coalesce("nodata", F.lit(-9999.0)))).select("layer", "r", "c", value.alias("v"))
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, low: int = 0, high: int = 0, parts: int = 8, **options: str) -> DataFrame:

@@ -29,9 +29,20 @@ def runs_per_window(events: DataFrame, width: str = "10 minutes", late: str = "3
 
 
 def start_upsert(spark: SparkSession, events: DataFrame, path: str, checkpoint: str):
-    """Keep latest_run_state of a stream in a table at path, written anew with each batch."""
-    def save(batch: DataFrame, epoch: int) -> None:
-        target = f"{path}/epoch={epoch}"
-        batch.write.mode("overwrite").parquet(target)
+    """Keep latest_run_state of a stream in a table at path: each batch writes an epoch of the runs it changed and all others of the epoch
+    before. Readers take the last epoch; all but the last two are dropped, and a batch that runs again writes the same."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    return latest_run_state(events).writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def save(batch: DataFrame, epoch: int) -> None:
+        there = sorted(int(x.getPath().getName()[6:]) for x in fs.listStatus(at) if x.getPath().getName().startswith("epoch=")) if fs.exists(at) else []
+        before = [k for k in there if k < epoch]
+        if before:
+            old = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/epoch={before[-1]}")
+            batch = old.join(batch.select("pid"), "pid", "left_anti").select(batch.columns).unionByName(batch)
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        for k in before[:-1]:
+            fs.delete(hadoop.Path(f"{path}/epoch={k}"), True)
+
+    return latest_run_state(events).writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_grid_of_all_boxes(spark):
-    boxes = [(s * 3 % 43, s * 11 % 37, s * 3 % 43 + 2 + s % 6, s * 11 % 37 + 1 + s % 5) for (s,) in spark.read.parquet(f"{SF}/supplier.parquet").select("s_suppkey").collect()]
+    boxes = [(s * 3 % 43, s * 11 % 37 + s // 37 * 37, s * 3 % 43 + 2 + s % 6, s * 11 % 37 + s // 37 * 37 + 1 + s % 5) for (s,) in spark.read.parquet(f"{SF}/supplier.parquet").select("s_suppkey").collect()]
     x0, y0, x1, y1 = (f(b[k] for b in boxes) for k, f in enumerate((min, min, max, max)))
     want = []
     for r in range(math.ceil((y1 - y0 + 8) / 4)):
