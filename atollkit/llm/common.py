@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -17,10 +18,13 @@ WS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session (tests), which is a
+    single process, gets a new one; on a cluster that is an error."""
     sc = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not given:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(given)
@@ -32,17 +36,18 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a reliable checkpoint in the shared folder."""
+def pinned(df: DataFrame, large: bool = False) -> DataFrame:
+    """df cut from its lineage by a reliable checkpoint in the shared folder; large: its lineage has shuffled the corpus."""
     shared_dir(df.sparkSession)
     out = df.checkpoint().toDF(*df.columns)
-    release(df.sparkSession)
+    if large:
+        release(df.sparkSession)
     return out
 
 
 def release(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files of plans that nothing refers to any more, now instead of at the driver's next
-    garbage collection; call it after a checkpoint has cut a lineage with large shuffles."""
+    garbage collection: once after a checkpoint has cut a lineage that shuffled the whole corpus, not for small ones."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -57,12 +62,12 @@ def texts(docs: DataFrame, carry: bool = False) -> DataFrame:
 def blocked(docs: DataFrame, carry: bool = False, block_bytes: int = 2 << 20) -> tuple[DataFrame, int]:
     """(doc_id, text, block) and the number of blocks, each of about block_bytes of text.
 
-    A document's block is a hash of id and text, so that every pass over the data forms the same blocks,
-    also after a lost executor."""
+    A document's block is a hash of id, text and number of the input partition, so that every pass over the data forms the
+    same blocks, also after a lost executor, and repeated rows do not all fall to one."""
     rows = texts(docs, carry)
     total = rows.agg(F.sum(F.octet_length("text") + F.lit(64))).first()[0] or 0
     n = max(64, int(total // block_bytes) + 1)
-    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), n
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("int")), n
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
@@ -186,13 +191,13 @@ def unpack(blob: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def runs(rows: list[bytes], most: int = 1 << 20):
-    """(from, to) of consecutive texts that together have about most bytes at most; a longer text is alone."""
+def runs(rows: list[bytes], most: int = 1 << 20, per_row: int = 1):
+    """(from, to) of consecutive texts that together have about most bytes at most, each counted with per_row more; a longer text is alone."""
     lo, size = 0, 0
     for i, r in enumerate(rows):
         if size and size + len(r) > most:
             yield lo, i
             lo, size = i, 0
-        size += len(r) + 1
+        size += len(r) + per_row
     if lo < len(rows):
         yield lo, len(rows)

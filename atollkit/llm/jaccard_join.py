@@ -13,8 +13,8 @@ from atollkit.llm.exchange import deal, rounds
 
 #: Members of a group, and queries that open it together, aimed at.
 GROUP, QUERIES = 512, 512
-#: Bytes kept of a token: two of a pair's tokens meet by chance with odds of about 1 in 10**9.
-WIDTH = 6
+#: Bytes kept of a token: two of a pair's tokens meet by chance with odds of about 1 in 10**9. Bytes of it that a bucket is asked about.
+WIDTH, ASKED = 6, 3
 
 
 def prefix_length(n, percent: int):
@@ -48,12 +48,13 @@ class Sets:
 
 
 def frequency_classes(blocks: list[int], datas: list[bytes]) -> list[bytes]:
-    """For each block's tokens a class of their document frequency: 0 for one document, then quarters of powers of two.
+    """For each block's tokens a class of their frequency: 0 for one document, then quarters of powers of two.
 
-    A block counts 255 at most: the classes only order tokens, and every document sees the same order."""
-    sizes = [len(d) // 5 for d in datas]
-    token = np.concatenate([unpack(d[: 4 * n], 4) for d, n in zip(datas, sizes, strict=True)])
-    count = np.concatenate([np.frombuffer(d, np.uint8, n, 4 * n) for d, n in zip(datas, sizes, strict=True)]).astype(np.int64)
+    Frequency is the number of blocks that hold a token, twice counted where several documents of the block do: it only orders tokens, every
+    document sees the same order, and tokens that meet by chance only count as more frequent than they are."""
+    sizes = [8 * len(d) // (8 * ASKED + 1) for d in datas]
+    token = np.concatenate([unpack(d[: ASKED * n], ASKED) for d, n in zip(datas, sizes, strict=True)]).astype(np.uint32)
+    count = np.concatenate([np.unpackbits(np.frombuffer(d, np.uint8, -1, ASKED * n), count=n) for d, n in zip(datas, sizes, strict=True)]).astype(np.int64) + 1
     order = np.argsort(token, kind="stable")
     s = token[order]
     group = np.cumsum(np.append(False, s[1:] != s[:-1]))
@@ -64,7 +65,7 @@ def frequency_classes(blocks: list[int], datas: list[bytes]) -> list[bytes]:
 
 
 def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, cls (a digest of the set), lone, tokens and gkey (of the most frequent token) of every document.
+    """doc_id, n_shingles, cls (a digest of the set), lone, tokens, gkey and gkey2 (of the most frequent tokens) of every document.
 
     Tokens come rarest first, WIDTH bytes each; lone of them occur in one document alone. tokens is null where so many are lone that no other
     set can be similar enough."""
@@ -74,7 +75,7 @@ def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def ask(level, ids, texts, got):
         keys, counts = np.unique(Sets(texts, n).flat, return_counts=True)
         c = deal(keys, buckets)
-        return [(b, pack(keys[c[b] : c[b + 1]], 4) + np.minimum(counts[c[b] : c[b + 1]], 255).astype(np.uint8).tobytes()) for b in range(buckets) if c[b + 1] > c[b]]
+        return [(b, pack(keys[c[b] : c[b + 1]], ASKED) + np.packbits(counts[c[b] : c[b + 1]] > 1).tobytes()) for b in range(buckets) if c[b + 1] > c[b]]
 
     def finish(ids, texts, rest, got):
         s = Sets(texts, n)
@@ -84,12 +85,13 @@ def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
         mixed = mix(s.flat ^ U(0xA0761D6478BD642F))
         sums, sums2 = np.concatenate([[U(0)], np.cumsum(s.flat)]), np.concatenate([[U(0)], np.cumsum(mixed)])
         digests = [(x[s.at[1:]] - x[s.at[:-1]]).tolist() for x in (sums, sums2)]
-        cls, lone, tokens, gkeys = [], [], [], []
+        cls, lone, tokens, gkeys = [], [], [], [[], []]
         for lo, hi, one, two in zip(s.at[:-1], s.at[1:], *digests, strict=True):
             size = int(hi - lo)
             r = rare[lo:hi]
             alone = int((r == 0).sum())
-            gkeys.append(None)
+            gkeys[0].append(None)
+            gkeys[1].append(None)
             lone.append(alone)
             if not size or alone >= prefix_length(size, percent):
                 cls.append(None)
@@ -98,10 +100,10 @@ def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
             cls.append(f"{one:016x}{two:016x}{size:x}")
             kept = s.flat[lo:hi][np.lexsort((s.flat[lo:hi], r))]
             tokens.append(pack(kept, WIDTH))
-            gkeys[-1] = int(kept[-1] >> U(1))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(s.size, pa.int64()), "cls": pa.array(cls, pa.string()), "lone": pa.array(lone, pa.int32()), "tokens": pa.array(tokens, pa.binary()), "gkey": pa.array(gkeys, pa.int64())})
+            gkeys[0][-1], gkeys[1][-1] = int(kept[-1] >> U(1)), int(kept[-2:][0] >> U(1))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(s.size, pa.int64()), "cls": pa.array(cls, pa.string()), "lone": pa.array(lone, pa.int32()), "tokens": pa.array(tokens, pa.binary()), "gkey": pa.array(gkeys[0], pa.int64()), "gkey2": pa.array(gkeys[1], pa.int64())})
 
-    return rounds(rows, ask, [frequency_classes], finish, "doc_id long, n_shingles long, cls string, lone int, tokens binary, gkey long")
+    return rounds(rows, blocks, buckets, ask, [frequency_classes], finish, "doc_id long, n_shingles long, cls string, lone int, tokens binary, gkey long, gkey2 long")
 
 
 def _sorted(raw: bytes) -> np.ndarray:
@@ -115,50 +117,55 @@ def _shared(q: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return hits[at[1:]] - hits[at[:-1]]
 
 
-MEMBERS = "cls string, rep long, lone int, tokens binary, leader string, gid string"
-
-
-def with_groups(classes: DataFrame, parts: int, percent: int) -> DataFrame:
-    """classes in groups: MEMBERS with gid (their group) and leader.
-
-    Sets with the same most frequent token come side by side; such a range, however many sets it holds, is cut into groups of
-    at most GROUP. In a group each set goes to the first leader that it links with, or leads itself."""
-    ordered = classes.repartitionByRange(parts, "gkey", "cls").sortWithinPartitions("gkey", "cls")
-
-    def run(batches):
-        held, key = [], None
-        for b in batches:
-            for row in b.to_pylist():
-                if held and (row["gkey"] != key or len(held) == GROUP):
-                    yield stars(held, percent)
-                    held = []
-                key = row["gkey"]
-                held.append(row)
-        if held:
-            yield stars(held, percent)
-
-    return ordered.mapInArrow(run, MEMBERS)
-
-
-def stars(rows: list[dict], percent: int) -> pa.RecordBatch:
-    """The rows of a group with their leaders."""
-    tokens = [_sorted(r["tokens"]) for r in rows]
-    leaders: list[int] = []
-    mine = []
-    for i, q in enumerate(tokens):
-        found = i
-        for j in leaders:
-            x = tokens[j]
-            if percent * len(x) <= 100 * len(q) and percent * len(q) <= 100 * len(x):
-                both = int(_shared(q, x, np.array([0, len(x)]))[0])
-                if 100 * both >= percent * (len(q) + len(x) - both):
-                    found = j
-                    break
-        if found == i:
-            leaders.append(i)
-        mine.append(rows[found]["cls"])
-    cols = [pa.array([r[c] for r in rows], t) for c, t in (("cls", pa.string()), ("rep", pa.int64()), ("lone", pa.int32()), ("tokens", pa.binary()))]
-    return pa.RecordBatch.from_arrays([*cols, pa.array(mine), pa.array([rows[0]["cls"]] * len(rows))], [f.split()[0] for f in MEMBERS.split(", ")])
+MEMBERS = "cls string, rep long, lone int, tokens binary, comp string, gid string"
+
+
+def with_groups(classes: DataFrame, percent: int) -> DataFrame:
+    """classes in groups: MEMBERS with gid (their group) and comp.
+
+    Sets with the same most frequent token are a group; where there are more than GROUP of them, those that also share the next
+    one; where there still are, a hash deals them out to groups of about GROUP. Within a group every link is found, so sets that
+    are linked there, directly or by others, have one comp (its least cls)."""
+    keys = classes.select("cls", "gkey", "gkey2")
+    first = keys.groupBy("gkey").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
+    keys = skew_join(keys, first, "gkey").withColumn("pair", F.when(F.col("n").isNotNull(), F.concat_ws("/", "gkey", "gkey2")).otherwise(F.col("gkey").cast("string"))).drop("n")
+    second = keys.groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
+    dealt = F.coalesce(F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / GROUP)), F.lit(0))
+    keys = skew_join(keys, second, "pair").select("cls", F.concat_ws("/", "pair", dealt).alias("gid"))
+    placed = classes.select("cls", "rep", "lone", "tokens").join(keys, "cls")
+    return placed.groupBy("gid").applyInArrow(lambda key, t: linked(key[0].as_py(), t, percent), MEMBERS)
+
+
+def linked(gid: str, t: pa.Table, percent: int) -> pa.Table:
+    """The sets of a group with their comp."""
+    t = t.sort_by("cls")
+    names = t.column("cls").to_pylist()
+    comp = np.arange(len(names))
+    if len(names) > 1:
+        sets = [unpack(x, WIDTH) for x in t.column("tokens").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        column = np.cumsum(count > 1) - 1  # tokens of one set alone add nothing
+        shared = count[token] > 1
+        token, owner = column[token[shared]], owner[shared]
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for lo in range(0, int(token[-1]) + 1 if len(token) else 0, 2048):
+            a, b = np.searchsorted(token, (lo, lo + 2048))
+            m = np.zeros((len(sets), 2048), np.float32)
+            m[owner[a:b], token[a:b] - lo] = 1
+            both += m @ m.T
+        link = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        np.fill_diagonal(link, True)
+        while True:
+            least = np.where(link, comp[None, :], len(names)).min(1)
+            least = least[least]
+            if (least == comp).all():
+                break
+            comp = least
+    return pa.table({**{c: t.column(c) for c in ("cls", "rep", "lone", "tokens")}, "comp": pa.array([names[i] for i in comp], pa.string()), "gid": pa.array([gid] * len(names), pa.string())})
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -176,19 +183,32 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("cls", "lone", "tokens").mapInArrow(run, "cls string, token long")
 
 
-def links_between(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+def links_between(sets: DataFrame, comps: DataFrame, percent: int, first: bool = False) -> DataFrame:
     """(a, b): components a and b in which some pair of sets links. sets has cls, gid, lone and tokens, comps cls and comp.
 
     A set asks the groups that share a token of its prefix and hold a set of a larger component (ties by name), so each pair
-    of components is asked in one direction. The group's token union bounds the overlap; groups that qualify are opened."""
+    of components is asked in one direction. Tokens that stand in the same groups ask as one. The group's token union bounds the overlap;
+    groups that qualify are opened. With first, a token names one group alone, that of its largest component: a
+    pass whose rows are no more than the prefixes' tokens, and which joins most of what is linked."""
     sizes = comps.groupBy("comp").agg(F.count("*").alias("members"))
     rank = skew_join(comps.select("cls", "comp"), sizes, "comp").select("cls", F.struct("members", "comp").alias("at"))
     ranked = pinned(skew_join(sets.select("cls", "gid"), rank, "cls", "inner").select("cls", "gid", "at"))
     rows = skew_join(prefixes(sets, percent), ranked, "cls", "inner").select("token", "cls", "gid", "at")
     ends = rows.groupBy("token").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low != high")
     rows = pinned(skew_join(rows, ends, "token", "inner"))
-    asking = rows.where("at < high").select("token", "cls", "at")
-    asked = rows.where("at > low").groupBy("token", "gid").agg(F.max("at").alias("most"))
+    asking, asked = rows.where("at < high").select("token", "cls", "at"), rows.where("at > low")
+    if first:
+        asked = asked.groupBy("token").agg(F.max(F.struct("at", "gid")).alias("top")).select("token", F.col("top.gid").alias("gid"), F.col("top.at").alias("most"))
+    else:
+        asked = asked.groupBy("token", "gid").agg(F.max("at").alias("most"))
+    asked = pinned(asked)
+    # Tokens with equal lists of groups, by 128 bits: the least of them stands for all.
+    print_ = lambda salt: F.sum(F.xxhash64("gid", "most", F.lit(salt)).cast("decimal(20,0)"))
+    lists = asked.groupBy("token").agg(F.count("*").alias("n"), print_("a").alias("p"), print_("b").alias("q"))
+    least = lists.groupBy("n", "p", "q").agg(F.min("token").alias("stands"))
+    names = pinned(lists.join(least, ["n", "p", "q"]).select("token", "stands"))
+    asking = skew_join(asking, names, "token", "inner").select(F.col("stands").alias("token"), "cls", "at").distinct()
+    asked = asked.join(names.where("token = stands").select("token"), "token")
     opened = pinned(skew_join(asking, asked, "token", "inner").where("at < most").select("cls", "at", "gid").distinct())
     count = opened.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
     opened = skew_join(opened, count, "gid").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
@@ -230,19 +250,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     link with nothing. Equal sets form one class, whose copies are never expanded into pairs. Repeated rows link with each
     other; a null id's component is the smallest id linked with it, or null.
 
-    1. every token's document frequency, by packed exchange; sets with too many tokens of their own fall out;
-    2. classes of equal sets; groups of similar ones, each led by a set that all its members link with;
-    3. the leaders are joined first, then all sets across the components that remain: prefix tokens name candidate groups,
-       the token union of a group bounds the overlap, qualifying groups are opened and checked exactly.
-    Only links within one component are left out, so no component is lost."""
-    sets = pinned(shingle_sets(docs, n, percent))
+    1. every token's frequency, by packed exchange; sets with too many tokens of their own fall out;
+    2. classes of equal sets; groups of similar ones, within which all links are found;
+    3. across groups, first with one group a token, then with all: prefix tokens name candidate groups, the token union of a
+       group bounds the overlap, qualifying groups are opened and checked exactly.
+    Only links within one component are left out, so no component is lost. Two texts' tokens meet by chance with odds of about 1 in
+    10**9 a pair of texts (48 bits a token), two sets' digests with 1 in 10**38."""
+    sets = pinned(shingle_sets(docs, n, percent), large=True)
     live = sets.where("tokens is not null")
-    parts = max(12, int((live.agg(F.sum(F.length("tokens"))).first()[0] or 0) >> 21))
-    classes = live.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("lone").alias("lone"), F.first("tokens").alias("tokens"), F.first("gkey").alias("gkey"))
-    members = pinned(with_groups(classes, parts, percent))
-    comps = members.select("cls", "rep", F.col("leader").alias("comp"))
-    led = members.where("cls = leader")
-    comps = merged(comps, links_between(led, led.select("cls", F.col("leader").alias("comp")), percent))
+    classes = live.groupBy("cls").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("lone", "tokens", "gkey", "gkey2")))
+    members = pinned(with_groups(classes, percent), large=True)
+    comps = members.select("cls", "rep", "comp")
+    comps = merged(comps, links_between(members, comps, percent, first=True))
     comps = merged(comps, links_between(members, comps, percent))
     least = comps.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_class = skew_join(comps.select("cls", "comp"), least, "comp").select("cls", "component_id")
@@ -254,8 +273,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 def distinct_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs with one document of each component, that with the smallest doc_id; equal rows of it are one.
 
-    Rows without an id cannot be named by a component: they stay."""
+    Rows without an id cannot be named by a component: they stay. Texts are compared only where several rows share an id."""
     found = jaccard_components(docs, n, percent)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    keep = pinned(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
+    of = lambda ids: docs.where(F.col("doc_id").isNotNull()).join(ids.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    once, more = of(keep.where("n = 1")), of(keep.where("n > 1")).dropDuplicates(["doc_id", "text"])
+    return once.unionByName(more).unionByName(docs.where(F.col("doc_id").isNull()))

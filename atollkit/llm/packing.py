@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from atollkit.llm.common import pinned, texts
 from atollkit.llm.tokens import pieces as encoder
 
-SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 4, 2, 3, 4
+SHARD, ISLANDS, EPOCHS, POPULATION = 4096, 4, 2, 8
+#: An epoch of an island ends after so many generations, or so many without a better solution.
+GENERATIONS, PATIENCE = 40, 12
+#: Displaced items that are tried in pairs.
+TRIED = 48
 #: Sequences filled less than this are packed again with those of other shards.
 WELL = 0.985
 
@@ -82,9 +86,9 @@ class Packing:
 
     def crossover(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whole well-filled bins of b go into a; bins of a that hold one of their items go, and what they still held is
-        placed again by best fit."""
+        placed again."""
         fill = self.fills(b)
-        inject = (fill >= np.quantile(fill, 0.5)) & (self.rng.random(len(fill)) < 0.5)
+        inject = (fill >= np.quantile(fill, 0.5)) & (self.rng.random(len(fill)) < self.rng.uniform(0.1, 0.7))
         inside = inject[b]
         hit = np.zeros(int(a.max()) + 1, bool)
         hit[a[inside]] = True
@@ -94,7 +98,7 @@ class Packing:
         """The least filled bin and a few others are emptied and their items placed again."""
         fill = self.fills(s)
         out = np.zeros(len(fill), bool)
-        out[self.rng.integers(0, len(fill), 4)] = True
+        out[self.rng.integers(0, len(fill), int(self.rng.integers(2, 6)))] = True
         out[np.argmin(fill)] = True
         return self._rebuilt(s.copy(), out[s])
 
@@ -102,18 +106,57 @@ class Packing:
         s[displaced] = -1
         kept = s >= 0
         s[kept] = np.unique(s[kept], return_inverse=True)[1]
-        return self.best_fit(s, self.decreasing(np.flatnonzero(displaced), 0.02))
-
-    def evolve(self, population: list[np.ndarray]) -> list[np.ndarray]:
-        """GENERATIONS of crossover and mutation, best first; it ends early where the lower bound is met."""
+        self.exchange(s)
+        return self.best_fit(s, self.decreasing(np.flatnonzero(s < 0), 0.02))
+
+    def exchange(self, s: np.ndarray) -> None:
+        """Displaced items, one or two, take the place of one or two in a bin that they fill better; the smaller ones are
+        displaced instead, and find a place more easily. Each step takes the greatest gain; it ends when there is none."""
+        n, loose = self.lengths, np.flatnonzero(s < 0)
+        if not len(loose) or not (s >= 0).any():
+            return
+        loose = list(self.rng.permutation(loose))
+        for _ in range(2 * TRIED):
+            tried = np.array(loose[:TRIED])
+            i, j = np.triu_indices(len(tried), 1)
+            gives = np.concatenate([n[tried], n[tried[i]] + n[tried[j]]])
+            order = np.argsort(gives, kind="stable")
+            ascending = gives[order]
+            placed = np.flatnonzero(s >= 0)
+            placed = placed[np.argsort(s[placed], kind="stable")]
+            room = self.size - np.bincount(s[placed], weights=n[placed]).astype(np.int64)
+            takes, ones, twos = [n[placed]], [placed], [np.full(len(placed), -1)]
+            for step in range(1, 6):
+                same = s[placed[step:]] == s[placed[:-step]]
+                x, y = placed[:-step][same], placed[step:][same]
+                takes, ones, twos = [*takes, n[x] + n[y]], [*ones, x], [*twos, y]
+            take, one, two = np.concatenate(takes), np.concatenate(ones), np.concatenate(twos)
+            at = np.searchsorted(ascending, take + room[s[one]], "right") - 1
+            gain = np.where(at >= 0, ascending[np.maximum(at, 0)] - take, 0)
+            k = int(np.argmax(gain))
+            if gain[k] <= 0:
+                return
+            g = int(order[at[k]])
+            into = [int(tried[g])] if g < len(tried) else [int(tried[i[g - len(tried)]]), int(tried[j[g - len(tried)]])]
+            out = [int(x) for x in (one[k], two[k]) if x >= 0]
+            s[into], s[out] = s[one[k]], -1
+            loose = [x for x in loose if x not in into] + out
+
+    def evolve(self, population: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+        """(population, best first; generations). A generation crosses two solutions picked by tournament and mutates one; the children
+        drive out the worst. It ends where the lower bound is met, after GENERATIONS, or after PATIENCE of them without a better solution."""
         population = sorted(population, key=self.cost)
-        for _ in range(GENERATIONS):
-            if self.cost(population[0])[0] <= self.bound:
-                break
-            i, j = self.rng.permutation(len(population))[:2]
-            child = self.crossover(population[min(i, j)], population[max(i, j)])
-            population = sorted([*population, child, self.mutate(population[0])], key=self.cost)[:POPULATION]
-        return population
+        done = idle = 0
+        while done < GENERATIONS and idle < PATIENCE and self.cost(population[0])[0] > self.bound:
+            before = self.cost(population[0])
+            i, j, k = (int(self.rng.integers(0, len(population), 2).min()) for _ in range(3))
+            children = [self.crossover(population[i], population[j]), self.mutate(population[k])]
+            costs = {}
+            for s in [*population, *children]:
+                costs.setdefault(self.cost(s), s)
+            population = [costs[c] for c in sorted(costs)[:POPULATION]]
+            done, idle = done + 1, 0 if self.cost(population[0]) < before else idle + 1
+        return population, done
 
 
 def _seed(shard: int, island: int, epoch: int) -> int:
@@ -125,21 +168,26 @@ def _canonical(t: pa.Table) -> pa.Table:
     return t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
 
 
-STATE = "shard long, island int, lengths binary, solutions array<binary>"
+STATE = "shard long, island int, lengths binary, solutions array<binary>, start long, generations int"
+
 
+def _state(shard: int, islands: list[int], lengths: np.ndarray, solutions: list[list[np.ndarray]], start: int, generations: int) -> pa.Table:
+    n = len(islands)
+    return pa.table({"shard": pa.array([shard] * n, pa.int64()), "island": pa.array(islands, pa.int32()), "lengths": pa.array([lengths.astype("<i4").tobytes()] * n, pa.binary()), "solutions": pa.array([[s.astype("<i4").tobytes() for s in x] for x in solutions], pa.list_(pa.binary())), "start": pa.array([start] * n, pa.int64()), "generations": pa.array([generations] * n, pa.int32())})
 
-def _state(shard: int, islands: list[int], lengths: np.ndarray, solutions: list[list[np.ndarray]]) -> pa.Table:
-    return pa.table({"shard": pa.array([shard] * len(islands), pa.int64()), "island": pa.array(islands, pa.int32()), "lengths": pa.array([lengths.astype("<i4").tobytes()] * len(islands), pa.binary()), "solutions": pa.array([[s.astype("<i4").tobytes() for s in x] for x in solutions], pa.list_(pa.binary()))})
+
+SOLVED = "shard long, solution binary, bound long, start long, end long, generations long"
 
 
 def shard_solutions(items: DataFrame, size: int) -> DataFrame:
-    """(shard, solution): the best packing of each shard's items in canonical order.
+    """SOLVED: the best packing of each shard's items in canonical order, with the lower bound of its sequences, their number in the first
+    solution (best fit of decreasing lengths) and at the end, and the generations of all islands.
 
     ISLANDS populations of a shard evolve in tasks of their own; after each epoch every island's best also enters the
-    next island of the ring."""
+    next island of the ring. A shard whose first solution meets the bound, which proves it best, has no generations."""
     def first(key, t):
         lengths = _canonical(t).column("length").to_numpy()
-        return _state(key[0].as_py(), list(range(ISLANDS)), lengths, [[] for _ in range(ISLANDS)])
+        return _state(key[0].as_py(), list(range(ISLANDS)), lengths, [[] for _ in range(ISLANDS)], 0, 0)
 
     def epoch(number):
         def run(key, t):
@@ -148,35 +196,43 @@ def shard_solutions(items: DataFrame, size: int) -> DataFrame:
             p = Packing(lengths, size, _seed(shard, island, number))
             found = sorted(raw for x in t.column("solutions").to_pylist() for raw in x)
             population = [np.frombuffer(raw, "<i4").astype(np.int64) for raw in found]
+            start, before = max(t.column("start").to_pylist()), max(t.column("generations").to_pylist())
             if not population:
                 population = [p.start(0.0)]
-                if p.cost(population[0])[0] > p.bound:
+                start = p.cost(population[0])[0]
+                if start > p.bound:
                     population += [p.start(0.05 * (island + k)) for k in range(1, POPULATION)]
-            return _state(shard, [island], lengths, [p.evolve(population)])
+            population, done = p.evolve(population)
+            return _state(shard, [island], lengths, [population], start, before + done)
 
         return run
 
     state = items.groupBy("shard").applyInArrow(first, STATE)
     for number in range(EPOCHS):
         if number:
-            elite = state.withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS))).withColumn("solutions", F.slice("solutions", 1, 1))
+            elite = state.withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS))).withColumn("solutions", F.slice("solutions", 1, 1)).withColumn("generations", F.lit(0))
             state = state.unionByName(elite)
         state = pinned(state.groupBy("shard", "island").applyInArrow(epoch(number), STATE))
 
     def best(key, t):
         p = Packing(np.frombuffer(t.column("lengths")[0].as_py(), "<i4"), size, 0)
         found = sorted(x[0] for x in t.column("solutions").to_pylist())
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "solution": pa.array([min(found, key=lambda raw: p.cost(np.frombuffer(raw, "<i4").astype(np.int64)))], pa.binary())})
+        cost = lambda raw: p.cost(np.frombuffer(raw, "<i4").astype(np.int64))
+        least = min(found, key=cost)
+        numbers = (p.bound, max(t.column("start").to_pylist()), cost(least)[0], sum(t.column("generations").to_pylist()))
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "solution": pa.array([least], pa.binary()), **{c: pa.array([x], pa.int64()) for c, x in zip(("bound", "start", "end", "generations"), numbers, strict=True)}})
 
-    return state.groupBy("shard").applyInArrow(best, "shard long, solution binary")
+    return state.groupBy("shard").applyInArrow(best, SOLVED)
 
 
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long"
 
 
 def packed(items: DataFrame, size: int, first_shard: int, shards: int) -> DataFrame:
-    """Every item with its sequence, its place there, and how full the sequence is. A shard is a hash of the item."""
-    dealt = items.withColumn("shard", F.lit(first_shard) + F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    """Every item with its sequence, its place there, and how full the sequence is.
+
+    A shard is a hash of the item and of its partition (items are read from a checkpoint, so it stays the same), which deals repeated rows out too."""
+    dealt = items.withColumn("shard", F.lit(first_shard) + F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id()), F.lit(shards)))
     columns = [c.split()[0] for c in PLACED.split(", ")[:5]]
 
     def place(key, t, s):

@@ -1,4 +1,9 @@
-"""Operator 3: a quality classifier by positive-unlabelled learning."""
+"""Operator 3: a quality classifier by positive-unlabelled learning.
+
+The squared loss makes the risk on unlabelled text a quadratic form in the weights, so its second moments, summed in one pass over all
+documents, stand for every one of them: no sample of unlabelled text is taken. A second pass counts scores, from which the
+class prior follows.
+"""
 
 from __future__ import annotations
 
@@ -8,21 +13,33 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atollkit.llm.common import U, Words, prefix_sums, runs, windows_hash
 
 CELLS = 512
-#: Bounds of the training sample, in documents.
-POSITIVES, UNLABELLED = 3000, 9000
+WIDTH = 256 + CELLS + 6
+#: Bound of the sample of labelled rows: trusted texts (label 1) that are learnt from.
+POSITIVES = 3000
 FOLDS = 5
+#: Matrices of sums that one task adds up.
+FAN_IN = 16
+#: Scores are counted in so many equal steps from -3 to 3.
+STEPS = 600
 
 
 def features(rows: list[bytes]) -> np.ndarray:
-    """One row a text: shares of bytes and of hashed words, sizes, repeated words, word triples and lines."""
-    parts = [_features(rows[lo:hi]) for lo, hi in runs(rows)]
-    return np.concatenate(parts) if parts else np.zeros((0, 256 + CELLS + 6), np.float32)
+    """One row a text: roots of the shares of bytes and of hashed words, sizes, repeated words, word triples and lines."""
+    parts = list(feature_runs(rows))
+    return np.concatenate(parts) if parts else np.zeros((0, WIDTH), np.float32)
+
+
+def feature_runs(rows: list[bytes]) -> Iterator[np.ndarray]:
+    """The features of consecutive runs of about a megabyte and at most a thousand texts, one run in memory at a time."""
+    for lo, hi in runs(rows, per_row=1024):
+        yield _features(rows[lo:hi])
 
 
 def _distinct(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
@@ -49,57 +66,60 @@ def _features(rows: list[bytes]) -> np.ndarray:
     lines = [[x for x in r.split(b"\n") if x.strip()] for r in rows]
     dup_lines = np.array([1 - len(set(x)) / len(x) if x else 0.0 for x in lines])
     dense = np.stack([
-        np.log1p(count), length / words, 1 - _distinct(owner, w.hash, n) / words,
+        np.log1p(count), np.log1p(length / words), 1 - _distinct(owner, w.hash, n) / words,
         1 - (_distinct(t_owner, triples[inside], n) + (n_triples == 0)) / np.maximum(n_triples, 1), dup_lines, np.log1p([len(x) for x in lines]),
     ], 1)
-    return np.concatenate([per_byte * 20, per_word * 10, dense], 1).astype(np.float32)
+    return np.concatenate([np.sqrt(per_byte), np.sqrt(per_word), dense], 1).astype(np.float32)
 
 
 class Model:
-    """Standardised features, weights, bias and the class prior that they were fitted with."""
+    """Weights (the last one is the bias) and the class prior that they were fitted with."""
 
-    def __init__(self, mean, scale, weights, bias, prior):
-        self.mean, self.scale, self.weights, self.bias, self.prior = mean, scale, weights, bias, prior
+    def __init__(self, weights: np.ndarray, prior: float):
+        self.weights, self.prior = weights, prior
+
+    def value(self, x: np.ndarray) -> np.ndarray:
+        """About 2 * P(positive) - 1."""
+        return x @ self.weights[:-1].astype(np.float32) + np.float32(self.weights[-1])
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -6, 6) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30).astype(np.float64)))
+        """0 to 1: 0.3 and 0.5 where the straight line (1 + value) / 2 has them, and never flat beyond its ends."""
+        return 1 / (1 + np.exp(-np.clip(2.118 * self.value(x).astype(np.float64), -30, 30)))
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, mean=self.mean, scale=self.scale, weights=self.weights, bias=self.bias, prior=self.prior)
+        np.savez(out, weights=self.weights, prior=self.prior)
         return out.getvalue()
 
 
 @lru_cache(4)
 def load(raw: bytes) -> Model:
     x = np.load(io.BytesIO(raw))
-    return Model(x["mean"], x["scale"], x["weights"], float(x["bias"]), float(x["prior"]))
-
-
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.03, decay: float = 2e-3) -> Model:
-    """Minimise the non-negative unbiased risk prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) of the logistic loss.
-
-    Where the second part falls below 0 its gradient is reversed, which undoes the overfit (Kiryo et al., 2017)."""
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    p, u = (np.clip((x - mean) / scale, -6, 6).astype(np.float32) for x in (positive, unlabelled))
-    w, b = np.zeros(p.shape[1], np.float32), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    for t in range(1, steps + 1):
-        fp, fu = p @ w + b, u @ w + b
-        sp, su = sigmoid(fp), sigmoid(fu)
-        rest = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        # slopes of the two parts of the risk
-        plus = -prior * (1 - sp) / len(p)
-        minus_p, minus_u = -prior * sp / len(p), su / len(u)
-        gp, gu = (plus + minus_p, minus_u) if rest >= 0 else (-minus_p, -minus_u)
-        g = np.append(p.T @ gp.astype(np.float32) + u.T @ gu.astype(np.float32) + decay * w, gp.sum() + gu.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = w - step[:-1].astype(np.float32), b - step[-1]
-    return Model(mean, scale, w, float(b), prior)
+    return Model(x["weights"], float(x["prior"]))
+
+
+def moments(x: np.ndarray) -> np.ndarray:
+    """Sums of products of each two features, with a feature that is 1 at the end."""
+    one = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
+    return (one.T @ one).astype(np.float64)
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.2, decay: float = 2e-3) -> Model:
+    """Minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) for the squared loss (1 - y * f)**2 / 4 of a linear f.
+
+    positive and unlabelled are second moments (see moments). Each step goes down the risk, scaled by its curvature; where the
+    second part is below 0 its own gradient is reversed instead, which undoes the overfit (Kiryo et al., 2017)."""
+    p, u = positive / positive[-1, -1], unlabelled / unlabelled[-1, -1]
+    scale = np.diag(u) - u[-1] ** 2 + np.diag(p) - p[-1] ** 2 + 1e-4
+    ridge = np.diag(decay * np.append(scale[:-1], 1e-6))
+    back = np.linalg.inv(u / 2 + ridge)
+    w = np.zeros(len(u))
+    minus = lambda m: (m[-1, -1] + 2 * m[-1] @ w + w @ m @ w) / 4
+    for _ in range(steps):
+        rest = (u[-1] + u @ w) / 2 - prior * (p[-1] + p @ w) / 2
+        g = prior * (p @ w - p[-1]) / 2 + rest if minus(u) - prior * minus(p) >= 0 else -rest
+        w = w - rate * (back @ (g + ridge @ w))
+    return Model(w, prior)
 
 
 def held_out(doc_id) -> F.Column:
@@ -107,36 +127,97 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """Fit on at most `positives` trusted texts (label 1) and `unlabelled` others, none of them held out.
+def total_moments(texts: DataFrame) -> np.ndarray:
+    """Second moments of all rows of texts: one matrix a task, then sums of FAN_IN matrices each until few are left."""
+    corner = np.triu_indices(WIDTH + 1)
+
+    def first(batches):
+        total = np.zeros((WIDTH + 1, WIDTH + 1))
+        for b in batches:
+            for x in feature_runs(b.column("text").cast(pa.binary()).to_pylist()):
+                total += moments(x)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total[corner].tobytes()], pa.binary())], ["part", "sums"])
+
+    def added(key, t):
+        total = np.zeros(len(corner[0]))
+        for raw in t.sort_by("part").column("sums"):
+            total += np.frombuffer(raw.as_buffer())
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    left = texts.rdd.getNumPartitions()
+    sums = texts.mapInArrow(first, "part long, sums binary")
+    while left > FAN_IN:
+        left = -(-left // FAN_IN)
+        sums = sums.groupBy((F.col("part") % left).alias("to")).applyInArrow(added, "part long, sums binary")
+    out = np.zeros((WIDTH + 1, WIDTH + 1))
+    for _, raw in sorted(tuple(r) for r in sums.collect()):
+        out[corner] += np.frombuffer(raw)
+    return out + np.triu(out, 1).T
+
+
+def counted_scores(texts: DataFrame, model: Model) -> np.ndarray:
+    """How many rows of texts have a value in each of STEPS steps: at most STEPS rows leave each task."""
+    raw = model.dump()
+
+    def run(batches):
+        total = np.zeros(STEPS, np.int64)
+        for b in batches:
+            for x in feature_runs(b.column("text").cast(pa.binary()).to_pylist()):
+                total += steps_of(load(raw).value(x))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["step", "n"])
+
+    out = np.zeros(STEPS, np.int64)
+    for r in texts.mapInArrow(run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect():
+        out[r.step] = r.n
+    return out
+
+
+def steps_of(values: np.ndarray) -> np.ndarray:
+    return np.bincount(np.clip((values + 3) * (STEPS / 6), 0, STEPS - 1).astype(np.int64), minlength=STEPS)
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The class prior from counts of scores of positives that were not learnt from, and of unlabelled text.
+
+    Above any threshold the share of unlabelled text is at least prior times that of positives, and least above it where
+    only positives are left: the least ratio over thresholds, each with its sampling error, is the estimate."""
+    n, m = max(1, positive.sum()), max(1, unlabelled.sum())
+    p, u = np.cumsum(positive[::-1]) / n, np.cumsum(unlabelled[::-1]) / m
+    error = np.sqrt(np.log(40) / n / 2)
+    at = p >= max(0.1, 4 * error)
+    ratio = u[at] / np.maximum(p[at] - error, 1e-9) if at.any() else np.ones(1)
+    return float(np.clip(ratio.min(), 0.02, 0.98))
+
+
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES) -> Model:
+    """Fit on at most `positives` trusted texts (label 1; those with the smallest hashes of their ids) and on all other text, as far as
+    it is not held out.
 
-    The samples are the rows with the smallest hashes of their ids, so they do not depend on partitions. The class prior is the
-    share of label 1 among the labelled training rows; negative labels serve for nothing else. Without any positive text
-    the model gives each text the prior, 0.5 if nothing is labelled."""
-    marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    marks = marks.where(~held_out(F.col("doc_id")))
-    counts = marks.agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.count("*").alias("all")).first()
-    prior = min(0.98, max(0.02, counts["good"] / counts["all"])) if counts["all"] else 0.5
-    hashed = lambda df, n: df.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(n)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = hashed(marks.where("quality = 1"), positives).withColumn("kind", F.lit(1)).unionByName(hashed(ids, unlabelled).withColumn("kind", F.lit(0)))
+    Negative labels are not read. The class prior is estimated: half of the positives are told from unlabelled text, the scores
+    of the other half against those of all unlabelled text give it. Without any positive or any unlabelled text the model gives each
+    text 0.5."""
+    marks = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    chosen = marks.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(positives)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    # At most positives + unlabelled rows of two integers: a broadcast of bounded size.
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("kind", "text")
+    texts = texts.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    # At most `positives` integers: a broadcast of bounded size.
+    rows = texts.join(F.broadcast(chosen), "doc_id")
 
     def run(batches):
         for b in batches:
             x = features(b.column("text").cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("kind"), pa.array([r.tobytes() for r in x], pa.binary())], ["kind", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
 
-    got = rows.mapInArrow(run, "kind int, x binary").toArrow()
-    kind, x = got.column("kind").to_numpy(), np.array([np.frombuffer(r, np.float32) for r in got.column("x").to_pylist()])
-    width = 256 + CELLS + 6
-    if not (kind == 1).any() or not (kind == 0).any():
-        return Model(np.zeros(width, np.float32), np.ones(width, np.float32), np.zeros(width, np.float32), float(np.log(prior / (1 - prior))), prior)
-    order = np.lexsort((x[:, 256:].sum(1), kind))  # the same order however the rows arrive
-    kind, x = kind[order], x[order]
-    return fit(x[kind == 1], x[kind == 0], prior)
+    got = sorted(tuple(r) for r in rows.mapInArrow(run, "doc_id long, x binary").dropDuplicates(["doc_id"]).collect())
+    x = np.array([np.frombuffer(r, np.float32) for _, r in got]).reshape(-1, WIDTH)
+    all_ = total_moments(texts.select("text"))
+    if not len(x) or all_[-1, -1] == 0:
+        return Model(np.zeros(WIDTH + 1), 0.5)
+    half = np.arange(len(x)) % 2 == 0 if len(x) > 1 else np.ones(1, bool)
+    first = fit(moments(x[half]), all_, 0.5)
+    prior = estimated_prior(steps_of(first.value(x[~half] if len(x) > 1 else x)), counted_scores(texts.select("text"), first))
+    return fit(moments(x), all_, prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -148,7 +229,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for t in texts:
-            yield pa.array(load(raw).score(features(t.cast(pa.binary()).to_pylist())), pa.float64())
+            yield pa.array(np.concatenate([np.zeros(0), *(load(raw).score(x) for x in feature_runs(t.cast(pa.binary()).to_pylist()))]), pa.float64())
 
     return rows.select("doc", F.arrow_udf(run, "double")("text").alias("score"))
 

@@ -115,4 +115,4 @@ def substring_dedup(docs: DataFrame, window: int = 35) -> DataFrame:
                 kept.append(b" ".join([words[i] for i in np.flatnonzero(~mask)] if removed else words))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    return rounds(rows, ask, [reply(w) for w in width], finish, "doc_id long, n_words long, n_removed long, kept string")
+    return rounds(rows, n, buckets, ask, [reply(w) for w in width], finish, "doc_id long, n_words long, n_removed long, kept string")

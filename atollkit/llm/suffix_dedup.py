@@ -252,14 +252,14 @@ def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 28, carry: bool = F
     def ask(level, ids, texts, got):
         s = state(ids, texts, got, level)
         if level == 0:
-            return [(b, pack(s.keys[s.cuts[b] : s.cuts[b + 1]], 4)) for b in range(buckets) if s.cuts[b + 1] > s.cuts[b]]
+            return [(b, pack(s.keys[s.cuts[b] : s.cuts[b + 1]], 3)) for b in range(buckets) if s.cuts[b + 1] > s.cuts[b]]
         if level == 1:
             part = lambda x, b: x[s.e_cuts[b] : s.e_cuts[b + 1]]
             return [(b, pack(part(s.e_trigger, b), 6) + pack(part(s.e_phrase, b), 6) + planes(part(s.e_doc, b))) for b in range(buckets) if s.e_cuts[b + 1] > s.e_cuts[b]]
         return s.dictionary()
 
     def lonely(blocks, datas):
-        return [np.packbits(m).tobytes() for m in meets([unpack(d, 4) for d in datas])]
+        return [np.packbits(m).tobytes() for m in meets([unpack(d, 3) for d in datas])]
 
     def finish(ids, texts, rest, got):
         s = state(ids, texts, got, 2)
@@ -272,7 +272,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 28, carry: bool = F
         more = {"rest": rest} if carry else {}
         return pa.table({"doc_id": pa.array(ids, pa.int64()), **{n: pa.array(c, pa.int64()) for n, c in zip(("n_bytes", "n_removed", "n_spans"), cols, strict=False)}, "kept": pa.array(cols[3], pa.binary()), **more})
 
-    return rounds(rows, ask, [lonely, parse_order, dictionary_order(length)], finish, schema)
+    return rounds(rows, n, buckets, ask, [lonely, parse_order, dictionary_order(length)], finish, schema)
 
 
 def deduplicated_documents(docs: DataFrame, length: int = 50) -> DataFrame:

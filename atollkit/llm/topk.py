@@ -1,134 +1,380 @@
-"""Operator 7: exact top-k inner products by dual-tree search over cover trees."""
+"""Operator 7: exact top-k inner products by dual-tree search over cover trees.
+
+An upper tree over a bounded sample cuts all vectors into cells. A group of queries first searches a block of its own
+cell; with the scores found there it walks the upper tree, leaves out every cell whose covering radius keeps all of it below the
+group's worst kth score, and asks only the blocks of the others. Inside a pair of blocks the same is done with
+cover trees of both, down to single rows.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAF = 48
+#: Rows of a node that are told apart no more, and queries that search together.
+LEAF, TOGETHER = 8, 32
+#: Each level's radius over that of the level below.
+RATIO = 1.6
+#: Rows of the sample, and so cells, at most.
+SAMPLE = 2048
 
 
-class Node:
-    """A cover-tree node: a centre, the radius that covers all rows below it, and its children or rows."""
+def net(x: np.ndarray, rows: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centres, each row's centre, its distance): centres are more than scale apart, every row has the first one within scale."""
+    own, away, centres = np.zeros(len(rows), np.int64), np.zeros(len(rows)), []
+    left, norms = np.arange(len(rows)), (x[rows] * x[rows]).sum(1)
+    while len(left):
+        c = left[:64]
+        d = np.sqrt(np.maximum(0, norms[left, None] + norms[None, c] - 2 * (x[rows[left]] @ x[rows[c]].T)))
+        close, free, chosen = d[: len(c)] <= scale, np.ones(len(c), bool), []
+        for j in range(len(c)):
+            if free[j]:
+                chosen.append(j)
+                free &= ~close[:, j]
+        d = d[:, chosen]
+        d[np.array(chosen), np.arange(len(chosen))] = 0
+        near = d <= scale
+        has, which = near.any(1), near.argmax(1)
+        own[left[has]], away[left[has]] = len(centres) + which[has], d[has, which[has]]
+        centres += c[chosen].tolist()
+        left = left[~has]
+    return np.array(centres, np.int64), own, away
 
-    __slots__ = ("centre", "norm", "radius", "rows", "children", "worst")
 
-    def __init__(self, x: np.ndarray, rows: np.ndarray, centre: int):
-        self.centre = x[centre]
-        self.norm = float(np.sqrt(self.centre @ self.centre))
-        d = x[rows] - self.centre
-        self.radius = float(np.sqrt((d * d).sum(1).max()))
-        self.rows, self.children, self.worst = rows, [], -np.inf
+class Tree:
+    """A cover tree in flat arrays. A node has a centre (a row of x), the radius that covers all rows below it, and children
+    side by side; a node without children is its row. Each level's centres are a net of those rows at a radius smaller by
+    RATIO; equal rows and those of small nodes become children at once."""
 
+    def __init__(self, x: np.ndarray):
+        self.x = x
+        everything = np.arange(len(x))
+        d = np.sqrt(((x - x[0]) ** 2).sum(1)) if len(x) else np.zeros(0)
+        parts = [(np.zeros(min(1, len(x)), np.int64), d.max(keepdims=True) if len(x) else d)]
+        first, size, n, todo = {}, {}, len(parts[0][0]), [(0, everything)] if len(x) > 1 else []
+        while todo:
+            node, rows = todo.pop()
+            radius = self._radius(parts, node)
+            first[node] = n
+            if len(rows) <= LEAF or radius == 0:
+                parts.append((rows, np.zeros(len(rows))))
+                size[node] = len(rows)
+            else:
+                centres, own, away = net(x, rows, radius / RATIO)
+                wide = np.zeros(len(centres))
+                np.maximum.at(wide, own, away)
+                count = np.bincount(own, minlength=len(centres))
+                order = np.argsort(own, kind="stable")
+                ends = np.cumsum(count)
+                parts.append((rows[centres], wide))
+                size[node] = len(centres)
+                todo += [(n + k, rows[order[ends[k] - count[k] : ends[k]]]) for k in np.flatnonzero(count > 1).tolist()]
+            self._starts.append(n)
+            n += size[node]
+        self.centre = np.concatenate([c for c, _ in parts])
+        self.radius = np.concatenate([r for _, r in parts])
+        self.first, self.size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        if first:
+            at = np.fromiter(first, np.int64, len(first))
+            self.first[at], self.size[at] = np.fromiter(first.values(), np.int64, len(first)), np.fromiter(size.values(), np.int64, len(size))
+        self.norm = np.sqrt((x * x).sum(1))[self.centre]
 
-def cover_tree(x: np.ndarray) -> Node:
-    """Each level's nodes are a net of the level above at half its radius; small or equal sets of rows stay leaves."""
-    root = Node(x, np.arange(len(x)), 0)
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        if len(node.rows) <= LEAF or node.radius == 0:
-            continue
-        left, scale = node.rows, node.radius / 2
-        while len(left):
-            d = x[left] - x[left[0]]
-            near = (d * d).sum(1) <= scale * scale
-            near[0] = True
-            child = Node(x, left[near], left[0])
-            node.children.append(child)
-            todo.append(child)
-            left = left[~near]
-        if len(node.children) > 64:  # a net as fine as the rows prunes nothing more
-            node.children = []
-    return root
-
-
-def dual_tree(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, same: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, score) of each query's k best among the candidates, ties to smaller ids.
-
-    A pair of nodes is left out when no inner product below it can reach the worst kth score of the query node."""
-    best: list = [np.zeros((0, 3), np.int64)] * len(q)
-    kth = np.full(len(q), -np.inf)
-    queries, root = cover_tree(q), cover_tree(x)
-
-    def bound(a: Node, b: Node) -> float:
-        return float(a.centre @ b.centre) + a.radius * b.norm + b.radius * a.norm + a.radius * b.radius
-
-    def leaf(a: Node, b: Node) -> None:
-        scores = (q[a.rows] @ x[b.rows].T).astype(np.int64)
-        ids = x_ids[b.rows]
-        for i, r in enumerate(a.rows):
-            s, c = scores[i], b.rows
-            mask = s >= kth[r]
-            if same:
-                mask &= ids != q_ids[r]
-            if not mask.any():
-                continue
-            new = np.stack([-s[mask], ids[mask], c[mask]], 1)
-            both = np.concatenate([best[r], new])
-            both = both[np.lexsort((both[:, 2], both[:, 1], both[:, 0]))[:k]]
-            best[r] = both
-            if len(both) == k:
-                kth[r] = -both[-1, 0]
-        a.worst = float(kth[a.rows].min())
-
-    def worst(a: Node) -> float:
-        if a.children:
-            a.worst = max(a.worst, min(c.worst for c in a.children))
-        return a.worst
-
-    stack = [(bound(queries, root), queries, root)]
+    def _radius(self, parts: list, node: int) -> float:
+        if node == 0:
+            self._starts = [0]
+            return float(parts[0][1][0])
+        k = int(np.searchsorted(self._starts, node, "right")) - 1
+        return float(parts[k][1][node - self._starts[k]])
+
+    def children(self, nodes: np.ndarray) -> np.ndarray:
+        n = self.size[nodes]
+        return np.repeat(self.first[nodes] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+    def rows(self, node: int) -> np.ndarray:
+        nodes, out = np.array([node]), []
+        while len(nodes):
+            out.append(self.centre[nodes[self.size[nodes] == 0]])
+            nodes = self.children(nodes)
+        return np.concatenate(out)
+
+
+def bounds(c: np.ndarray, radius: float, tree: Tree, nodes: np.ndarray) -> np.ndarray:
+    """The most that any inner product of a vector within radius of c and one below each node can be, rounding included."""
+    norm = float(np.sqrt(c @ c))
+    b = tree.x[tree.centre[nodes]] @ c + radius * tree.norm[nodes] + tree.radius[nodes] * (norm + radius)
+    return b + np.abs(b) * 1e-9 + 1e-6
+
+
+class Best:
+    """The k best candidates of each query so far; floor holds scores that are known to be reached."""
+
+    def __init__(self, q_ids: np.ndarray, k: int, floor: np.ndarray | None = None):
+        self.ids, self.k = q_ids, k
+        self.score, self.id, self.row = np.full((len(q_ids), k), -np.inf), np.zeros((len(q_ids), k), np.int64), np.full((len(q_ids), k), -1)
+        self.kth = np.full(len(q_ids), -np.inf) if floor is None else floor.astype(np.float64)
+
+    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, at: np.ndarray, same: bool) -> None:
+        if same:
+            scores = np.where(ids[None, :] == self.ids[rows][:, None], -np.inf, scores)
+        bar = self.kth[rows]
+        if scores.shape[1] > self.k:
+            bar = np.maximum(bar, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        r, c = np.nonzero((scores >= bar[:, None]) & (scores > -np.inf))
+        if not len(r):
+            return
+        old_r, old_c = np.nonzero(self.row[rows] >= 0)
+        owner = np.concatenate([r, old_r])
+        s = np.concatenate([scores[r, c], self.score[rows][old_r, old_c]])
+        i = np.concatenate([ids[c], self.id[rows][old_r, old_c]])
+        w = np.concatenate([at[c], self.row[rows][old_r, old_c]])
+        order = np.lexsort((w, i, -s, owner))
+        owner = owner[order]
+        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        order, owner, rank = order[rank < self.k], owner[rank < self.k], rank[rank < self.k]
+        q = rows[owner]
+        self.score[q, rank], self.id[q, rank], self.row[q, rank] = s[order], i[order], w[order]
+        self.kth[rows] = np.maximum(self.kth[rows], self.score[rows, -1])
+
+
+def dual_tree(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, same: bool = True, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(query row, candidate row, score) of each query's k best among the candidates, ties to smaller ids, and the share of all
+    pairs that were scored one by one.
+
+    Query and candidate nodes go down together; a pair of nodes is left out when no inner product below it can reach the
+    worst kth score of the query node. Few queries left go on together, each with its own bounds. With same, a candidate of the
+    query's own id is none; floor gives scores that each query's kth is known to reach."""
+    best, scored = Best(q_ids, k, floor), 0
+    if len(q) and len(x):
+        tree = Tree(x)
+        for rows, front in descents(q, best.kth, tree):
+            most = each_bound(q[rows], tree, front)
+            while len(front):
+                good = (most >= best.kth[rows][:, None]).any(0)
+                front, most = front[good], most[:, good]
+                order = np.argsort(-most.max(0), kind="stable") if len(front) else np.zeros(0, np.int64)
+                n = max(TOGETHER, len(order) // 4)
+                now, front, most = front[order[:n]], front[order[n:]], most[:, order[n:]]
+                single = tree.size[now] == 0
+                if single.any():
+                    at = tree.centre[now[single]]
+                    scored += len(rows) * len(at)
+                    best.add(rows, q[rows] @ x[at].T, x_ids[at], at, same)
+                below = tree.children(now[~single])
+                front, most = np.concatenate([front, below]), np.concatenate([most, each_bound(q[rows], tree, below)], 1)
+    r, n = np.nonzero(best.row >= 0)
+    return r, best.row[r, n], best.score[r, n].astype(np.int64), scored / max(1, len(q) * len(x))
+
+
+def each_bound(q: np.ndarray, tree: Tree, nodes: np.ndarray) -> np.ndarray:
+    """The most that each query's inner product with a vector below each node can be, rounding included."""
+    b = q @ tree.x[tree.centre[nodes]].T + np.sqrt((q * q).sum(1))[:, None] * tree.radius[nodes]
+    return b + np.abs(b) * 1e-9 + 1e-6
+
+
+def descents(q: np.ndarray, kth: np.ndarray, tree: Tree):
+    """(query rows, nodes) for sets of TOGETHER queries at most, near each other where there are such: the nodes that are left to them after the
+    query tree's upper nodes have been compared with the tree's. kth may rise between two of them."""
+    queries = Tree(q)
+    stack = [(0, np.zeros(1, np.int64))]
     while stack:
-        most, a, b = stack.pop()
-        if most + abs(most) * 1e-9 + 1e-6 < worst(a):
+        node, front = stack.pop()
+        rows = queries.rows(node)
+        if len(rows) <= TOGETHER:
+            yield rows, front
             continue
-        if not a.children and not b.children:
-            leaf(a, b)
-            continue
-        if a.children and (not b.children or a.radius >= b.radius):
-            pairs = [(bound(c, b), c, b) for c in a.children]
-        else:
-            pairs = [(bound(a, c), a, c) for c in b.children]
-        stack.extend(sorted(pairs, key=lambda p: p[0]))
-    n = np.fromiter(map(len, best), np.int64, len(best))
-    flat = np.concatenate(best) if len(best) else np.zeros((0, 3), np.int64)
-    return np.repeat(np.arange(len(q)), n), flat[:, 2], -flat[:, 0]
+        c, radius = q[queries.centre[node]], float(queries.radius[node])
+        front = front[bounds(c, radius, tree, front) >= kth[rows].min()]
+        wide = (tree.radius[front] > radius) & (tree.size[front] > 0)
+        front = np.concatenate([front[~wide], tree.children(front[wide])])
+        front = front[bounds(c, radius, tree, front) >= kth[rows].min()]
+        some: list[np.ndarray] = []
+        for child in queries.children(np.array([node])).tolist():
+            below = queries.rows(child)
+            if len(below) > TOGETHER // 2:
+                stack.append((child, front))
+                continue
+            if sum(map(len, some)) + len(below) > TOGETHER:
+                yield np.concatenate(some), front
+                some = []
+            some.append(below)
+        if some:
+            yield np.concatenate(some), front
+
+
+class Cells:
+    """Centres of the cells, by vector length, and once they are counted their rows and radii.
+
+    A length that the sample has not met is one cell round the origin, numbered by its negative."""
+
+    def __init__(self, sample: list[np.ndarray], want: int):
+        self.centres, self.begin, n = {}, {}, 0
+        for dim in sorted({len(v) for v in sample}):
+            x = np.array([v for v in sample if len(v) == dim])
+            self.begin[dim], self.centres[dim] = n, x[self._cut(Tree(x), max(1, want * len(x) // len(sample)))]
+            n += len(self.centres[dim])
+        self.count: dict[int, int] = {}
+        self.radius: dict[int, float] = {}
 
+    @staticmethod
+    def _cut(tree: Tree, want: int) -> np.ndarray:
+        """Centres of an upper part of the tree: the widest nodes are opened until there are enough."""
+        nodes = np.zeros(1, np.int64)
+        while len(nodes) < want and (tree.radius[nodes] > 0).any():
+            wide = nodes[np.argsort(-tree.radius[nodes], kind="stable")[: max(1, len(nodes) // 4)]]
+            wide = wide[tree.radius[wide] > 0]
+            nodes = np.concatenate([np.setdiff1d(nodes, wide), tree.children(wide)])
+        return tree.centre[nodes]
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, block: int = 8192, query_block: int = 512) -> DataFrame:
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's cell and its distance from the centre."""
+        dim = x.shape[1]
+        if dim not in self.centres:
+            return np.full(len(x), -dim), np.sqrt((x * x).sum(1))
+        c = self.centres[dim]
+        d = (x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * (x @ c.T)
+        at = d.argmin(1)
+        return self.begin[dim] + at, np.sqrt(((x - c[at]) ** 2).sum(1))
+
+    def upper(self, dim: int) -> tuple[Tree, np.ndarray]:
+        """A tree over the centres of all cells of this length that hold rows, its radii widened to cover them, and their numbers."""
+        own = [c for c in self.count if (c == -dim if dim not in self.centres else self.begin[dim] <= c < self.begin[dim] + len(self.centres[dim]))]
+        centres = np.array([np.zeros(dim) if c < 0 else self.centres[dim][c - self.begin[dim]] for c in own]).reshape(-1, dim)
+        tree = Tree(centres)
+        wide = np.array([self.radius[c] for c in own])
+        for node in range(len(tree.centre) - 1, -1, -1):
+            tree.radius[node] += wide[tree.rows(node)].max()
+        return tree, np.array(own, np.int64)
+
+
+def reached(q: np.ndarray, floor: np.ndarray, tree: Tree) -> list[tuple[np.ndarray, int]]:
+    """(query rows, cell) for sets of queries that search together: those of them that may find a score of theirs in the cell."""
+    out = []
+    for rows, front in descents(q, floor, tree):
+        while len(front):
+            most = each_bound(q[rows], tree, front) >= floor[rows][:, None]
+            good = most.any(0)
+            single = (tree.size[front] == 0) & good
+            out += [(rows[most[:, i]], int(tree.centre[front[i]])) for i in np.flatnonzero(single)]
+            front = tree.children(front[good & ~single])
+    return out
+
+
+def _vectors(column) -> np.ndarray:
+    rows = [np.frombuffer(raw, "<f8") for raw in column.to_pylist()]
+    return np.array(rows).reshape(len(rows), -1)
+
+
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+FOUND_DDL = "query_id long, vec_id long, score long"
+
+
+def in_cells(rows: DataFrame, cells: Cells) -> DataFrame:
+    """id, cell, away (distance from its centre) and v (packed) of rows of id and v; the centres go along with the function."""
+    def run(batches):
+        for b in batches:
+            lists = b.column("v")
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+            size = np.diff(ends)
+            cell, away = np.zeros(len(size), np.int64), np.zeros(len(size))
+            for dim in np.unique(size).tolist():
+                for at in np.array_split(np.flatnonzero(size == dim), 1 + int((size == dim).sum()) // 1024):
+                    cell[at], away[at] = cells.nearest(flat[ends[at][:, None] + np.arange(dim)])
+            packed = [flat[lo:hi].astype("<f8").tobytes() for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(cell), pa.array(away), pa.array(packed, pa.binary())], ["id", "cell", "away", "v"])
+
+    return rows.select("id", "v").mapInArrow(run, "id long, cell long, away double, v binary")
+
+
+def looked_up(cell: Column, numbers: dict[int, int], missing: int) -> Column:
+    """A number for each cell (SAMPLE of them at most, and one for each unmet length)."""
+    if not numbers:
+        return F.lit(missing)
+    keys, values = (F.array(*[F.lit(int(x)) for x in xs]) for xs in (numbers.keys(), numbers.values()))
+    return F.coalesce(F.element_at(F.map_from_arrays(keys, values), cell.cast("int")), F.lit(missing))
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, block: int = 8192, query_block: int = 512, cell_rows: int = 2048, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: each query's k highest integer inner products with rows of vectors.
 
     Components become floor(scale * x). A query's own vec_id is no candidate; ties go to the smaller vec_id; all candidates
     come back if there are fewer than k. Rows with a null id, or a vector that is null, empty or holds null or non-finite
-    components, take no part; repeated rows are candidates each. Vectors of one length are compared with each other alone.
-    Both sides are cut into blocks by a hash of the id; each pair of blocks is one dual-tree search, which sends on k rows
-    a query, and one ranking by query ends it. Work and memory of a task are bounded by the block sizes."""
+    components, take no part; repeated rows are candidates each (of queries, one row an id). Vectors of one length are compared with
+    each other alone.
+
+    The upper tree is fitted on the `sample` rows with the smallest hashes, which the driver holds; every row gets its nearest cell. A
+    cell of more than `block` rows, say of copies, is cut into blocks by a hash of the id. A query group's rows go to the blocks that its worst
+    kth score does not rule out; where nothing can be ruled out that is all of them, and the work is queries times rows.
+    Memory of a task is bounded by block and query_block."""
     def clean(df):
-        rows = df.select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda v: F.floor(F.lit(float(scale)) * v.cast("double"))).alias("raw"), F.col("embedding").alias("e"))
+        rows = df.select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda v: F.floor(F.lit(float(scale)) * v.cast("double")).cast("double")).alias("v"), F.col("embedding").alias("e"))
         fine = ~F.exists("e", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-        return rows.where(F.col("id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0)).where(fine).select("id", F.col("raw").cast("array<double>").alias("v"), F.size("e").alias("dim"))
+        return rows.where(F.col("id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0)).where(fine).select("id", "v")
 
     points, asked = clean(vectors), clean(queries).dropDuplicates(["id"])
-    n, m = points.count(), asked.count()
-    parts, lots = max(12, -(-n // block)), max(1, -(-m // query_block))
-    side = lambda df, own, p, of, q: df.withColumn(own, F.pmod(F.xxhash64("id", F.lit(own)), F.lit(p)).cast("int")).withColumn(of, F.explode(F.sequence(F.lit(0), F.lit(q - 1))))
-    left = side(asked, "lot", lots, "part", parts)
-    right = side(points, "part", parts, "lot", lots)
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-    def search(key, a, b):
+    drawn = [np.array(r.v) for r in points.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(sample).collect()]
+    cells = Cells(drawn, max(1, min(sample, points.count() // cell_rows)) if drawn else 1)
+    points, asked = in_cells(points, cells), in_cells(asked, cells)
+    for r in points.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect():
+        cells.count[r.cell], cells.radius[r.cell] = r.n, r.radius
+    parts = {c: -(-n // block) for c, n in cells.count.items()}
+    part = lambda of, salt: F.pmod(F.xxhash64("id", F.lit(salt)), of)
+    points = points.withColumn("part", part(looked_up(F.col("cell"), parts, 1), "part").cast("int")).select("id", "cell", "part", "v")
+    crowd = {r.cell: -(-r.n // query_block) for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    asked = asked.withColumn("group", part(looked_up(F.col("cell"), crowd, 1), "group").cast("int")).select("id", "cell", "group", "v")
+
+    def met(left: DataFrame, lots: Column, found) -> DataFrame:
+        """left (cell, part, lot, ...) with the points of the same block, which go to each of the cell's lots."""
+        right = points.withColumn("lot", F.explode(F.sequence(F.lit(0), lots.cast("int") - 1)))
+        return left.groupBy("cell", "part", "lot").cogroup(right.groupBy("cell", "part", "lot")).applyInArrow(found, FOUND_DDL)
+
+    def near(key, a, b):
+        if not len(a) or not len(b):
+            return FOUND.empty_table()
+        a, b = a.sort_by("id"), b.sort_by("id")
+        q_ids, ids = a.column("id").to_numpy(), b.column("id").to_numpy()
+        r, c, s, _ = dual_tree(_vectors(a.column("v")), q_ids, _vectors(b.column("v")), ids, k)
+        return pa.table([q_ids[r], ids[c], s], schema=FOUND)
+
+    # First the group's own cell: of its blocks each group takes one.
+    many = {c: -(-g // parts.get(c, 1)) for c, g in crowd.items()}
+    home = looked_up(F.col("cell"), parts, 1)
+    seeds = met(asked.withColumn("part", F.pmod(F.col("group"), home).cast("int")).withColumn("lot", F.floor(F.col("group") / home).cast("int")), looked_up(F.col("cell"), many, 1), near)
+    kth = seeds.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    floors = asked.join(kth, asked.id == kth.query_id, "left").select("id", "cell", "group", "v", F.when(F.col("n") >= k, F.col("least")).alias("floor"))
+
+    def ask(key, t):
+        t = t.sort_by("id")
+        q, floor = _vectors(t.column("v")), np.array([-np.inf if x is None else x for x in t.column("floor").to_pylist()], np.float64)
+        tree, names = cells.upper(q.shape[1])
         out = []
-        for dim in sorted(set(a.column("dim").to_pylist()) & set(b.column("dim").to_pylist())):
-            q, x = (t.filter(pc.equal(t.column("dim"), dim)).sort_by("id") for t in (a, b))
-            grid = [np.array(t.column("v").combine_chunks().flatten()).reshape(-1, dim) for t in (q, x)]
-            ids = [t.column("id").to_numpy() for t in (q, x)]
-            r, c, s = dual_tree(grid[0], ids[0], grid[1], ids[1], k)
-            out.append(pa.table([ids[0][r], ids[1][c], s], schema=schema))
-        return pa.concat_tables(out) if out else schema.empty_table()
-
-    found = left.groupBy("lot", "part", "dim").cogroup(right.groupBy("lot", "part", "dim")).applyInArrow(search, "query_id long, vec_id long, score long")
+        for rows, at in reached(q, floor, tree) if len(names) else ():
+            some, c = [t.column("id").to_numpy()[rows].astype("<i8").tobytes(), floor[rows].astype("<f8").tobytes(), q[rows].astype("<f8").tobytes()], int(names[at])
+            done = key[1].as_py() % parts[c] if c == key[0].as_py() else -1
+            out += [(c, p, *some) for p in range(parts[c]) if p != done]
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        return pa.table({n: pa.array(x, kind) for n, x, kind in zip(("cell", "part", "ids", "floors", "vs"), cols, (pa.int64(), pa.int32(), *[pa.binary()] * 3), strict=True)})
+
+    wanted = floors.groupBy("cell", "group").applyInArrow(ask, "cell long, part int, ids binary, floors binary, vs binary")
+    lots = F.greatest(F.lit(1), F.ceil(F.col("sets") / F.lit(max(1, query_block // TOGETHER)))).cast("int")
+    busy = wanted.groupBy("cell", "part").agg(F.count("*").alias("sets")).select("cell", "part", lots.alias("lots"))
+    wanted = wanted.join(busy, ["cell", "part"]).withColumn("lot", F.pmod(F.xxhash64("ids"), F.col("lots")).cast("int")).drop("lots")
+    held = points.join(busy, ["cell", "part"]).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+
+    def far(key, a, b):
+        out = []
+        b = b.sort_by("id")
+        ids = b.column("id").to_numpy()
+        x = _vectors(b.column("v"))
+        sets = sorted(zip(*(a.column(c).to_pylist() for c in ("ids", "floors", "vs")), strict=True))
+        if sets and len(ids):
+            q_ids, floor = np.frombuffer(b"".join(s[0] for s in sets), "<i8"), np.frombuffer(b"".join(s[1] for s in sets), "<f8")
+            q = np.frombuffer(b"".join(s[2] for s in sets), "<f8").reshape(len(q_ids), -1)
+            r, c, s, _ = dual_tree(q, q_ids, x, ids, k, floor=floor)
+            out.append(pa.table([q_ids[r], ids[c], s], schema=FOUND))
+        return pa.concat_tables(out) if out else FOUND.empty_table()
+
+    others = wanted.groupBy("cell", "part", "lot").cogroup(held.groupBy("cell", "part", "lot")).applyInArrow(far, FOUND_DDL)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return seeds.unionByName(others).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

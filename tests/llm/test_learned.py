@@ -47,7 +47,6 @@ def test_packing(spark, size):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.JSON)
-    tok.encode_special_tokens = True
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     extra = spark.createDataFrame([(-1, None), (-2, ""), (-2, ""), (None, "x"), (-3, "a b c " * 3000)], "doc_id long, text string")
     docs = docs.select("doc_id", "text", "lang").unionByName(extra.withColumn("lang", F.lit(None).cast("string")))
@@ -86,10 +85,10 @@ def test_grouping_operators_keep_solutions_whole():
     r = np.random.default_rng(0)
     p = packing.Packing(r.integers(200, 1400, 300), 2048, 1)
     a, b = p.start(0.0), p.start(0.5)
-    for s in (a, b, p.crossover(a, b), p.crossover(b, a), p.mutate(a), *p.evolve([a, b, p.start(0.3), p.start(0.2)])):
+    for s in (a, b, p.crossover(a, b), p.crossover(b, a), p.mutate(a), *p.evolve([a, b, p.start(0.3), p.start(0.2)])[0]):
         f = p.fills(s)
         assert s.min() == 0 and (f > 0).all() and f.max() <= 2048 and f.sum() == p.lengths.sum()
-    assert p.cost(p.evolve([a, b])[0]) <= p.cost(a)
+    assert p.cost(p.evolve([a, b])[0][0]) <= p.cost(a)
 
 
 def test_two_rounds_of_shards(spark, monkeypatch):
@@ -103,3 +102,20 @@ def test_two_rounds_of_shards(spark, monkeypatch):
         x.sort()
         assert all(a + n == b for (a, n), (b, _) in zip(x, x[1:], strict=False)) and x[0][0] == 0 and sum(n for _, n in x) <= 2048
     assert len(seqs) <= 1.03 * sum(r.length for r in got) / 2048 + 2
+
+
+def triplets(n, size, seed):
+    """3 * n items that fill n bins exactly, each bin with one item from each third."""
+    r = np.random.default_rng(seed)
+    big = r.integers(int(0.38 * size), int(0.49 * size), n)
+    mid = np.array([r.integers(int(0.25 * size) + 1, (size - x) // 2) for x in big])
+    return np.concatenate([big, mid, size - big - mid])
+
+
+def test_evolution_beats_best_fit_on_triplets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GENERATIONS", 400)
+    monkeypatch.setattr(packing, "PATIENCE", 150)
+    rows = [(shard, i, 0, int(x), 0, shard) for shard in range(2) for i, x in enumerate(triplets(30, 1000, shard))]
+    items = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, shard long")
+    for r in packing.shard_solutions(items, 1000).collect():
+        assert r.bound == 30 and r.start > 31 and r.end <= 31 and r.generations > 0
