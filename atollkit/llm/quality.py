@@ -1,8 +1,8 @@
 """Operator 3: a quality classifier by positive-unlabelled learning.
 
 The squared loss makes the risk on unlabelled text a quadratic form in the weights, so its second moments, summed in one pass over all
-documents, stand for every one of them: no sample of unlabelled text is taken. A second pass counts scores, from which the
-class prior follows.
+documents, stand for every one of them: no sample of unlabelled text is taken. Two more passes count scores, for the class prior and
+for the scale of the scores.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ FOLDS = 5
 #: Matrices of sums that one task adds up.
 FAN_IN = 16
 #: Scores are counted in so many equal steps from -3 to 3.
-STEPS = 600
+STEPS = 6000
 
 
 def features(rows: list[bytes]) -> np.ndarray:
@@ -73,29 +73,41 @@ def _features(rows: list[bytes]) -> np.ndarray:
 
 
 class Model:
-    """Weights (the last one is the bias) and the class prior that they were fitted with."""
+    """Weights (the last one is the bias), the class prior that they were fitted with, and the value at score 0.3 and slope of the score."""
 
-    def __init__(self, weights: np.ndarray, prior: float):
-        self.weights, self.prior = weights, prior
+    def __init__(self, weights: np.ndarray, prior: float, edge: float = -0.4, slope: float = 2.118):
+        self.weights, self.prior, self.edge, self.slope = weights, prior, edge, slope
 
     def value(self, x: np.ndarray) -> np.ndarray:
-        """About 2 * P(positive) - 1."""
         return x @ self.weights[:-1].astype(np.float32) + np.float32(self.weights[-1])
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """0 to 1: 0.3 and 0.5 where the straight line (1 + value) / 2 has them, and never flat beyond its ends."""
-        return 1 / (1 + np.exp(-np.clip(2.118 * self.value(x).astype(np.float64), -30, 30)))
+        z = self.slope * (self.value(x).astype(np.float64) - self.edge) + np.log(0.3 / 0.7)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def calibrated(self, positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+        """The same order of texts, with scores by where positives and all unlabelled text lie (values; counts of values).
+
+        By the class prior the positives among unlabelled text begin at one value, all but one in 200 of the known ones lie above another.
+        Score 0.3 is a third of the way from the first to the second (which lies too high, as those were learnt from), 0.95 the
+        median of the known ones."""
+        share = np.cumsum(unlabelled[::-1])[::-1] / max(1, unlabelled.sum())
+        begin = np.flatnonzero(share >= self.prior)[-1] / STEPS * 6 - 3 if unlabelled.sum() else -0.4
+        low = float(np.quantile(positive, 0.005))
+        edge = min(begin + (low - begin) / 3, low)
+        wide = float(np.median(positive)) - edge
+        return Model(self.weights, self.prior, edge, (np.log(0.95 / 0.05) - np.log(0.3 / 0.7)) / wide if wide > 0 else self.slope)
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, weights=self.weights, prior=self.prior)
+        np.savez(out, weights=self.weights, others=[self.prior, self.edge, self.slope])
         return out.getvalue()
 
 
 @lru_cache(4)
 def load(raw: bytes) -> Model:
     x = np.load(io.BytesIO(raw))
-    return Model(x["weights"], float(x["prior"]))
+    return Model(x["weights"], *(float(v) for v in x["others"]))
 
 
 def moments(x: np.ndarray) -> np.ndarray:
@@ -104,24 +116,42 @@ def moments(x: np.ndarray) -> np.ndarray:
     return (one.T @ one).astype(np.float64)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.2, decay: float = 2e-3) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.2, decay: float = 1e-2) -> Model:
     """Minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) for the squared loss (1 - y * f)**2 / 4 of a linear f.
 
     positive and unlabelled are second moments (see moments). Each step goes down the risk, scaled by its curvature; where the
-    second part is below 0 its own gradient is reversed instead, which undoes the overfit (Kiryo et al., 2017)."""
-    p, u = positive / positive[-1, -1], unlabelled / unlabelled[-1, -1]
-    scale = np.diag(u) - u[-1] ** 2 + np.diag(p) - p[-1] ** 2 + 1e-4
-    ridge = np.diag(decay * np.append(scale[:-1], 1e-6))
+    second part is below 0 it counts as 0 and the first part alone is followed (the non-negative risk of Kiryo et al., 2017)."""
+    p, u, ridge = _scaled(positive, unlabelled, decay)
     back = np.linalg.inv(u / 2 + ridge)
+    minus = lambda w, m: (m[-1, -1] + 2 * m[-1] @ w + w @ m @ w) / 4
+    plus = lambda w: prior * (p[-1, -1] - 2 * p[-1] @ w + w @ p @ w) / 4
+    risk = lambda w: plus(w) + max(0.0, minus(w, u) - prior * minus(w, p)) + w @ ridge @ w / 2
     w = np.zeros(len(u))
-    minus = lambda m: (m[-1, -1] + 2 * m[-1] @ w + w @ m @ w) / 4
+    now = risk(w)
     for _ in range(steps):
-        rest = (u[-1] + u @ w) / 2 - prior * (p[-1] + p @ w) / 2
-        g = prior * (p @ w - p[-1]) / 2 + rest if minus(u) - prior * minus(p) >= 0 else -rest
-        w = w - rate * (back @ (g + ridge @ w))
+        rest = (u[-1] + u @ w) / 2 - prior * (p[-1] + p @ w) / 2 if minus(w, u) >= prior * minus(w, p) else 0
+        step = back @ (prior * (p @ w - p[-1]) / 2 + rest + ridge @ w)
+        after = risk(w - rate * step)
+        if after > now:
+            rate /= 2
+            continue
+        w, now = w - rate * step, after
     return Model(w, prior)
 
 
+def _scaled(positive: np.ndarray, unlabelled: np.ndarray, decay: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean second moments, and a ridge by each feature's spread."""
+    p, u = positive / positive[-1, -1], unlabelled / unlabelled[-1, -1]
+    spread = np.diag(u) - u[-1] ** 2 + np.diag(p) - p[-1] ** 2 + 1e-4
+    return p, u, np.diag(decay * np.append(spread[:-1], 1e-6))
+
+
+def told_apart(positive: np.ndarray, unlabelled: np.ndarray, decay: float = 1.0) -> Model:
+    """The direction that best tells positives from unlabelled text; no prior is needed for it."""
+    p, u, ridge = _scaled(positive, unlabelled, decay)
+    return Model(np.linalg.solve((p + u) / 2 + ridge, (p[-1] - u[-1]) / 2), 0.5)
+
+
 def held_out(doc_id) -> F.Column:
     """Fold 0 of FOLDS by the CRC-32 of the id as text; null ids are in no fold and train nothing."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
@@ -181,12 +211,12 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """The class prior from counts of scores of positives that were not learnt from, and of unlabelled text.
 
     Above any threshold the share of unlabelled text is at least prior times that of positives, and least above it where
-    only positives are left: the least ratio over thresholds, each with its sampling error, is the estimate."""
+    only positives are left: the least ratio over thresholds, each share of positives (a half at
+    least) less two sampling errors, is the estimate."""
     n, m = max(1, positive.sum()), max(1, unlabelled.sum())
     p, u = np.cumsum(positive[::-1]) / n, np.cumsum(unlabelled[::-1]) / m
-    error = np.sqrt(np.log(40) / n / 2)
-    at = p >= max(0.1, 4 * error)
-    ratio = u[at] / np.maximum(p[at] - error, 1e-9) if at.any() else np.ones(1)
+    sure = p - 2 * np.sqrt(p * (1 - p) / n) - 1 / n
+    ratio = u[sure > 0.5] / sure[sure > 0.5] if (sure > 0.5).any() else np.ones(1)
     return float(np.clip(ratio.min(), 0.02, 0.98))
 
 
@@ -195,7 +225,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES) -> Mod
     it is not held out.
 
     Negative labels are not read. The class prior is estimated: half of the positives are told from unlabelled text, the scores
-    of the other half against those of all unlabelled text give it. Without any positive or any unlabelled text the model gives each
+    of the other half against those of all unlabelled text give it. Three passes over all text: moments, scores for the prior, scores
+    for the calibration. Without any positive or any unlabelled text the model gives each
     text 0.5."""
     marks = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     chosen = marks.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(positives)
@@ -215,9 +246,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES) -> Mod
     if not len(x) or all_[-1, -1] == 0:
         return Model(np.zeros(WIDTH + 1), 0.5)
     half = np.arange(len(x)) % 2 == 0 if len(x) > 1 else np.ones(1, bool)
-    first = fit(moments(x[half]), all_, 0.5)
+    first = told_apart(moments(x[half]), all_)
     prior = estimated_prior(steps_of(first.value(x[~half] if len(x) > 1 else x)), counted_scores(texts.select("text"), first))
-    return fit(moments(x), all_, prior)
+    model = fit(moments(x), all_, prior)
+    return model.calibrated(model.value(x), counted_scores(texts.select("text"), model))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

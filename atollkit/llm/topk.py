@@ -140,7 +140,7 @@ class Best:
 
 def dual_tree(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, same: bool = True, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(query row, candidate row, score) of each query's k best among the candidates, ties to smaller ids, and the share of all
-    pairs that were scored one by one.
+    pairs of rows that were worked on (a bound of a single row is its score).
 
     Query and candidate nodes go down together; a pair of nodes is left out when no inner product below it can reach the
     worst kth score of the query node. Few queries left go on together, each with its own bounds. With same, a candidate of the
@@ -150,6 +150,7 @@ def dual_tree(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray
         tree = Tree(x)
         for rows, front in descents(q, best.kth, tree):
             most = each_bound(q[rows], tree, front)
+            scored += len(rows) * int((tree.size[front] == 0).sum())
             while len(front):
                 good = (most >= best.kth[rows][:, None]).any(0)
                 front, most = front[good], most[:, good]
@@ -159,9 +160,9 @@ def dual_tree(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray
                 single = tree.size[now] == 0
                 if single.any():
                     at = tree.centre[now[single]]
-                    scored += len(rows) * len(at)
                     best.add(rows, q[rows] @ x[at].T, x_ids[at], at, same)
                 below = tree.children(now[~single])
+                scored += len(rows) * int((tree.size[below] == 0).sum())
                 front, most = np.concatenate([front, below]), np.concatenate([most, each_bound(q[rows], tree, below)], 1)
     r, n = np.nonzero(best.row >= 0)
     return r, best.row[r, n], best.score[r, n].astype(np.int64), scored / max(1, len(q) * len(x))

@@ -34,12 +34,30 @@ def test_quality_ignores_other_columns_and_survives_nulls(spark):
     assert quality.kept_documents(docs, labels).columns == docs.columns
 
 
-def test_risk_is_undone_where_it_falls_below_zero():
+def test_risk_stays_above_zero_and_the_prior_is_found():
     r = np.random.default_rng(0)
-    good, bad = r.normal(1, 1, (300, 5)), r.normal(-1, 1, (300, 5))
-    mixed = np.concatenate([r.normal(1, 1, (400, 5)), bad[:200]])
-    m = quality.fit(good.astype(np.float32), mixed.astype(np.float32), 2 / 3)
-    assert m.score(r.normal(1, 1, (500, 5))).mean() > 0.8 > 0.35 > m.score(r.normal(-1, 1, (500, 5))).mean()
+    for prior in (2 / 3, 0.3):
+        good, fresh = (r.normal(1, 1, (1000, 5)).astype(np.float32) for _ in range(2))
+        mixed = np.concatenate([r.normal(1, 1, (int(6000 * prior), 5)), r.normal(-1, 1, (int(6000 * (1 - prior)), 5))]).astype(np.float32)
+        u = quality.moments(mixed)
+        first = quality.told_apart(quality.moments(good), u)
+        found = quality.estimated_prior(quality.steps_of(first.value(fresh)), quality.steps_of(first.value(mixed)))
+        assert abs(found - prior) < 0.06
+        m = quality.fit(quality.moments(good), u, found)
+        m = m.calibrated(m.value(good), quality.steps_of(m.value(mixed)))
+        good, bad = m.score(fresh), m.score(r.normal(-1, 1, (500, 5)).astype(np.float32))
+        assert np.median(good) > 0.9 and (good >= 0.3).mean() > 0.97 and (bad < 0.3).mean() > 0.9
+        one, two = (quality.fit(quality.moments(fresh[:6]), quality.moments(mixed[:8]), 0.9, decay=d).weights for d in (1e-6, 1.0))
+        assert np.isfinite(one).all() and np.isfinite(two).all()
+
+
+def test_moments_are_those_of_all_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text").repartition(40)
+    x = quality.features([r.text.encode() for r in docs.collect()])
+    got = quality.total_moments(docs)
+    assert np.allclose(got, quality.moments(x), rtol=1e-4, atol=1e-2) and got[-1, -1] == len(x)
+    model = quality.Model(np.linspace(-0.1, 0.1, quality.WIDTH + 1), 0.5)
+    assert quality.counted_scores(docs, model).sum() == len(x)
 
 
 @pytest.mark.parametrize("size", [2048, 64])
