@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 
 from atollkit.llm.common import texts
 
-#: A space followed by a non-space begins a match of the pattern wherever it stands, so a text may be cut before it.
-SAFE = re.compile(r" (?=\S)")
+#: A space followed by a non-space begins a match of the pattern wherever it stands, so a text may be cut before it; so does a
+#: letter after one of these marks, which texts without spaces have.
+SAFE = re.compile(r" (?=\S)|(?<=[,.!?;:\u3001\u3002\uff0c\uff01\uff1f\uff1b\uff1a])(?=[A-Za-z\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5])")
 
 
 @lru_cache(2)

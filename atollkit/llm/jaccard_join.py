@@ -238,7 +238,7 @@ def links_between(sets: DataFrame, comps: DataFrame, percent: int, first: bool =
 
 def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     """comps (cls, rep, comp) with the components that the links join made one."""
-    joined = components(links).select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    joined = components(pinned(links)).select(F.col("id").alias("comp"), F.col("comp").alias("to"))
     return pinned(skew_join(comps, joined, "comp").withColumn("comp", F.coalesce("to", "comp")).select("cls", "rep", "comp"))
 
 
@@ -256,10 +256,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
        group bounds the overlap, qualifying groups are opened and checked exactly.
     Only links within one component are left out, so no component is lost. Two texts' tokens meet by chance with odds of about 1 in
     10**9 a pair of texts (48 bits a token), two sets' digests with 1 in 10**38."""
-    sets = pinned(shingle_sets(docs, n, percent), large=True)
+    sets = pinned(shingle_sets(docs, n, percent))
     live = sets.where("tokens is not null")
     classes = live.groupBy("cls").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("lone", "tokens", "gkey", "gkey2")))
-    members = pinned(with_groups(classes, percent), large=True)
+    members = pinned(with_groups(classes, percent))
     comps = members.select("cls", "rep", "comp")
     comps = merged(comps, links_between(members, comps, percent, first=True))
     comps = merged(comps, links_between(members, comps, percent))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from atollkit.llm.rules import STOP_WORDS, THRESHOLDS, WINDOW
+from atollkit.llm.rules import BULLET, ELLIPSIS, STOP_WORDS, THRESHOLDS, WINDOW
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -52,6 +52,10 @@ def quality_rules() -> str:
         "upper_word_ratio": "n_upper / greatest(n_words, 1)",
         "stop_word_ratio": "n_stop / greatest(n_words, 1)",
         "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
+        "mean_line_chars": "n_chars / greatest(n_lines, 1)",
+        "letterless_word_ratio": "n_letterless / greatest(n_words, 1)",
+        "ellipsis_line_ratio": "n_ellipsis / greatest(n_lines, 1)",
+        "bullet_line_ratio": "n_bullet / greatest(n_lines, 1)",
     }
     failed = " OR ".join(f"(n_words >= {least} AND {measures[m]} {sign} {limit})" for _, m, sign, limit, least in THRESHOLDS)
     stop = ", ".join(f"'{w}'" for w in sorted({x for v in STOP_WORDS.values() for x in v}))
@@ -62,7 +66,8 @@ hit AS (SELECT doc_id, i FROM win SEMI JOIN (SELECT doc_id, k FROM win GROUP BY
 rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, unnest(range(0, {n})) AS j FROM hit) x GROUP BY doc_id),
 m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
 CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
-len(list_filter(w, lambda x: regexp_full_match(x, '\p{{Lu}}{{2,}}\p{{P}}*'))) AS n_upper, len(list_filter(w, lambda x: x IN ({stop}))) AS n_stop FROM d LEFT JOIN rep USING (doc_id)),
+len(list_filter(w, lambda x: regexp_full_match(x, '\p{{Lu}}{{2,}}\p{{P}}*'))) AS n_upper, len(list_filter(w, lambda x: x IN ({stop}))) AS n_stop,
+length(text) AS n_chars, len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{{L}}'))) AS n_letterless, len(list_filter(l, lambda x: regexp_matches(x, '{ELLIPSIS}'))) AS n_ellipsis, len(list_filter(l, lambda x: regexp_matches(x, '{BULLET}'))) AS n_bullet FROM d LEFT JOIN rep USING (doc_id)),
 v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({failed}) AS kept FROM v"""
 

@@ -17,13 +17,19 @@ STOP_WORDS = {
 THRESHOLDS = (
     ("length", "mean_word_chars", ">", 20.0, 10),
     ("length", "mean_word_chars", "<", 1.5, 10),
+    ("length", "mean_line_chars", "<", 5.0, 10),
     ("symbol", "symbols_per_word", ">", 0.15, 10),
     ("symbol", "upper_word_ratio", ">", 0.4, 10),
+    ("symbol", "letterless_word_ratio", ">", 0.4, 10),
     ("stop word", "stop_word_ratio", "<", 0.04, 80),
     ("line", "dup_line_ratio", ">", 0.4, 10),
+    ("line", "ellipsis_line_ratio", ">", 0.3, 10),
+    ("line", "bullet_line_ratio", ">", 0.9, 10),
 )
 
 WINDOW = 5
+#: Lines that end in an ellipsis, and lines that begin with a bullet.
+ELLIPSIS, BULLET = r"(\.\.\.|…)[\x20\x09-\x0D]*$", r"^[\x20\x09-\x0D]*[-*•]"
 
 
 def words(text: Column) -> Column:
@@ -52,6 +58,10 @@ def ratios(m: Column) -> dict[str, Column]:
         "upper_word_ratio": m.n_upper_words / words_,
         "stop_word_ratio": m.n_stop_words / words_,
         "dup_line_ratio": m.n_dup_lines / lines,
+        "mean_line_chars": m.n_chars / lines,
+        "letterless_word_ratio": m.n_letterless_words / words_,
+        "ellipsis_line_ratio": m.n_ellipsis_lines / lines,
+        "bullet_line_ratio": m.n_bullet_lines / lines,
     }
 
 
@@ -70,7 +80,8 @@ def quality_rules(docs: DataFrame, table: tuple = THRESHOLDS) -> DataFrame:
 
     One projection over the scan, built-in functions alone: no shuffle, no Python, the same work for every row. Null text
     counts as empty (no words: base_failed). Windows of five words are told apart by 64-bit hashes; two different windows
-    of one text meet with odds of 1 in 10**11 at 20,000 words. The row goes in a struct, so its names cannot clash."""
+    of one text meet with odds of 1 in 10**11 at 20,000 words. Stop words are those of four languages, in lower case: a text of 80 words in
+    another language or in capitals alone fails. The row goes in a struct, so its names cannot clash."""
     rows = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     text, w = F.col("text"), F.col("w")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -96,6 +107,10 @@ def quality_rules(docs: DataFrame, table: tuple = THRESHOLDS) -> DataFrame:
         n_upper_words=F.size(F.filter(w, lambda x: x.rlike(r"^\p{Lu}{2,}\p{P}*$"))).cast("long"),
         n_stop_words=F.size(F.filter(w, lambda x: x.isin(stop))).cast("long"),
         n_repeat_words=covered(F.col("starts"), WINDOW).cast("long"),
+        n_chars=F.length(text).cast("long"),
+        n_letterless_words=F.size(F.filter(w, lambda x: ~x.rlike(r"\p{L}"))).cast("long"),
+        n_ellipsis_lines=F.size(F.filter("lines", lambda x: x.rlike(ELLIPSIS))).cast("long"),
+        n_bullet_lines=F.size(F.filter("lines", lambda x: x.rlike(BULLET))).cast("long"),
     )
     out = held(rows, ["doc", "text"], w=words(text), lines=lines)
     out = held(out, ["doc", "text", "w", "lines"], windows=windows)

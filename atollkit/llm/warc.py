@@ -35,12 +35,12 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
 
     Of rows with equal payloads of at least `least` bytes the one with the smallest page_id is the response (repeated rows
     of that id too), others revisit it. Payloads meet by SHA-1 in a partial aggregate; the join back can be split by
-    Spark, so a payload on a third of all pages makes no large task. Null html: empty payload. Null page_id: never a
-    response that others refer to unless all ids of that payload are null."""
+    Spark, so a payload on a third of all pages makes no large task, and has only payloads that occur more than once on its other
+    side. Null html: empty payload. Null page_id: never a response that others refer to unless all ids of that payload are null."""
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload")))
-    first = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"))
+    first = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     out = skew_join(rows, first, "digest")
     return out.select("page_id", "url", "payload", "digest", F.when(F.col("first_id") != F.coalesce(F.col("page_id"), F.lit(-(1 << 63))), F.col("first_id")).alias("refers_to"))
 
@@ -67,19 +67,27 @@ def record_bytes(page_id, url: str, payload: bytes, digest: str, refers_to) -> b
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_warc(pages: DataFrame, path: str, least: int = 0, file_records: int = 4000) -> None:
-    """Archives at path: each record is a gzip member of its own. Spark's committer writes the files."""
+def write_warc(pages: DataFrame, path: str, least: int = 0, file_bytes: int = 16 << 20) -> None:
+    """Archives at path: each record is a gzip member of its own. A file ends with the record that brings it to file_bytes.
+
+    A row is one file's bytes. Spark's text writer puts them out as they are, all 256 values, and its committer moves them
+    into place."""
 
     def run(batches):
+        out, size = [], 0
         for b in batches:
-            out = []
             for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
                 z = zlib.compressobj(6, zlib.DEFLATED, 31)
                 out.append(z.compress(record_bytes(*row)) + z.flush())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                size += len(out[-1])
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["value"])
+                    out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["value"])
 
     made = records(pages, least).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    made.write.option("maxRecordsPerFile", file_records).option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
+    made.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -183,10 +191,24 @@ def salvage(raw: bytes):
         at = end
 
 
+def _likely(raw: bytes, at: int) -> bool:
+    """Whether a gzip header's flags, level and system are ones that exist, and its first bytes inflate: most chance meetings end here."""
+    head = raw[at : at + 10]
+    if len(head) < 10 or head[3] & 0xE0 or head[8] not in (0, 2, 4) or (head[9] > 13 and head[9] != 255):
+        return False
+    try:
+        zlib.decompressobj(31).decompress(raw[at : at + 512], 1024)
+    except zlib.error:
+        return False
+    return True
+
+
 def _sound(raw: bytes, at: int) -> bool:
     """Whether a whole member or record begins at a byte."""
     if raw[at : at + 3] != MEMBER:
         return isinstance(_record(raw, at), tuple)
+    if not _likely(raw, at):
+        return False
     try:
         return _inflate(raw, at)[2]
     except zlib.error:
@@ -200,7 +222,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     """Rows of kind record or gap from all archives at path, plain or gzip, whole or damaged.
 
     A gap row names the file, the first byte, the length and why those bytes are quarantined; records after it are
-    recovered. Each file is one row of work, so write files of bounded size (write_warc does)."""
+    recovered. Each file is one row of work: write files of bounded size, as write_warc does by bytes (Spark reads 2 GB at most as one)."""
     kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
     fields = [f for f in FIELDS if payload or f[0] != "payload"]
 

@@ -152,3 +152,29 @@ def test_components(spark):
     edges = [(f"{i:04}", f"{i + 1:04}") for i in range(60)] + [("a", "b"), ("c", "b"), ("x", "x")]
     got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert {got[f"{i:04}"] for i in range(61)} == {"0000"} and got["c"] == "a" and got["x"] == "x"
+
+
+def test_very_long_texts_and_repeated_rows(spark):
+    """Whole texts of some hundred thousand words, and hundreds of equal rows, equal ids and null ids among them."""
+    r = random.Random(4)
+    vocab = ["w%d" % i for i in range(5000)]
+    sent = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    passage, long = sent(80), sent(120_000)
+    near = long.split()
+    near[7] = near[90_000] = "other"
+    rows = [(1, long), (2, " ".join(near)), (3, sent(50_000) + " " + passage), (4, passage), (5, "x" * 300_000)]
+    rows += [(6, passage + " end")] * 200 + [(None, "of " * 12)] * 50 + [(7, "")] * 50
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, crew int")
+    got = [tuple(t) for t in substring_dedup(df, 35).collect()]
+    assert len(got) == len(rows)
+    by_id = {}
+    for d, n, gone, kept in got:
+        by_id.setdefault(d, set()).add((n, gone, kept))
+    want = {}
+    for d, n, gone, kept in brute_substring([(-1 if i is None else i, t) for i, t in rows], 35):
+        want.setdefault(None if d == -1 else d, set()).add((n, gone, kept))
+    assert by_id == want
+    cut = {(t.doc_id, t.n_bytes, t.n_removed) for t in suffix_dedup(df, 50).collect()}
+    assert (1, len(long), 0) in cut and (4, len(passage), len(passage)) in cut and {n for d, _, n in cut if d == 5} == {0}
+    found = {(t.doc_id, t.component_id) for t in jaccard_components(df, 5, 80).collect()}
+    assert found == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 4), (7, 7), (None, None)}

@@ -61,3 +61,20 @@ def test_clashing_columns_and_nulls(spark):
         got = stage(spark, docs, SF)
         assert got.columns == docs.columns, name
         assert {r.doc_id: r.rest for r in got.collect()}.items() <= {0: "x", 1: "x", 2: "x", 3: "x", None: "y"}.items()
+
+
+def test_long_texts_and_repeated_rows(spark):
+    sentence = "The of and to in is that it for was on are as with be by this at or from. "
+    long = " ".join(f"word{i} the of" for i in range(60_000))
+    rows = [(1, long, 1), (2, long, 1), (3, None, 2), (4, "a b", 3)] + [(5, "One more of the clean texts that are to be kept for this and that: " + sentence, 4)] * 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[2:4]:
+        kept = stage(spark, kept, SF)
+        assert kept.columns == docs.columns, name
+    got = {r.doc_id: r for r in kept.collect()}
+    assert sorted(r.doc_id for r in got.values()) == [1, 3, 4, 5] and got[1].text == long and got[1].n_chars == len(long)
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, SF).collect()
+    assert sum(r.doc_id == 5 for r in packed) == 60 and max(r.length for r in packed) <= 2048
+    rules_kept = corpus_pipeline.STAGES[1][1](spark, docs, SF)
+    assert rules_kept.columns == docs.columns and rules_kept.where("doc_id = 4").count() == 0

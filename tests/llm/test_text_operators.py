@@ -176,3 +176,24 @@ def test_warc_salvage():
     assert [r["page_id"] for r in got if r["kind"] == "record"] == [0, 2, 4]
     assert sum(r["length"] for r in got if r["kind"] == "gap") == len(plain) - len(recs[0]) - len(recs[2]) - len(recs[4])
     assert list(warc.salvage(b"")) == []
+
+
+def test_warc_odd_ids_and_files_by_bytes(spark, tmp_path):
+    rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (None, "u", "<p>a</p>"), (None, "v", "only null"), (None, "w", "only null"), (2, "x", "<p>a</p>")]
+    rows += [(100 + i, "big", "".join(chr(0x4E00 + (i * 7919 + j * j) % 20000) for j in range(4000))) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "w")
+    warc.write_warc(pages, path, file_bytes=20_000)
+    assert len(list((tmp_path / "w").glob("part-*"))) > 3
+    got = warc.read_warc(spark, path).where("kind = 'record'").collect()
+    assert spark.read.format("binaryFile").load(path).count() > 3 and len(got) == len(rows)
+    kinds = sorted((r.page_id or -1, r.record_type, r.refers_to or -1) for r in got if r.url != "big")
+    assert kinds == sorted([(1, "response", -1), (1, "response", -1), (-1, "revisit", 1), (-1, "response", -1), (-1, "response", -1), (2, "revisit", 1)])
+
+
+def test_texts_without_spaces_are_cut():
+    text = ("日本語の文章です。" * 3 + "漢字，假名！abc") * 20_000
+    parts = list(bpe.cut(text, 1 << 16))
+    assert len(parts) > 5 and "".join(parts) == text
+    enc = bpe.encoding(queries.RANKS, public_tokenizers.PATTERN)
+    assert bpe.encode(text, queries.RANKS, public_tokenizers.PATTERN) == enc.encode_ordinary(text)
