@@ -17,15 +17,16 @@ def populate_units(projects: DataFrame, grids: DataFrame, cells: DataFrame, exis
     return rows.select("project_id", "h3_index", "cost", "status").dropDuplicates(["project_id", "h3_index"]).join(existing.select("project_id", "h3_index"), ["project_id", "h3_index"], "left_anti")
 
 
-def group_ids(df: DataFrame, key: str, id: str, drop_zero: bool = True) -> DataFrame:
-    """(key, ids) with ids in ascending order; key 0 is dropped if asked for. The long form is the one for large groups."""
+def group_ids(df: DataFrame, key: str, id: str, drop_zero: bool = True, nested: bool = True) -> DataFrame:
+    """(key, ids) with ids in ascending order, or with nested off the long form (key, id), the one for large groups: a list is one row
+    of one task. Key 0 is dropped if asked for."""
     rows = df.where(F.col(key) != 0) if drop_zero else df
-    return rows.groupBy(key).agg(F.array_sort(F.collect_list(id)).alias("ids"))
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(id)).alias("ids")) if nested else rows.select(key, id)
 
 
-def group_by_status(units: DataFrame) -> DataFrame:
-    """(status, ids): null counts as 0, and 0 stays."""
-    return group_ids(units.withColumn("status", F.coalesce(F.col("status").cast("int"), F.lit(0))), "status", "h3_index", drop_zero=False)
+def group_by_status(units: DataFrame, nested: bool = True) -> DataFrame:
+    """(status, ids), or (status, h3_index) with nested off: null counts as 0, and 0 stays."""
+    return group_ids(units.withColumn("status", F.coalesce(F.col("status").cast("int"), F.lit(0))), "status", "h3_index", drop_zero=False, nested=nested)
 
 
 def equal_interval_bins(df: DataFrame, col: str, n: int, clamp: bool = False, id: str = "id") -> DataFrame:
@@ -40,8 +41,9 @@ def equal_interval_bins(df: DataFrame, col: str, n: int, clamp: bool = False, id
     return all_.join(counts, "bin", "left").select("bin", (F.col("low") + F.col("size") * (F.col("bin") + 1)).alias("label"), F.coalesce("c", F.lit(0)).alias("n_rows"), "low", "high")
 
 
-def cost_layer(units: DataFrame, n: int = 9) -> DataFrame:
-    """(project_id, bin, low, high, ids, least, most) of costs in n right-closed bins of equal width for each project.
+def cost_layer(units: DataFrame, n: int = 9, nested: bool = True) -> DataFrame:
+    """(project_id, bin, low, high, ids, least, most) of costs in n right-closed bins of equal width for each project; with nested off
+    a row for each unit, with h3_index in place of ids.
 
     The lowest bin takes the least value too; if all costs are equal the edges lie 0.1 % of it (0.001 at 0) to both sides.
     low and high are the edges rounded to the fewest decimals (3 significant digits below 1) at which all differ, the lowest
@@ -55,9 +57,12 @@ def cost_layer(units: DataFrame, n: int = 9) -> DataFrame:
     edges = edges.withColumn("shown", F.coalesce(*(F.when(F.size(F.array_distinct(shown(p))) == n + 1, F.struct(shown(p).alias("s"), F.lit(10.0**-p).alias("u"))) for p in range(3, 16)), F.struct(F.col("e").alias("s"), F.lit(0.0).alias("u"))))
     rows = units.where(F.col("cost").isNotNull()).join(edges, "project_id")
     at = F.greatest(F.lit(0), F.size(F.filter("e", lambda x: x < F.col("cost"))) - 1)
-    out = rows.withColumn("bin", at).groupBy("project_id", "bin").agg(F.array_sort(F.collect_list("h3_index")).alias("ids"), F.first("shown").alias("shown"), F.first("least").alias("least"), F.first("most").alias("most"))
     low = F.get("shown.s", F.col("bin")) - F.when(F.col("bin") == 0, F.col("shown.u")).otherwise(0.0)
-    return out.select("project_id", "bin", F.round(low, 12).alias("low"), F.get("shown.s", F.col("bin") + 1).alias("high"), "ids", "least", "most")
+    shape = lambda df, ids: df.select("project_id", "bin", F.round(low, 12).alias("low"), F.get("shown.s", F.col("bin") + 1).alias("high"), ids, "least", "most")
+    if not nested:
+        return shape(rows.withColumn("bin", at), "h3_index")
+    out = rows.withColumn("bin", at).groupBy("project_id", "bin").agg(F.array_sort(F.collect_list("h3_index")).alias("ids"), F.first("shown").alias("shown"), F.first("least").alias("least"), F.first("most").alias("most"))
+    return shape(out, "ids")
 
 
 def _labels(e: str, p: int):

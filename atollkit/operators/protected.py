@@ -21,9 +21,9 @@ def protected_intersections(sites: DataFrame, units: DataFrame, size: float = 8.
     return spatial_join(units.select("id", "geometry"), near, size=size).select("iucn_cat", F.col("id").alias("puid")).distinct()
 
 
-def protected_by_category(pairs: DataFrame) -> DataFrame:
-    """(iucn_cat, ids): the units of each category."""
-    return group_ids(pairs, "iucn_cat", "puid", drop_zero=False)
+def protected_by_category(pairs: DataFrame, nested: bool = True) -> DataFrame:
+    """(iucn_cat, ids), or (iucn_cat, puid) with nested off: the units of each category."""
+    return group_ids(pairs, "iucn_cat", "puid", drop_zero=False, nested=nested)
 
 
 def protected_for_all(sites: DataFrame, units: DataFrame, size: float = 8.0) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from atollkit.operators.projects import group_ids
 
 
-def solution_units(solutions: DataFrame, run: int | None = None) -> DataFrame:
+def solution_units(solutions: DataFrame, run: int | None = None, nested: bool = True) -> DataFrame:
     """(run, selected, ids): units by value, 0 dropped."""
     rows = solutions.where("selected != 0") if run is None else solutions.where((F.col("run") == run) & (F.col("selected") != 0))
-    return rows.groupBy("run", "selected").agg(F.array_sort(F.collect_list("planning_unit")).alias("ids"))
+    return rows.groupBy("run", "selected").agg(F.array_sort(F.collect_list("planning_unit")).alias("ids")) if nested else rows.select("run", "selected", "planning_unit")
 
 
 def missing_values(mv: DataFrame) -> DataFrame:
@@ -23,9 +23,9 @@ def summed_solution(solutions: DataFrame) -> DataFrame:
     return solutions.groupBy("planning_unit").agg(F.sum("selected").alias("number"))
 
 
-def summed_by_number(summed: DataFrame) -> DataFrame:
+def summed_by_number(summed: DataFrame, nested: bool = True) -> DataFrame:
     """(number, ids), 0 dropped."""
-    return group_ids(summed, "number", "planning_unit")
+    return group_ids(summed, "number", "planning_unit", nested=nested)
 
 
 def best_run(summary: DataFrame, mv: DataFrame) -> DataFrame:

@@ -154,9 +154,10 @@ def fe15(t):
     return f.countries(gaul, eez)
 
 
-@query("fe16_prune_unused", "SELECT unique_id, alias FROM features WHERE created_by = 'global admin' OR unique_id IN (SELECT species FROM puvspr WHERE pu < 20)")
+@query("fe16_prune_unused", "SELECT unique_id, alias FROM features WHERE created_by = 'global admin' OR unique_id IN (SELECT species FROM puvspr GROUP BY species HAVING COUNT(*) % 2 = 0)")
 def fe16(t):
-    return f.prune_unused(t("features"), t("puvspr").where("pu < 20").select("species")).select("unique_id", "alias")
+    used = t("puvspr").groupBy("species").agg(F.count("*").alias("units")).where("units % 2 = 0")  # an even number of units: a use
+    return f.prune_unused(t("features"), used.select("species")).select("unique_id", "alias")
 
 
 @query("fe16_prune_unused_all", "SELECT unique_id, alias FROM features WHERE created_by = 'global admin' OR unique_id IN (SELECT species FROM puvspr)")
@@ -174,7 +175,8 @@ def pa1(t):
 
 @query("pa2_protected_by_category", f"SELECT iucn_cat, COUNT(*) AS n, MIN(puid) AS first FROM (SELECT DISTINCT s.iucn_cat, u.id AS puid FROM sites s JOIN units u ON {MEET}) x GROUP BY iucn_cat")
 def pa2(t):
-    return pa.protected_by_category(pa.protected_intersections(sites(t), unit_squares(t))).select("iucn_cat", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first"))
+    rows = pa.protected_by_category(pa.protected_intersections(sites(t), unit_squares(t)), nested=False)
+    return rows.groupBy("iucn_cat").agg(F.count("*").alias("n"), F.min("puid").alias("first"))
 
 
 @query("pa3_protected_for_all", f"SELECT DISTINCT u.status AS grid_id, s.iucn_cat, u.id AS puid FROM sites s JOIN units u ON {MEET}")

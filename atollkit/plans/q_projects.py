@@ -23,7 +23,7 @@ def pu2(t):
 
 @query("pu3_group_by_status", "SELECT COALESCE(status, 0) AS status, COUNT(*) AS n, MIN(h3_index) AS first FROM project_units GROUP BY COALESCE(status, 0)")
 def pu3(t):
-    return p.group_by_status(t("project_units")).select("status", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first"))
+    return p.group_by_status(t("project_units"), nested=False).groupBy("status").agg(F.count("*").alias("n"), F.min("h3_index").alias("first"))
 
 
 @query("pu4_equal_interval_bins", "SELECT CAST(b AS INT) AS bin, round(low + size * (b + 1), 6) AS label, COALESCE(n, 0) AS n_rows FROM (SELECT MIN(cost) AS low, (MAX(cost) + 1 - MIN(cost)) / 7 AS size FROM units) e CROSS JOIN (SELECT unnest(range(0, 7)) AS b) s LEFT JOIN (SELECT CAST(floor((cost - low) / size) AS INT) AS bin, COUNT(*) AS n FROM units CROSS JOIN (SELECT MIN(cost) AS low, (MAX(cost) + 1 - MIN(cost)) / 7 AS size FROM units) x GROUP BY 1) c ON c.bin = b")
@@ -33,7 +33,7 @@ def pu4(t):
 
 @query("pu5_cost_layer", "SELECT project_id, bin, COUNT(*) AS n, MIN(h3_index) AS first FROM (SELECT u.project_id, h3_index, CAST(greatest(0, list_count(list_filter(e, lambda x: x < u.cost)) - 1) AS INT) AS bin FROM project_units u JOIN (SELECT project_id, list_transform(range(0, 10), lambda k: CASE WHEN k = 0 THEN a - (b - a) * 0.001 WHEN k = 9 THEN b ELSE a + k * ((b - a) / 9) END) AS e FROM (SELECT project_id, MIN(cost) AS a, MAX(cost) AS b FROM project_units GROUP BY project_id) m) z USING (project_id)) q GROUP BY project_id, bin")
 def pu5(t):
-    return p.cost_layer(t("project_units")).select("project_id", "bin", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first"))
+    return p.cost_layer(t("project_units"), nested=False).groupBy("project_id", "bin").agg(F.count("*").alias("n"), F.min("h3_index").alias("first"))
 
 
 @query("pu6_project_units", f"SELECT u.project_id, u.h3_index, c.resolution, u.cost, u.status FROM project_units u JOIN cells c USING (h3_index) JOIN projects p ON p.id = u.project_id JOIN grids g ON g.unique_id = p.planning_unit_id WHERE c.resolution = 6 AND lower(trim(c.project_area)) = {AREA}")

@@ -23,7 +23,8 @@ def evaluated(t):
 
 @query("rs1_solution_units", "SELECT run, selected, COUNT(*) AS n, MIN(planning_unit) AS first, MAX(planning_unit) AS last FROM solutions WHERE selected != 0 GROUP BY run, selected")
 def rs1(t):
-    return r.solution_units(t("solutions")).select("run", "selected", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first"), F.element_at("ids", -1).alias("last"))
+    rows = r.solution_units(t("solutions"), nested=False)
+    return rows.groupBy("run", "selected").agg(F.count("*").alias("n"), F.min("planning_unit").alias("first"), F.max("planning_unit").alias("last"))
 
 
 @query("rs2_missing_values", f"SELECT run, id AS feature, round(target, 4) AS target, held, CASE WHEN met THEN 'yes' ELSE 'no' END AS target_met, round(mpm, 6) AS mpm FROM ({EVALUATED}) e")
@@ -34,7 +35,8 @@ def rs2(t):
 
 @query("rs3_summed_solution", "SELECT number, COUNT(*) AS n, MIN(planning_unit) AS first FROM (SELECT planning_unit, CAST(SUM(selected) AS BIGINT) AS number FROM solutions GROUP BY planning_unit) x WHERE number != 0 GROUP BY number")
 def rs3(t):
-    return r.summed_by_number(r.summed_solution(t("solutions"))).select("number", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first"))
+    rows = r.summed_by_number(r.summed_solution(t("solutions")), nested=False)
+    return rows.groupBy("number").agg(F.count("*").alias("n"), F.min("planning_unit").alias("first"))
 
 
 @query("rs4_best_run", f"SELECT e.run, e.id, e.held FROM ({EVALUATED}) e WHERE e.run = (SELECT run FROM (SELECT run, SUM(selected) AS score FROM solutions GROUP BY run) s ORDER BY score, run LIMIT 1)")
