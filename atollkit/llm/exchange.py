@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from atollkit.llm.common import trim
+
 U = np.uint64
 ANSWER = "block int, level int, data binary"
 HOP = "crew int, zone int, bucket int, data binary"
@@ -103,11 +105,13 @@ def over_blocks(blocked: DataFrame, answers: DataFrame | None, fn: Callable, sch
     """fn(block, ids, texts, rest, answers by level and bucket) for each block."""
     if answers is None:
         def alone(key, t):
+            trim()
             return fn(key[0].as_py(), *sorted_rows(t), {})
 
         return blocked.groupBy("block").applyInArrow(alone, schema)
 
     def both(key, t, a):
+        trim()
         return fn(key[0].as_py(), *sorted_rows(t), _by_level(a))
 
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(both, schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atollkit.llm.common import pinned, texts
+from atollkit.llm.common import pinned, texts, trim
 from atollkit.llm.tokens import pieces as encoder
 
 SHARD, ISLANDS, EPOCHS, POPULATION = 4096, 4, 2, 8
@@ -28,6 +28,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, ids: bool =
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.binary())] if ids else [])]
 
     def run(batches):
+        trim()
         tok, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for b in batches:
             out: list[list] = [[] for _ in fields]
@@ -40,6 +41,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, ids: bool =
                         column.append(x)
                     at, stop, k = stop, stop + size, k + 1
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(out, fields, strict=True)], [n for n, _ in fields])
+        trim()
 
     return texts(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids)
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atollkit.llm.common import U, Words, prefix_sums, runs, windows_hash
+from atollkit.llm.common import U, Words, prefix_sums, runs, trim, windows_hash
 
 CELLS = 512
 WIDTH = 256 + CELLS + 6
@@ -162,6 +162,7 @@ def total_moments(texts: DataFrame) -> np.ndarray:
     corner = np.triu_indices(WIDTH + 1)
 
     def first(batches):
+        trim()
         total = np.zeros((WIDTH + 1, WIDTH + 1))
         for b in batches:
             for x in feature_runs(b.column("text").cast(pa.binary()).to_pylist()):
@@ -260,6 +261,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        trim()
         for t in texts:
             yield pa.array(np.concatenate([np.zeros(0), *(load(raw).score(x) for x in feature_runs(t.cast(pa.binary()).to_pylist()))]), pa.float64())
 

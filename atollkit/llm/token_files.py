@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from atollkit.llm.common import new_path, texts
+from atollkit.llm.common import new_path, texts, trim
 from atollkit.llm.tokens import pieces
 
 MAGIC, TRAILER = b"REPAIR01", b"\xffEND\xfe\n"
@@ -175,6 +175,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
     total = rows.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
 
     def run(batches):
+        trim()
         tok, part, shard = pieces(tokenizer, literal), TaskContext.get().partitionId(), 0
         vocab = max(tok.size_of_vocab, end_id + 1)
         most_rules = (1 << 16) - vocab if vocab < 1 << 16 else 1 << 16

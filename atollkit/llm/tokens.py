@@ -21,7 +21,7 @@ CACHE = 16 << 20
 #: Longer pieces are never kept.
 LONGEST = 64
 #: Bytes that are split into pieces together.
-RUN = 1 << 20
+RUN = 1 << 19
 #: Classes of bytes.
 OTHER, LETTER, DIGIT, MARK, BLANK, BREAK = range(6)
 CLASS = np.full(256, OTHER, np.uint8)
