@@ -53,6 +53,7 @@ def release(spark: SparkSession) -> None:
     garbage collection. A query of many checkpoints needs it: without it the Jaccard join took 2.4 GB of disk instead of
     1.7 for 0.5 GB of input, and released only after large checkpoints 1.5 GB of the driver instead of 1.25."""
     gc.collect()
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 
