@@ -25,6 +25,7 @@ VIEWS = {
     "params": "SELECT o_orderkey AS project_id, concat('Input file\\nBLM ', o_custkey, '\\nNUMREPS ', o_orderkey % 100, '\\nPRIVATE ', CASE WHEN o_orderkey % 2 = 0 THEN 'True' ELSE 'False' END, '\\nPLANNING_UNIT_NAME pu_', lower(o_orderstatus), '\\n') AS text FROM orders",
     "sites": "SELECT c_custkey AS site_id, c_mktsegment AS iucn_cat, c_custkey % 47 AS x0, c_custkey * 7 % 41 AS y0, c_custkey % 47 + 1 + c_custkey % 5 AS x1, c_custkey * 7 % 41 + 1 + c_custkey % 4 AS y1 FROM customer",
     "boxes": "SELECT s_suppkey AS feature_id, s_suppkey * 3 % 43 AS x0, CAST(s_suppkey * 11 % 37 + floor(s_suppkey / 37) * 37 AS BIGINT) AS y0, s_suppkey * 3 % 43 + 2 + s_suppkey % 6 AS x1, CAST(s_suppkey * 11 % 37 + floor(s_suppkey / 37) * 37 + 1 + s_suppkey % 5 AS BIGINT) AS y1 FROM supplier",
+    "places": "SELECT s_suppkey AS feature_id, s_suppkey * 3 % 43 AS x0, CAST((s_suppkey * 11 % 37 + floor(s_suppkey / 37) * 37) % 150 - 75 AS BIGINT) AS y0, s_suppkey * 3 % 43 + 2 + s_suppkey % 6 AS x1, CAST((s_suppkey * 11 % 37 + floor(s_suppkey / 37) * 37) % 150 - 74 + s_suppkey % 5 AS BIGINT) AS y1 FROM supplier",
     "raster": "SELECT concat('eco_', l_suppkey % 5) AS layer, CAST(l_partkey % 40 AS INT) AS r, CAST(floor(l_partkey / 40) AS INT) AS c, MAX(CAST(round(l_discount * 100) AS DOUBLE)) AS v FROM lineitem GROUP BY l_suppkey % 5, l_partkey % 40, floor(l_partkey / 40)",
     "stressors": "SELECT concat('p_', l_linenumber) AS layer, CAST(l_partkey % 40 AS INT) AS r, CAST(floor(l_partkey / 40) AS INT) AS c, MAX(CAST(round(l_tax * 100) AS DOUBLE)) AS v FROM lineitem GROUP BY l_linenumber, l_partkey % 40, floor(l_partkey / 40)",
     "sens": "SELECT concat('eco_', e) AS eco, concat('p_', p) AS pressure, CAST((e * 3 + p) % 4 AS INT) AS score FROM (SELECT DISTINCT s_suppkey % 5 AS e FROM supplier) a CROSS JOIN (SELECT DISTINCT l_linenumber AS p FROM lineitem) b",

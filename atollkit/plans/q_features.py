@@ -11,8 +11,9 @@ from atollkit.plans.q_results import STATS, TARGETS
 UNIT = "p_partkey % 50", "CAST(floor(p_partkey / 50) AS BIGINT)"
 
 
-def boxes(t, name="geometry"):
-    b = t("boxes")
+def boxes(t, name="geometry", view="boxes"):
+    """Boxes as rectangles; the view "places" has them between 75 south and 80 north, whatever the scale."""
+    b = t(view)
     return b.select("feature_id", crs.box_geometry(b.x0, b.y0, b.x1, b.y1).alias(name))
 
 
@@ -70,11 +71,15 @@ def fe6(t):
     return f.polygon_amounts(boxes(t, "other"), unit_squares(t))
 
 
-@query("fe6_amounts_metric", f"SELECT u.status AS project_id, b.feature_id, u.id, round(radians(least(b.x1, u.ix + 1) - greatest(b.x0, u.ix)) * 6371228.0 * 6371228.0 * (sin(radians(least(b.y1, u.iy + 1) / 100.0)) - sin(radians(greatest(b.y0, u.iy) / 100.0))) / 1e6, 2) AS km2 FROM boxes b JOIN units u ON {OVERLAP} > 0")
+#: Rows of the lattice that make a degree: 100, or more where the tables would else reach beyond 80 degrees north.
+ROWS = "(SELECT greatest(100, CAST(ceil(MAX(y) / 80.0) AS BIGINT)) AS d FROM (SELECT MAX(iy) + 1 AS y FROM units UNION ALL SELECT MAX(y1) AS y FROM boxes) m)"
+
+
+@query("fe6_amounts_metric", f"SELECT u.status AS project_id, b.feature_id, u.id, round(radians(least(b.x1, u.ix + 1) - greatest(b.x0, u.ix)) * 6371228.0 * 6371228.0 * (sin(radians(least(b.y1, u.iy + 1) * 1.0 / d)) - sin(radians(greatest(b.y0, u.iy) * 1.0 / d))) / 1e6, 2) AS km2 FROM boxes b JOIN units u ON {OVERLAP} > 0 CROSS JOIN {ROWS} z")
 def fe6c(t):
-    u, b = t("units"), t("boxes")
-    units = u.select("id", F.col("status").alias("project_id"), crs.box_geometry(u.ix, u.iy / 100, u.ix + 1, (u.iy + 1) / 100).alias("geometry"))
-    features = b.select("feature_id", crs.box_geometry(b.x0, b.y0 / 100, b.x1, b.y1 / 100).alias("other"))
+    d, u, b = t.sql(f"SELECT d FROM {ROWS} z").first()[0], t("units"), t("boxes")
+    units = u.select("id", F.col("status").alias("project_id"), crs.box_geometry(u.ix, u.iy / d, u.ix + 1, (u.iy + 1) / d).alias("geometry"))
+    features = b.select("feature_id", crs.box_geometry(b.x0, b.y0 / d, b.x1, b.y1 / d).alias("other"))
     out = f.polygon_amounts(features, units, project="project_id", metric=True)
     return out.select("project_id", "feature_id", "id", F.round(F.col("amount") / 1e6, 2).alias("km2"))
 

@@ -11,30 +11,30 @@ from atollkit.plans.q_features import DISSOLVED, MEET, boxes, notched_sites, sit
 R, K = 6371228.0, "cos(radians(30.0))"
 
 
-@query("cr1_ease_area", f"SELECT feature_id, round(radians(x1 - x0) * {R} * {R} * (sin(radians(y1 * 1.0)) - sin(radians(y0 * 1.0))) / 1e6, 1) AS km2 FROM boxes")
+@query("cr1_ease_area", f"SELECT feature_id, round(radians(x1 - x0) * {R} * {R} * (sin(radians(y1 * 1.0)) - sin(radians(y0 * 1.0))) / 1e6, 1) AS km2 FROM places")
 def cr1(t):
-    return boxes(t).select("feature_id", F.round(crs.planar_area(crs.to_ease_grid(F.col("geometry"))) / 1e6, 1).alias("km2"))
+    return boxes(t, view="places").select("feature_id", F.round(crs.planar_area(crs.to_ease_grid(F.col("geometry"))) / 1e6, 1).alias("km2"))
 
 
 E = "0.0818191908426215"
 Q = f"((1 - {E} * {E}) * (sin(radians(y)) / (1 - {E} * {E} * sin(radians(y)) * sin(radians(y))) - ln((1 - {E} * sin(radians(y))) / (1 + {E} * sin(radians(y)))) / (2 * {E})))"
 
 
-@query("cr2_ease2_area", f"SELECT feature_id, round(radians(x1 - x0) * 6378137.0 * 6378137.0 / 2 * (({Q.replace('(y)', '(y1 * 1.0)')}) - ({Q.replace('(y)', '(y0 * 1.0)')})) / 1e6, 0) AS km2 FROM boxes")
+@query("cr2_ease2_area", f"SELECT feature_id, round(radians(x1 - x0) * 6378137.0 * 6378137.0 / 2 * (({Q.replace('(y)', '(y1 * 1.0)')}) - ({Q.replace('(y)', '(y0 * 1.0)')})) / 1e6, 0) AS km2 FROM places")
 def cr2(t):
-    return boxes(t).select("feature_id", F.round(crs.planar_area(crs.to_ease2(F.col("geometry"))) / 1e6, 0).alias("km2"))
+    return boxes(t, view="places").select("feature_id", F.round(crs.planar_area(crs.to_ease2(F.col("geometry"))) / 1e6, 0).alias("km2"))
 
 
-@query("cr3_albers_round_trip", "SELECT feature_id, CAST(x0 AS DOUBLE) AS x, CAST(y0 AS DOUBLE) AS y FROM boxes")
+@query("cr3_albers_round_trip", "SELECT feature_id, CAST(x0 AS DOUBLE) AS x, CAST(y0 AS DOUBLE) AS y FROM places")
 def cr3(t):
-    flat = boxes(t).select("feature_id", crs.to_albers(F.col("geometry"))[0][0].alias("p"))
+    flat = boxes(t, view="places").select("feature_id", crs.to_albers(F.col("geometry"))[0][0].alias("p"))
     there = flat.select("feature_id", crs.albers_inverse("p.x", "p.y").alias("q"))
     return there.select("feature_id", (F.round("q.x", 6) + 0.0).alias("x"), (F.round("q.y", 6) + 0.0).alias("y"))
 
 
-@query("cr4_split_at_dateline", "SELECT feature_id, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area FROM boxes")
+@query("cr4_split_at_dateline", "SELECT feature_id, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area FROM places")
 def cr4(t):
-    b = t("boxes")
+    b = t("places")
     turn = lambda x: F.when(x + 160 > 180, x - 200).otherwise(x + 160)
     wrapped = b.select("feature_id", crs.box_geometry(turn(b.x0), b.y0, turn(b.x1), b.y1).alias("geometry"))
     parts = f.split_at_dateline(wrapped)

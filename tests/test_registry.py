@@ -67,6 +67,27 @@ def test_on_empty_tables(spark, nothing, name):
     assert QUERIES[name](spark, nothing).count() == (name in one)
 
 
+@pytest.mark.parametrize("name", ["cr1_ease_area", "cr2_ease2_area", "cr3_albers_round_trip", "cr4_split_at_dateline", "fe6_amounts_metric"])
+def test_latitudes_stay_on_the_globe(spark, duck, name):
+    """At a scale where the boxes climb beyond 90 rows."""
+    at = SF.replace("sf0.001", "sf0.01")
+    c = duckdb.connect()
+    for t in domain.TABLES:
+        c.execute(f"create view {t} as select * from '{at}/{t}.parquet'")
+    df, want = QUERIES[name](spark, at), c.execute(ORACLES[name])
+    assert rows(df.columns, df.collect()) == rows([x[0] for x in want.description], want.fetchall())
+
+
+def test_without_training_operators(spark, monkeypatch):
+    """Where their folder is gone, so are their queries and the pipeline, and nothing else."""
+    import importlib.util
+
+    found = importlib.util.find_spec
+    monkeypatch.setattr(__spark_entry__.importlib.util, "find_spec", lambda name: None if name == "atollkit.llm" else found(name))
+    assert set(__spark_entry__.queries()) == set(QUERIES)
+    assert set(__spark_entry__.oracle_sql()) == set(ORACLES)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
