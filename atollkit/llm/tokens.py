@@ -105,7 +105,7 @@ class Pieces:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
-        self.path = path
+        self.path, self.plain = path, None
         self.tok = Tokenizer.from_file(path)
         self.added = [] if literal else [a.content for a in self.tok.get_added_tokens_decoder().values()]
         self.tok.encode_special_tokens = True  # pieces hold no added token, or are to be read literally
@@ -125,11 +125,11 @@ class Pieces:
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         """Texts with added tokens, by the plain library call."""
-        if not texts:
-            return []
-        from tokenizers import Tokenizer
+        if self.plain is None:
+            from tokenizers import Tokenizer
 
-        return self._each(texts, Tokenizer.from_file(self.path))
+            self.plain = Tokenizer.from_file(self.path)
+        return self._each(texts, self.plain)
 
     def _learn(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces from the library. Simple ones that begin with a space are encoded as one text: the tokens that
@@ -141,7 +141,7 @@ class Pieces:
             text = "\0".join([pieces[i] for i in part]).encode().decode("latin-1").translate(self.letters)
             ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.spaced[ids])
-            if len(at) == len(part):
+            if part and len(at) == len(part):
                 raw, at = ids.tobytes(), (at * 4).tolist()
                 for i, a, b in zip(part, at, [*at[1:], len(raw)], strict=True):
                     out[i] = raw[a:b]

@@ -155,7 +155,7 @@ def dual_tree(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray
                 good = (most >= best.kth[rows][:, None]).any(0)
                 front, most = front[good], most[:, good]
                 order = np.argsort(-most.max(0), kind="stable") if len(front) else np.zeros(0, np.int64)
-                n = max(TOGETHER, len(order) // 4)
+                n = max(TOGETHER, len(order) // 4) if np.isfinite(best.kth[rows]).all() else 2  # without a kth score nothing can be left out yet
                 now, front, most = front[order[:n]], front[order[n:]], most[:, order[n:]]
                 single = tree.size[now] == 0
                 if single.any():

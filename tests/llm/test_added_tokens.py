@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from atollkit.llm import packing, queries, tokens
+from atollkit.llm import packing, queries, token_files, tokens
 from atollkit.llm.tokens import Pieces
 
 TEXTS = ["end of file <|endoftext|> next", "", "no such token here", "<|endoftext|>", "a<|endoftext|><|endoftext|>b  c", "<|endoftext <|endof text|>", " x y" * 900 + " <|endoftext|>" + " y z" * 900]
@@ -59,3 +59,17 @@ def test_odd_texts_and_a_small_cache(monkeypatch):
         for _ in range(2):
             assert list(tok.encode(texts)) == want
         assert tok.young.size() <= room // 2
+
+
+def test_short_texts_and_a_warm_cache():
+    """Chunks in which no piece begins with a space, or all but one are known."""
+    plain = Tokenizer.from_file(queries.JSON)
+    tok = Pieces(queries.JSON)
+    for texts in (["abc"], ["the cat sat on the mat"], ["dog"], ["", ""], ["a", "", " b", "c"], ["\n", " ", "x\ny"], ["the cat", "7", "!"], ["<|endoftext|>", "q"]):
+        assert list(tok.encode(texts)) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_one_word_tables(spark):
+    docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
+    assert [(r.doc_id, r.length, r.offset) for r in packing.pack(docs, queries.JSON, end_id=0, size=2048).collect()] == [(1, 2, 0)]
+    assert [(r.doc_id, r.start, r.n_tokens) for r in token_files.token_files(docs, queries.JSON, end_id=2, ids=False, literal=False).collect()] == [(1, 0, 2)]
