@@ -82,3 +82,36 @@ pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM s a JOIN s
 link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * both_ >= {percent} * (x.n + y.n - both_)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.component_id FROM d LEFT JOIN size USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)"""
+
+
+def hard_negatives(scale: int = 256, anchors: int = 50, positives: int = 5, negatives: int = 3) -> str:
+    return f"""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS e FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id != c.vec_id WHERE a.vec_id % {anchors} = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same) x WHERE n <= {positives}),
+n AS (SELECT p.anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {negatives}"""
+
+
+def merkle() -> str:
+    def leaf(n_chars: str) -> str:
+        texts = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", n_chars, "text")]
+        said = " || ".join(f"coalesce(CAST(strlen({t}) AS VARCHAR) || ':' || {t}, '-')" for t in texts)
+        return f"sha256({said})"
+
+    byte = "list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda a, z: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(i AS INT), 1)) AS BIGINT))), lambda c, b: {byte}))"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, lang, {leaf("n_chars")} AS leaf, CASE WHEN {crc} % 7 = 0 THEN {leaf("n_chars + 1")} ELSE {leaf("n_chars")} END AS present FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+t AS (SELECT 0 AS k, lang, pos AS i, n, leaf AS h FROM l UNION ALL SELECT k + 1, lang, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY k, lang, i // 2, n),
+s AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS k, i, n, h FROM s UNION ALL SELECT k + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY k, i // 2, n),
+f AS (SELECT 0 AS k, l.lang, l.pos, l.pos AS i, n, present AS h, '' AS proof FROM l UNION ALL
+SELECT f.k + 1, f.lang, f.pos, f.i // 2, (f.n + 1) // 2, sha256(CASE WHEN f.i % 2 = 1 THEN t.h || f.h ELSE f.h || coalesce(t.h, '') END), f.proof || coalesce(t.h, '')
+FROM f LEFT JOIN t ON t.k = f.k AND t.lang IS NOT DISTINCT FROM f.lang AND t.i = xor(f.i, 1) WHERE f.n > 1),
+g AS (SELECT 0 AS k, f.lang, f.pos, s.i, s.n, f.h, f.proof FROM f JOIN s ON s.lang IS NOT DISTINCT FROM f.lang WHERE f.n = 1 UNION ALL
+SELECT g.k + 1, g.lang, g.pos, g.i // 2, (g.n + 1) // 2, sha256(CASE WHEN g.i % 2 = 1 THEN u.h || g.h ELSE g.h || coalesce(u.h, '') END), g.proof || coalesce(u.h, '')
+FROM g LEFT JOIN u ON u.k = g.k AND u.i = xor(g.i, 1) WHERE g.n > 1)
+SELECT l.doc_id, l.leaf, s.h AS subroot, r.h AS root, sha256(g.proof) AS proof_sha256, g.h AS folded_root, g.h = r.h AS verified
+FROM l JOIN g ON g.n = 1 AND g.pos = l.pos AND g.lang IS NOT DISTINCT FROM l.lang JOIN s ON s.lang IS NOT DISTINCT FROM l.lang CROSS JOIN (SELECT h FROM u WHERE n = 1) r"""

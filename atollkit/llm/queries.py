@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, and their SQL where DuckDB can express it."""
+"""Registered queries of the thirteen operators, and their SQL where DuckDB can express it."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atollkit.llm import bpe, jaccard_join, oracles, packing, quality, rules, substring_dedup, suffix_dedup, token_files, topk, warc
+from atollkit.llm import bpe, hard_negatives, jaccard_join, merkle, oracles, packing, quality, rules, sentence_pieces, substring_dedup, suffix_dedup, token_files, topk, warc
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -65,8 +66,21 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"), n=5, percent=80)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"), tampered=merkle.crc32_of_id(F.col("doc_id")) % 7 == 0, proofs=False)
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.sentence_pieces(read(spark, sf_dir, "documents"), PIECES, ids=False, decoded=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_warc_salvage, op3_quality_classifier, op4_best_fit_packing, op5_bpe_round_trip, op6_suffix_array_dedup, op7_cover_tree_top_k, op8_repair_token_files, op9_quality_rules, op10_jaccard_join)
+    f.__name__: f for f in (op1_substring_dedup, op2_warc_salvage, op3_quality_classifier, op4_best_fit_packing, op5_bpe_round_trip, op6_suffix_array_dedup, op7_cover_tree_top_k, op8_repair_token_files, op9_quality_rules, op10_jaccard_join, op11_hard_negatives, op12_merkle_manifest, op13_sentence_pieces)
 }
 #: The others need a tokenizer or a model; tests hold them against brute force, round trips or held-out rows.
 ORACLES: dict[str, str] = {
@@ -76,4 +90,6 @@ ORACLES: dict[str, str] = {
     "op7_cover_tree_top_k": oracles.top_k(10, 1024, 100),
     "op9_quality_rules": oracles.quality_rules(),
     "op10_jaccard_join": oracles.jaccard(5, 80),
+    "op11_hard_negatives": oracles.hard_negatives(),
+    "op12_merkle_manifest": oracles.merkle(),
 }
