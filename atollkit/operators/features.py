@@ -10,7 +10,7 @@ from atollkit.functions import crs, kernels
 from atollkit.functions.geometry_udf import arrow_polygons, polygons, rowwise
 from atollkit.functions.scalars import fmt_date, format_eunis, unique_feature_name
 from atollkit.operators.grid import insert_if_absent
-from atollkit.operators.spatial import candidates, overlaps, points_in_polygons, union_area
+from atollkit.operators.spatial import overlap_areas, points_in_polygons, union_area
 
 
 def split_layer(layer: DataFrame, field: str | None = None, name: str | None = None, source: str = "layer") -> DataFrame:
@@ -22,7 +22,7 @@ def split_layer(layer: DataFrame, field: str | None = None, name: str | None = N
     return rows.withColumns({"feature_class_name": unique_feature_name("f_", alias), "alias": alias, "description": F.lit(f"Imported from '{source}' and split by '{field}' field")})
 
 
-def register_polygon_features(layer: DataFrame, existing: DataFrame, size: float = 8.0, metric: bool = False) -> DataFrame:
+def register_polygon_features(layer: DataFrame, existing: DataFrame, size: float | None = None, metric: bool = False) -> DataFrame:
     """existing (feature_class_name, alias, _area, x0, y0, x1, y1, source) and the layer's features: dissolved area and box.
 
     With metric the layer is in degrees and areas are in square metres of EPSG:3410 (size is then in metres); the box stays in degrees. A
@@ -39,7 +39,7 @@ def register_point_features(layer: DataFrame) -> DataFrame:
     return layer.groupBy("feature_class_name").agg(F.sum("value").alias("_area"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.lit("Imported shapefile (points)").alias("source"))
 
 
-def import_by_code(layer: DataFrame, rejects: DataFrame, code: str, texts: list[str], size: float = 8.0) -> DataFrame:
+def import_by_code(layer: DataFrame, rejects: DataFrame, code: str, texts: list[str], size: float | None = None) -> DataFrame:
     """A row for each non-null code: dissolved area rounded to 2, box, the largest of three texts ('' for null), status and
     message. A code with any rejected part (rejects: code, reason) has failed; one group-by, no loop over codes."""
     rows = layer.where(F.col(code).isNotNull())
@@ -58,26 +58,21 @@ def eunis_code_index(layer: DataFrame, code: str, order: str) -> DataFrame:
     return numbered.groupBy(format_eunis(F.col(code)).alias("code")).agg(F.max("id").alias("id"))
 
 
-def polygon_amounts(features: DataFrame, units: DataFrame, size: float = 8.0, project: str | None = None, metric: bool = False) -> DataFrame:
+def polygon_amounts(features: DataFrame, units: DataFrame, size: float | None = None, project: str | None = None, metric: bool = False) -> DataFrame:
     """(feature_id, id, amount): area of each feature (feature_id, other) within each unit (id, geometry), over 0; with project, a
     column of units, also that column. Any simple polygons will do, with holes or concave.
 
     With metric both are given in degrees and the amount is in square metres of EPSG:3410: the projection is a
-    cylinder's, which keeps boxes boxes. Features and units meet on tiles (of the given coordinates); amounts add up before anything else is joined."""
+    cylinder's, which keeps boxes boxes. Amounts add up before anything else is joined."""
     keys = ["feature_id", *([project] if project else []), "id"]
-    pairs = candidates(units.select(*keys[1:], "geometry"), features.select("feature_id", "other"), "geometry", "other", size)
-    if metric:
-        flat = lambda c: crs.to_ease_grid(F.col(c))
-        box = lambda c: F.struct(crs.bbox(flat(c)).alias("b"), F.col(f"{c}_own").alias("own"))
-        pairs = pairs.withColumns({"geometry_own": F.col("_a.own"), "other_own": F.col("_b.own")}).withColumns({"_a": box("geometry"), "_b": box("other"), "geometry": flat("geometry"), "other": flat("other")})
-        pairs = pairs.withColumns({c: F.struct(f"{c}.b.*", f"{c}.own") for c in ("_a", "_b")})
-    sums = pairs.select(*keys, overlaps(pairs, "geometry", "other").alias("amount")).groupBy(*keys).agg(F.sum("amount").alias("amount"))
-    return sums.where("amount > 0")
+    flat = lambda df, c: df.withColumn(c, crs.to_ease_grid(F.col(c))) if metric else df
+    pairs = overlap_areas(flat(units.select(*keys[1:], "geometry"), "geometry"), flat(features.select("feature_id", "other"), "other"), size=size)
+    return pairs.groupBy(*keys).agg(F.sum("area").alias("amount"))
 
 
-def point_amounts(points: DataFrame, units: DataFrame, size: float = 8.0) -> DataFrame:
+def point_amounts(points: DataFrame, units: DataFrame, size: float | None = None) -> DataFrame:
     """(feature_id, id, amount): sum of the values of a feature's points (feature_id, x, y, value) within each unit."""
-    return points_in_polygons(points, units.select("id", "geometry"), size).groupBy("feature_id", "id").agg(F.sum("value").alias("amount"))
+    return points_in_polygons(points, units.select("id", "geometry"), size, geometries=False).groupBy("feature_id", "id").agg(F.sum("value").alias("amount"))
 
 
 def replace_amounts(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from atollkit.functions import crs, kernels
 from atollkit.functions.geometry_udf import rowwise
 from atollkit.functions.scalars import grid_name, scale_level
-from atollkit.operators.spatial import spatial_join
+from atollkit.operators.spatial import overlay_polygons, spatial_join
 
 R3 = math.sqrt(3)
 
@@ -140,7 +140,7 @@ def make_grid(area: DataFrame, box: tuple, kind: str, cell_width: float | None =
     kept = clip_grid(cells, area) if clip else cells_intersecting(cells, area)
     at = kept.groupBy("r").agg(F.count("*").alias("n"))
     before = at.select("r", (F.sum("n").over(Window.orderBy("r")) - F.col("n")).alias("before"))  # one row a lattice row
-    place = F.row_number().over(Window.partitionBy("r").orderBy("c"))
+    place = F.row_number().over(Window.partitionBy("r").orderBy("c", "geometry"))
     return kept.withColumn("place", place).join(before, "r").select((F.col("before") + F.col("place")).alias("id"), "geometry")
 
 
@@ -154,16 +154,15 @@ def clip_to_box(cells: DataFrame, box: tuple) -> DataFrame:
 
 
 def clip_grid(cells: DataFrame, area: DataFrame) -> DataFrame:
-    """Cells (convex, with a key cell) cut to the polygons of area, attributes kept; only parts with an area remain."""
-    cut = rowwise(lambda a, b: kernels.clip_polygon(b, a[0]), crs.GEOMETRY)
-    pairs = spatial_join(cells, area.select(F.col("geometry").alias("other")), "geometry", "other")
-    out = pairs.withColumn("geometry", cut("geometry", "other")).select(*cells.columns)
-    return out.where((F.size("geometry") > 0) & (crs.planar_area(F.col("geometry")) > 0))
+    """Cells (any polygons, with a key cell) cut to the polygons of area, attributes kept: a row for each polygon of what a cell and an
+    area share, so a cell that the area's arms cross gives several. What only touches gives none."""
+    return overlay_polygons(cells, area.select(F.col("geometry").alias("other"))).select(*cells.columns)
 
 
 def cells_intersecting(cells: DataFrame, area: DataFrame) -> DataFrame:
     """Cells that meet any polygon of area; none gives an empty table."""
-    return spatial_join(cells, area.select(F.col("geometry").alias("other")), "geometry", "other").select(*cells.columns).dropDuplicates(["cell"])
+    found = spatial_join(cells.select("cell", "geometry"), area.select(F.col("geometry").alias("other")), "geometry", "other", geometries=False)
+    return cells.join(found.select("cell").distinct(), "cell", "left_semi").select(*cells.columns)
 
 
 def number_units(df: DataFrame, by: str, order: str) -> DataFrame:

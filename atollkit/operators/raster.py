@@ -115,7 +115,7 @@ def mask_by_polygon(cells: DataFrame, polygons: DataFrame, grid: tuple) -> DataF
     """Cells whose centre lies in any polygon."""
     x0, y0, dx, dy = grid[:4]
     points = cells.withColumns({"x": x0 + (F.col("c") + 0.5) * dx, "y": y0 - (F.col("r") + 0.5) * dy})
-    return points_in_polygons(points, polygons.select("geometry")).select(cells.columns).distinct()
+    return points_in_polygons(points, polygons.select("geometry"), geometries=False).select(cells.columns).distinct()
 
 
 def cost_from_impact(cells: DataFrame, units: DataFrame, grid: tuple) -> DataFrame:

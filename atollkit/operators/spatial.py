@@ -1,29 +1,22 @@
-"""Spatial joins over tiles, shared and outer boundaries, and dissolved area."""
+"""Spatial joins over an adaptive tree of cells, shared and outer boundaries, and dissolved area."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from atollkit.functions import crs, kernels
-from atollkit.functions.geometry_udf import is_box, points_inside, polygons, rowwise
+from atollkit.functions.geometry_udf import KINDS, arrow_polygons, flat, is_box
+from atollkit.functions.overlay import Overlay, Shapes, covered, inside, portions
+from atollkit.operators.tiling import Tiling, fitted
 
 PREDICATES = {"intersects": kernels.intersects, "contains": kernels.contains, "touches": kernels.touches}
-
-
-def tiles(b: Column, size: float) -> Column:
-    """All tiles (struct of column and row) that a box meets."""
-    x = F.sequence(F.floor(b.x0 / size), F.floor(b.x1 / size))
-    y = F.sequence(F.floor(b.y0 / size), F.floor(b.y1 / size))
-    return F.flatten(F.transform(x, lambda i: F.transform(y, lambda j: F.struct(i.alias("i"), j.alias("j")))))
-
-
-def predicate(name: str):
-    """Exact test of two geometry columns."""
-    test = PREDICATES[name]
-    return rowwise(lambda a, b: test(a, b), "boolean")
+TESTS = {"intersects": Overlay.intersects, "contains": Overlay.contains, "touches": Overlay.touches}
 
 
 def of_boxes(name: str, p: Column, q: Column) -> Column:
@@ -36,63 +29,175 @@ def of_boxes(name: str, p: Column, q: Column) -> Column:
     return meet & ~((p.x0 < q.x1) & (q.x0 < p.x1) & (p.y0 < q.y1) & (q.y0 < p.y1))
 
 
-def boxed(df: DataFrame, geom: str, name: str, size: float) -> DataFrame:
-    """df's rows with a geometry, its box and whether it is one (name), and a row for each tile (_t) of the box."""
-    rows = df.where(F.col(geom).isNotNull()).withColumn("_box", crs.bbox(F.col(geom)))
-    made = F.struct("_box.*", is_box(F.col(geom), F.col("_box")).alias("own"))
-    return rows.withColumn(name, made).drop("_box").withColumn("_t", F.explode(tiles(F.col(name), size)))
+def shape_key(geom: Column) -> Column:
+    """128 bits of hash that stand for a geometry: equal ones are one shape."""
+    return F.concat(F.hex(F.xxhash64(F.lit(1), geom)), F.lit(":"), F.hex(F.xxhash64(F.lit(2), geom)))
+
+
+def boxed(df: DataFrame, geom: str, name: str) -> DataFrame:
+    """df's rows with a geometry, which gives way to its box (name): x0 to y1, whether the geometry is that box itself, and the key of its shape."""
+    rows = df.where(F.col(geom).isNotNull()).withColumn(name, crs.bbox(F.col(geom))).where(F.col(name).x0.isNotNull())
+    own = is_box(F.col(geom), F.col(name))
+    return rows.withColumn(name, F.struct(f"{name}.*", own.alias("own"), F.when(~own, shape_key(F.col(geom))).alias("key"))).drop(geom)
+
+
+def in_cells(rows: DataFrame, name: str, tree: Tiling, bounds: bool) -> DataFrame:
+    """A row for each cell (_cell) that the box meets, with the cell's bounds (_in) where they are wanted."""
+    cells = rows.withColumn("_in", F.explode(tree.column(F.col(name)))).withColumn("_cell", F.col("_in.cell"))
+    return cells if bounds else cells.drop("_in")
+
+
+def met(left: DataFrame, right: DataFrame, tree: Tiling) -> DataFrame:
+    """Pairs of left (_a) and right (_b) whose boxes meet, each once, with the cell where they met.
+
+    A pair stays only in the cell of the lower left corner of the boxes' overlap, so no distinct is needed. Boxes and keys are shuffled, no geometry."""
+    p, q, c = F.col("_a"), F.col("_b"), F.col("_in")
+    x, y = F.greatest(p.x0, q.x0), F.greatest(p.y0, q.y0)
+    corner = (c.x0 <= x) & (x < c.x1) & (c.y0 <= y) & (y < c.y1)
+    return in_cells(left, "_a", tree, True).join(in_cells(right, "_b", tree, False), "_cell").where(of_boxes("intersects", p, q) & corner).drop("_in")
+
+
+def shapes_of(df: DataFrame, geom: str) -> DataFrame:
+    """(key, shape) of the geometries that are no rectangles, each once."""
+    rows = df.where(F.col(geom).isNotNull()).withColumn("_b", crs.bbox(F.col(geom)))
+    return rows.where(~is_box(F.col(geom), F.col("_b"))).select(shape_key(F.col(geom)).alias("key"), F.col(geom).alias("shape")).dropDuplicates(["key"])
+
+
+def _rectangle(b: Column) -> Column:
+    return crs.box_geometry(b.x0, b.y0, b.x1, b.y1)
 
 
-def candidates(a: DataFrame, b: DataFrame, a_geom: str, b_geom: str, size: float) -> DataFrame:
-    """Pairs whose boxes meet, each once, with the boxes as _a and _b.
+def worked_out(pairs: DataFrame, shapes: DataFrame, kernel: Callable, kind: str, points: bool = False) -> DataFrame:
+    """pairs (_a, _b, _cell) with _value, kernel(Overlay) of the pairs of a cell at once (of points: kernel(shapes, row, x, y)).
 
-    Both sides are dealt out by the tiles of their boxes and joined on the tile; a pair stays only in the tile of the lower
-    left corner of the boxes' overlap, so no distinct is needed. Rows without geometry drop out."""
-    left, right = boxed(a, a_geom, "_a", size), boxed(b, b_geom, "_b", size)
-    p, q = F.col("_a"), F.col("_b")
-    corner = (F.col("_t.i") == F.floor(F.greatest(p.x0, q.x0) / size)) & (F.col("_t.j") == F.floor(F.greatest(p.y0, q.y0) / size))
-    return left.join(right, "_t").where(of_boxes("intersects", p, q) & corner).drop("_t")
+    Only the shapes that a cell's pairs need are sent to it, each once; rectangles are made of their boxes there."""
+    sides = ["_b"] if points else ["_a", "_b"]
+    wanted = [pairs.select(F.col("_cell").alias("_at"), F.col(f"{c}.key").alias("key")).where("key IS NOT NULL") for c in sides]
+    wanted = (wanted[0] if points else wanted[0].unionByName(wanted[1])).distinct()
+    sent = wanted.join(shapes, "key").select("_at", "key", "shape")
+    schema = StructType(list(pairs.schema.fields)).add("_value", DataType.fromDDL(kind))
 
+    def side(t: pa.Table, name: str, keys: dict) -> tuple[Shapes, np.ndarray]:
+        """All shapes of a side: those sent, then the rectangles among the pairs; and each pair's shape."""
+        b = t.column(name).combine_chunks()
+        own = b.field("own").to_numpy(zero_copy_only=False)
+        box = np.stack([b.field(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1")], 1)[own]
+        corners = box[:, [0, 1, 2, 1, 2, 3, 0, 3, 0, 1]].reshape(-1, 5, 2)
+        at = np.array([keys.get(k, -1) for k in b.field("key").to_pylist()], np.int64)
+        at[own] = len(keys) + np.arange(int(own.sum()))
+        return corners, at
 
-def unless(plain: Column, name: str) -> Column:
-    """A geometry, or null where `plain` decides without it: so no row of that kind is worked on in Python."""
-    return F.when(~plain, F.col(name))
+    def run(key, t, s):
+        if not len(t):
+            return pa.Table.from_batches([], t.schema).append_column("_value", pa.array([], KINDS[kind]))
+        order = {k: i for i, k in enumerate(s.column("key").to_pylist())}
+        rows, ends, xy = flat(s.column("shape").combine_chunks()) if len(s) else (np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros((0, 2)))
 
+        def shapes(name):
+            corners, at = side(t, name, order)
+            n, m = len(corners), len(xy)
+            return Shapes(np.append(rows, rows[-1] + 1 + np.arange(n)), np.append(ends, m + 5 * (1 + np.arange(n))), np.concatenate([xy, corners.reshape(-1, 2)])), at
 
-def spatial_join(a: DataFrame, b: DataFrame, a_geom: str = "geometry", b_geom: str = "other", pred: str = "intersects", how: str = "inner", size: float = 8.0) -> DataFrame:
+        if points:
+            b, j = shapes("_b")
+            x, y = (t.column("_a").combine_chunks().field(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0"))
+            return t.append_column("_value", pa.array(kernel(b, j, x, y)))
+        (a, i), (b, j) = shapes("_a"), shapes("_b")
+        size = np.diff(a.begin)[i] + np.diff(b.begin)[j]
+        parts = [kernel(Overlay(a, b, i[r], j[r])) for r in portions(size)]
+        made = pa.concat_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in parts])
+        return t.append_column("_value", made)
+
+    return pairs.groupBy("_cell").cogroup(sent.groupBy("_at")).applyInArrow(run, schema)
+
+
+def valued(a: DataFrame, b: DataFrame, a_geom: str, b_geom: str, native: Callable[[Column, Column], Column], kernel: Callable, kind: str, size: float | None = None, points: bool = False) -> DataFrame:
+    """Pairs whose boxes meet, with a's and b's other columns, their boxes (_a, _b) and _value.
+
+    Where both are rectangles _value is native(_a, _b), built-in functions alone; only pairs with another shape go to kernels, over the flat buffers of all of a
+    cell's pairs at once. The two kinds are parted before the join, so that neither pays for the other."""
+    left = a if points else boxed(a, a_geom, "_a")
+    right = boxed(b, b_geom, "_b")
+    ends = ["x0", "y0", "x1", "y1"]
+    tree = fitted(*(x.select(*(F.col(f"{n}.{e}").alias(e) for e in ends)) for x, n in ((left, "_a"), (right, "_b"))), size=size)
+    plain, odd = (lambda df, n: df.where(F.col(n).own)), (lambda df, n: df.where(~F.col(n).own))
+    if points:
+        boxes, others = met(left, plain(right, "_b"), tree), met(left, odd(right, "_b"), tree)
+        shapes = shapes_of(b, b_geom)
+    else:
+        boxes = met(plain(left, "_a"), plain(right, "_b"), tree)
+        others = met(odd(left, "_a"), right, tree).unionByName(met(plain(left, "_a"), odd(right, "_b"), tree))
+        shapes = shapes_of(a, a_geom).unionByName(shapes_of(b, b_geom)).dropDuplicates(["key"])
+    told = boxes.withColumn("_value", native(F.col("_a"), F.col("_b"))).drop("_cell")
+    return told.unionByName(worked_out(others, shapes, kernel, kind, points).drop("_cell"))
+
+
+def with_geometry(pairs: DataFrame, df: DataFrame, geom: str, side: str) -> DataFrame:
+    """pairs with the geometry of one side again: shapes by their keys, rectangles by their boxes (anticlockwise from the lower left corner)."""
+    shapes = shapes_of(df, geom).withColumnsRenamed({"key": "_key", "shape": "_shape"})
+    joined = pairs.join(shapes, F.col(f"{side}.key") == F.col("_key"), "left")
+    return joined.withColumn(geom, F.when(F.col(side).own, _rectangle(F.col(side))).otherwise(F.col("_shape"))).drop("_key", "_shape")
+
+
+def spatial_join(a: DataFrame, b: DataFrame, a_geom: str = "geometry", b_geom: str = "other", pred: str = "intersects", how: str = "inner", size: float | None = None, geometries: bool = True) -> DataFrame:
     """Pairs of rows whose geometries intersect (touching counts), or the first contains the second, or they only touch.
 
     Column names of the two sides must differ. left_semi keeps a's rows that have any partner. Two rectangles are told
-    by built-in functions, other pairs by kernels over Arrow batches. A tile should be about as large as a common geometry; the result does not
-    depend on it."""
+    by built-in functions, other pairs by kernels over all pairs of a cell. Cells come from a tree fitted to the boxes, or are even ones of
+    the given size; the result does not depend on them. Without geometries the two geometry columns are left out, which
+    saves two joins; rows without a geometry or with an empty one drop out."""
     if how not in ("inner", "left_semi"):
         raise ValueError(f"unknown join {how!r}")
-    p, q = F.col("_a"), F.col("_b")
-    both = p.own & q.own
-    exact = predicate(pred)(unless(both, a_geom), unless(both, b_geom))
-    pairs = candidates(a, b, a_geom, b_geom, size).where(F.when(both, of_boxes(pred, p, q)).otherwise(exact)).drop("_a", "_b")
-    return pairs if how == "inner" else pairs.select(a.columns).distinct()
+    test = TESTS[pred]
+    pairs = valued(a, b, a_geom, b_geom, lambda p, q: of_boxes(pred, p, q), lambda o: test(o), "boolean", size).where("_value").drop("_value")
+    if how == "left_semi":
+        pairs = with_geometry(pairs, a, a_geom, "_a") if a_geom in a.columns and geometries else pairs
+        return pairs.select([c for c in a.columns if geometries or c != a_geom]).distinct()
+    if geometries:
+        pairs = with_geometry(with_geometry(pairs, a, a_geom, "_a"), b, b_geom, "_b").select(*a.columns, *b.columns)
+    return pairs.drop("_a", "_b")
+
+
+def shared_area(p: Column, q: Column) -> Column:
+    """The area that two rectangles share."""
+    side = lambda low, high: F.greatest(F.least(p[high], q[high]) - F.greatest(p[low], q[low]), F.lit(0.0))
+    return side("x0", "x1") * side("y0", "y1")
 
 
-def overlaps(pairs: DataFrame, a_geom: str, b_geom: str) -> Column:
-    """The area that the geometries of each pair of candidates() share; two rectangles by built-in functions."""
-    p, q = F.col("_a"), F.col("_b")
-    both = p.own & q.own
-    side = lambda low, high: F.greatest(F.least(p[high], q[high]) - F.greatest(p[low], q[low]), F.lit(0.0))
-    exact = rowwise(lambda a, b: kernels.overlap_area(b, a), "double")
-    return F.when(both, side("x0", "x1") * side("y0", "y1")).otherwise(exact(unless(both, a_geom), unless(both, b_geom)))
+def overlap_areas(a: DataFrame, b: DataFrame, a_geom: str = "geometry", b_geom: str = "other", size: float | None = None) -> DataFrame:
+    """Pairs (a's and b's columns without geometries) with the area that they share, over 0."""
+    return valued(a, b, a_geom, b_geom, shared_area, lambda o: o.area(), "double", size).withColumnRenamed("_value", "area").where("area > 0").drop("_a", "_b")
+
+
+def overlay_polygons(a: DataFrame, b: DataFrame, a_geom: str = "geometry", b_geom: str = "other", size: float | None = None) -> DataFrame:
+    """Pairs (a's and b's other columns) with geometry, a row for each polygon that they share, with its holes. Shapes that only touch share none."""
+    def common(p: Column, q: Column) -> Column:
+        low, high = (lambda e: F.greatest(p[e], q[e])), (lambda e: F.least(p[e], q[e]))
+        whole = F.array(crs.box_geometry(low("x0"), low("y0"), high("x1"), high("y1")))
+        return F.when(shared_area(p, q) > 0, whole)
 
+    pairs = valued(a, b, a_geom, b_geom, common, lambda o: arrow_parts(o.polygons()), f"array<{crs.GEOMETRY}>", size)
+    return pairs.drop("_a", "_b").select("*", F.explode("_value").alias("geometry")).drop("_value")
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float = 8.0) -> DataFrame:
+
+def arrow_parts(rows: list) -> pa.Array:
+    """A column of lists of polygons."""
+    ends = np.append(0, np.cumsum([len(v) for v in rows]))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), arrow_polygons([g for v in rows for g in v]))
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float | None = None, geometries: bool = True) -> DataFrame:
     """Rows of points (x, y) with the columns of each polygon (geometry) they lie in; lower and left edges count.
 
-    Rectangles are told by built-in functions, other polygons over all edges of an Arrow batch at once."""
-    tile = F.struct(F.floor(F.col("x") / size).alias("i"), F.floor(F.col("y") / size).alias("j"))
-    right = boxed(polygons, "geometry", "_b", size)
-    x, y, b = F.col("x"), F.col("y"), F.col("_b")
-    near = points.withColumn("_t", tile).join(right, "_t").where(x.between(b.x0, b.x1) & y.between(b.y0, b.y1))
-    exact = points_inside(x.cast("double"), y.cast("double"), unless(b.own, "geometry"))
-    return near.where(F.when(b.own, (x < b.x1) & (y < b.y1)).otherwise(exact)).drop("_t", "_b")
+    Rectangles are told by built-in functions, other polygons over all edges of a cell's pairs at once. Without geometries that column is left out."""
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    at = points.where(x.isNotNull() & y.isNotNull()).withColumn("_a", F.struct(x.alias("x0"), y.alias("y0"), x.alias("x1"), y.alias("y1")))
+    within = lambda p, q: (p.x0 < q.x1) & (p.y0 < q.y1)
+    pairs = valued(at, polygons, "", "geometry", within, inside, "boolean", size, points=True)
+    pairs = pairs.where("_value")
+    if not geometries:
+        return pairs.select(*points.columns, *(c for c in polygons.columns if c != "geometry"))
+    return with_geometry(pairs, polygons, "geometry", "_b").select(*points.columns, *polygons.columns)
 
 
 def edge_keys(units: DataFrame, digits: int = 6) -> DataFrame:
@@ -119,12 +224,17 @@ def boundary_lengths(units: DataFrame, scale: float = 1000.0, digits: int = 6) -
     return pairs.groupBy("id1", "id2").agg((F.sum("length") / scale).alias("boundary"))
 
 
-def boundary_lengths_general(units: DataFrame, scale: float = 1000.0, size: float = 8.0) -> DataFrame:
-    """boundary_lengths of any polygons (id, geometry): a spatial join and the length along which edges run together."""
-    along = rowwise(lambda a, b: sum(kernels.shared_boundary(p, q) for p in a for q in b), "double")
+def boundary_lengths_general(units: DataFrame, scale: float = 1000.0, size: float | None = None) -> DataFrame:
+    """boundary_lengths of any polygons (id, geometry): pairs that only touch, and the length along which their edges run together."""
     other = units.select(F.col("id").alias("id2"), F.col("geometry").alias("other"))
-    pairs = spatial_join(units.select(F.col("id").alias("id1"), "geometry"), other, pred="touches", size=size).where("id1 < id2")
-    return pairs.select("id1", "id2", (along("geometry", "other") / scale).alias("boundary"))
+
+    def of_two(p: Column, q: Column) -> Column:
+        run = lambda low, high: F.greatest(F.least(p[high], q[high]) - F.greatest(p[low], q[low]), F.lit(0.0))
+        return F.when(of_boxes("touches", p, q), run("x0", "x1") + run("y0", "y1"))
+
+    along = lambda o: np.where(o.touches(), o.common_boundary(), np.nan)
+    pairs = valued(units.select(F.col("id").alias("id1"), "geometry"), other, "geometry", "other", of_two, along, "double", size)
+    return pairs.where("id1 < id2 AND NOT isnan(_value)").select("id1", "id2", (F.col("_value") / scale).alias("boundary"))
 
 
 def outer_boundary(units: DataFrame, scale: float = 1000.0, digits: int = 6) -> DataFrame:
@@ -133,22 +243,44 @@ def outer_boundary(units: DataFrame, scale: float = 1000.0, digits: int = 6) ->
     return edges.where("n = 1").groupBy("id").agg((F.sum("length") / scale).alias("boundary"))
 
 
-def union_area(df: DataFrame, by: list[str], size: float = 8.0, overlapping: bool = True) -> DataFrame:
+def union_area(df: DataFrame, by: list[str], size: float | None = None, overlapping: bool = True) -> DataFrame:
     """(by, area): area of each group's dissolved polygons, overlaps counted once.
 
-    Dissolved area adds up over disjoint tiles: each polygon is clipped to the tiles of its box and each tile of a group is
-    swept alone, so a group on many tiles is many tasks. Layers known not to overlap need no sweep."""
+    Dissolved area adds up over disjoint cells of the tree: each polygon is cut by the cells of its box, and a cell of a group is
+    swept alone, so a group on many cells is many tasks. Equal polygons of a group are one. Layers known not to overlap need no sweep."""
     if not overlapping:
         return df.groupBy(*by).agg(F.sum(crs.planar_area(F.col("geometry"))).alias("area"))
-    rows = df.select(*by, "geometry", F.explode(tiles(crs.bbox(F.col("geometry")), size)).alias("t")).select(*by, "geometry", "t.i", "t.j")
+    rows = df.select(*by, "geometry").where(F.col("geometry").isNotNull()).withColumn("_box", crs.bbox(F.col("geometry"))).where(F.col("_box").x0.isNotNull())
+    tree = fitted(rows.select("_box.*"), size=size)
+    rows = rows.withColumn("_key", shape_key(F.col("geometry"))).dropDuplicates([*by, "_key"])
+    placed = rows.select(*by, "geometry", F.explode(tree.column(F.col("_box"))).alias("_in"))
     schema = rows.select(*by).schema
 
     def sweep(key, t):
-        i, j = key[-2].as_py() * size, key[-1].as_py() * size
-        window = np.array([(i, j), (i + size, j), (i + size, j + size), (i, j + size), (i, j)], float)
-        parts = [p for g in polygons(t.column("geometry").combine_chunks()) if g and (p := kernels.clip_polygon(g, window))]
-        return t.select(by).slice(0, 1).append_column("area", pa.array([kernels.union_area(parts)]))
+        c = t.column("_in").combine_chunks()
+        x0, y0, x1, y1 = (c.field(e)[0].as_py() for e in ("x0", "y0", "x1", "y1"))
+        shapes = Shapes(*flat(t.column("geometry").combine_chunks()))
+        return t.select(by).slice(0, 1).append_column("area", pa.array([dissolved(shapes, (x0, y0, x1, y1))]))
 
-    distinct = rows.dropDuplicates()  # equal polygons cover the same
-    swept = distinct.groupBy(*by, "i", "j").applyInArrow(sweep, schema.add("area", "double"))
+    cell = F.col("_in.cell").alias("_cell")
+    swept = placed.select(*by, "geometry", "_in", cell).groupBy(*by, "_cell").applyInArrow(sweep, schema.add("area", "double"))
     return swept.groupBy(*by).agg(F.sum("area").alias("area"))
+
+
+def dissolved(shapes: Shapes, cell: tuple[float, float, float, float], most: int = 4096) -> float:
+    """Area of the cell that any of the shapes covers; where they have more than `most` edges there it is swept in quarters."""
+    x0, y0, x1, y1 = cell
+    corners = np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)])
+    window = Shapes(np.array([0, 1]), np.array([0, 5]), corners)
+    near = np.flatnonzero((shapes.box[:, 0] <= x1) & (shapes.box[:, 2] >= x0) & (shapes.box[:, 1] <= y1) & (shapes.box[:, 3] >= y0))
+    if not len(near):
+        return 0.0
+    cut = Overlay(shapes, window, near, np.zeros(len(near), np.int64))
+    _, e = cut.shared()
+    mx, my = x0 + (x1 - x0) / 2, y0 + (y1 - y0) / 2
+    if len(e) > most and x0 < mx < x1 and y0 < my < y1:
+        inner = ((np.minimum(e[:, 0], e[:, 2]) < mx - x0) & (np.maximum(e[:, 0], e[:, 2]) > mx - x0)) | ((np.minimum(e[:, 1], e[:, 3]) < my - y0) & (np.maximum(e[:, 1], e[:, 3]) > my - y0))
+        if inner.mean() < 0.5:  # else quarters have as many
+            return sum(dissolved(shapes, q, most) for q in ((x0, y0, mx, my), (mx, y0, x1, my), (x0, my, mx, y1), (mx, my, x1, y1)))
+    pair, e = cut.shared()
+    return covered(e + np.tile(cut.corner[pair], 2) - np.array([x0, y0, x0, y0]))

@@ -77,12 +77,12 @@ def cr9(t):
 
 @query("sj1_intersects", f"SELECT s.site_id, u.id FROM sites s JOIN units u ON {MEET}")
 def sj1(t):
-    return s.spatial_join(unit_squares(t), sites(t)).select("site_id", "id")
+    return s.spatial_join(unit_squares(t), sites(t), geometries=False).select("site_id", "id")
 
 
 @query("sj1_contains", "SELECT s.site_id, u.id FROM sites s JOIN units u ON s.x0 <= u.ix AND s.x1 >= u.ix + 1 AND s.y0 <= u.iy AND s.y1 >= u.iy + 1")
 def sj1b(t):
-    return s.spatial_join(sites(t), unit_squares(t).select("id", "geometry"), "other", "geometry", pred="contains").select("site_id", "id")
+    return s.spatial_join(sites(t), unit_squares(t).select("id", "geometry"), "other", "geometry", pred="contains", geometries=False).select("site_id", "id")
 
 
 WITHIN = "s.x0 <= u.ix AND s.x1 >= u.ix + 1 AND s.y0 <= u.iy AND s.y1 >= u.iy + 1 AND (u.ix + 1 <= s.x0 + 1 OR u.iy + 1 <= s.y0 + 1)"
@@ -90,24 +90,24 @@ WITHIN = "s.x0 <= u.ix AND s.x1 >= u.ix + 1 AND s.y0 <= u.iy AND s.y1 >= u.iy +
 
 @query("sj1_contains_notched", f"SELECT s.site_id, u.id FROM sites s JOIN units u ON {WITHIN}")
 def sj1d(t):
-    return s.spatial_join(notched_sites(t, "other"), unit_squares(t).select("id", "geometry"), "other", "geometry", pred="contains").select("site_id", "id")
+    return s.spatial_join(notched_sites(t, "other"), unit_squares(t).select("id", "geometry"), "other", "geometry", pred="contains", geometries=False).select("site_id", "id")
 
 
 @query("sj2_points_in_notched", "SELECT s.site_id, u.id FROM sites s JOIN units u ON u.ix >= s.x0 AND u.ix < s.x1 AND u.iy >= s.y0 AND u.iy < s.y1 AND (u.ix < s.x0 + 1 OR u.iy < s.y0 + 1)")
 def sj2b(t):
     points = t("units").select("id", (F.col("ix") + 0.5).alias("x"), (F.col("iy") + 0.5).alias("y"))
-    return s.points_in_polygons(points, notched_sites(t)).select("site_id", "id")
+    return s.points_in_polygons(points, notched_sites(t), geometries=False).select("site_id", "id")
 
 
 @query("sj1_touches", f"SELECT s.site_id, u.id FROM sites s JOIN units u ON {MEET} AND NOT (s.x0 < u.ix + 1 AND s.x1 > u.ix AND s.y0 < u.iy + 1 AND s.y1 > u.iy)")
 def sj1c(t):
-    return s.spatial_join(sites(t), unit_squares(t).select("id", "geometry"), "other", "geometry", pred="touches").select("site_id", "id")
+    return s.spatial_join(sites(t), unit_squares(t).select("id", "geometry"), "other", "geometry", pred="touches", geometries=False).select("site_id", "id")
 
 
 @query("sj2_points_in_polygons", "SELECT s.site_id, u.id FROM sites s JOIN units u ON u.ix >= s.x0 AND u.ix < s.x1 AND u.iy >= s.y0 AND u.iy < s.y1")
 def sj2(t):
     points = t("units").select("id", F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"))
-    return s.points_in_polygons(points, sites(t, "geometry")).select("site_id", "id")
+    return s.points_in_polygons(points, sites(t, "geometry"), geometries=False).select("site_id", "id")
 
 
 NEIGHBOURS = "SELECT a.id AS id1, b.id AS id2, CASE WHEN a.ix = b.ix OR a.iy = b.iy THEN 1.0 ELSE 0.0 END::DOUBLE AS boundary FROM units a JOIN units b ON a.id < b.id AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1"
