@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -97,6 +98,33 @@ def is_box(geom: Column, box: Column) -> Column:
     return F.coalesce((F.size(geom) == 1) & (F.size(ring) == 5) & whole & F.forall(ring, corner) & straight & (ring[0] == ring[4]), F.lit(False))
 
 
+BOX = "x0 double, y0 double, x1 double, y1 double, own boolean, key string"
+
+
+def boxes_of(column: pa.Array) -> dict[str, pa.Array]:
+    """Fields of BOX for each geometry: its ends (null for none), whether it is just that rectangle, and else a key of 128 bits
+    that equal shapes share."""
+    rows, ends, p = flat(column)
+    first, last = ends[rows[:-1]], ends[rows[1:]]
+    some = np.flatnonzero(last > first)
+    b = np.zeros((len(first), 4))
+    if len(some):
+        for k, end in ((0, np.minimum), (2, np.maximum)):
+            b[some, k : k + 2] = end.reduceat(p, first[some], axis=0)
+    own = np.zeros(len(first), bool)
+    five = some[(np.diff(rows)[some] == 1) & ((last - first)[some] == 5)]
+    c, e = p[first[five][:, None] + np.arange(5)].reshape(-1, 5, 2), b[five][:, None]
+    corner = ((c == e[..., :2]) | (c == e[..., 2:])).all((1, 2))
+    moved = c[:, 1:] != c[:, :-1]
+    own[five] = corner & (moved[..., 0] != moved[..., 1]).all(1) & (c[:, 0] == c[:, 4]).all(1) & (b[five, :2] < b[five, 2:]).all(1)
+    key: list = [None] * len(first)
+    sizes = np.diff(ends).astype("<i8")
+    for i in np.flatnonzero(~own & (last > first)).tolist():
+        key[i] = hashlib.blake2b(sizes[rows[i] : rows[i + 1]].tobytes() + p[first[i] : last[i]].astype("<f8").tobytes(), digest_size=16).hexdigest()
+    none = last <= first
+    return {**{n: pa.array(b[:, k], mask=none) for k, n in enumerate(("x0", "y0", "x1", "y1"))}, "own": pa.array(own), "key": pa.array(key, pa.string())}
+
+
 def as_rows(polygon) -> list:
     """A row's geometry, as rowwise functions return it."""
     return list(polygon)

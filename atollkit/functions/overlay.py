@@ -183,13 +183,13 @@ class Overlay:
 
     def area(self) -> np.ndarray:
         pair, e = self.shared()
-        return np.maximum(np.bincount(pair, (e[:, 0] * e[:, 3] - e[:, 2] * e[:, 1]) / 2, minlength=self.n), 0)
+        return np.maximum(np.bincount(pair, (e[:, 0] * e[:, 3] - e[:, 2] * e[:, 1]) / 2, minlength=self.n), 0.0).astype(float)
 
     def common_boundary(self) -> np.ndarray:
         """Length along which their boundaries run together."""
         on = np.isin(self.a.kind, (SAME, OPPOSITE))
         e = self.a.e[on]
-        return np.bincount(self.a.pair[on], np.hypot(e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]), minlength=self.n)
+        return np.bincount(self.a.pair[on], np.hypot(e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]), minlength=self.n).astype(float)
 
     def polygons(self) -> list[list[list[np.ndarray]]]:
         """What each pair shares, as polygons (a shell and its holes each)."""

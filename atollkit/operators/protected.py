@@ -5,20 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atollkit.functions import crs
 from atollkit.operators.projects import group_ids
 from atollkit.operators.spatial import spatial_join
 
 
 def protected_intersections(sites: DataFrame, units: DataFrame, size: float | None = None) -> DataFrame:
-    """Distinct (iucn_cat, puid) of sites (iucn_cat, other) and the units (id, geometry) they meet.
-
-    Sites beyond the units' common box fall out first; one row of four numbers is broadcast for it. Equal sites of a category
-    are one."""
-    box = crs.envelope_agg(units, "geometry", []).select(*(F.col(c).alias(f"e{c}") for c in ("x0", "y0", "x1", "y1")))
-    b = crs.bbox(F.col("other"))
-    near = sites.select("iucn_cat", "other", b.alias("b")).join(F.broadcast(box), F.expr("b.x0 <= ex1 AND b.x1 >= ex0 AND b.y0 <= ey1 AND b.y1 >= ey0")).select("iucn_cat", "other").distinct()
-    return spatial_join(units.select("id", "geometry"), near, size=size, geometries=False).select("iucn_cat", F.col("id").alias("puid")).distinct()
+    """Distinct (iucn_cat, puid) of sites (iucn_cat, other) and the units (id, geometry) they meet."""
+    return spatial_join(units.select("id", "geometry"), sites.select("iucn_cat", "other"), size=size, geometries=False).select("iucn_cat", F.col("id").alias("puid")).distinct()
 
 
 def protected_by_category(pairs: DataFrame, nested: bool = True) -> DataFrame:

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
 from atollkit.functions import crs, kernels
-from atollkit.functions.geometry_udf import KINDS, arrow_polygons, flat, is_box
+from atollkit.functions.geometry_udf import BOX, KINDS, arrow_polygons, boxes_of, flat
 from atollkit.functions.overlay import Overlay, Shapes, covered, inside, portions
-from atollkit.operators.tiling import Tiling, fitted
+from atollkit.operators.tiling import CELLS, Tiling, fitted
 
 PREDICATES = {"intersects": kernels.intersects, "contains": kernels.contains, "touches": kernels.touches}
+ENDS = ("x0", "y0", "x1", "y1")
 TESTS = {"intersects": Overlay.intersects, "contains": Overlay.contains, "touches": Overlay.touches}
 
 
@@ -29,38 +30,41 @@ def of_boxes(name: str, p: Column, q: Column) -> Column:
     return meet & ~((p.x0 < q.x1) & (q.x0 < p.x1) & (p.y0 < q.y1) & (q.y0 < p.y1))
 
 
-def shape_key(geom: Column) -> Column:
-    """128 bits of hash that stand for a geometry: equal ones are one shape."""
-    return F.concat(F.hex(F.xxhash64(F.lit(1), geom)), F.lit(":"), F.hex(F.xxhash64(F.lit(2), geom)))
+def boxed(df: DataFrame, geom: str, name: str, tree: Tiling | None = None, keep: bool = False) -> DataFrame:
+    """df's rows with a geometry, which gives way to its box (name: BOX, and with a tree the cells that it meets), found over Arrow batches.
 
+    Rows without points drop out; with keep the geometry stays."""
+    def run(column: pa.Array) -> pa.Array:
+        made = boxes_of(column)
+        if tree is not None:
+            made["cells"] = tree.listed(*(made[c] for c in ENDS))
+        return pa.StructArray.from_arrays(list(made.values()), list(made))
 
-def boxed(df: DataFrame, geom: str, name: str) -> DataFrame:
-    """df's rows with a geometry, which gives way to its box (name): x0 to y1, whether the geometry is that box itself, and the key of its shape."""
-    rows = df.where(F.col(geom).isNotNull()).withColumn(name, crs.bbox(F.col(geom))).where(F.col(name).x0.isNotNull())
-    own = is_box(F.col(geom), F.col(name))
-    return rows.withColumn(name, F.struct(f"{name}.*", own.alias("own"), F.when(~own, shape_key(F.col(geom))).alias("key"))).drop(geom)
+    kind = f"struct<{BOX}{'' if tree is None else f', cells {CELLS}'}>".replace(" double", ":double").replace(" boolean", ":boolean").replace(" string", ":string").replace("cells ", "cells:")
+    rows = df.where(F.col(geom).isNotNull()).withColumn(name, F.arrow_udf(run, kind)(F.col(geom))).where(F.col(f"{name}.x0").isNotNull())
+    return rows if keep else rows.drop(geom)
 
 
-def in_cells(rows: DataFrame, name: str, tree: Tiling, bounds: bool) -> DataFrame:
+def in_cells(rows: DataFrame, name: str, bounds: bool) -> DataFrame:
     """A row for each cell (_cell) that the box meets, with the cell's bounds (_in) where they are wanted."""
-    cells = rows.withColumn("_in", F.explode(tree.column(F.col(name)))).withColumn("_cell", F.col("_in.cell"))
+    plain = F.struct(*(F.col(f"{name}.{c}").alias(c) for c in (*ENDS, "own", "key")))
+    cells = rows.withColumn("_in", F.explode(f"{name}.cells")).withColumn("_cell", F.col("_in.cell")).withColumn(name, plain)
     return cells if bounds else cells.drop("_in")
 
 
-def met(left: DataFrame, right: DataFrame, tree: Tiling) -> DataFrame:
+def met(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of left (_a) and right (_b) whose boxes meet, each once, with the cell where they met.
 
     A pair stays only in the cell of the lower left corner of the boxes' overlap, so no distinct is needed. Boxes and keys are shuffled, no geometry."""
     p, q, c = F.col("_a"), F.col("_b"), F.col("_in")
     x, y = F.greatest(p.x0, q.x0), F.greatest(p.y0, q.y0)
     corner = (c.x0 <= x) & (x < c.x1) & (c.y0 <= y) & (y < c.y1)
-    return in_cells(left, "_a", tree, True).join(in_cells(right, "_b", tree, False), "_cell").where(of_boxes("intersects", p, q) & corner).drop("_in")
+    return in_cells(left, "_a", True).join(in_cells(right, "_b", False), "_cell").where(of_boxes("intersects", p, q) & corner).drop("_in")
 
 
 def shapes_of(df: DataFrame, geom: str) -> DataFrame:
     """(key, shape) of the geometries that are no rectangles, each once."""
-    rows = df.where(F.col(geom).isNotNull()).withColumn("_b", crs.bbox(F.col(geom)))
-    return rows.where(~is_box(F.col(geom), F.col("_b"))).select(shape_key(F.col(geom)).alias("key"), F.col(geom).alias("shape")).dropDuplicates(["key"])
+    return boxed(df.select(geom), geom, "_b", keep=True).where("NOT _b.own").select(F.col("_b.key").alias("key"), F.col(geom).alias("shape")).dropDuplicates(["key"])
 
 
 def _rectangle(b: Column) -> Column:
@@ -116,20 +120,26 @@ def valued(a: DataFrame, b: DataFrame, a_geom: str, b_geom: str, native: Callabl
 
     Where both are rectangles _value is native(_a, _b), built-in functions alone; only pairs with another shape go to kernels, over the flat buffers of all of a
     cell's pairs at once. The two kinds are parted before the join, so that neither pays for the other."""
-    left = a if points else boxed(a, a_geom, "_a")
-    right = boxed(b, b_geom, "_b")
-    ends = ["x0", "y0", "x1", "y1"]
-    tree = fitted(*(x.select(*(F.col(f"{n}.{e}").alias(e) for e in ends)) for x, n in ((left, "_a"), (right, "_b"))), size=size)
-    plain, odd = (lambda df, n: df.where(F.col(n).own)), (lambda df, n: df.where(~F.col(n).own))
     if points:
-        boxes, others = met(left, plain(right, "_b"), tree), met(left, odd(right, "_b"), tree)
-        shapes = shapes_of(b, b_geom)
+        left = a
     else:
-        boxes = met(plain(left, "_a"), plain(right, "_b"), tree)
-        others = met(odd(left, "_a"), right, tree).unionByName(met(plain(left, "_a"), odd(right, "_b"), tree))
-        shapes = shapes_of(a, a_geom).unionByName(shapes_of(b, b_geom)).dropDuplicates(["key"])
-    told = boxes.withColumn("_value", native(F.col("_a"), F.col("_b"))).drop("_cell")
-    return told.unionByName(worked_out(others, shapes, kernel, kind, points).drop("_cell"))
+        left = boxed(a, a_geom, "_a")
+    tree, odd = fitted(*(x.select(f"{n}.*") for x, n in ((left, "_a"), (boxed(b, b_geom, "_b"), "_b"))), size=size)
+    right = boxed(b, b_geom, "_b", tree)
+    if points:
+        left = left.withColumn("_a", F.struct("_a.*", F.lit(True).alias("own"), F.lit(None).cast("string").alias("key"), tree.column(F.col("_a")).alias("cells")))
+    else:
+        left = boxed(a, a_geom, "_a", tree)
+    whole, other = (lambda df, n: df.where(F.col(f"{n}.own"))), (lambda df, n: df.where(~F.col(f"{n}.own")))
+    out = met(whole(left, "_a"), whole(right, "_b")) if any(odd) else met(left, right)
+    out = out.withColumn("_value", native(F.col("_a"), F.col("_b"))).drop("_cell")
+    # Where a side has no other shapes its part of the plan is left out.
+    rest = ([met(other(left, "_a"), right)] if odd[0] else []) + ([met(whole(left, "_a") if odd[0] else left, other(right, "_b"))] if odd[1] else [])
+    if rest:
+        shapes = [shapes_of(df, g) for df, g, n in ((a, a_geom, odd[0]), (b, b_geom, odd[1])) if n]
+        shapes = shapes[0] if len(shapes) == 1 else shapes[0].unionByName(shapes[1]).dropDuplicates(["key"])
+        out = out.unionByName(worked_out(rest[0] if len(rest) == 1 else rest[0].unionByName(rest[1]), shapes, kernel, kind, points).drop("_cell"))
+    return out
 
 
 def with_geometry(pairs: DataFrame, df: DataFrame, geom: str, side: str) -> DataFrame:
@@ -250,10 +260,11 @@ def union_area(df: DataFrame, by: list[str], size: float | None = None, overlapp
     swept alone, so a group on many cells is many tasks. Equal polygons of a group are one. Layers known not to overlap need no sweep."""
     if not overlapping:
         return df.groupBy(*by).agg(F.sum(crs.planar_area(F.col("geometry"))).alias("area"))
-    rows = df.select(*by, "geometry").where(F.col("geometry").isNotNull()).withColumn("_box", crs.bbox(F.col("geometry"))).where(F.col("_box").x0.isNotNull())
-    tree = fitted(rows.select("_box.*"), size=size)
-    rows = rows.withColumn("_key", shape_key(F.col("geometry"))).dropDuplicates([*by, "_key"])
-    placed = rows.select(*by, "geometry", F.explode(tree.column(F.col("_box"))).alias("_in"))
+    rows = df.select(*by, "geometry")
+    tree, _ = fitted(boxed(rows, "geometry", "_b").select("_b.*"), size=size)
+    # A rectangle's ends, or another shape's key, tell equal polygons of a group.
+    rows = boxed(rows, "geometry", "_b", tree, keep=True).withColumn("_key", F.coalesce("_b.key", F.concat_ws(" ", *(F.col(f"_b.{c}") for c in ENDS)))).dropDuplicates([*by, "_key"])
+    placed = rows.select(*by, "geometry", F.explode("_b.cells").alias("_in"))
     schema = rows.select(*by).schema
 
     def sweep(key, t):

@@ -90,29 +90,36 @@ class Tiling:
         order = np.argsort(row, kind="stable")
         return row[order], cell[order], at[order]
 
+    def listed(self, *ends: pa.Array) -> pa.Array:
+        """Lists of cells (CELLS) of boxes; none where an end is null."""
+        b = np.stack([c.to_numpy(zero_copy_only=False) for c in ends], 1)
+        row, cell, at = self.cells(b)
+        ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(b)))).astype(np.int32)
+        inner = pa.StructArray.from_arrays([pa.array(cell), *(pa.array(at[:, k]) for k in range(4))], ["cell", "x0", "y0", "x1", "y1"])
+        return pa.ListArray.from_arrays(pa.array(ends), inner)
+
     def column(self, box: Column) -> Column:
         """All cells (CELLS) of a box column (struct of x0, y0, x1, y1); the tree goes along with the function."""
         def run(x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
-            b = np.stack([c.to_numpy(zero_copy_only=False) for c in (x0, y0, x1, y1)], 1)
-            row, cell, at = self.cells(b)
-            ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(b)))).astype(np.int32)
-            inner = pa.StructArray.from_arrays([pa.array(cell), *(pa.array(at[:, k]) for k in range(4))], ["cell", "x0", "y0", "x1", "y1"])
-            return pa.ListArray.from_arrays(pa.array(ends), inner)
+            return self.listed(x0, y0, x1, y1)
 
         return F.arrow_udf(run, CELLS)(*(box[c] for c in ("x0", "y0", "x1", "y1")))
 
 
-def fitted(*sides: DataFrame, size: float | None = None, rows: int = ROWS) -> Tiling:
-    """The tree for the boxes (x0, y0, x1, y1) of several tables: one pass for their extent and number, one for the sample of
-    SAMPLE boxes that the driver holds. Joins give the same rows whatever the sample is."""
-    boxes = sides[0]
-    for s in sides[1:]:
-        boxes = boxes.unionByName(s)
-    low, high = (lambda c: F.min(c), lambda c: F.max(c))
-    e = boxes.agg(low("x0"), low("y0"), high("x1"), high("y1"), F.count("*")).first()
+def fitted(*sides: DataFrame, size: float | None = None, rows: int = ROWS) -> tuple[Tiling, list[int]]:
+    """The tree for the boxes (x0, y0, x1, y1, and own if there are other shapes) of several tables, and how many of each are not
+    rectangles: one pass for extent and numbers, one for the sample of SAMPLE boxes that the driver holds. Joins give the same rows
+    whatever the sample is."""
+    odd = lambda df: F.when(F.col("own"), 0).otherwise(1) if "own" in df.columns else F.lit(0)
+    boxes = None
+    for k, df in enumerate(sides):
+        part = df.select("x0", "y0", "x1", "y1", *((odd(df) if i == k else F.lit(0)).alias(f"odd{i}") for i in range(len(sides))))
+        boxes = part if boxes is None else boxes.unionByName(part)
+    e = boxes.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1"), F.count("*"), *(F.sum(f"odd{i}") for i in range(len(sides)))).first()
     if not e[4]:
-        return Tiling(np.zeros((0, 4)), 1, (0.0, 0.0, 0.0, 0.0))
+        return Tiling(np.zeros((0, 4)), 1, (0.0, 0.0, 0.0, 0.0)), [0] * len(sides)
+    extent, n, others = tuple(e)[:4], e[4], list(e)[5:]
     if size:
-        return Tiling.even(tuple(e)[:4], size)
-    drawn = np.array([tuple(r) for r in boxes.orderBy(F.rand(1)).limit(SAMPLE).collect()], float) if e[4] > rows else np.zeros((0, 4))
-    return Tiling(drawn, e[4] / max(1, len(drawn)), tuple(e)[:4], rows)
+        return Tiling.even(extent, size), others
+    drawn = np.array([tuple(r)[:4] for r in boxes.orderBy(F.rand(1)).limit(SAMPLE).collect()], float) if n > rows else np.zeros((0, 4))
+    return Tiling(drawn, n / max(1, len(drawn)), extent, rows), others
