@@ -19,7 +19,7 @@ from atollkit.llm.common import pinned, skew_join
 #: Bits of a word: whole numbers below 2**53 are exact as doubles.
 WORD = 53
 #: Rows of a block, anchors of a crowd, and anchors that are scored at a time.
-BLOCK, CROWD, TOGETHER = 4096, 1024, 256
+BLOCK, CROWD, TOGETHER = 2048, 1024, 256
 LOWEST = np.iinfo(np.int64).min
 
 
