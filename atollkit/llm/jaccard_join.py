@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atollkit.llm.common import U, Words, blocked, mix, pack, pinned, prefix_sums, runs, skew_join, spans_hash, unpack, windows_hash
-from atollkit.llm.components import components
+from atollkit.llm.components import components, nearer
 from atollkit.llm.exchange import deal, rounds
 
 #: Members of a group, and queries that open it together, aimed at.
 GROUP, QUERIES = 512, 512
+#: Bytes of tokens in a group, at most (a larger set is alone).
+GROUP_BYTES = 16 << 20
 #: Bytes kept of a token: two of a pair's tokens meet by chance with odds of about 1 in 10**9. Bytes of it that a bucket is asked about.
 WIDTH, ASKED = 6, 3
 
@@ -123,22 +126,34 @@ MEMBERS = "cls string, rep long, lone int, tokens binary, comp string, gid strin
 def with_groups(classes: DataFrame, percent: int) -> DataFrame:
     """classes in groups: MEMBERS with gid (their group) and comp.
 
-    Sets with the same most frequent token are a group; where there are more than GROUP of them, those that also share the next
-    one; where there still are, a hash deals them out to groups of about GROUP. Within a group every link is found, so sets that
-    are linked there, directly or by others, have one comp (its least cls)."""
-    keys = classes.select("cls", "gkey", "gkey2")
-    first = keys.groupBy("gkey").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
-    keys = skew_join(keys, first, "gkey").withColumn("pair", F.when(F.col("n").isNotNull(), F.concat_ws("/", "gkey", "gkey2")).otherwise(F.col("gkey").cast("string"))).drop("n")
-    second = keys.groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
-    dealt = F.coalesce(F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / GROUP)), F.lit(0))
-    keys = skew_join(keys, second, "pair").select("cls", F.concat_ws("/", "pair", dealt).alias("gid"))
-    placed = classes.select("cls", "rep", "lone", "tokens").join(keys, "cls")
-    return placed.groupBy("gid").applyInArrow(lambda key, t: linked(key[0].as_py(), t, percent), MEMBERS)
-
-
-def linked(gid: str, t: pa.Table, percent: int) -> pa.Table:
-    """The sets of a group with their comp."""
-    t = t.sort_by("cls")
+    Sets are dealt out by ranges of their two most frequent tokens and sorted by them, and each run of GROUP sets at most is a group: so
+    similar sets stand together, a token that most sets share makes many groups, and rare ones share a group. Within a
+    group every link is found, so sets that are linked there, directly or by others, have one comp (its least cls)."""
+    parts = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = ["gkey", "gkey2", "cls"]
+    rows = classes.select(*order, "rep", "lone", "tokens").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+    def run(batches):
+        held, n, size, key = [], 0, 0, None
+        for b in batches:
+            keys, sizes = b.column("gkey").to_pylist(), pc.binary_length(b.column("tokens")).to_pylist()
+            lo = 0
+            for i, (k, more) in enumerate(zip(keys, sizes, strict=True)):
+                if n and (n >= GROUP or size + more > GROUP_BYTES or (n >= GROUP // 2 and k != key)):
+                    held.append(b.slice(lo, i - lo))
+                    yield from linked(held, percent).to_batches()
+                    held, n, size, lo = [], 0, 0, i
+                n, size, key = n + 1, size + more, k
+            held.append(b.slice(lo))
+        if n:
+            yield from linked(held, percent).to_batches()
+
+    return rows.mapInArrow(run, MEMBERS)
+
+
+def linked(rows: list[pa.RecordBatch], percent: int) -> pa.Table:
+    """The sets of a group with their comp; the group's name is that of its first set."""
+    t = pa.Table.from_batches(rows).sort_by("cls")
     names = t.column("cls").to_pylist()
     comp = np.arange(len(names))
     if len(names) > 1:
@@ -165,7 +180,7 @@ def linked(gid: str, t: pa.Table, percent: int) -> pa.Table:
             if (least == comp).all():
                 break
             comp = least
-    return pa.table({**{c: t.column(c) for c in ("cls", "rep", "lone", "tokens")}, "comp": pa.array([names[i] for i in comp], pa.string()), "gid": pa.array([gid] * len(names), pa.string())})
+    return pa.table({**{c: t.column(c) for c in ("cls", "rep", "lone", "tokens")}, "comp": pa.array([names[i] for i in comp], pa.string()), "gid": pa.array(names[:1] * len(names), pa.string())})
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -184,15 +199,13 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links_between(sets: DataFrame, comps: DataFrame, percent: int, first: bool = False) -> DataFrame:
-    """(a, b): components a and b in which some pair of sets links. sets has cls, gid, lone and tokens, comps cls and comp.
+    """(a, b): components a and b in which some pair of sets links. sets has cls, gid, lone and tokens, comps what merged() gives.
 
     A set asks the groups that share a token of its prefix and hold a set of a larger component (ties by name), so each pair
     of components is asked in one direction. Tokens that stand in the same groups ask as one. The group's token union bounds the overlap;
     groups that qualify are opened. With first, a token names one group alone, that of its largest component: a
     pass whose rows are no more than the prefixes' tokens, and which joins most of what is linked."""
-    sizes = comps.groupBy("comp").agg(F.count("*").alias("members"))
-    rank = skew_join(comps.select("cls", "comp"), sizes, "comp").select("cls", F.struct("members", "comp").alias("at"))
-    ranked = pinned(skew_join(sets.select("cls", "gid"), rank, "cls", "inner").select("cls", "gid", "at"))
+    ranked = comps.select("cls", "gid", F.struct("members", "comp").alias("at"))
     rows = skew_join(prefixes(sets, percent), ranked, "cls", "inner").select("token", "cls", "gid", "at")
     ends = rows.groupBy("token").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low != high")
     rows = pinned(skew_join(rows, ends, "token", "inner"))
@@ -201,7 +214,6 @@ def links_between(sets: DataFrame, comps: DataFrame, percent: int, first: bool =
         asked = asked.groupBy("token").agg(F.max(F.struct("at", "gid")).alias("top")).select("token", F.col("top.gid").alias("gid"), F.col("top.at").alias("most"))
     else:
         asked = asked.groupBy("token", "gid").agg(F.max("at").alias("most"))
-    asked = pinned(asked)
     # Tokens with equal lists of groups, by 128 bits: the least of them stands for all.
     print_ = lambda salt: F.sum(F.xxhash64("gid", "most", F.lit(salt)).cast("decimal(20,0)"))
     lists = asked.groupBy("token").agg(F.count("*").alias("n"), print_("a").alias("p"), print_("b").alias("q"))
@@ -236,10 +248,12 @@ def links_between(sets: DataFrame, comps: DataFrame, percent: int, first: bool =
     return queries.groupBy("gid", "part").cogroup(held.groupBy("gid", "part")).applyInArrow(check, "a string, b string").distinct()
 
 
-def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """comps (cls, rep, comp) with the components that the links join made one."""
-    joined = components(pinned(links)).select(F.col("id").alias("comp"), F.col("comp").alias("to"))
-    return pinned(skew_join(comps, joined, "comp").withColumn("comp", F.coalesce("to", "comp")).select("cls", "rep", "comp"))
+def merged(comps: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """comps (cls, rep, gid, comp) with the components that labels (id, comp) rename, and members, the number of a component's sets."""
+    if labels is not None:
+        comps = skew_join(comps.select("cls", "rep", "gid", "comp"), labels.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp").withColumn("comp", F.coalesce("to", "comp"))
+    sizes = comps.groupBy("comp").agg(F.count("*").alias("members"))
+    return pinned(skew_join(comps.select("cls", "rep", "gid", "comp"), sizes, "comp").select("cls", "rep", "gid", "comp", "members"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -260,9 +274,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     live = sets.where("tokens is not null")
     classes = live.groupBy("cls").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("lone", "tokens", "gkey", "gkey2")))
     members = pinned(with_groups(classes, percent))
-    comps = members.select("cls", "rep", "comp")
-    comps = merged(comps, links_between(members, comps, percent, first=True))
-    comps = merged(comps, links_between(members, comps, percent))
+    comps = merged(members)
+    # The first pass only saves work: what it leaves apart the second one finds again.
+    comps = merged(comps, nearer(pinned(links_between(members, comps, percent, first=True))))
+    labels = components(pinned(links_between(members, comps, percent)))
+    comps = skew_join(comps.select("cls", "rep", "comp"), labels.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp").withColumn("comp", F.coalesce("to", "comp"))
     least = comps.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_class = skew_join(comps.select("cls", "comp"), least, "comp").select("cls", "component_id")
     alone = sets.where("tokens is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
