@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from atollkit.functions.crs import GEOMETRY
@@ -49,12 +48,17 @@ def arrow_polygons(rows: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner, mask=pa.array([g is None for g in rows], pa.bool_()))
 
 
+def lists_of_polygons(rows: list) -> pa.Array:
+    """A column of lists of geometries, None for null."""
+    ends = np.append(0, np.cumsum([0 if v is None else len(v) for v in rows]))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), arrow_polygons([g for v in rows if v is not None for g in v]), mask=pa.array([v is None for v in rows], pa.bool_()))
+
+
 def _column(values: list, kind: str) -> pa.Array:
     if kind == GEOMETRY:
         return arrow_polygons(values)
     if kind == f"array<{GEOMETRY}>":
-        ends = np.append(0, np.cumsum([0 if v is None else len(v) for v in values]))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), arrow_polygons([g for v in values if v is not None for g in v]), mask=pa.array([v is None for v in values], pa.bool_()))
+        return lists_of_polygons(values)
     return pa.array(values, KINDS[kind])
 
 
@@ -62,8 +66,7 @@ def rowwise(fn: Callable, kind: str):
     """fn of one row's values (geometries as lists of arrays of points) as a column function that returns kind; null where the
     first value is null.
 
-    Kernels are numpy code on one or two polygons; their points are views of the batch's flat buffers. What a box can
-    decide is decided by built-in functions before (see is_box), and comes here as null."""
+    Kernels are numpy code on one polygon; its points are views of the batch's flat buffers."""
     def run(*columns: pa.Array) -> pa.Array:
         values = [polygons(c) if pa.types.is_list(c.type) else c.to_pylist() for c in columns]
         return _column([None if row[0] is None else fn(*row) for row in zip(*values, strict=True)], kind)
@@ -71,33 +74,6 @@ def rowwise(fn: Callable, kind: str):
     return F.arrow_udf(run, kind)
 
 
-def _points_inside(x: pa.Array, y: pa.Array, geometry: pa.Array) -> pa.Array:
-    """Even-odd test of each row's point in its polygon, over all edges of the batch at once; lower and left edges count."""
-    rows, ends, p = flat(geometry)
-    start = np.ones(len(p), bool)
-    start[ends[:-1][ends[:-1] < len(p)]] = False
-    b = np.flatnonzero(start)  # every point but the first of a ring ends an edge
-    owner = np.repeat(np.arange(len(rows) - 1), ends[rows[1:]] - ends[rows[:-1]])[b]
-    px, py = (c.to_numpy(zero_copy_only=False)[owner] for c in (x, y))
-    (ax, ay), (bx, by) = p[b - 1].T, p[b].T
-    with np.errstate(divide="ignore", invalid="ignore"):
-        hit = (((ay <= py) & (py < by)) | ((by <= py) & (py < ay))) & (px < (bx - ax) * (py - ay) / (by - ay) + ax)
-    return pa.array(np.bincount(owner[hit], minlength=len(rows) - 1) % 2 == 1, mask=geometry.is_null().to_numpy(zero_copy_only=False))
-
-
-def points_inside(x: Column, y: Column, geometry: Column) -> Column:
-    return F.arrow_udf(_points_inside, "boolean")(x, y, geometry)
-
-
-def is_box(geom: Column, box: Column) -> Column:
-    """Whether a geometry is its own box: one ring of five points, each a corner, along the edges in turn."""
-    ring = geom[0]
-    corner = lambda p: ((p.x == box.x0) | (p.x == box.x1)) & ((p.y == box.y0) | (p.y == box.y1))
-    straight = F.forall(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.get(ring, i).x == F.get(ring, i + 1).x) != (F.get(ring, i).y == F.get(ring, i + 1).y))
-    whole = (box.x0 < box.x1) & (box.y0 < box.y1)
-    return F.coalesce((F.size(geom) == 1) & (F.size(ring) == 5) & whole & F.forall(ring, corner) & straight & (ring[0] == ring[4]), F.lit(False))
-
-
 BOX = "x0 double, y0 double, x1 double, y1 double, own boolean, key string"
 
 
@@ -123,8 +99,3 @@ def boxes_of(column: pa.Array) -> dict[str, pa.Array]:
         key[i] = hashlib.blake2b(sizes[rows[i] : rows[i + 1]].tobytes() + p[first[i] : last[i]].astype("<f8").tobytes(), digest_size=16).hexdigest()
     none = last <= first
     return {**{n: pa.array(b[:, k], mask=none) for k, n in enumerate(("x0", "y0", "x1", "y1"))}, "own": pa.array(own), "key": pa.array(key, pa.string())}
-
-
-def as_rows(polygon) -> list:
-    """A row's geometry, as rowwise functions return it."""
-    return list(polygon)

@@ -332,3 +332,33 @@ def crossings(e: np.ndarray) -> np.ndarray:
         hit = (t > 0) & (t < 1) & (u > 0) & (u < 1)
         out.append((p[:, 1] + t * r[:, 1])[hit])
     return np.concatenate(out)
+
+
+def nesting_reasons(polygons: list[list[np.ndarray]]) -> list[str | None]:
+    """What is wrong with the places of each polygon's rings, None if nothing: all rings of a batch at once, a ring as a shape of its own.
+
+    Each hole is held against the shell, and holes whose boxes meet against each other. Rings may touch in points."""
+    rings = [r for g in polygons for r in g]
+    owner = np.repeat(np.arange(len(polygons)), [len(g) for g in polygons])
+    shell = np.searchsorted(owner, np.arange(len(polygons)))
+    s = Shapes(np.arange(len(rings) + 1), np.append(0, np.cumsum([len(r) for r in rings])).astype(np.int64), np.concatenate(rings) if rings else np.zeros((0, 2)))
+    holes = np.setdiff1d(np.arange(len(rings)), shell)
+    out: list[str | None] = [None] * len(polygons)
+    after = np.searchsorted(owner, owner[holes], "right") - holes - 1
+    i, j = ragged(holes + 1, after)
+    i = holes[i]
+    near = (s.box[i, :2] <= s.box[j, 2:]).all(1) & (s.box[j, :2] <= s.box[i, 2:]).all(1)
+    i, j = i[near], j[near]
+    for a, b, apart, within in ((i, j, None, "Holes are nested"), (shell[owner[holes]], holes, "Hole lies outside shell", None)):
+        o, back = Overlay(s, s, a, b), Overlay(s, s, b, a)
+        along, over, in_, out_ = o.common_boundary() > 0, o.overlap(), o.contains(), back.contains()
+        for k in range(len(a)):
+            if along[k] or (over[k] and not in_[k] and not out_[k]):
+                reason = "Self-intersection"
+            elif apart:  # a shell and its hole
+                reason = None if in_[k] else apart
+            else:
+                reason = within if over[k] else None
+            if reason and out[owner[b[k]]] != "Self-intersection":
+                out[owner[b[k]]] = reason
+    return out

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from atollkit.functions import crs, kernels
-from atollkit.functions.geometry_udf import arrow_polygons, polygons, rowwise
+from atollkit.functions.geometry_udf import arrow_polygons, flat, lists_of_polygons, polygons
+from atollkit.functions.overlay import Overlay, Shapes, nesting_reasons
 from atollkit.functions.scalars import fmt_date, format_eunis, unique_feature_name
 from atollkit.operators.grid import insert_if_absent
 from atollkit.operators.spatial import overlap_areas, points_in_polygons, union_area
@@ -142,10 +144,15 @@ def prune_unused(meta: DataFrame, used: DataFrame, key: str = "unique_id") -> Da
 
 def repair_and_check(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(sound rows with repaired geometry, rejects of key and reason). Repair drops repeated points, closes rings and
-    turns them the right way; what then crosses itself or has too few points is rejected."""
+    turns them the right way. Rejected is what then has too few points, crosses itself, or has rings that cross or run along each other,
+    lie outside the shell, or lie in each other."""
     def run(s: pa.Array) -> pa.Array:
         fixed = [kernels.repaired(g) if g is not None else [] for g in polygons(s)]
-        return pa.StructArray.from_arrays([arrow_polygons(fixed), pa.array([kernels.validity_reason(g) for g in fixed], pa.string())], ["geometry", "reason"])
+        reasons = [kernels.validity_reason(g) for g in fixed]
+        whole = [i for i, r in enumerate(reasons) if r is None and len(fixed[i]) > 1]
+        for i, reason in zip(whole, nesting_reasons([fixed[i] for i in whole]), strict=True):
+            reasons[i] = reason
+        return pa.StructArray.from_arrays([arrow_polygons(fixed), pa.array(reasons, pa.string())], ["geometry", "reason"])
 
     repair = F.arrow_udf(run, f"geometry {crs.GEOMETRY}, reason string")
 
@@ -159,7 +166,24 @@ def reasons(rejects: DataFrame, n: int = 10) -> DataFrame:
 
 
 def split_at_dateline(df: DataFrame) -> DataFrame:
-    """df with polygons that cross 180 degrees in two rows, east and west."""
-    split = rowwise(kernels.split_at_dateline, f"array<{crs.GEOMETRY}>")
+    """df with polygons that cross 180 degrees (an edge jumps over it) in several rows, those east and those west of it; with their holes."""
+    def run(column: pa.Array) -> pa.Array:
+        rows, ends, p = flat(column)
+        jump = np.append(False, np.abs(np.diff(p[:, 0])) > 180) if len(p) else np.zeros(0, bool)
+        jump[ends[:-1][ends[:-1] < len(p)]] = False
+        row_of = np.searchsorted(ends[rows], np.flatnonzero(jump), "right") - 1
+        across = np.unique(row_of)
+        out = [None if g is None else [g] for g in polygons(column)]
+        if len(across):
+            east = np.stack([np.where(p[:, 0] < 0, p[:, 0] + 360, p[:, 0]), p[:, 1]], 1)
+            shapes = Shapes(rows, ends, east)
+            low, high = p[:, 1].min() - 1, p[:, 1].max() + 1
+            halves = np.array([[(x, low), (x + 180, low), (x + 180, high), (x, high), (x, low)] for x in (0.0, 180.0)]).reshape(-1, 2)
+            cut = Overlay(shapes, Shapes(np.array([0, 1, 2]), np.array([0, 5, 10]), halves), np.repeat(across, 2), np.tile([0, 1], len(across))).polygons()
+            for k, i in enumerate(across.tolist()):
+                out[i] = cut[2 * k] + [[r - np.array([360.0, 0.0]) for r in g] for g in cut[2 * k + 1]]
+        return lists_of_polygons(out)
+
+    split = F.arrow_udf(run, f"array<{crs.GEOMETRY}>")
     others = [c for c in df.columns if c != "geometry"]
     return df.where(F.col("geometry").isNotNull()).select(*others, F.explode(split("geometry")).alias("geometry"))

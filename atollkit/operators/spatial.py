@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
 from atollkit.functions import crs, kernels
-from atollkit.functions.geometry_udf import BOX, KINDS, arrow_polygons, boxes_of, flat
+from atollkit.functions.geometry_udf import BOX, KINDS, boxes_of, flat, lists_of_polygons
 from atollkit.functions.overlay import Overlay, Shapes, covered, inside, portions
 from atollkit.operators.tiling import CELLS, Tiling, fitted
 
@@ -186,16 +186,10 @@ def overlay_polygons(a: DataFrame, b: DataFrame, a_geom: str = "geometry", b_geo
         whole = F.array(crs.box_geometry(low("x0"), low("y0"), high("x1"), high("y1")))
         return F.when(shared_area(p, q) > 0, whole)
 
-    pairs = valued(a, b, a_geom, b_geom, common, lambda o: arrow_parts(o.polygons()), f"array<{crs.GEOMETRY}>", size)
+    pairs = valued(a, b, a_geom, b_geom, common, lambda o: lists_of_polygons(o.polygons()), f"array<{crs.GEOMETRY}>", size)
     return pairs.drop("_a", "_b").select("*", F.explode("_value").alias("geometry")).drop("_value")
 
 
-def arrow_parts(rows: list) -> pa.Array:
-    """A column of lists of polygons."""
-    ends = np.append(0, np.cumsum([len(v) for v in rows]))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), arrow_polygons([g for v in rows for g in v]))
-
-
 def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float | None = None, geometries: bool = True) -> DataFrame:
     """Rows of points (x, y) with the columns of each polygon (geometry) they lie in; lower and left edges count.
 

@@ -105,6 +105,21 @@ def fe6d(t):
     return out.withColumn("amount", F.round("amount", 6))
 
 
+#: Area of a slope from (x0, y1) down to (x1, y0) above a height, between the sides of a unit where it is fa and fb.
+ABOVE = lambda u: f"(power(greatest(fa - {u}, 0.0), 2) - power(greatest(fb - {u}, 0.0), 2)) * w / (2.0 * h)"
+SLOPES = "SELECT s.site_id AS feature_id, u.id, s.x1 - s.x0 AS w, s.y1 - s.y0 AS h, s.y0 + (s.y1 - s.y0) * (s.x1 - greatest(u.ix, s.x0)) * 1.0 / (s.x1 - s.x0) AS fa, s.y0 + (s.y1 - s.y0) * (s.x1 - least(u.ix + 1, s.x1)) * 1.0 / (s.x1 - s.x0) AS fb, greatest(u.iy, s.y0) AS lo, u.iy + 1 AS hi FROM sites s JOIN units u ON u.ix < s.x1 AND u.ix + 1 > s.x0 AND u.iy < s.y1 AND u.iy + 1 > s.y0"
+
+
+@query("fe6_amounts_slanted", f"SELECT feature_id, id, round(amount, 6) AS amount FROM (SELECT feature_id, id, {ABOVE('lo')} - {ABOVE('hi')} AS amount FROM ({SLOPES}) x) y WHERE amount > 1e-9")
+def fe6e(t):
+    """Right triangles over the sites' lower left corners."""
+    s = t("sites")
+    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    slopes = F.array(F.array(p(s.x0, s.y0), p(s.x1, s.y0), p(s.x0, s.y1), p(s.x0, s.y0)))
+    out = f.polygon_amounts(s.select(F.col("site_id").alias("feature_id"), slopes.alias("other")), unit_squares(t))
+    return out.where("amount > 1e-9").withColumn("amount", F.round("amount", 6))
+
+
 @query("fe6_point_amounts", "SELECT l_suppkey AS feature_id, l_partkey AS id, SUM(l_quantity) AS amount FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_suppkey, l_partkey")
 def fe6b(t):
     points = t("lineitem").select(F.col("l_suppkey").alias("feature_id"), (F.col("l_partkey") % 50 + 0.5).alias("x"), (F.floor(F.col("l_partkey") / 50) + 0.5).alias("y"), F.col("l_quantity").alias("value"))

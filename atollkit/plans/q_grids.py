@@ -77,6 +77,31 @@ def gr8(t):
     return g.clip_grid(cells, boxes(t)).select("id", F.round(crs.planar_area(F.col("geometry")), 9).alias("area"))
 
 
+def shared(x0, y0, x1, y1):
+    return f"(greatest(0, least(b.x1, s.x0 + {x1}) - greatest(b.x0, s.x0 + {x0})) * greatest(0, least(b.y1, s.y0 + {y1}) - greatest(b.y0, s.y0 + {y0})))"
+
+
+ARMS = f"CASE WHEN b.y0 < s.y0 + 1 THEN 1 ELSE CAST({shared(0, 0, 1, 3)} > 0 AS INT) + CAST({shared(2, 0, 3, 3)} > 0 AS INT) END"
+
+
+@query("gr8_clip_to_arms", f"SELECT feature_id, CAST(SUM(n) AS BIGINT) AS parts, CAST(SUM(area) AS DOUBLE) AS area FROM (SELECT b.feature_id, {ARMS} AS n, {shared(0, 0, 3, 3)} - {shared(1, 1, 2, 3)} AS area FROM boxes b JOIN sites s ON {shared(0, 0, 3, 3)} > {shared(1, 1, 2, 3)}) x GROUP BY feature_id")
+def gr8b(t):
+    """Cells cut by areas with two arms: a cell across both gives two polygons."""
+    s = t("sites")
+    p = lambda x, y: F.struct((s.x0 + x).cast("double").alias("x"), (s.y0 + y).cast("double").alias("y"))
+    arms = F.array(F.array(*(p(x, y) for x, y in ((0, 0), (3, 0), (3, 3), (2, 3), (2, 1), (1, 1), (1, 3), (0, 3), (0, 0)))))
+    cut = g.clip_grid(boxes(t).withColumn("cell", F.col("feature_id")), s.select(arms.alias("geometry")))
+    return cut.groupBy("feature_id").agg(F.count("*").alias("parts"), F.round(F.sum(crs.planar_area(F.col("geometry"))), 6).alias("area"))
+
+
+@query("gr8_clip_to_holed", f"SELECT b.feature_id, CAST(SUM({shared(0, 0, 3, 3)} - {shared(1, 1, 2, 2)}) AS DOUBLE) AS area FROM boxes b JOIN sites s ON {shared(0, 0, 3, 3)} > {shared(1, 1, 2, 2)} GROUP BY b.feature_id")
+def gr8c(t):
+    s = t("sites")
+    holed = F.concat(crs.box_geometry(s.x0, s.y0, s.x0 + 3, s.y0 + 3), crs.box_geometry(s.x0 + 1, s.y0 + 1, s.x0 + 2, s.y0 + 2))
+    cut = g.clip_grid(boxes(t).withColumn("cell", F.col("feature_id")), s.select(holed.alias("geometry")))
+    return cut.groupBy("feature_id").agg(F.round(F.sum(crs.planar_area(F.col("geometry"))), 6).alias("area"))
+
+
 @query("gr9_cells_intersecting", "SELECT DISTINCT u.id FROM units u JOIN boxes b ON b.x0 <= u.ix + 1 AND b.x1 >= u.ix AND b.y0 <= u.iy + 1 AND b.y1 >= u.iy")
 def gr9(t):
     cells = unit_squares(t).select("id", F.col("id").alias("cell"), "geometry")

@@ -75,6 +75,22 @@ def cr9(t):
     return bad.unionByName(good.select("feature_id", F.lit("sound").alias("reason")))
 
 
+RINGS = {0: ((2, 2, 4, 4), (5, 5, 6, 6)), 1: ((12, 0, 14, 2),), 2: ((8, 8, 12, 12),), 3: ((2, 2, 8, 8), (3, 3, 5, 5)), 4: ((-1, -1, 11, 11),), 5: ((2, 2, 5, 5), (4, 4, 7, 7)), 6: ((0, 2, 3, 4),), 7: ((2, 2, 4, 4), (4, 4, 6, 6))}
+REASONS = {1: "Hole lies outside shell", 2: "Self-intersection", 3: "Holes are nested", 4: "Hole lies outside shell", 5: "Self-intersection", 6: "Self-intersection"}
+
+
+@query("cr9_nested_rings", "SELECT feature_id, CASE feature_id % 8 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in REASONS.items()) + " ELSE 'sound' END AS reason, CASE feature_id % 8 WHEN 0 THEN 95.0 WHEN 7 THEN 92.0 END::DOUBLE AS area FROM boxes")
+def cr9b(t):
+    b = t("boxes")
+    at = lambda x0, y0, x1, y1: crs.box_geometry(b.x0 + x0, b.y0 + y0, b.x0 + x1, b.y0 + y1)
+    made = F.lit(None)
+    for k, holes in RINGS.items():
+        made = F.when(b.feature_id % 8 == k, F.concat(at(0, 0, 10, 10), *(at(*h) for h in holes))).otherwise(made)
+    good, bad = f.repair_and_check(b.select("feature_id", made.alias("geometry")), "feature_id")
+    good = good.select("feature_id", F.lit("sound").alias("reason"), crs.planar_area(F.col("geometry")).alias("area"))
+    return bad.withColumn("area", F.lit(None).cast("double")).unionByName(good)
+
+
 @query("sj1_intersects", f"SELECT s.site_id, u.id FROM sites s JOIN units u ON {MEET}")
 def sj1(t):
     return s.spatial_join(unit_squares(t), sites(t), geometries=False).select("site_id", "id")
