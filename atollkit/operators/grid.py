@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atollkit.functions import crs, kernels
-from atollkit.functions.geometry_udf import rowwise
+from atollkit.functions.geometry_udf import flat, rowwise
+from atollkit.functions.overlay import Shapes, ragged
 from atollkit.functions.scalars import grid_name, scale_level
 from atollkit.operators.spatial import overlay_polygons, spatial_join
 
@@ -30,36 +31,53 @@ def hexagon(x, y, r: float, flat: bool = False):
     return F.array(F.array(*corners, corners[0]))
 
 
+def runs_of_cells(geometry: pa.Array, high: float, wide: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of the column, lattice row r, first q, last q) of the runs of cells whose centres ((q + r / 2) * wide, r * high) lie in the polygons.
+
+    Every lattice row is crossed with all edges of the batch at once; a polygon's crossings of a row open and close its runs in turn. Lower and
+    left edges count."""
+    shapes = Shapes(*flat(geometry))
+    e, owner = shapes.edges, np.repeat(np.arange(len(geometry)), np.diff(shapes.begin))
+    low, high_ = np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
+    first = np.floor(low / high).astype(np.int64)
+    first += first * high < low
+    stop = np.floor(high_ / high).astype(np.int64)
+    stop += stop * high < high_  # rows from first up to stop, without it, have low <= y < high
+    k, r = ragged(first, np.maximum(stop - first, 0))
+    y = r * high
+    x = e[k, 0] + (y - e[k, 1]) / (e[k, 3] - e[k, 1]) * (e[k, 2] - e[k, 0])
+    order = np.lexsort((x, r, owner[k]))
+    opens, closes = order[::2], order[1::2]
+    ends = []
+    for at in (opens, closes):
+        q = np.ceil(x[at] / wide - r[at] / 2).astype(np.int64)
+        q -= (q - 1 + r[at] / 2) * wide >= x[at]
+        q += (q + r[at] / 2) * wide < x[at]
+        ends.append(q)
+    some = ends[0] < ends[1]
+    return owner[k[opens]][some], r[opens][some], ends[0][some], ends[1][some] - 1
+
+
 def polyfill(areas: DataFrame, resolution: int, edge0: float = 64.0, variant: str = "standard", block: int = 64) -> DataFrame:
     """Cells whose centre lies in a polygon of areas (project_area, geometry): h3_index, resolution, scale_level,
     project_area, geometry, cost 1.0 and status 0. Overlapping parts give a cell each; polyfill_unique does not.
 
-    Each part's lattice rows are dealt out in blocks before cells are made, so one vast area is many tasks; geometries
-    with fewer than four points are skipped."""
+    A polygon becomes runs of cells along the rows of the lattice, which are dealt out in bands of `block` rows before built-in functions make
+    cells of them: one vast area is many tasks, and no geometry travels. Geometries with fewer than four points are skipped."""
     edge = edge_of(resolution, edge0)
-    b = crs.bbox(F.col("geometry"))
     high, wide = 1.5 * edge, R3 * edge
-    parts = areas.where(F.size(F.col("geometry")[0]) >= 4).select("project_area", "geometry", b.alias("b"))
-    rows = F.explode(F.sequence(F.floor(F.col("b.y0") / (high * block)), F.floor(F.col("b.y1") / (high * block))))
-    dealt = parts.select("project_area", "geometry", "b", rows.alias("band")).repartition("project_area", "band")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            for area, geom, box, band in zip(*(t.column(c).to_pylist() for c in ("project_area", "geometry", "b", "band")), strict=True):
-                polygon = kernels.rings(geom)
-                for r in range(int(band) * block, (int(band) + 1) * block):
-                    y = r * high
-                    if not box["y0"] <= y <= box["y1"]:
-                        continue
-                    q = np.arange(math.floor(box["x0"] / wide - r / 2) - 1, math.ceil(box["x1"] / wide - r / 2) + 2)
-                    x = (q + r / 2) * wide
-                    q = q[kernels.points_in_polygon(x, np.full(len(x), y), polygon)]
-                    if not len(q):
-                        continue
-                    yield pa.RecordBatch.from_pydict({"h3_index": [f"{resolution}:{i}:{r}" for i in q], "project_area": pa.array([area] * len(q), pa.string()), "x": (q + r / 2) * wide, "y": np.full(len(q), y)})
-
-    cells = dealt.mapInArrow(fill, "h3_index string, project_area string, x double, y double")
-    return cells.select("h3_index", F.lit(resolution).alias("resolution"), scale_level(F.lit(resolution), variant).alias("scale_level"), "project_area", hexagon(F.col("x"), F.col("y"), edge).alias("geometry"), F.lit(1.0).alias("cost"), F.lit(0).alias("status"))
+            at, *made = runs_of_cells(t.column("geometry"), high, wide)
+            yield pa.RecordBatch.from_arrays([t.column("project_area").take(pa.array(at)), *map(pa.array, made)], ["project_area", "r", "q0", "q1"])
+
+    parts = areas.where(F.size(F.col("geometry")[0]) >= 4).select(F.col("project_area").cast("string").alias("project_area"), "geometry")
+    runs = parts.mapInArrow(fill, "project_area string, r long, q0 long, q1 long").repartition("project_area", F.floor(F.col("r") / block))
+    cells = runs.select("project_area", "r", F.explode(F.sequence("q0", "q1")).alias("q"))
+    name = F.concat(F.lit(f"{resolution}:"), F.col("q").cast("string"), F.lit(":"), F.col("r").cast("string"))
+    x, y = (F.col("q") + F.col("r") / 2) * wide, F.col("r") * high
+    return cells.select(name.alias("h3_index"), F.lit(resolution).alias("resolution"), scale_level(F.lit(resolution), variant).alias("scale_level"), "project_area", hexagon(x, y, edge).alias("geometry"), F.lit(1.0).alias("cost"), F.lit(0).alias("status"))
 
 
 def polyfill_unique(areas: DataFrame, resolution: int, **options) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
@@ -241,10 +241,37 @@ def boundary_lengths_general(units: DataFrame, scale: float = 1000.0, size: floa
     return pairs.where("id1 < id2 AND NOT isnan(_value)").select("id1", "id2", (F.col("_value") / scale).alias("boundary"))
 
 
+def pieces(units: DataFrame, digits: int = 6, together: int = 64) -> DataFrame:
+    """(id, line, stretch, low, high): every edge of the shells of units (id, geometry) as an interval on its line, cut where stretches of the line end.
+
+    A line is a direction and an offset, both rounded. A stretch is as long as `together` edges of mean length (one number, found
+    first), so a line that a third of all edges lie on is many groups, and cutting adds few pieces."""
+    ring = F.col("geometry")[0]
+    n = F.size(ring) - 1
+    rows = units.select("id", F.explode(F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), lambda a, b: F.struct(a.x.alias("x"), a.y.alias("y"), (b.x - a.x).alias("u"), (b.y - a.y).alias("v")))).alias("e")).select("id", "e.*")
+    rows = rows.withColumn("length", F.hypot("u", "v")).where("length > 0")
+    mean = rows.agg(F.avg("length")).first()[0] or 1.0
+    way = F.when((F.col("u") > 0) | ((F.col("u") == 0) & (F.col("v") > 0)), 1.0).otherwise(-1.0)
+    rows = rows.withColumns({"u": way * F.col("u") / F.col("length") + 0.0, "v": way * F.col("v") / F.col("length") + 0.0, "way": way})
+    at = F.col("x") * F.col("u") + F.col("y") * F.col("v")
+    line = F.struct(F.round("u", 9).alias("u"), F.round("v", 9).alias("v"), (F.round(F.col("x") * F.col("v") - F.col("y") * F.col("u"), digits) + 0.0).alias("offset"))
+    size = mean * together
+    spans = rows.select("id", line.alias("line"), F.round(F.least(at, at + F.col("way") * F.col("length")), digits).alias("low"), F.round(F.greatest(at, at + F.col("way") * F.col("length")), digits).alias("high"))
+    cut = spans.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("low") / size), F.floor(F.col("high") / size))))
+    return cut.select("id", "line", "stretch", F.greatest("low", F.col("stretch") * size).alias("low"), F.least("high", (F.col("stretch") + 1) * size).alias("high")).where("low < high")
+
+
 def outer_boundary(units: DataFrame, scale: float = 1000.0, digits: int = 6) -> DataFrame:
-    """(id, boundary): the length of a unit's edges that no other unit shares."""
-    edges = edge_keys(units, digits).groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.max("length").alias("length"))
-    return edges.where("n = 1").groupBy("id").agg((F.sum("length") / scale).alias("boundary"))
+    """(id, boundary): the length of a unit's edges along which no other unit lies. ids are whole numbers.
+
+    Edges are intervals on their lines; sweeping a stretch, the sums of what has begun less what has ended give how many units lie
+    on each part, and where it is one, which. So edges need not be equal to meet: units of any sizes, T-junctions."""
+    p = pieces(units, digits)
+    ends = p.select("line", "stretch", F.col("low").alias("at"), F.lit(1).alias("n"), F.col("id").cast("decimal(38,0)").alias("who")).unionByName(p.select("line", "stretch", F.col("high").alias("at"), F.lit(-1).alias("n"), (-F.col("id").cast("decimal(38,0)")).alias("who")))
+    ends = ends.groupBy("line", "stretch", "at").agg(F.sum("n").alias("n"), F.sum("who").alias("who"))
+    w = Window.partitionBy("line", "stretch").orderBy("at")
+    parts = ends.select(F.sum("n").over(w).alias("n"), F.sum("who").over(w).cast("long").alias("id"), (F.lead("at").over(w) - F.col("at")).alias("length"))
+    return parts.where("n = 1").groupBy("id").agg((F.sum("length") / scale).alias("boundary"))
 
 
 def union_area(df: DataFrame, by: list[str], size: float | None = None, overlapping: bool = True) -> DataFrame:

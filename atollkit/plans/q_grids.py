@@ -21,6 +21,18 @@ def gr1(t):
     return g.polyfill(areas(t), 1, edge0=EDGE0).select("project_area", "h3_index", "scale_level", "cost")
 
 
+#: Centres within a triangle over each box, below its falling side.
+SLOPED = FILLED.replace("b.feature_id % 7 AS k", "b.feature_id AS k").replace(f"r * ({CELL[0]}) < b.y1", f"r * ({CELL[0]}) < b.y1 AND (q + r / 2.0) * ({CELL[1]}) < (b.x0 - b.x1) * (r * ({CELL[0]}) - b.y0) / (b.y1 - b.y0) + b.x1")
+
+
+@query("gr1_polyfill_slopes", f"SELECT CAST(k AS VARCHAR) AS project_area, concat('1:', q, ':', r) AS h3_index FROM ({SLOPED}) f")
+def gr1b(t):
+    b = t("boxes")
+    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    slope = F.array(F.array(p(b.x0, b.y0), p(b.x1, b.y0), p(b.x0, b.y1), p(b.x0, b.y0)))
+    return g.polyfill(b.select(F.col("feature_id").cast("string").alias("project_area"), slope.alias("geometry")), 1, edge0=EDGE0).select("project_area", "h3_index")
+
+
 @query("gr2_polyfill_unique", f"SELECT DISTINCT CAST(k AS VARCHAR) AS project_area, concat('1:', q, ':', r) AS h3_index FROM ({FILLED}) f")
 def gr2(t):
     return g.polyfill_unique(areas(t), 1, edge0=EDGE0).select("project_area", "h3_index")

@@ -144,6 +144,25 @@ def sj4(t):
     return s.outer_boundary(unit_squares(t), scale=1.0)
 
 
+#: Units of two columns in even rows and of one in odd rows, by the lattice squares that they cover.
+OWNERS = "(SELECT ix, iy, id FROM units WHERE iy % 2 = 1 OR ix % 2 = 0 UNION ALL SELECT ix + 1, iy, id FROM units WHERE iy % 2 = 0 AND ix % 2 = 0)"
+
+
+def uneven_units(t):
+    u = t("units").where("iy % 2 = 1 OR ix % 2 = 0")
+    return u.select("id", crs.box_geometry(u.ix, u.iy, u.ix + F.when(u.iy % 2 == 0, 2).otherwise(1), u.iy + 1).alias("geometry"))
+
+
+@query("sj3_boundary_lengths_uneven", f"SELECT a.id AS id1, b.id AS id2, CAST(SUM(CASE WHEN abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS boundary FROM {OWNERS} a JOIN {OWNERS} b ON a.id < b.id AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 GROUP BY a.id, b.id")
+def sj3c(t):
+    return s.boundary_lengths_general(uneven_units(t), scale=1.0)
+
+
+@query("sj4_outer_boundary_uneven", f"SELECT id, CAST(SUM(4 - n) AS DOUBLE) AS boundary FROM (SELECT a.ix, a.iy, a.id, COUNT(b.id) AS n FROM {OWNERS} a LEFT JOIN {OWNERS} b ON abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1 GROUP BY a.ix, a.iy, a.id) x GROUP BY id HAVING SUM(4 - n) > 0")
+def sj4b(t):
+    return s.outer_boundary(uneven_units(t), scale=1.0).withColumn("boundary", F.round("boundary", 6))
+
+
 @query("sj5_union_area", f"SELECT k, area FROM ({DISSOLVED}) d")
 def sj5(t):
     return s.union_area(boxes(t).withColumn("k", F.col("feature_id") % 7), ["k"]).withColumn("area", F.round("area", 6))
