@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from atollkit.functions.scalars import area_from_alias
+from atollkit.functions.scalars import area_from_alias, fmt_date
 
 
 def populate_units(projects: DataFrame, grids: DataFrame, cells: DataFrame, existing: DataFrame, match_resolution: bool = False) -> DataFrame:
@@ -172,6 +172,20 @@ def clone_names(projects: DataFrame, ids: DataFrame) -> DataFrame:
     return free.groupBy("id").agg(F.min_by(F.expr("concat(name, repeat('_copy', k))"), "k").alias("name"))
 
 
+def cloned(projects: DataFrame, params: DataFrame, ids: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(projects, params) with clones of the projects in ids (id, new_id): a free name, and the parameters with a new DESCRIPTION and
+    CREATEDATE (now: a timestamp, by default the present one)."""
+    named = projects.join(ids, "id").join(clone_names(projects, ids).withColumnRenamed("name", "_free"), "id")
+    rows = named.withColumns({"id": F.col("new_id"), "name": F.col("_free")}).select(projects.columns)
+    said = F.concat(F.lit("Clone of project '"), F.col("name"), F.lit("'"))
+    about = projects.join(ids, "id").select(F.col("id").alias("project_id"), "new_id", said.alias("_said"))
+    fresh = F.when(F.col("key") == "DESCRIPTION", F.col("_said")).when(F.col("key") == "CREATEDATE", fmt_date(F.current_timestamp() if now is None else now)).otherwise(F.col("value"))
+    copies = params.join(about, "project_id").where("key NOT IN ('DESCRIPTION', 'CREATEDATE')").withColumns({"project_id": F.col("new_id")}).select(params.columns)
+    keys = about.select("*", F.explode(F.array(F.lit("DESCRIPTION"), F.lit("CREATEDATE"))).alias("key")).withColumn("value", F.lit(None).cast("string"))
+    added = keys.withColumn("value", fresh).select(F.col("new_id").alias("project_id"), "key", "value", *(F.lit(None).cast(t).alias(c) for c, t in params.dtypes if c not in ("project_id", "key", "value")))
+    return projects.unionByName(rows), params.unionByName(copies).unionByName(added.select(params.columns))
+
+
 def clone_projects(table: DataFrame, ids: DataFrame, key: str = "project_id") -> DataFrame:
     """table with the rows of the projects in ids (id, new_id) once more under their new ids."""
     copies = table.join(ids.select(F.col("id").alias(key), "new_id"), key).withColumn(key, F.col("new_id")).select(table.columns)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atollkit.functions import crs
@@ -51,11 +53,40 @@ def resample(cells: DataFrame, src: tuple, dst: tuple, src_crs: str | None = Non
     return met.groupBy("layer", "r", "c").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
 
 
+def best_fit_grid(spark: SparkSession, src: tuple, src_crs: str, dst_crs: str, points: int = 21) -> tuple:
+    """The grid of square cells in other coordinates that suits a source grid: the box around its outline, of which `points` points a side are projected,
+    at the resolution that keeps the number of cells along the diagonal."""
+    x0, y0, dx, dy, rows, cols = src
+    t = F.col("id") % points / (points - 1)
+    side = F.floor(F.col("id") / points)
+    x = F.when(side == 0, x0 + t * cols * dx).when(side == 1, x0 + cols * dx).when(side == 2, x0 + t * cols * dx).otherwise(F.lit(float(x0)))
+    y = F.when(side == 0, F.lit(float(y0))).when(side == 2, y0 - rows * dy).otherwise(y0 - t * rows * dy)
+    outline = spark.range(4 * points).select(crs.inverse(src_crs, x.cast("double"), y.cast("double")).alias("p")).select(crs.forward(dst_crs, F.col("p.x"), F.col("p.y")).alias("p"))
+    left, low, right, high = outline.agg(F.min("p.x"), F.min("p.y"), F.max("p.x"), F.max("p.y")).first()
+    size = math.hypot(right - left, high - low) / math.hypot(cols, rows)
+    count = lambda length: max(1, math.ceil(length / size - 1e-9))
+    return left, high, size, size, count(high - low), count(right - left)
+
+
+def reproject(cells: DataFrame, src: tuple, src_crs: str, dst_crs: str) -> tuple[DataFrame, tuple]:
+    """(cells on the best-fit grid in other coordinates, that grid): bilinear values, as resample() gives them."""
+    dst = best_fit_grid(cells.sparkSession, src, src_crs, dst_crs)
+    return resample(cells, src, dst, src_crs, dst_crs), dst
+
+
 def prepare_upload(cells: DataFrame, src: tuple, template: tuple, src_crs: str | None = None, crs_: str | None = None) -> DataFrame:
     """Negative values out, logarithm and scale, then the template's grid and coordinates."""
     return resample(log_minmax(clamp_negative(cells), ["layer"]), src, template, src_crs, crs_)
 
 
+def pressures_by_layer(cells: DataFrame, pad: DataFrame, activity: str) -> DataFrame:
+    """pressures() of each of several layers: (source, layer, r, c, v), layer being the pressure."""
+    scores = pad.where(F.col("activity") == activity).select(replace_chars(F.col("pressure")).alias("name"), F.col("rppscore").cast("double").alias("w")).distinct()
+    listed = scores.agg(F.collect_list(F.struct("name", "w")).alias("scores"))  # one row
+    out = cells.where("v != 0").crossJoin(F.broadcast(listed)).select(F.col("layer").alias("source"), "r", "c", "v", F.explode("scores").alias("s"))
+    return out.select("source", F.col("s.name").alias("layer"), "r", "c", (F.col("v") * F.col("s.w")).alias("v")).where("v != 0")
+
+
 def pressures(cells: DataFrame, pad: DataFrame, activity: str) -> DataFrame:
     """A layer for each pressure of an activity: values times its score, zeros left out; layers are named after pressures."""
     scores = pad.where(F.col("activity") == activity).select(replace_chars(F.col("pressure")).alias("name"), F.col("rppscore").cast("double").alias("w")).distinct()
@@ -128,6 +159,20 @@ def cost_from_impact(cells: DataFrame, units: DataFrame, grid: tuple) -> DataFra
     return hit.select("id", F.when(inside, 100 + 100 * F.coalesce("v", F.lit(0.0))).otherwise(0.0).alias("cost"))
 
 
+def costs_from_impacts(cells: DataFrame, units: DataFrame, grid: tuple) -> DataFrame:
+    """cost_from_impact() of each of several layers: (layer, id, cost) for every layer and unit.
+
+    Units meet the layers' cells by place; a unit's cost in layers without a cell there is that of a value of 0."""
+    x0, y0, dx, dy, rows, cols = grid
+    m = crs.centroid(F.col("geometry"))
+    at = units.select("id", m.alias("m")).select("id", F.floor((F.col("m.x") - x0) / dx).cast("int").alias("c"), F.floor((y0 - F.col("m.y")) / dy).cast("int").alias("r"))
+    layers = cells.agg(F.array_sort(F.collect_set("layer")).alias("layers"))  # one row, a name a layer
+    every = at.crossJoin(F.broadcast(layers)).select("id", "r", "c", F.explode("layers").alias("layer"))
+    hit = every.join(cells.select("layer", "r", "c", F.greatest(F.col("v"), F.lit(0.0)).alias("v")), ["layer", "r", "c"], "left")
+    inside = F.col("c").between(0, cols - 1) & F.col("r").between(0, rows - 1)
+    return hit.select("layer", "id", F.when(inside, 100 + 100 * F.coalesce("v", F.lit(0.0))).otherwise(0.0).alias("cost"))
+
+
 def raster_extent(cells: DataFrame, grid: tuple) -> DataFrame:
     """The box of each layer's cells."""
     x0, y0, dx, dy = grid[:4]

@@ -199,6 +199,19 @@ def pa2(t):
     return rows.groupBy("iucn_cat").agg(F.count("*").alias("n"), F.min("puid").alias("first"))
 
 
+#: The next release: some sites moved, some gone, some of another category, some new.
+RELEASE = "SELECT site_id, CASE WHEN site_id % 13 = 2 THEN 'NEW' ELSE iucn_cat END AS iucn_cat, x0 + CASE WHEN site_id % 10 = 3 THEN 1 ELSE 0 END AS x0, y0, x1 + CASE WHEN site_id % 10 = 3 THEN 1 ELSE 0 END AS x1, y1 FROM sites WHERE site_id % 10 != 1 UNION ALL SELECT site_id + 1000000000, iucn_cat, x0 + 2, y0, x1 + 2, y1 FROM sites WHERE site_id % 17 = 0"
+
+
+@query("io12_redo_intersections", f"SELECT DISTINCT u.status AS grid_id, s.iucn_cat, u.id AS puid FROM ({RELEASE}) s JOIN units u ON {MEET}")
+def io12b(t):
+    """The intersections of a new release, from those of the old one."""
+    s = t.sql(RELEASE)
+    new = s.select("site_id", "iucn_cat", crs.box_geometry(s.x0, s.y0, s.x1, s.y1).alias("other"))
+    units = unit_squares(t).select(F.col("status").alias("grid_id"), "id", "geometry")
+    return pa.redone_intersections(pa.protected_for_all(sites(t), units), sites(t), new, units)
+
+
 @query("pa3_protected_for_all", f"SELECT DISTINCT u.status AS grid_id, s.iucn_cat, u.id AS puid FROM sites s JOIN units u ON {MEET}")
 def pa3(t):
     return pa.protected_for_all(sites(t), unit_squares(t).withColumn("grid_id", F.col("status")))

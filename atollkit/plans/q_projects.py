@@ -114,6 +114,14 @@ def pu18(t):
     return p.clone_projects(t("project_units"), ids)
 
 
+@query("pu18_cloned_with_parameters", "SELECT id, name, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS created FROM projects UNION ALL SELECT id + 100, concat(name, '_copy'), concat('Clone of project ', chr(39), name, chr(39)), '05/01/24 10:00:00' FROM projects WHERE id < 15")
+def pu18b(t):
+    ids = t("projects").where("id < 15").select("id", (F.col("id") + 100).alias("new_id"))
+    projects, params = p.cloned(t("projects"), parse_params(t("params")), ids, F.lit("2024-01-05 10:00:00").cast("timestamp"))
+    wide = params.where("key IN ('DESCRIPTION', 'CREATEDATE')").groupBy(F.col("project_id").alias("id")).pivot("key", ["DESCRIPTION", "CREATEDATE"]).agg(F.min("value"))
+    return projects.join(wide, "id", "left").select("id", "name", F.col("DESCRIPTION").alias("description"), F.col("CREATEDATE").alias("created"))
+
+
 UPDATES = "SELECT o_orderkey AS project_id, 'BLM' AS key, '9' AS value FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT o_orderkey, 'NOKEY', '1' FROM orders"
 
 

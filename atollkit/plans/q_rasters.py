@@ -59,6 +59,21 @@ def ra3b(t):
     return ra.resample(t("raster"), degrees, (0.0, 20 * M, M, M, 40, 30), "EPSG:4326", "EPSG:3410").withColumn("v", F.round("v", 6))
 
 
+#: The same raster on the grid that suits it best: its width, height and the size of a cell in closed form.
+FIT = "(SELECT w, h, sqrt(w * w + h * h) / sqrt(n * n + 1600.0) AS size FROM (SELECT n, radians(n * 1.0) * 6371228.0 * cos(radians(30.0)) AS w, 2 * sin(radians(20.0)) * 6371228.0 / cos(radians(30.0)) AS h FROM (SELECT MAX(c) + 1 AS n FROM raster) a) b)"
+FIT_LON, FIT_LAT = "degrees((t.tc + 0.5) * t.size / (6371228.0 * cos(radians(30.0))))", "degrees(asin((t.h / 2 - (t.tr + 0.5) * t.size) * cos(radians(30.0)) / 6371228.0))"
+FITTED = f"""SELECT layer, tr AS r, tc AS c, round(SUM(w * v) / SUM(w), 6) AS v FROM (
+SELECT x.layer, t.tr, t.tc, x.v, (1 - abs(x.c - ({FIT_LON} - 0.5))) * (1 - abs(x.r - (20 - {FIT_LAT} - 0.5))) AS w FROM raster x
+JOIN (SELECT z.h, z.size, CAST(a AS INT) AS tr, CAST(b AS INT) AS tc FROM {FIT} z, LATERAL (SELECT unnest(range(0, CAST(ceil(z.h / z.size - 1e-9) AS BIGINT))) AS a) p, LATERAL (SELECT unnest(range(0, CAST(ceil(z.w / z.size - 1e-9) AS BIGINT))) AS b) q) t
+ON abs(x.c - ({FIT_LON} - 0.5)) < 1 AND abs(x.r - (20 - {FIT_LAT} - 0.5)) < 1) y GROUP BY layer, tr, tc HAVING SUM(w) > 1e-9"""
+
+
+@query("ra3_reproject_best_fit", FITTED)
+def ra3c(t):
+    degrees = (0.0, 20.0, 1.0, 1.0, ROWS, max(1, t.columns("raster")))
+    return ra.reproject(t("raster"), degrees, "EPSG:4326", "EPSG:3410")[0].withColumn("v", F.round("v", 6))
+
+
 @query("ra4_prepare_upload", RESAMPLED.replace("FROM raster x", "FROM (SELECT layer, r, c, COALESCE((ln(v + 1) - least_) / NULLIF(most - least_, 0), 0.0) AS v FROM (SELECT *, MIN(ln(v + 1)) OVER (PARTITION BY layer) AS least_, MAX(ln(v + 1)) OVER (PARTITION BY layer) AS most FROM raster) y) x"))
 def ra4(t):
     return ra.prepare_upload(t("raster"), grid(t), coarse(t)).withColumn("v", F.round("v", 6))
@@ -69,6 +84,11 @@ def ra5(t):
     return ra.pressures(t("raster").where("layer = 'eco_1'"), pad(t), "ECONOMY").withColumn("v", F.round("v", 6))
 
 
+@query("ra5_pressures_by_layer", "SELECT x.layer AS source, s.name AS layer, x.r, x.c, round(x.v * s.w, 6) AS v FROM raster x CROSS JOIN (SELECT DISTINCT replace(pressure, '_', '') AS name, CASE WHEN rpptitle = 'low' THEN 0.3 ELSE 1.0 END AS w FROM pad WHERE activity = 'ECONOMY') s WHERE x.v != 0")
+def ra5b(t):
+    return ra.pressures_by_layer(t("raster"), pad(t), "ECONOMY").withColumn("v", F.round("v", 6))
+
+
 LEVEL = "CASE p_size % 4 WHEN 0 THEN 'None' WHEN 1 THEN 'Low' WHEN 2 THEN 'Medium' ELSE 'High' END"
 SCORE = "CAST(p_size % 4 AS INT)"
 MARESA = f"SELECT CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE concat('A', p_partkey) END AS code, p_brand AS pressure, {LEVEL} AS level FROM part"
@@ -126,6 +146,11 @@ def ra10(t):
     return ra.cost_from_impact(t("raster").where("layer = 'eco_2'"), unit_squares(t), grid(t))
 
 
+@query("ra10_costs_by_layer", "SELECT l.layer, u.id, CASE WHEN u.ix < (SELECT MAX(c) + 1 FROM raster) AND u.iy < 40 THEN 100 + 100 * COALESCE(greatest(x.v, 0), 0.0) ELSE 0.0 END AS cost FROM units u CROSS JOIN (SELECT DISTINCT layer FROM raster) l LEFT JOIN raster x ON x.layer = l.layer AND x.c = u.ix AND x.r = 39 - u.iy")
+def ra10b(t):
+    return ra.costs_from_impacts(t("raster"), unit_squares(t), grid(t))
+
+
 @query("ra11_raster_extent", "SELECT layer, CAST(MIN(c) AS DOUBLE) AS xmin, CAST(39 - MAX(r) AS DOUBLE) AS ymin, CAST(MAX(c) + 1 AS DOUBLE) AS xmax, CAST(40 - MIN(r) AS DOUBLE) AS ymax FROM raster GROUP BY layer")
 def ra11(t):
     return ra.raster_extent(t("raster"), grid(t))

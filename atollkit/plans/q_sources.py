@@ -95,6 +95,27 @@ def io9b(t):
     return geometry_io.read_geojson(t.spark, path).select(F.col("properties.id").cast("long").alias("feature_id"), crs.planar_area(F.col("geometry")).alias("area"))
 
 
+@query("io9_wkb_round_trip", "SELECT feature_id, CAST((x1 - x0) * (y1 - y0) - 0.25 AS DOUBLE) AS area, 2 AS rings FROM boxes")
+def io9c(t):
+    """Boxes with a hole as WKB and back."""
+    b = t("boxes")
+    holed = F.concat(crs.box_geometry(b.x0, b.y0, b.x1, b.y1), crs.box_geometry(b.x0 + 0.25, b.y0 + 0.25, b.x0 + 0.75, b.y0 + 0.75))
+    raw = geometry_io.to_wkb(b.select("feature_id", holed.alias("geometry")), "geometry", "wkb").drop("geometry")
+    return geometry_io.from_wkb(raw, "wkb", "geometry").select("feature_id", crs.planar_area(F.col("geometry")).alias("area"), F.size("geometry").alias("rings"))
+
+
+@query("io9_geojson_lines", "SELECT feature_id, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area FROM boxes")
+def io9d(t):
+    """A feature a line, every second one after a record separator."""
+    path = scratch(t, "geojsonl")
+    b = t("boxes")
+    point = lambda x, y: F.array(x.cast("double"), y.cast("double"))
+    ring = F.array(point(b.x0, b.y0), point(b.x1, b.y0), point(b.x1, b.y1), point(b.x0, b.y1), point(b.x0, b.y0))
+    shape = F.struct(F.lit("Feature").alias("type"), F.struct(b.feature_id.cast("string").alias("id")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
+    b.select(F.concat(F.when(b.feature_id % 2 == 0, "\x1e").otherwise(""), F.to_json(shape)).alias("value")).write.text(path)
+    return geometry_io.read_geojson_lines(t.spark, path).select(F.col("properties.id").cast("long").alias("feature_id"), crs.planar_area(F.col("geometry")).alias("area"))
+
+
 @query("io11_load_pad", "SELECT pos, activity, pressure, CASE WHEN rpptitle = 'low' THEN 0.3 ELSE 1.0 END::DOUBLE AS rppscore FROM pad")
 def io11(t):
     return io.load_pad(t("pad").toDF("POS", "Activity", "Category", "Pressure", "RPPTitle")).select("pos", "activity", "pressure", "rppscore")

@@ -1,14 +1,16 @@
-"""Geometry at the edges: WKT and GeoJSON text, and ASCII grids."""
+"""Geometry at the edges: WKT, WKB and GeoJSON, and ASCII grids."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from atollkit.functions import kernels
 from atollkit.functions.crs import GEOMETRY
-from atollkit.functions.geometry_udf import rowwise
+from atollkit.functions.geometry_udf import lists_of_polygons, polygons, rowwise
 
 
 def from_wkt(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -24,15 +26,73 @@ def to_wkt(df: DataFrame, geom: str, name: str) -> DataFrame:
     return df.withColumn(name, F.concat(F.lit("POLYGON ("), F.array_join(F.transform(F.col(geom), ring), ", "), F.lit(")")))
 
 
+def _wkb_polygons(raw: bytes) -> list:
+    """Polygons of a WKB value: POINT, POLYGON, MULTIPOLYGON or GEOMETRYCOLLECTION, either byte order at each level, with or without Z, M and SRID."""
+    def read(at: int) -> tuple[list, int]:
+        order = "<" if raw[at] else ">"
+        kind = int(np.frombuffer(raw, f"{order}u4", 1, at + 1)[0])
+        at += 9 if kind & 0x20000000 else 5
+        wide = 2 + bool(kind & 0x80000000) + bool(kind & 0x40000000) + (0, 1, 1, 2)[(kind & 0xFFFF) // 1000]
+        kind = (kind & 0xFFFF) % 1000
+        if kind == 1:
+            p = np.frombuffer(raw, f"{order}f8", wide, at)[None, :2]
+            return ([] if np.isnan(p).any() else [[p.astype(float)]]), at + 8 * wide
+        if kind not in (3, 6, 7):
+            raise ValueError(f"cannot read WKB type {kind}")
+        n, at, out = int(np.frombuffer(raw, f"{order}u4", 1, at)[0]), at + 4, []
+        for _ in range(n):
+            if kind == 3:
+                m = int(np.frombuffer(raw, f"{order}u4", 1, at)[0])
+                out.append(np.frombuffer(raw, f"{order}f8", m * wide, at + 4).reshape(m, wide)[:, :2].astype(float))
+                at += 4 + 8 * m * wide
+            else:
+                parts, at = read(at)
+                out += parts
+        return ([out] if out else []) if kind == 3 else out, at
+
+    return read(0)[0] if raw else []
+
+
+def from_wkb(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with a row for each polygon of the WKB column; null, empty and EMPTY values give none. A point is a ring of one vertex."""
+    read = F.arrow_udf(lambda c: lists_of_polygons([_wkb_polygons(x or b"") for x in c.to_pylist()]), f"array<{GEOMETRY}>")
+    others = [c for c in df.columns if c not in (column, name)]
+    return df.select(*others, F.explode(read(F.col(column).cast("binary"))).alias(name))
+
+
+def _to_wkb(column: pa.Array) -> pa.Array:
+    head = lambda kind, n: np.array([n], "<u4").tobytes() if kind is None else b"\x01" + np.array([kind, n], "<u4").tobytes()
+    out = [None if g is None else head(3, len(g)) + b"".join(head(None, len(r)) + r.astype("<f8").tobytes() for r in g) for g in polygons(column)]
+    return pa.array(out, pa.binary())
+
+
+def to_wkb(df: DataFrame, geom: str, name: str) -> DataFrame:
+    """df with the polygon as little-endian WKB."""
+    return df.withColumn(name, F.arrow_udf(_to_wkb, "binary")(F.col(geom)))
+
+
+def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(properties, geometry) of a feature a line (with or without the record separator before it), one row a polygon. Files are split, however large; blank and unreadable lines and
+    those without a polygon give none."""
+    kind = T._parse_datatype_string("type string, properties map<string,string>, geometry struct<type:string,coordinates:string>")
+    lines = spark.read.text(path).select(F.from_json(F.ltrim(F.translate("value", "\x1e", " ")), kind).alias("f"))
+    return _polygon_rows(lines, [F.col("f.properties").alias("properties")])
+
+
+def _polygon_rows(rows: DataFrame, others: list) -> DataFrame:
+    """others and geometry, a row for each polygon of the features f."""
+    one = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
+    many = F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")
+    polygons_ = F.when(F.col("f.geometry.type") == "MultiPolygon", many).when(F.col("f.geometry.type") == "Polygon", F.array(one))
+    shaped = F.transform(F.col("p"), lambda r: F.transform(r, lambda q: F.struct(q[0].alias("x"), q[1].alias("y"))))
+    return rows.select(*others, F.explode(polygons_).alias("p")).withColumn("geometry", shaped).drop("p")
+
+
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """(feature, properties, geometry) of the polygons and multipolygons of feature collections, one row a polygon."""
     kind = T._parse_datatype_string("type string, features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>")
     rows = spark.read.schema(kind).option("multiLine", True).json(path).select(F.posexplode("features").alias("feature", "f"))
-    one = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
-    many = F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")
-    polygons = F.when(F.col("f.geometry.type") == "MultiPolygon", many).when(F.col("f.geometry.type") == "Polygon", F.array(one))
-    shaped = F.transform(F.col("p"), lambda r: F.transform(r, lambda q: F.struct(q[0].alias("x"), q[1].alias("y"))))
-    return rows.select("feature", F.col("f.properties").alias("properties"), F.explode(polygons).alias("p")).select("feature", "properties", shaped.alias("geometry"))
+    return _polygon_rows(rows, ["feature", F.col("f.properties").alias("properties")])
 
 
 def write_ascii_grids(cells: DataFrame, path: str, rows: int, cols: int, nodata: int = -9999) -> None:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import timedelta, timezone
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 TERMINAL = ("Completed", "Stopped", "Killed")
 
@@ -28,21 +33,56 @@ def runs_per_window(events: DataFrame, width: str = "10 minutes", late: str = "3
     return out.select(F.col("w.start").alias("start"), "user_id", "started", "finished")
 
 
-def start_upsert(spark: SparkSession, events: DataFrame, path: str, checkpoint: str):
-    """Keep latest_run_state of a stream in a table at path: each batch writes an epoch of the runs it changed and all others of the epoch
-    before. Readers take the last epoch; all but the last two are dropped, and a batch that runs again writes the same."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    at = hadoop.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+STATE = "status string, done int, ts timestamp, final boolean"
+CHANGED = "pid long, status string, done int, ts timestamp"
+
+
+def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, keep_ms: int) -> Iterator[pd.DataFrame]:
+    """A run's state after more of its events; a row where it changed. A state that nothing has touched for keep_ms of event time goes."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    before = tuple(state.get) if state.exists else None
+    now = before
+    for rows in frames:
+        for row in rows.sort_values(["ts", "status", "done"], na_position="first").itertuples():
+            end = row.status in TERMINAL
+            one = (row.status, None if pd.isna(row.done) else int(row.done), row.ts.to_pydatetime(), end)
+            if now is None or (end and (not now[3] or one[2] < now[2])) or (not end and not now[3] and one[2] >= now[2]):
+                now = one
+    state.update(now)
+    last = int(now[2].replace(tzinfo=timezone.utc).timestamp() * 1000) if now[2].tzinfo is None else int(now[2].timestamp() * 1000)
+    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + keep_ms)
+    if now != before:
+        yield pd.DataFrame({"pid": [key[0]], "status": [now[0]], "done": [now[1]], "ts": [now[2]]})
+
+
+def run_states(events: DataFrame, late: str = "30 minutes", keep: timedelta = timedelta(days=7)) -> DataFrame:
+    """The changes of latest_run_state in a stream of events: a row whenever a run's state becomes another.
+
+    State is kept by pid: a terminal state is final but for an earlier one that comes late; events after it and repeated ones change nothing. A run's
+    state is let go once event time has moved on by `keep`; events later than `late` are dropped."""
+    rows = events.select(F.col("pid").cast("long").alias("pid"), "ts", "status", F.col("done").cast("int").alias("done")).where("pid IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late)
+    keep_ms = int(keep.total_seconds() * 1000)
+    step = lambda key, frames, state: _advance(key, frames, state, keep_ms)
+    return rows.groupBy("pid").applyInPandasWithState(step, CHANGED, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
+
+def start_upsert(spark: SparkSession, events: DataFrame, path: str, checkpoint: str, late: str = "30 minutes"):
+    """Write what changes in a stream's run states to a table at path, an epoch a batch: rows grow with the changes, and a batch that
+    runs again writes the same epoch. read_run_states() gives the present states."""
     def save(batch: DataFrame, epoch: int) -> None:
-        there = sorted(int(x.getPath().getName()[6:]) for x in fs.listStatus(at) if x.getPath().getName().startswith("epoch=")) if fs.exists(at) else []
-        before = [k for k in there if k < epoch]
-        if before:
-            old = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/epoch={before[-1]}")
-            batch = old.join(batch.select("pid"), "pid", "left_anti").select(batch.columns).unionByName(batch)
         batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-        for k in before[:-1]:
-            fs.delete(hadoop.Path(f"{path}/epoch={k}"), True)
 
-    return latest_run_state(events).writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return run_states(events, late).writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_run_states(spark: SparkSession, path: str) -> DataFrame:
+    """(pid, status, done, ts) of each run, by the last of its changes."""
+    rows = spark.read.schema(f"{CHANGED}, epoch long").parquet(path)
+    return rows.groupBy("pid").agg(F.max_by(F.struct("status", "done", "ts"), "epoch").alias("s")).select("pid", "s.*")
+
+
+def compact_run_states(spark: SparkSession, path: str, into: str) -> None:
+    """Present states as a table of one epoch at another path, for a log of many changes."""
+    read_run_states(spark, path).write.mode("overwrite").parquet(f"{into}/epoch=0")

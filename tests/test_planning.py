@@ -11,6 +11,7 @@ from atollkit.functions import scalars as s
 from atollkit.operators import features as fe
 from atollkit.operators import grid as gr
 from atollkit.operators import projects as pu
+from atollkit.operators import protected
 from atollkit.operators import raster as ra
 from atollkit.operators import results as rs
 from atollkit.operators import spatial as sj
@@ -239,3 +240,62 @@ def test_streams(spark, tmp_path):
     windows = runs.runs_per_window(live).writeStream.outputMode("append").format("memory").queryName("w").option("checkpointLocation", str(tmp_path / "check2")).trigger(availableNow=True).start()
     windows.awaitTermination(60)
     assert sorted((r.started, r.finished) for r in runs.runs_per_window(events).collect()) == [(1, 0), (1, 2)]
+
+
+def test_run_states_over_batches_and_a_restart(spark, tmp_path):
+    """Keyed state: repeated and late terminal events, a batch after a restart, and the same result as one pass over all events."""
+    schema = "event_id long, pid long, status string, done int, ts timestamp"
+    parts = [
+        [(1, 1, "Running", 0, "00:00"), (2, 2, "Running", 1, "00:01"), (3, 3, "Running", 0, "00:02"), (9, None, "Running", 0, "00:02")],
+        [(4, 1, "Stopped", 3, "00:10"), (5, 1, "Killed", 4, "00:12"), (6, 2, "Running", 5, "00:11"), (7, 3, "Completed", 9, "00:09")],
+        [(4, 1, "Stopped", 3, "00:10"), (8, 1, "Killed", 2, "00:08"), (10, 3, "Running", 1, "00:20"), (11, 4, "Running", None, "00:21"), (12, 2, "Running", 4, "00:05")],
+    ]
+    every = []
+    for rows in parts:
+        made = spark.createDataFrame([(e, p, s_, d, f"2024-01-01 {t}:00") for e, p, s_, d, t in rows], "event_id long, pid long, status string, done int, t string").withColumn("ts", F.to_timestamp("t")).drop("t")
+        made.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        every.append(made)
+        live = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        runs.start_upsert(spark, live, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+        union = every[0]
+        for more in every[1:]:
+            union = union.unionByName(more)
+        want = sorted((r.pid, r.status, r.done) for r in runs.latest_run_state(union.where("pid IS NOT NULL")).collect())
+        assert sorted((r.pid, r.status, r.done) for r in runs.read_run_states(spark, str(tmp_path / "out")).collect()) == want
+    changes = spark.read.parquet(str(tmp_path / "out")).groupBy("pid").count().collect()
+    assert {r.pid: r["count"] for r in changes} == {1: 3, 2: 2, 3: 2, 4: 1}
+    runs.compact_run_states(spark, str(tmp_path / "out"), str(tmp_path / "compact"))
+    assert runs.read_run_states(spark, str(tmp_path / "compact")).count() == 4
+
+
+def test_wkb_of_all_kinds(spark):
+    import struct
+
+    def polygon(order, *rings, z=False, srid=False):
+        kind = 3 | (0x80000000 if z else 0) | (0x20000000 if srid else 0)
+        body = struct.pack(order + "I", kind) + (struct.pack(order + "I", 4326) if srid else b"") + struct.pack(order + "I", len(rings))
+        for r in rings:
+            body += struct.pack(order + "I", len(r)) + b"".join(struct.pack(order + "d" * (3 if z else 2), *p, *([9.0] if z else [])) for p in r)
+        return (b"\x01" if order == "<" else b"\x00") + body
+
+    sq = lambda a, b: [(a, a), (b, a), (b, b), (a, b), (a, a)]
+    many = b"\x00" + struct.pack(">II", 6, 2) + polygon("<", sq(0, 4), sq(1, 2)) + polygon(">", sq(5, 6))
+    rows = [(1, polygon("<", sq(0, 2))), (2, polygon(">", sq(0, 2), z=True)), (3, polygon("<", sq(0, 3), srid=True)), (4, many), (5, b"\x01" + struct.pack("<II", 6, 0)), (6, b"\x01" + struct.pack("<II", 3, 0)), (7, None), (8, b"")]
+    rows += [(9, b"\x01" + struct.pack("<Idd", 1, 3.0, 4.0)), (10, b"\x01" + struct.pack("<Idd", 1, float("nan"), float("nan"))), (11, b"\x01" + struct.pack("<II", 7, 1) + many)]
+    df = spark.createDataFrame(rows, "id long, raw binary")
+    got = sorted((r.id, [len(x) for x in r.geometry], r.area) for r in geometry_io.from_wkb(df, "raw", "geometry").withColumn("area", crs.planar_area(F.col("geometry"))).collect())
+    assert got == [(1, [5], 4.0), (2, [5], 4.0), (3, [5], 9.0), (4, [5], 1.0), (4, [5, 5], 15.0), (9, [1], 0.0), (11, [5], 1.0), (11, [5, 5], 15.0)]
+
+
+def test_redo_reads_changed_places_alone(spark):
+    """Equal to a full redo, and units that no changed site meets are not worked out again."""
+    units = spark.range(400).select((F.col("id") % 2).alias("grid_id"), "id", crs.box_geometry(F.col("id") % 20, F.floor(F.col("id") / 20), F.col("id") % 20 + 1, F.floor(F.col("id") / 20) + 1).alias("geometry"))
+    made = lambda rows: spark.createDataFrame(rows, "site_id long, iucn_cat string, x double").select("site_id", "iucn_cat", crs.box_geometry(F.col("x"), F.col("x"), F.col("x") + 1.5, F.col("x") + 1.5).alias("other"))
+    old, new = made([(k, "a", float(k)) for k in range(15)]), made([(k, "b" if k == 3 else "a", float(k)) for k in range(14)] + [(99, "c", 17.0)])
+    before = protected.protected_for_all(old, units)
+    got = protected.redone_intersections(before, old, new, units)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, protected.protected_for_all(new, units).collect()))
+    assert sorted(r.other[0][0].x for r in protected.changed_sites(old, new).collect()) == [3.0, 3.0, 14.0, 17.0]
+    # An existing row far from any change is taken over as it is.
+    odd = before.unionByName(spark.createDataFrame([(0, "kept", 9 * 21)], "grid_id long, iucn_cat string, puid long"))
+    assert protected.redone_intersections(odd, old, new, units).where("iucn_cat = 'kept'").count() == 1
