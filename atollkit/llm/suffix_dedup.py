@@ -10,6 +10,9 @@ long as its last window reaches, suffixes of dictionary phrases decide the corpu
    windows;
 3. where one trigger has several phrases, their first occurrences enter a suffix array of the dictionary, whose
    neighbours that share `length` bytes form classes; a window goes if its class has a smaller id.
+
+No task gathers a trigger: phrases meet by trigger and phrase, and where a trigger has more than HOT phrases (a short string that
+many documents have in different surroundings) each distinct window of its phrases is a dictionary phrase of its own, dealt out by its own hash.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from atollkit.llm.common import BYTE, U, blocked, mix, pack, prefix_sums, runs,
 from atollkit.llm.exchange import bits, deal, meets, rounds
 
 LAST = (1 << 63) - 1
+#: A trigger with more phrases than this has its windows dealt out one by one.
+HOT = 256
 
 
 class Parse:
@@ -82,23 +87,35 @@ def from_planes(raw: bytes) -> np.ndarray:
 
 
 def parse_order(blocks: list[int], datas: list[bytes]) -> list[bytes]:
-    """For each block's phrases: whether an earlier document has the phrase, and whether its first occurrence must be compared."""
-    sizes = [len(d) // 20 for d in datas]
-    cut = [(unpack(d[: 6 * n], 6), unpack(d[6 * n : 12 * n], 6), from_planes(d[12 * n :])) for d, n in zip(datas, sizes, strict=True)]
+    """For each block's phrases that fall to this bucket whether an earlier document has the phrase and whether this is its first, and
+    for its triggers whether they have several phrases and whether more than HOT.
+
+    Phrases are dealt out by trigger and phrase, so those of one trigger spread; of a trigger only a summary meets: a block's number of phrases, the
+    least and the greatest."""
+    heads = [int(np.frombuffer(d, "<u4", 1)[0]) for d in datas]
+    parts = [(d[4 : 4 + 20 * n], d[4 + 20 * n :]) for d, n in zip(datas, heads, strict=True)]
+    cut = [(unpack(a[: 6 * n], 6), unpack(a[6 * n : 12 * n], 6), from_planes(a[12 * n :])) for (a, _), n in zip(parts, heads, strict=True)]
     trigger, phrase, doc = (np.concatenate([c[i] for c in cut]) for i in range(3))
     order = np.lexsort((doc, phrase, trigger))
     t, p, d = trigger[order], phrase[order], doc[order]
-    new_t = np.append(True, t[1:] != t[:-1])
-    new_p = new_t | np.append(True, p[1:] != p[:-1])
-    first = d[np.flatnonzero(new_p)][np.cumsum(new_p) - 1]
-    starts = np.flatnonzero(new_t)
-    group = np.cumsum(new_t) - 1
-    several = (np.minimum.reduceat(first, starts) < np.maximum.reduceat(first, starts))[group]
-    later, compare = np.empty(len(d), bool), np.empty(len(d), bool)
-    later[order] = first < d
-    compare[order] = (first == d) & several
-    edges = np.cumsum(sizes)[:-1]
-    return [np.packbits(np.concatenate(x)).tobytes() for x in zip(np.split(later, edges), np.split(compare, edges), strict=True)]
+    new = np.append(True, (t[1:] != t[:-1]) | (p[1:] != p[:-1]))[: len(t)]
+    first = d[np.flatnonzero(new)][np.cumsum(new) - 1]
+    later, is_first = np.empty(len(d), bool), np.empty(len(d), bool)
+    later[order], is_first[order] = first < d, first == d
+
+    counts = [len(b) // 22 for _, b in parts]
+    cut = [(unpack(b[: 6 * m], 6), unpack(b[6 * m : 12 * m], 6), unpack(b[12 * m : 18 * m], 6), np.frombuffer(b, "<u4", m, 18 * m)) for (_, b), m in zip(parts, counts, strict=True)]
+    trigger, least, most, number = (np.concatenate([c[i] for c in cut]) for i in range(4))
+    order = np.argsort(trigger, kind="stable")
+    t = trigger[order]
+    several, hot = np.zeros(len(t), bool), np.zeros(len(t), bool)
+    if len(t):
+        new = np.append(True, t[1:] != t[:-1])
+        starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+        several[order] = (np.minimum.reduceat(least[order], starts) != np.maximum.reduceat(most[order], starts))[group]
+        hot[order] = (np.add.reduceat(number[order].astype(np.int64), starts) > HOT)[group]
+    split = lambda x, n: np.split(x, np.cumsum(n)[:-1])
+    return [np.packbits(np.concatenate(x)).tobytes() for x in zip(split(later, heads), split(is_first, heads), split(several, counts), split(hot, counts), strict=True)]
 
 
 def dictionary_order(length: int):
@@ -166,45 +183,104 @@ class State:
         self.entry[order] = np.cumsum(new) - 1
         self.first = order[new]  # the occurrence with the smallest id
         self.e_trigger, self.e_phrase, self.e_doc = t[self.first], x[self.first], self.doc[self.first]
-        self.e_cuts = deal(self.e_trigger, self.buckets)
+        key = mix(self.e_trigger ^ mix(self.e_phrase))
+        self.dealt = np.argsort(key, kind="stable")  # phrases in the order in which they are dealt out
+        self.e_cuts = deal(key[self.dealt], self.buckets)
+        begin = np.flatnonzero(np.append(True, self.e_trigger[1:] != self.e_trigger[:-1])[: len(self.e_trigger)])
+        self.t_number = np.diff(begin, append=len(self.e_trigger))
+        self.t_key = self.e_trigger[begin]
+        seen = (1 << 48) - 1  # as much of a phrase as is sent
+        low = self.e_phrase & U(seen)
+        self.t_least, self.t_most = (f.reduceat(low, begin) if len(begin) else low[:0] for f in (np.minimum, np.maximum))
+        self.t_cuts = deal(self.t_key, self.buckets)
+
+    def questions(self) -> list[tuple[int, bytes]]:
+        """Phrases and triggers for each bucket of parse_order()."""
+        out = []
+        for b in range(self.buckets):
+            e, t = self.dealt[self.e_cuts[b] : self.e_cuts[b + 1]], slice(self.t_cuts[b], self.t_cuts[b + 1])
+            if len(e) or t.stop > t.start:
+                phrases = pack(self.e_trigger[e], 6) + pack(self.e_phrase[e], 6) + planes(self.e_doc[e])
+                triggers = pack(self.t_key[t], 6) + pack(self.t_least[t], 6) + pack(self.t_most[t], 6) + self.t_number[t].astype("<u4").tobytes()
+                out.append((b, np.uint32(len(e)).tobytes() + phrases + triggers))
+        return out
 
     def parsed(self, got: dict[int, bytes]):
-        self.later, self.compare = np.zeros(len(self.first), bool), np.zeros(len(self.first), bool)
+        self.later, first = np.zeros(len(self.first), bool), np.zeros(len(self.first), bool)
+        several, hot = np.zeros(len(self.t_key), bool), np.zeros(len(self.t_key), bool)
         for b, data in got.items():
-            lo, hi = self.e_cuts[b], self.e_cuts[b + 1]
-            x = np.unpackbits(np.frombuffer(data, np.uint8), count=2 * (hi - lo)).astype(bool)
-            self.later[lo:hi], self.compare[lo:hi] = x[: hi - lo], x[hi - lo :]
-        self.chosen = np.flatnonzero(self.compare)
-        self.c_cuts = deal(self.e_trigger[self.chosen], self.buckets)
+            e, t = self.dealt[self.e_cuts[b] : self.e_cuts[b + 1]], slice(self.t_cuts[b], self.t_cuts[b + 1])
+            n, m = len(e), t.stop - t.start
+            x = np.unpackbits(np.frombuffer(data, np.uint8), count=2 * (n + m)).astype(bool)
+            self.later[e], first[e], several[t], hot[t] = x[:n], x[n : 2 * n], x[2 * n : 2 * n + m], x[2 * n + m :]
+        of = np.repeat(np.arange(len(self.t_key)), self.t_number)
+        self.chosen = np.flatnonzero(first & several[of])
+        self.hot = hot[of][self.chosen]
         lo = np.concatenate([p.lo for p in self.parses] or [np.zeros(0, np.int64)])
         hi = np.concatenate([p.hi for p in self.parses] or [np.zeros(0, np.int64)])
         self.c_windows = (hi - lo + 1)[self.first[self.chosen]]
-
-    def dictionary(self) -> list[tuple[int, bytes]]:
-        out = []
+        self.cold = np.flatnonzero(~self.hot)
+        self.c_cuts = deal(self.e_trigger[self.chosen[self.cold]], self.buckets)
+        self.windows()
+
+    def windows(self):
+        """The distinct windows of hot triggers' phrases, dealt out by their own hashes: those of one trigger spread, and a window is one entry a block, with its
+        smallest id there."""
+        at = np.flatnonzero(self.hot)
+        spans = self.spans_of(at)
+        count = self.c_windows[at]
+        text = np.concatenate([*spans, np.zeros(0, np.uint8)])
+        size = np.fromiter(map(len, spans), np.int64, len(spans))
+        start = np.repeat(np.cumsum(size) - size - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        one, two = (windows_hash(prefix_sums(BYTE[text], which), self.length, which)[start] for which in (0, 1))
+        own = np.repeat(self.e_doc[self.chosen[at]], count)
+        order = np.lexsort((own, two, one))
+        new = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))[: len(order)]
+        self.w_of = np.empty(len(order), np.int64)
+        self.w_of[order] = np.cumsum(new) - 1
+        self.w_doc = own[order][new]
+        self.w_text = text[start[order][new][:, None] + np.arange(self.length)] if len(order) else np.zeros((0, self.length), np.uint8)
+        self.w_before = self.w_doc[self.w_of] < own  # an earlier document of this block has it
+        self.w_cuts = deal(one[order][new], self.buckets)
+
+    def spans_of(self, at: np.ndarray) -> list[np.ndarray]:
+        """Bytes of the given ones of the chosen phrases."""
         edge = np.cumsum([0, *(len(p.lo) for p in self.parses)])
-        where = np.searchsorted(edge, self.first[self.chosen], "right") - 1
-        spans = []
-        for e, r in zip(self.first[self.chosen].tolist(), where.tolist(), strict=True):
+        first = self.first[self.chosen[at]]
+        where = np.searchsorted(edge, first, "right") - 1
+        out = []
+        for e, r in zip(first.tolist(), where.tolist(), strict=True):
             p = self.parses[r]
             i = e - edge[r]
-            spans.append(p.raw[p.lo[i] : p.hi[i] + self.length])
+            out.append(p.raw[p.lo[i] : p.hi[i] + self.length])
+        return out
+
+    def dictionary(self) -> list[tuple[int, bytes]]:
+        out, spans = [], self.spans_of(self.cold)
         for b in range(self.buckets):
-            lo, hi = self.c_cuts[b], self.c_cuts[b + 1]
-            if hi > lo:
-                part = spans[lo:hi]
-                out.append((b, b"".join([np.uint32(hi - lo).tobytes(), self.e_doc[self.chosen[lo:hi]].astype("<u8").tobytes(), np.array([len(s) for s in part], "<u2").tobytes(), *(s.tobytes() for s in part)])))
+            lo, hi, x, y = self.c_cuts[b], self.c_cuts[b + 1], self.w_cuts[b], self.w_cuts[b + 1]
+            n = hi - lo + y - x
+            if n:
+                docs = np.concatenate([self.e_doc[self.chosen[self.cold[lo:hi]]], self.w_doc[x:y]])
+                sizes = np.array([*map(len, spans[lo:hi]), *[self.length] * int(y - x)], "<u2")
+                out.append((b, b"".join([np.uint32(n).tobytes(), docs.astype("<u8").tobytes(), sizes.tobytes(), *(z.tobytes() for z in spans[lo:hi]), self.w_text[x:y].tobytes()])))
         return out
 
     def gone(self, got: dict[int, bytes]) -> list[np.ndarray]:
         """For each run of texts, which bytes go."""
         flags = [np.zeros(0, bool)] * len(self.chosen)
-        at = np.concatenate([[0], np.cumsum(self.c_windows)])
+        at = np.concatenate([[0], np.cumsum(self.c_windows[self.cold])])
+        single = np.zeros(len(self.w_doc), bool)
         for b, data in got.items():
-            lo, hi = self.c_cuts[b], self.c_cuts[b + 1]
-            x = np.unpackbits(np.frombuffer(data, np.uint8), count=int(at[hi] - at[lo])).astype(bool)
+            lo, hi, x, y = self.c_cuts[b], self.c_cuts[b + 1], self.w_cuts[b], self.w_cuts[b + 1]
+            n = int(at[hi] - at[lo])
+            told = np.unpackbits(np.frombuffer(data, np.uint8), count=n + int(y - x)).astype(bool)
             for e in range(lo, hi):
-                flags[e] = x[at[e] - at[lo] : at[e + 1] - at[lo]]
+                flags[self.cold[e]] = told[at[e] - at[lo] : at[e + 1] - at[lo]]
+            single[x:y] = told[n:]
+        hot = np.flatnonzero(self.hot)
+        for e, x in zip(hot.tolist(), np.split(single[self.w_of] | self.w_before, np.cumsum(self.c_windows[hot])[:-1]) if len(hot) else [], strict=True):
+            flags[e] = x
         whole = self.later[self.entry] | (self.doc > self.e_doc[self.entry]) if len(self.entry) else np.zeros(0, bool)
         number = np.full(len(self.first), -1, np.int64)
         number[self.chosen] = np.arange(len(self.chosen))
@@ -254,8 +330,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 28, carry: bool = F
         if level == 0:
             return [(b, pack(s.keys[s.cuts[b] : s.cuts[b + 1]], 3)) for b in range(buckets) if s.cuts[b + 1] > s.cuts[b]]
         if level == 1:
-            part = lambda x, b: x[s.e_cuts[b] : s.e_cuts[b + 1]]
-            return [(b, pack(part(s.e_trigger, b), 6) + pack(part(s.e_phrase, b), 6) + planes(part(s.e_doc, b))) for b in range(buckets) if s.e_cuts[b + 1] > s.e_cuts[b]]
+            return s.questions()
         return s.dictionary()
 
     def lonely(blocks, datas):
