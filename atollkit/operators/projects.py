@@ -151,6 +151,20 @@ def project_bundle(projects: DataFrame, params: DataFrame, features: DataFrame,
     return projects.join(g, "planning_unit_id", "left").join(p, "id", "left").join(f, "id", "left")
 
 
+def whole_bundle(projects: DataFrame, params: DataFrame, files: DataFrame, renderer: DataFrame, features: DataFrame, grids: DataFrame) -> DataFrame:
+    """All that is shown of a project, a nested row each: run_parameters (key, value in the order of keys), files (type to name), renderer (key to value),
+    features, and grid with all columns of grids (unique_id, alias, country, ...).
+
+    Children are gathered by project before they are joined, so rows do not fan out; projects without a child have null there."""
+    listed = lambda df, name, *cols: df.groupBy(F.col("project_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    mapped = lambda df, name, key, value: df.groupBy(F.col("project_id").alias("id"), key).agg(F.min(value).alias(value)).groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias(name))
+    parts = [listed(params, "run_parameters", "key", "value"), mapped(files, "files", "file_type", "file_name"), mapped(renderer, "renderer", "key", "value"), listed(features, "features", "feature_unique_id", "target_value", "spf")]
+    out = projects.join(grids.select(F.col("unique_id").alias("planning_unit_id"), F.struct(*grids.columns).alias("grid")), "planning_unit_id", "left")
+    for part in parts:
+        out = out.join(part, "id", "left")
+    return out
+
+
 def scenario_group(params: DataFrame, blm: list[float], step: int) -> DataFrame:
     """A copy of every project's parameters for each value: ids move on by i * step, BLM is the value, NUMREPS 1."""
     n = F.posexplode(F.array(*(F.lit(str(b)) for b in blm))).alias("i", "blm")

@@ -103,6 +103,19 @@ def pu16(t):
     return out.select("id", "name", "grid_alias", F.when(F.col("features").isNull(), 0).otherwise(F.size("features")).cast("long").alias("n_features"), F.coalesce(F.try_element_at("parameters", F.lit("BLM")), F.lit("-1")).alias("blm"))
 
 
+FILES = "SELECT CAST(c_nationkey AS BIGINT) AS project_id, concat('TYPE', c_custkey % 3) AS file_type, MIN(concat(lower(c_mktsegment), '.dat')) AS file_name FROM customer GROUP BY c_nationkey, c_custkey % 3"
+RENDERER = "SELECT CAST(s_nationkey AS BIGINT) AS project_id, concat('KEY', s_suppkey % 2) AS key, CAST(MAX(s_suppkey) AS VARCHAR) AS value FROM supplier GROUP BY s_nationkey, s_suppkey % 2"
+
+
+@query("pu16_whole_bundle", f"SELECT p.id, COALESCE(n, 0) AS n_parameters, f.file_name, r.value AS renderer, g.alias AS grid_alias, g.planning_unit_count AS units, c.n_name AS country FROM projects p LEFT JOIN (SELECT o_orderkey AS id, CAST(4 AS BIGINT) AS n FROM orders) x ON x.id = p.id LEFT JOIN (SELECT * FROM ({FILES}) a WHERE file_type = 'TYPE1') f ON f.project_id = p.id LEFT JOIN (SELECT * FROM ({RENDERER}) b WHERE key = 'KEY0') r ON r.project_id = p.id LEFT JOIN grids g ON g.unique_id = p.planning_unit_id LEFT JOIN nation c ON c.n_nationkey = g.resolution")
+def pu16b(t):
+    text = lambda sql: t.sql(sql.replace("AS VARCHAR", "AS STRING"))
+    countries = t("nation").select(F.col("n_nationkey").cast("int").alias("resolution"), F.col("n_name").alias("country"))
+    grids = t("grids").join(countries, "resolution", "left")
+    out = p.whole_bundle(t("projects"), parse_params(t("params")), text(FILES), text(RENDERER), t("project_features"), grids)
+    return out.select("id", F.coalesce(F.size("run_parameters"), F.lit(0)).cast("long").alias("n_parameters"), F.try_element_at("files", F.lit("TYPE1")).alias("file_name"), F.try_element_at("renderer", F.lit("KEY0")).alias("renderer"), "grid.alias", "grid.planning_unit_count", "grid.country").withColumnsRenamed({"alias": "grid_alias", "planning_unit_count": "units"})
+
+
 @query("pu17_scenario_group", f"SELECT project_id + (i + 1) * 1000000 AS project_id, key, CASE key WHEN 'BLM' THEN b WHEN 'NUMREPS' THEN '1' ELSE value END AS value FROM ({PARAMS}) p CROSS JOIN (SELECT 0 AS i, '0.1' AS b UNION ALL SELECT 1, '0.5') s")
 def pu17(t):
     return p.scenario_group(parse_params(t("params")), [0.1, 0.5], 1000000)
