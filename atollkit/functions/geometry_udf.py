@@ -78,7 +78,7 @@ BOX = "x0 double, y0 double, x1 double, y1 double, own boolean, key string"
 
 
 def boxes_of(column: pa.Array) -> dict[str, pa.Array]:
-    """Fields of BOX for each geometry: its ends (null for none), whether it is just that rectangle, and else a key of 128 bits
+    """Fields of BOX for each geometry: its ends (null where it has no points, or some that are not finite), whether it is just that rectangle, and else a key of 128 bits
     that equal shapes share."""
     rows, ends, p = flat(column)
     first, last = ends[rows[:-1]], ends[rows[1:]]
@@ -97,5 +97,5 @@ def boxes_of(column: pa.Array) -> dict[str, pa.Array]:
     sizes = np.diff(ends).astype("<i8")
     for i in np.flatnonzero(~own & (last > first)).tolist():
         key[i] = hashlib.blake2b(sizes[rows[i] : rows[i + 1]].tobytes() + p[first[i] : last[i]].astype("<f8").tobytes(), digest_size=16).hexdigest()
-    none = last <= first
+    none = (last <= first) | ~np.isfinite(b).all(1)
     return {**{n: pa.array(b[:, k], mask=none) for k, n in enumerate(("x0", "y0", "x1", "y1"))}, "own": pa.array(own), "key": pa.array(key, pa.string())}

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from atollkit.functions import crs, kernels
-from atollkit.functions.geometry_udf import flat, rowwise
-from atollkit.functions.overlay import Shapes, ragged
+from atollkit.functions import crs
+from atollkit.functions.geometry_udf import flat, lists_of_polygons
+from atollkit.functions.overlay import Overlay, Shapes, ragged
 from atollkit.functions.scalars import grid_name, scale_level
 from atollkit.operators.spatial import overlay_polygons, spatial_join
 
@@ -163,12 +163,18 @@ def make_grid(area: DataFrame, box: tuple, kind: str, cell_width: float | None =
 
 
 def clip_to_box(cells: DataFrame, box: tuple) -> DataFrame:
-    """Cells cut to a rectangle; those outside go."""
+    """Cells cut to a rectangle, a row for each part; those outside go."""
     x0, y0, x1, y1 = box
-    window = np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)], float)
+    corners = np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)], float)
 
-    cut = rowwise(lambda g: kernels.clip_polygon(g, window), crs.GEOMETRY)
-    return cells.withColumn("geometry", cut("geometry")).where(F.size("geometry") > 0)
+    def run(column: pa.Array) -> pa.Array:
+        window = Shapes(np.array([0, 1]), np.array([0, 5]), corners)
+        n = np.arange(len(column))
+        return lists_of_polygons(Overlay(Shapes(*flat(column)), window, n, n * 0).polygons())
+
+    cut = F.arrow_udf(run, f"array<{crs.GEOMETRY}>")
+    others = [c for c in cells.columns if c != "geometry"]
+    return cells.where(F.col("geometry").isNotNull()).select(*others, F.explode(cut("geometry")).alias("geometry")).select(cells.columns)
 
 
 def clip_grid(cells: DataFrame, area: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def of_boxes(name: str, p: Column, q: Column) -> Column:
 def boxed(df: DataFrame, geom: str, name: str, tree: Tiling | None = None, keep: bool = False) -> DataFrame:
     """df's rows with a geometry, which gives way to its box (name: BOX, and with a tree the cells that it meets), found over Arrow batches.
 
-    Rows without points drop out; with keep the geometry stays."""
+    Rows without points, or with points that are not finite, drop out; with keep the geometry stays."""
     def run(column: pa.Array) -> pa.Array:
         made = boxes_of(column)
         if tree is not None:
@@ -155,7 +155,7 @@ def spatial_join(a: DataFrame, b: DataFrame, a_geom: str = "geometry", b_geom: s
     Column names of the two sides must differ. left_semi keeps a's rows that have any partner. Two rectangles are told
     by built-in functions, other pairs by kernels over all pairs of a cell. Cells come from a tree fitted to the boxes, or are even ones of
     the given size; the result does not depend on them. Without geometries the two geometry columns are left out, which
-    saves two joins; rows without a geometry or with an empty one drop out."""
+    saves two joins; rows without a geometry, or with one that is empty or not finite, drop out."""
     if how not in ("inner", "left_semi"):
         raise ValueError(f"unknown join {how!r}")
     test = TESTS[pred]
@@ -195,7 +195,8 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float | Non
 
     Rectangles are told by built-in functions, other polygons over all edges of a cell's pairs at once. Without geometries that column is left out."""
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
-    at = points.where(x.isNotNull() & y.isNotNull()).withColumn("_a", F.struct(x.alias("x0"), y.alias("y0"), x.alias("x1"), y.alias("y1")))
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    at = points.where(finite(x) & finite(y)).withColumn("_a", F.struct(x.alias("x0"), y.alias("y0"), x.alias("x1"), y.alias("y1")))
     within = lambda p, q: (p.x0 < q.x1) & (p.y0 < q.y1)
     pairs = valued(at, polygons, "", "geometry", within, inside, "boolean", size, points=True)
     pairs = pairs.where("_value")

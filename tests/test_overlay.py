@@ -144,3 +144,21 @@ def test_geometries_come_back(spark):
     assert len(rows[1, 7].other) == 2 and [tuple(p) for p in rows[1, 7].geometry[0]] == [tuple(p) for p in U.tolist()]
     assert spatial.spatial_join(a, b, how="left_semi").count() == 2
     assert features.polygon_amounts(b.select(F.col("id_other").alias("feature_id"), "other"), a.withColumnRenamed("id_geometry", "id")).count() == 2
+
+
+def test_points_that_are_not_finite_drop_out(spark):
+    """Without touching other rows' pairs."""
+    odd = [ring((0, 0), (float("nan"), 0), (1, 1)), ring((0, 0), (float("inf"), 0), (1, 1))]
+    a = frame(spark, [(1, [box(0, 0, 2, 2)]), (2, [odd[0]]), (3, [odd[1]]), (4, []), (5, None)])
+    b = frame(spark, [(1, [box(1, 1, 3, 3)]), (2, [odd[1]]), (3, [U])], "other")
+    assert sorted(map(tuple, spatial.spatial_join(a, b, geometries=False).collect())) == [(1, 1), (1, 3)]
+    assert spatial.union_area(a.withColumn("k", F.lit(1)), ["k"]).collect()[0].area == 4
+    points = spark.createDataFrame([(0.5, 0.5), (float("nan"), 0.5), (0.5, float("-inf")), (None, 1.0)], "x double, y double")
+    assert spatial.points_in_polygons(points, a, geometries=False).count() == 1
+
+
+def test_many_equal_boxes(spark):
+    """A place that a third of all boxes share: splitting cannot tell them apart, and ends."""
+    same = np.tile([[1.0, 1.0, 1.0, 1.0]], (3000, 1))
+    tree = Tiling(np.concatenate([same, np.random.default_rng(0).uniform(0, 9, (6000, 2))[:, [0, 1, 0, 1]]]), 1.0, (0.0, 0.0, 9.0, 9.0))
+    assert len(tree.first) < 1000 and len(np.unique(tree.cells(same)[1])) == 1
