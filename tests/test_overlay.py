@@ -162,3 +162,17 @@ def test_many_equal_boxes(spark):
     same = np.tile([[1.0, 1.0, 1.0, 1.0]], (3000, 1))
     tree = Tiling(np.concatenate([same, np.random.default_rng(0).uniform(0, 9, (6000, 2))[:, [0, 1, 0, 1]]]), 1.0, (0.0, 0.0, 9.0, 9.0))
     assert len(tree.first) < 1000 and len(np.unique(tree.cells(same)[1])) == 1
+
+
+def test_dateline_splits_columns_of_any_shapes(spark):
+    """Holes stay, concave shapes may give several parts, and rows that do not cross stay as they are."""
+    wrap = lambda r: np.stack([np.where(r[:, 0] > 180, r[:, 0] - 360, r[:, 0]), r[:, 1]], 1)
+    holed = [wrap(box(170, -95, 190, 95)), wrap(box(175, 0, 185, 10)[::-1])]
+    arms = [wrap(ring((178, 0), (188, 0), (188, 2), (182, 2), (182, 4), (188, 4), (188, 6), (178, 6)))]
+    rows = features.split_at_dateline(frame(spark, [(1, holed), (2, arms), (3, [box(10, 0, 20, 10)]), (4, None)])).collect()
+    got = {}
+    for r in rows:
+        xs = [p.x for p in r.geometry[0]]
+        assert min(xs) >= 0 or max(xs) <= 0
+        got.setdefault(r.id_geometry, []).append(round(sum(abs(k.signed_area(np.array([(p.x, p.y) for p in q]))) * (1 if i == 0 else -1) for i, q in enumerate(r.geometry)), 6))
+    assert {i: sorted(v) for i, v in got.items()} == {1: [1850, 1850], 2: [12, 36], 3: [100]}
