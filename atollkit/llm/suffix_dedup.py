@@ -28,8 +28,8 @@ from atollkit.llm.common import BYTE, U, blocked, mix, pack, prefix_sums, runs,
 from atollkit.llm.exchange import bits, deal, meets, rounds
 
 LAST = (1 << 63) - 1
-#: A trigger with more phrases than this has its windows dealt out one by one.
-HOT = 256
+#: A trigger with more phrases than this, about 1.3 MB of text, has its windows dealt out one by one: that takes more bytes, but no task holds them together.
+HOT = 1 << 14
 
 
 class Parse:
@@ -86,9 +86,9 @@ def from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-def parse_order(blocks: list[int], datas: list[bytes]) -> list[bytes]:
+def parse_order(blocks: list[int], datas: list[bytes], hot_from: int | None = None) -> list[bytes]:
     """For each block's phrases that fall to this bucket whether an earlier document has the phrase and whether this is its first, and
-    for its triggers whether they have several phrases and whether more than HOT.
+    for its triggers whether they have several phrases and whether more than HOT (or hot_from).
 
     Phrases are dealt out by trigger and phrase, so those of one trigger spread; of a trigger only a summary meets: a block's number of phrases, the
     least and the greatest."""
@@ -113,7 +113,7 @@ def parse_order(blocks: list[int], datas: list[bytes]) -> list[bytes]:
         new = np.append(True, t[1:] != t[:-1])
         starts, group = np.flatnonzero(new), np.cumsum(new) - 1
         several[order] = (np.minimum.reduceat(least[order], starts) != np.maximum.reduceat(most[order], starts))[group]
-        hot[order] = (np.add.reduceat(number[order].astype(np.int64), starts) > HOT)[group]
+        hot[order] = (np.add.reduceat(number[order].astype(np.int64), starts) > (HOT if hot_from is None else hot_from))[group]
     split = lambda x, n: np.split(x, np.cumsum(n)[:-1])
     return [np.packbits(np.concatenate(x)).tobytes() for x in zip(split(later, heads), split(is_first, heads), split(several, counts), split(hot, counts), strict=True)]
 
@@ -301,9 +301,9 @@ class State:
         return out
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 28, carry: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 28, carry: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (bytes left) of every document; with carry also
-    rest, the document's own row without its text.
+    rest, the document's own row without its text. hot: phrases of a trigger from which on its windows are dealt out one by one; the result is the same.
 
     Texts are UTF-8 bytes. A byte goes if it lies in a `length`-byte string that also starts in a document with a smaller
     doc_id, so that the first document keeps each passage; matches stay within documents and are judged on the input.
@@ -347,7 +347,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 28, carry: bool = F
         more = {"rest": rest} if carry else {}
         return pa.table({"doc_id": pa.array(ids, pa.int64()), **{n: pa.array(c, pa.int64()) for n, c in zip(("n_bytes", "n_removed", "n_spans"), cols, strict=False)}, "kept": pa.array(cols[3], pa.binary()), **more})
 
-    return rounds(rows, n, buckets, ask, [lonely, parse_order, dictionary_order(length)], finish, schema)
+    return rounds(rows, n, buckets, ask, [lonely, lambda blocks, datas: parse_order(blocks, datas, hot), dictionary_order(length)], finish, schema)
 
 
 def deduplicated_documents(docs: DataFrame, length: int = 50) -> DataFrame:

@@ -82,5 +82,6 @@ def test_no_bucket_gathers_a_trigger(monkeypatch):
 
 def test_query_path(spark):
     rows = corpus(700)
-    got = sd.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), length=50).collect()
-    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted(brute_suffix(rows, 50))
+    for hot in (sd.HOT, 100):
+        got = sd.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), length=50, hot=hot).collect()
+        assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted(brute_suffix(rows, 50))
