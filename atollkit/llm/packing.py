@@ -181,12 +181,16 @@ def _state(shard: int, islands: list[int], lengths: np.ndarray, solutions: list[
 SOLVED = "shard long, solution binary, bound long, start long, end long, generations long"
 
 
-def shard_solutions(items: DataFrame, size: int) -> DataFrame:
+def shard_solutions(items: DataFrame, size: int, shards: int = 1) -> DataFrame:
     """SOLVED: the best packing of each shard's items in canonical order, with the lower bound of its sequences, their number in the first
     solution (best fit of decreasing lengths) and at the end, and the generations of all islands.
 
     ISLANDS populations of a shard evolve in tasks of their own; after each epoch every island's best also enters the
-    next island of the ring. A shard whose first solution meets the bound, which proves it best, has no generations."""
+    next island of the ring. A shard whose first solution meets the bound, which proves it best, has no generations. States are small and slow to
+    work on, so they are dealt out to a stated number of tasks, which Spark does not put together again."""
+    spark = items.sparkSession
+    tasks = min(shards * ISLANDS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
     def first(key, t):
         lengths = _canonical(t).column("length").to_numpy()
         return _state(key[0].as_py(), list(range(ISLANDS)), lengths, [[] for _ in range(ISLANDS)], 0, 0)
@@ -214,7 +218,7 @@ def shard_solutions(items: DataFrame, size: int) -> DataFrame:
         if number:
             elite = state.withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS))).withColumn("solutions", F.slice("solutions", 1, 1)).withColumn("generations", F.lit(0))
             state = state.unionByName(elite)
-        state = pinned(state.groupBy("shard", "island").applyInArrow(epoch(number), STATE))
+        state = pinned(state.repartition(tasks, "shard", "island").groupBy("shard", "island").applyInArrow(epoch(number), STATE))
 
     def best(key, t):
         p = Packing(np.frombuffer(t.column("lengths")[0].as_py(), "<i4"), size, 0)
@@ -249,7 +253,7 @@ def packed(items: DataFrame, size: int, first_shard: int, shards: int) -> DataFr
         fill = np.bincount(bins, weights=lengths).astype(np.int64)
         return pa.table({**{c: t.column(c) for c in columns}, "sequence_id": pa.array((key[0].as_py() << 20) + bins), "offset": pa.array(offset), "fill": pa.array(fill[bins])})
 
-    return dealt.groupBy("shard").cogroup(shard_solutions(dealt, size).groupBy("shard")).applyInArrow(place, PLACED)
+    return dealt.groupBy("shard").cogroup(shard_solutions(dealt, size, shards).groupBy("shard")).applyInArrow(place, PLACED)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048) -> DataFrame:
