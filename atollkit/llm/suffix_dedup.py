@@ -92,8 +92,8 @@ def parse_order(blocks: list[int], datas: list[bytes], hot_from: int | None = No
 
     Phrases are dealt out by trigger and phrase, so those of one trigger spread; of a trigger only a summary meets: a block's number of phrases, the
     least and the greatest."""
-    heads = [int(np.frombuffer(d, "<u4", 1)[0]) for d in datas]
-    parts = [(d[4 : 4 + 20 * n], d[4 + 20 * n :]) for d, n in zip(datas, heads, strict=True)]
+    heads, ones = zip(*(np.frombuffer(d, "<u4", 2).tolist() for d in datas), strict=True)
+    parts = [(d[8 : 8 + 20 * n], d[8 + 20 * n :]) for d, n in zip(datas, heads, strict=True)]
     cut = [(unpack(a[: 6 * n], 6), unpack(a[6 * n : 12 * n], 6), from_planes(a[12 * n :])) for (a, _), n in zip(parts, heads, strict=True)]
     trigger, phrase, doc = (np.concatenate([c[i] for c in cut]) for i in range(3))
     order = np.lexsort((doc, phrase, trigger))
@@ -103,8 +103,12 @@ def parse_order(blocks: list[int], datas: list[bytes], hot_from: int | None = No
     later, is_first = np.empty(len(d), bool), np.empty(len(d), bool)
     later[order], is_first[order] = first < d, first == d
 
-    counts = [len(b) // 22 for _, b in parts]
-    cut = [(unpack(b[: 6 * m], 6), unpack(b[6 * m : 12 * m], 6), unpack(b[12 * m : 18 * m], 6), np.frombuffer(b, "<u4", m, 18 * m)) for (_, b), m in zip(parts, counts, strict=True)]
+    cut, counts = [], []
+    for (_, b), k in zip(parts, ones, strict=True):  # k triggers of one phrase, then those of several
+        one, b = b[: 11 * k], b[11 * k :]
+        m = len(b) // 20
+        cut += [(unpack(one[: 6 * k], 6), *[unpack(one[6 * k :], 5)] * 2, np.ones(k, np.int64)), (unpack(b[: 6 * m], 6), unpack(b[6 * m : 11 * m], 5), unpack(b[11 * m : 16 * m], 5), np.frombuffer(b, "<u4", m, 16 * m).astype(np.int64))]
+        counts.append(k + m)
     trigger, least, most, number = (np.concatenate([c[i] for c in cut]) for i in range(4))
     order = np.argsort(trigger, kind="stable")
     t = trigger[order]
@@ -113,7 +117,7 @@ def parse_order(blocks: list[int], datas: list[bytes], hot_from: int | None = No
         new = np.append(True, t[1:] != t[:-1])
         starts, group = np.flatnonzero(new), np.cumsum(new) - 1
         several[order] = (np.minimum.reduceat(least[order], starts) != np.maximum.reduceat(most[order], starts))[group]
-        hot[order] = (np.add.reduceat(number[order].astype(np.int64), starts) > (HOT if hot_from is None else hot_from))[group]
+        hot[order] = (np.add.reduceat(number[order], starts) > (HOT if hot_from is None else hot_from))[group]
     split = lambda x, n: np.split(x, np.cumsum(n)[:-1])
     return [np.packbits(np.concatenate(x)).tobytes() for x in zip(split(later, heads), split(is_first, heads), split(several, counts), split(hot, counts), strict=True)]
 
@@ -189,28 +193,35 @@ class State:
         begin = np.flatnonzero(np.append(True, self.e_trigger[1:] != self.e_trigger[:-1])[: len(self.e_trigger)])
         self.t_number = np.diff(begin, append=len(self.e_trigger))
         self.t_key = self.e_trigger[begin]
-        seen = (1 << 48) - 1  # as much of a phrase as is sent
+        seen = (1 << 40) - 1  # as much of a phrase as tells those of a trigger apart
         low = self.e_phrase & U(seen)
         self.t_least, self.t_most = (f.reduceat(low, begin) if len(begin) else low[:0] for f in (np.minimum, np.maximum))
         self.t_cuts = deal(self.t_key, self.buckets)
 
+    def told(self, b: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Phrases and triggers that bucket b is asked about, in their order, and how many triggers come first that have one phrase here."""
+        t = np.arange(self.t_cuts[b], self.t_cuts[b + 1])
+        one = self.t_number[t] == 1
+        return self.dealt[self.e_cuts[b] : self.e_cuts[b + 1]], np.concatenate([t[one], t[~one]]), int(one.sum())
+
     def questions(self) -> list[tuple[int, bytes]]:
         """Phrases and triggers for each bucket of parse_order()."""
         out = []
         for b in range(self.buckets):
-            e, t = self.dealt[self.e_cuts[b] : self.e_cuts[b + 1]], slice(self.t_cuts[b], self.t_cuts[b + 1])
-            if len(e) or t.stop > t.start:
+            e, t, k = self.told(b)
+            if len(e) or len(t):
                 phrases = pack(self.e_trigger[e], 6) + pack(self.e_phrase[e], 6) + planes(self.e_doc[e])
-                triggers = pack(self.t_key[t], 6) + pack(self.t_least[t], 6) + pack(self.t_most[t], 6) + self.t_number[t].astype("<u4").tobytes()
-                out.append((b, np.uint32(len(e)).tobytes() + phrases + triggers))
+                one, more = t[:k], t[k:]
+                triggers = pack(self.t_key[one], 6) + pack(self.t_least[one], 5) + pack(self.t_key[more], 6) + pack(self.t_least[more], 5) + pack(self.t_most[more], 5) + self.t_number[more].astype("<u4").tobytes()
+                out.append((b, np.array([len(e), k], "<u4").tobytes() + phrases + triggers))
         return out
 
     def parsed(self, got: dict[int, bytes]):
         self.later, first = np.zeros(len(self.first), bool), np.zeros(len(self.first), bool)
         several, hot = np.zeros(len(self.t_key), bool), np.zeros(len(self.t_key), bool)
         for b, data in got.items():
-            e, t = self.dealt[self.e_cuts[b] : self.e_cuts[b + 1]], slice(self.t_cuts[b], self.t_cuts[b + 1])
-            n, m = len(e), t.stop - t.start
+            e, t, _ = self.told(b)
+            n, m = len(e), len(t)
             x = np.unpackbits(np.frombuffer(data, np.uint8), count=2 * (n + m)).astype(bool)
             self.later[e], first[e], several[t], hot[t] = x[:n], x[n : 2 * n], x[2 * n : 2 * n + m], x[2 * n + m :]
         of = np.repeat(np.arange(len(self.t_key)), self.t_number)
