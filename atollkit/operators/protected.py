@@ -28,7 +28,7 @@ def changed_sites(old: DataFrame, new: DataFrame) -> DataFrame:
     """(other) of the sites (site_id, iucn_cat, other) that only one of two releases has in this form, by a digest of each site."""
     form = lambda df: df.select("other", F.sha2(F.to_json(F.struct("site_id", "iucn_cat", "other")), 256).alias("form"))
     a, b = form(old), form(new)
-    gone, come = a.join(b.select("form"), "form", "left_anti"), b.join(a.select("form"), "form", "left_anti")
+    gone, come = a.join(b.select("form").hint("merge"), "form", "left_anti"), b.join(a.select("form").hint("merge"), "form", "left_anti")
     return gone.select("other").unionByName(come.select("other"))
 
 
@@ -38,6 +38,6 @@ def redone_intersections(existing: DataFrame, old: DataFrame, new: DataFrame, un
     existing: (grid_id, iucn_cat, puid); old and new: (site_id, iucn_cat, other); units: (grid_id, id, geometry). Equal to the full redo: what a
     unit has depends on the sites that meet it alone."""
     met = spatial_join(units.select("grid_id", "id", "geometry"), changed_sites(old, new), size=size, geometries=False).select("grid_id", "id").distinct()
-    again = protected_for_all(new, units.join(met, ["grid_id", "id"], "left_semi"), size)
-    kept = existing.join(met.select("grid_id", F.col("id").alias("puid")), ["grid_id", "puid"], "left_anti")
+    again = protected_for_all(new, units.join(met.hint("merge"), ["grid_id", "id"], "left_semi"), size)
+    kept = existing.join(met.select("grid_id", F.col("id").alias("puid")).hint("merge"), ["grid_id", "puid"], "left_anti")
     return kept.select("grid_id", "iucn_cat", "puid").unionByName(again)

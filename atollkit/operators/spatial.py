@@ -55,11 +55,12 @@ def in_cells(rows: DataFrame, name: str, bounds: bool) -> DataFrame:
 def met(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of left (_a) and right (_b) whose boxes meet, each once, with the cell where they met.
 
-    A pair stays only in the cell of the lower left corner of the boxes' overlap, so no distinct is needed. Boxes and keys are shuffled, no geometry."""
+    A pair stays only in the cell of the lower left corner of the boxes' overlap, so no distinct is needed. Boxes and keys are shuffled, no geometry. Spark
+    takes the size of a side from that of its file, which says nothing of boxes in cells: both are shuffled, none is broadcast."""
     p, q, c = F.col("_a"), F.col("_b"), F.col("_in")
     x, y = F.greatest(p.x0, q.x0), F.greatest(p.y0, q.y0)
     corner = (c.x0 <= x) & (x < c.x1) & (c.y0 <= y) & (y < c.y1)
-    return in_cells(left, "_a", True).join(in_cells(right, "_b", False), "_cell").where(of_boxes("intersects", p, q) & corner).drop("_in")
+    return in_cells(left, "_a", True).join(in_cells(right, "_b", False).hint("merge"), "_cell").where(of_boxes("intersects", p, q) & corner).drop("_in")
 
 
 def shapes_of(df: DataFrame, geom: str) -> DataFrame:
@@ -78,7 +79,7 @@ def worked_out(pairs: DataFrame, shapes: DataFrame, kernel: Callable, kind: str,
     sides = ["_b"] if points else ["_a", "_b"]
     wanted = [pairs.select(F.col("_cell").alias("_at"), F.col(f"{c}.key").alias("key")).where("key IS NOT NULL") for c in sides]
     wanted = (wanted[0] if points else wanted[0].unionByName(wanted[1])).distinct()
-    sent = wanted.join(shapes, "key").select("_at", "key", "shape")
+    sent = wanted.join(shapes.hint("merge"), "key").select("_at", "key", "shape")
     schema = StructType(list(pairs.schema.fields)).add("_value", DataType.fromDDL(kind))
 
     def side(t: pa.Table, name: str, keys: dict) -> tuple[Shapes, np.ndarray]:
@@ -145,7 +146,7 @@ def valued(a: DataFrame, b: DataFrame, a_geom: str, b_geom: str, native: Callabl
 def with_geometry(pairs: DataFrame, df: DataFrame, geom: str, side: str) -> DataFrame:
     """pairs with the geometry of one side again: shapes by their keys, rectangles by their boxes (anticlockwise from the lower left corner)."""
     shapes = shapes_of(df, geom).withColumnsRenamed({"key": "_key", "shape": "_shape"})
-    joined = pairs.join(shapes, F.col(f"{side}.key") == F.col("_key"), "left")
+    joined = pairs.join(shapes.hint("merge"), F.col(f"{side}.key") == F.col("_key"), "left")
     return joined.withColumn(geom, F.when(F.col(side).own, _rectangle(F.col(side))).otherwise(F.col("_shape"))).drop("_key", "_shape")
 
 

@@ -108,8 +108,8 @@ class Tiling:
 
 def fitted(*sides: DataFrame, size: float | None = None, rows: int = ROWS) -> tuple[Tiling, list[int]]:
     """The tree for the boxes (x0, y0, x1, y1, and own if there are other shapes) of several tables, and how many of each are not
-    rectangles: one pass for extent and numbers, one for the sample of SAMPLE boxes that the driver holds. Joins give the same rows
-    whatever the sample is."""
+    rectangles: one pass for extent and numbers, one for the sample of about SAMPLE boxes that the driver holds (each box is drawn or not by
+    itself, so no task sends more than its share). Joins give the same rows whatever the sample is."""
     odd = lambda df: F.when(F.col("own"), 0).otherwise(1) if "own" in df.columns else F.lit(0)
     boxes = None
     for k, df in enumerate(sides):
@@ -121,5 +121,5 @@ def fitted(*sides: DataFrame, size: float | None = None, rows: int = ROWS) -> tu
     extent, n, others = tuple(e)[:4], e[4], list(e)[5:]
     if size:
         return Tiling.even(extent, size), others
-    drawn = np.array([tuple(r)[:4] for r in boxes.orderBy(F.rand(1)).limit(SAMPLE).collect()], float) if n > rows else np.zeros((0, 4))
+    drawn = np.array([tuple(r)[:4] for r in boxes.where(F.rand(1) < SAMPLE / n).collect()], float).reshape(-1, 4) if n > rows else np.zeros((0, 4))
     return Tiling(drawn, n / max(1, len(drawn)), extent, rows), others
