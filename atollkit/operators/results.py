@@ -58,7 +58,7 @@ def evaluate_runs(solutions: DataFrame, units: DataFrame, bounds: DataFrame, fea
 
     Boundaries meet each run's selected units at both ends; what no end selects is the rest of the total."""
     chosen = solutions.where("selected = 1").select("run", F.col("planning_unit").alias("id"))
-    costs = chosen.join(units.select("id", "cost"), "id").groupBy("run").agg(F.sum("cost").alias("cost"), F.count("*").alias("planning_units"))
+    costs = chosen.join(units.select("id", "cost").hint("merge"), "id").groupBy("run").agg(F.sum("cost").alias("cost"), F.count("*").alias("planning_units"))
     ends = bounds.select(F.col("id1").alias("id"), "id1", "id2", "boundary").unionByName(bounds.where("id1 != id2").select(F.col("id2").alias("id"), "id1", "id2", "boundary"))
     hits = ends.join(chosen, "id").groupBy("run", "id1", "id2").agg(F.max("boundary").alias("boundary"), F.count("*").alias("n"))
     links = hits.groupBy("run").agg(F.sum(F.when(F.col("n") == 2, F.col("boundary")).otherwise(0.0)).alias("connectivity_in"), F.sum(F.when(F.col("n") == 1, F.col("boundary")).otherwise(0.0)).alias("connectivity_edge"))
