@@ -98,13 +98,18 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 def write_ascii_grids(cells: DataFrame, path: str, rows: int, cols: int, nodata: int = -9999) -> None:
     """One ESRI ASCII grid a layer, in a folder layer=... below path, whose name read_ascii_grid takes as the label.
 
-    Each row's line is built in its own group. Lines are dealt out by ranges of layer and row and written in that order, the header before
-    row 0: a layer's files, in the order of their names, are the grid, and no task holds more than its range."""
-    lines = cells.groupBy("layer", "r").agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("m"))
-    value = lambda c: F.coalesce(F.element_at("m", c).cast("string"), F.lit(str(nodata)))
-    body = lines.select("layer", "r", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(cols - 1)), value), " ").alias("value"))
+    Each row's line is built in its own group, from its cells in order and the gaps between them: work and memory go with a line's length. Lines are
+    dealt out by ranges of layer and row and written in that order, the header before row 0: a layer's files, in the order of their names, are the
+    grid, and no task holds more than its range. Two values in one place are an error."""
+    blank = lambda n: F.repeat(F.lit(f"{nodata} "), n)
+    listed = cells.where(F.col("c").between(0, cols - 1)).groupBy("layer", "r").agg(F.array_sort(F.collect_list(F.struct(F.col("c").cast("int").alias("c"), "v"))).alias("s"))
+    past = lambda i: F.when(i > 0, F.get("s", i - 1).c).otherwise(-1)
+    twice = F.raise_error(F.concat(F.lit("two values in one place in "), "layer"))
+    told = lambda x, i: F.when(x.c > past(i), F.concat(blank(x.c - past(i) - 1), F.coalesce(x.v.cast("string"), F.lit(str(nodata))))).otherwise(twice)
+    rest = blank(F.lit(cols - 1) - F.get("s", F.size("s") - 1).c)
+    body = listed.select("layer", "r", F.rtrim(F.concat(F.array_join(F.transform("s", told), " "), F.lit(" "), rest)).alias("value"))
     spine = cells.select("layer").distinct().select("layer", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("r"))
-    full = spine.join(body, ["layer", "r"], "left").select("layer", "r", F.coalesce("value", F.lit(" ".join([str(nodata)] * cols))).alias("value"))
+    full = spine.join(body, ["layer", "r"], "left").select("layer", "r", F.coalesce("value", F.rtrim(blank(F.lit(cols)))).alias("value"))
     head = cells.select("layer").distinct().select("layer", F.lit(-1).alias("r"), F.lit(f"ncols {cols}\nnrows {rows}\nxllcorner 0\nyllcorner 0\ncellsize 1\nNODATA_value {nodata}").alias("value"))
     ordered = full.unionByName(head).repartitionByRange("layer", "r").sortWithinPartitions("layer", "r")
     ordered.select("layer", "value").write.partitionBy("layer").text(path)
