@@ -94,9 +94,10 @@ def polyfill_multi(areas: DataFrame, resolutions: list[int], **options) -> DataF
     return out
 
 
-def _lattice(spark: SparkSession, rows: int, cols: int) -> DataFrame:
-    """Rows and columns of a lattice: rows are dealt out over tasks, columns made in place."""
-    return spark.range(rows).select(F.col("id").cast("int").alias("row_number")).where(F.lit(cols > 0)).select("row_number", F.explode(F.sequence(F.lit(0), F.lit(max(cols, 1) - 1))).alias("col_number"))
+def lattice(spark: SparkSession, rows: int, cols: int) -> DataFrame:
+    """Rows and columns of a lattice, its cells dealt out over tasks; the plan is of the same size for any lattice."""
+    cell = spark.range(rows * cols)
+    return cell.select(F.expr(f"CAST(id DIV {max(cols, 1)} AS INT)").alias("row_number"), F.expr(f"CAST(id % {max(cols, 1)} AS INT)").alias("col_number"))
 
 
 def hex_grid_pointy(spark: SparkSession, box: tuple, r: float, clip: bool = False) -> DataFrame:
@@ -105,7 +106,7 @@ def hex_grid_pointy(spark: SparkSession, box: tuple, r: float, clip: bool = Fals
     if r <= 0:
         raise ValueError("the radius must be positive")
     count = lambda low, high, step: max(0, math.ceil((high + step - low) / step - 1e-12))
-    cells = _lattice(spark, count(y0, y1, 1.5 * r), count(x0, x1, R3 * r))
+    cells = lattice(spark, count(y0, y1, 1.5 * r), count(x0, x1, R3 * r))
     x = x0 + F.col("col_number") * (R3 * r) + (F.col("row_number") % 2) * (R3 * r / 2)
     out = cells.withColumn("x", x).withColumn("y", y0 + F.col("row_number") * (1.5 * r)).withColumn("geometry", hexagon(F.col("x"), F.col("y"), r))
     if not clip:
@@ -120,7 +121,7 @@ def hex_grid_flat(spark: SparkSession, box: tuple, side: float) -> DataFrame:
     h, v = 1.5 * side, R3 * side
     first = lambda low, step: math.ceil(low / step) - 1
     i0, i1, j0, j1 = first(xs[0], h), math.ceil(xs[1] / h) + 1, first(ys[0], v), math.ceil(ys[1] / v) + 1
-    cells = _lattice(spark, i1 - i0, j1 - j0).withColumnsRenamed({"row_number": "a", "col_number": "b"})
+    cells = lattice(spark, i1 - i0, j1 - j0).withColumnsRenamed({"row_number": "a", "col_number": "b"})
     i, j = F.col("a") + i0, F.col("b") + j0
     out = cells.select(i.alias("i"), j.alias("j"), (i * h).alias("x"), ((j + F.pmod(i, F.lit(2)) / 2) * v).alias("y"))
     return out.withColumn("geometry", hexagon(F.col("x"), F.col("y"), side, flat=True))
@@ -132,7 +133,7 @@ def square_grid(spark: SparkSession, box: tuple, w: float, h: float, clamp: bool
     if w <= 0 or h <= 0:
         raise ValueError("cells need a positive size")
     rows, cols = math.ceil((y1 - y0) / h), math.ceil((x1 - x0) / w)
-    c = _lattice(spark, rows, cols).withColumnsRenamed({"row_number": "r", "col_number": "c"})
+    c = lattice(spark, rows, cols).withColumnsRenamed({"row_number": "r", "col_number": "c"})
     left, top = x0 + F.col("c") * w, y1 - F.col("r") * h
     right, bottom = left + w, top - h
     if clamp:

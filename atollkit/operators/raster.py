@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from atollkit.functions import crs
 from atollkit.functions.scalars import fmt_date, replace_chars, sensitivity_score, stable_id
+from atollkit.operators.grid import lattice
 from atollkit.operators.spatial import points_in_polygons
 
 
@@ -39,8 +40,7 @@ def resample(cells: DataFrame, src: tuple, dst: tuple, src_crs: str | None = Non
     and the rest add up to 1 again. Targets without any neighbour are left out (no data)."""
     sx, sy, sdx, sdy, _, _ = src
     tx, ty, tdx, tdy, rows, cols = dst
-    spark = cells.sparkSession
-    target = spark.range(rows).where(F.lit(cols > 0)).select(F.col("id").cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(max(cols, 1) - 1))).alias("c"))
+    target = lattice(cells.sparkSession, rows, cols).withColumnsRenamed({"row_number": "r", "col_number": "c"})
     target = target.select("r", "c", (tx + (F.col("c") + 0.5) * tdx).alias("x"), (ty - (F.col("r") + 0.5) * tdy).alias("y"))
     if src_crs != dst_crs:
         target = target.select("r", "c", crs.inverse(dst_crs, F.col("x"), F.col("y")).alias("p")).select("r", "c", crs.forward(src_crs, F.col("p.x"), F.col("p.y")).alias("p")).select("r", "c", "p.x", "p.y")
