@@ -307,7 +307,9 @@ def covered(e: np.ndarray, least: int = 1) -> float:
         x = g[:, 0] + (mid - g[:, 1]) / (g[:, 3] - g[:, 1]) * (g[:, 2] - g[:, 0])
         order = np.lexsort((x, s))
         x, s, step = x[order], s[order], np.where(g[order, 3] < g[order, 1], 1, -1)
-        depth = np.cumsum(step)[:-1]  # 0 at the end of each slab
+        # Each slab counts from 0: where a cut's height is rounded, a slab as thin as that has an edge too many or too few.
+        new, sums = np.append(True, s[1:] != s[:-1]), np.cumsum(step)
+        depth = (sums - (sums - step)[new][np.cumsum(new) - 1])[:-1]
         total += float((np.diff(x) * (heights[s + 1] - heights[s])[1:])[(depth >= least) & (s[1:] == s[:-1])].sum())
     return total
 

@@ -1,10 +1,13 @@
 """What keeps queries whole on large tables: plans and work that do not grow beyond the input."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from atollkit.functions.overlay import Shapes
 from atollkit.operators.grid import lattice
 from atollkit.operators.projects import unit_detail
+from atollkit.operators.spatial import dissolved
 from atollkit.plans import domain, registry
 from atollkit.sources import geometry_io, io
 
@@ -66,3 +69,17 @@ def test_unit_detail_shuffles_no_pairs(spark):
     for n in nodes(got):
         if n.nodeName() == "Exchange":
             assert not {"cost", "alias"} <= {n.output().apply(k).name() for k in range(n.output().size())}
+
+
+def test_dissolved_area_of_a_long_cell():
+    """Cuts of a cell 753.75 high by boxes at whole heights are rounded; no area may get lost for that."""
+    boxes = [(k * 3 % 43, k * 11 % 37 + k // 37 * 37, k * 3 % 43 + 2 + k % 6, k * 11 % 37 + k // 37 * 37 + 1 + k % 5) for k in range(0, 800, 7)]
+    corners = np.array([[(a, b), (c, b), (c, d), (a, d), (a, b)] for a, b, c, d in boxes], float).reshape(-1, 2)
+    shapes = Shapes(np.arange(len(boxes) + 1), 5 * np.arange(len(boxes) + 1), corners)
+    spans = {}
+    for a, b, c, d in boxes:
+        for y in range(b, min(d, 753)):
+            spans.setdefault(y, []).append((max(a, 6.125), min(c, 12.25)))
+    steps = np.arange(6.125, 12.25, 0.125) + 0.0625
+    want = sum(0.125 * np.any([(steps > a) & (steps < c) for a, c in rows], axis=0).sum() for rows in spans.values())
+    assert dissolved(shapes, (6.125, 0.0, 12.25, 753.75)) == pytest.approx(want, abs=1e-6)
