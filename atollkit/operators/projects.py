@@ -9,12 +9,16 @@ from atollkit.functions.scalars import area_from_alias, fmt_date
 
 
 def populate_units(projects: DataFrame, grids: DataFrame, cells: DataFrame, existing: DataFrame, match_resolution: bool = False) -> DataFrame:
-    """New (project_id, h3_index, cost, status) of all projects: the cells of each project's grid that it lacks."""
+    """New (project_id, h3_index, cost, status) of all projects: the cells of each project's grid that it lacks.
+
+    Areas are few, so an area's cells are dealt out to `parts` groups, each with the area's projects: no task holds a whole area, or a whole small file."""
+    parts = 64
     g = grids.select(F.col("unique_id").alias("planning_unit_id"), area_from_alias(F.col("alias")).alias("area"), F.col("resolution").alias("g_res"))
-    c = cells.select("h3_index", "cost", "status", F.lower(F.trim("project_area")).alias("area"), "resolution")
-    rows = projects.select(F.col("id").alias("project_id"), "planning_unit_id").join(g, "planning_unit_id").join(c, "area")
+    c = cells.select("h3_index", "cost", "status", F.lower(F.trim("project_area")).alias("area"), "resolution", F.pmod(F.xxhash64("h3_index"), F.lit(parts)).cast("int").alias("part"))
+    own = projects.select(F.col("id").alias("project_id"), "planning_unit_id").join(g, "planning_unit_id")
+    rows = c.join(own.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).hint("merge"), ["area", "part"])
     rows = rows.where("resolution = g_res") if match_resolution else rows
-    return rows.select("project_id", "h3_index", "cost", "status").dropDuplicates(["project_id", "h3_index"]).join(existing.select("project_id", "h3_index"), ["project_id", "h3_index"], "left_anti")
+    return rows.select("project_id", "h3_index", "cost", "status").dropDuplicates(["project_id", "h3_index"]).join(existing.select("project_id", "h3_index").hint("merge"), ["project_id", "h3_index"], "left_anti")
 
 
 def group_ids(df: DataFrame, key: str, id: str, drop_zero: bool = True, nested: bool = True) -> DataFrame:
@@ -215,9 +219,12 @@ def clone_projects(table: DataFrame, ids: DataFrame, key: str = "project_id") ->
 
 
 def set_parameters(params: DataFrame, updates: DataFrame) -> DataFrame:
-    """params with the values of updates (project_id, key, value) for keys that exist already; exact keys."""
-    new = updates.select("project_id", "key", F.col("value").alias("new"))
-    return params.join(new, ["project_id", "key"], "left").withColumn("value", F.coalesce("new", "value")).select(params.columns)
+    """params with the values of updates (project_id, key, value) for keys that exist already; exact keys.
+
+    Both sides are dealt out to all shuffle partitions: keys compress so well that Spark would else put together far more rows than a task can sort."""
+    n = int(params.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    new = updates.select("project_id", "key", F.col("value").alias("new")).repartition(n, "project_id", "key").hint("merge")
+    return params.repartition(n, "project_id", "key").join(new, ["project_id", "key"], "left").withColumn("value", F.coalesce("new", "value")).select(params.columns)
 
 
 def add_parameter(params: DataFrame, key: str, value: str) -> DataFrame:
