@@ -14,7 +14,7 @@ from atollkit.sources import geometry_io, io
 SF = "/root/testdata/sf0.001"
 
 #: Sides of a spatial join grow with their boxes' cells, which the size of their file does not tell.
-SHUFFLED = ["sj1_intersects"]
+SHUFFLED = ["sj1_intersects", "pa3_protected_for_all"]
 
 
 def nodes(df):
@@ -83,3 +83,14 @@ def test_dissolved_area_of_a_long_cell():
     steps = np.arange(6.125, 12.25, 0.125) + 0.0625
     want = sum(0.125 * np.any([(steps > a) & (steps < c) for a, c in rows], axis=0).sum() for rows in spans.values())
     assert dissolved(shapes, (6.125, 0.0, 12.25, 753.75)) == pytest.approx(want, abs=1e-6)
+
+
+def test_units_of_one_area_are_many_groups(spark):
+    joins = [n for n in nodes(registry.queries()["pu1_populate_units"](spark, SF)) if n.nodeName() == "SortMergeJoin"]
+    assert any("part" in n.simpleString(1000).split("Inner")[0] for n in joins)
+
+
+def test_parameters_stay_dealt_out(spark):
+    """Numbered partitions are not put together at run time."""
+    df = registry.queries()["pu19_set_parameters"](spark, SF)
+    assert any(n.nodeName() == "Exchange" and "REPARTITION_BY_NUM" in n.simpleString(1000) for n in nodes(df))
