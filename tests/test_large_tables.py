@@ -14,7 +14,7 @@ from atollkit.sources import geometry_io, io
 SF = "/root/testdata/sf0.001"
 
 #: Sides of a spatial join grow with their boxes' cells, which the size of their file does not tell.
-SHUFFLED = ["sj1_intersects", "pa3_protected_for_all", "sj2_points_in_polygons"]
+SHUFFLED = ["sj1_intersects", "pa3_protected_for_all", "sj2_points_in_polygons", "fe6_amounts_slanted"]
 
 
 def nodes(df):
