@@ -14,7 +14,7 @@ import numpy as np
 
 INSIDE, OUTSIDE, SAME, OPPOSITE = range(4)
 #: Pairs of edges that are worked on at once.
-MOST = 1 << 20
+MOST = 1 << 18
 
 
 class Shapes:

@@ -11,7 +11,7 @@ from atollkit.operators.spatial import spatial_join
 
 def protected_intersections(sites: DataFrame, units: DataFrame, size: float | None = None) -> DataFrame:
     """Distinct (iucn_cat, puid) of sites (iucn_cat, other) and the units (id, geometry) they meet."""
-    return spatial_join(units.select("id", "geometry"), sites.select("iucn_cat", "other"), size=size, geometries=False).select("iucn_cat", F.col("id").alias("puid")).distinct()
+    return spatial_join(units.select("id", "geometry"), sites.select("iucn_cat", "other").distinct(), size=size, geometries=False).select("iucn_cat", F.col("id").alias("puid")).distinct()
 
 
 def protected_by_category(pairs: DataFrame, nested: bool = True) -> DataFrame:
@@ -21,7 +21,7 @@ def protected_by_category(pairs: DataFrame, nested: bool = True) -> DataFrame:
 
 def protected_for_all(sites: DataFrame, units: DataFrame, size: float | None = None) -> DataFrame:
     """protected_intersections of all grids (units: grid_id, id, geometry) in one job."""
-    return spatial_join(units.select("grid_id", "id", "geometry"), sites.select("iucn_cat", "other"), size=size, geometries=False).select("grid_id", "iucn_cat", F.col("id").alias("puid")).distinct()
+    return spatial_join(units.select("grid_id", "id", "geometry"), sites.select("iucn_cat", "other").distinct(), size=size, geometries=False).select("grid_id", "iucn_cat", F.col("id").alias("puid")).distinct()
 
 
 def changed_sites(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def redone_intersections(existing: DataFrame, old: DataFrame, new: DataFrame, un
 
     existing: (grid_id, iucn_cat, puid); old and new: (site_id, iucn_cat, other); units: (grid_id, id, geometry). Equal to the full redo: what a
     unit has depends on the sites that meet it alone."""
-    met = spatial_join(units.select("grid_id", "id", "geometry"), changed_sites(old, new), size=size, geometries=False).select("grid_id", "id").distinct()
+    met = spatial_join(units.select("grid_id", "id", "geometry"), changed_sites(old, new).distinct(), size=size, geometries=False).select("grid_id", "id").distinct()
     again = protected_for_all(new, units.join(met.hint("merge"), ["grid_id", "id"], "left_semi"), size)
     kept = existing.join(met.select("grid_id", F.col("id").alias("puid")).hint("merge"), ["grid_id", "puid"], "left_anti")
     return kept.select("grid_id", "iucn_cat", "puid").unionByName(again)

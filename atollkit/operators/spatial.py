@@ -13,8 +13,10 @@ from pyspark.sql.types import DataType, StructType
 from atollkit.functions import crs, kernels
 from atollkit.functions.geometry_udf import BOX, KINDS, boxes_of, flat, lists_of_polygons
 from atollkit.functions.overlay import Overlay, Shapes, covered, inside, portions
-from atollkit.operators.tiling import CELLS, Tiling, fitted
+from atollkit.operators.tiling import CELLS, Tiling, fitted, surveyed
 
+#: Boxes of a task of a join; fewer than DEALT of them are left to Spark's own numbers of partitions.
+TASK, DEALT = 32768, 8 * 32768
 PREDICATES = {"intersects": kernels.intersects, "contains": kernels.contains, "touches": kernels.touches}
 ENDS = ("x0", "y0", "x1", "y1")
 TESTS = {"intersects": Overlay.intersects, "contains": Overlay.contains, "touches": Overlay.touches}
@@ -52,15 +54,24 @@ def in_cells(rows: DataFrame, name: str, bounds: bool) -> DataFrame:
     return cells if bounds else cells.drop("_in")
 
 
-def met(left: DataFrame, right: DataFrame) -> DataFrame:
+def met(left: DataFrame, right: DataFrame, boxes: int = 0) -> DataFrame:
     """Pairs of left (_a) and right (_b) whose boxes meet, each once, with the cell where they met.
 
     A pair stays only in the cell of the lower left corner of the boxes' overlap, so no distinct is needed. Boxes and keys are shuffled, no geometry. Spark
-    takes the size of a side from that of its file, which says nothing of boxes in cells: both are shuffled, none is broadcast."""
+    takes the size of a side from that of its file, which says nothing of boxes in cells: both are shuffled, none is broadcast, and many boxes
+    (their number is given) are dealt out to a number of partitions that goes with it, which Spark does not put together."""
     p, q, c = F.col("_a"), F.col("_b"), F.col("_in")
     x, y = F.greatest(p.x0, q.x0), F.greatest(p.y0, q.y0)
     corner = (c.x0 <= x) & (x < c.x1) & (c.y0 <= y) & (y < c.y1)
-    return in_cells(left, "_a", True).join(in_cells(right, "_b", False).hint("merge"), "_cell").where(of_boxes("intersects", p, q) & corner).drop("_in")
+    dealt = (lambda df: df.repartition(-(-boxes // TASK), "_cell")) if boxes >= DEALT else (lambda df: df)
+    return dealt(in_cells(left, "_a", True)).join(dealt(in_cells(right, "_b", False)).hint("merge"), "_cell").where(of_boxes("intersects", p, q) & corner).drop("_in")
+
+
+def spread(pairs: DataFrame, rows: DataFrame, side: str) -> DataFrame:
+    """pairs of which one side has each box once, with that side's rows: those with the same ends and the same key."""
+    same = [F.col(f"{side}.{c}") == F.col(f"_of.{c}") for c in ENDS]
+    same.append(F.coalesce(f"{side}.key", F.lit("")) == F.coalesce("_of.key", F.lit("")))
+    return pairs.join(rows.withColumnRenamed(side, "_of").hint("merge"), same).drop("_of")
 
 
 def shapes_of(df: DataFrame, geom: str) -> DataFrame:
@@ -120,27 +131,30 @@ def valued(a: DataFrame, b: DataFrame, a_geom: str, b_geom: str, native: Callabl
     """Pairs whose boxes meet, with a's and b's other columns, their boxes (_a, _b) and _value.
 
     Where both are rectangles _value is native(_a, _b), built-in functions alone; only pairs with another shape go to kernels, over the flat buffers of all of a
-    cell's pairs at once. The two kinds are parted before the join, so that neither pays for the other."""
-    if points:
-        left = a
-    else:
-        left = boxed(a, a_geom, "_a")
-    tree, odd = fitted(*(x.select(f"{n}.*") for x, n in ((left, "_a"), (boxed(b, b_geom, "_b"), "_b"))), size=size)
-    right = boxed(b, b_geom, "_b", tree)
-    if points:
-        left = left.withColumn("_a", F.struct("_a.*", F.lit(True).alias("own"), F.lit(None).cast("string").alias("key"), tree.column(F.col("_a")).alias("cells")))
-    else:
-        left = boxed(a, a_geom, "_a", tree)
+    cell's pairs at once. The two kinds are parted before the join, so that neither pays for the other. Where a side repeats its boxes (as counted
+    with the extent) each different one is worked on once, and its rows join the pairs afterwards."""
+    rows = [a if points else boxed(a, a_geom, "_a"), boxed(b, b_geom, "_b")]
+    tree, odd, repeated, boxes = surveyed(*(x.select(f"{n}.*") for x, n in zip(rows, ("_a", "_b"), strict=True)), size=size)
+
+    def placed(k: int, df: DataFrame, geom: str, name: str) -> DataFrame:
+        if not repeated[k] and not (points and not k):
+            return boxed(df, geom, name, tree)
+        once = rows[k].select(name).distinct() if repeated[k] else rows[k]
+        return once.withColumn(name, F.struct(f"{name}.*", tree.column(F.col(name)).alias("cells")))
+
+    left, right = placed(0, a, a_geom, "_a"), placed(1, b, b_geom, "_b")
     whole, other = (lambda df, n: df.where(F.col(f"{n}.own"))), (lambda df, n: df.where(~F.col(f"{n}.own")))
-    out = met(whole(left, "_a"), whole(right, "_b")) if any(odd) else met(left, right)
+    out = met(whole(left, "_a"), whole(right, "_b"), boxes) if any(odd) else met(left, right, boxes)
     out = out.withColumn("_value", native(F.col("_a"), F.col("_b"))).drop("_cell")
     # Where a side has no other shapes its part of the plan is left out.
-    rest = ([met(other(left, "_a"), right)] if odd[0] else []) + ([met(whole(left, "_a") if odd[0] else left, other(right, "_b"))] if odd[1] else [])
+    rest = ([met(other(left, "_a"), right, boxes)] if odd[0] else []) + ([met(whole(left, "_a") if odd[0] else left, other(right, "_b"), boxes)] if odd[1] else [])
     if rest:
         shapes = [shapes_of(df, g) for df, g, n in ((a, a_geom, odd[0]), (b, b_geom, odd[1])) if n]
         shapes = shapes[0] if len(shapes) == 1 else shapes[0].unionByName(shapes[1]).dropDuplicates(["key"])
         out = out.unionByName(worked_out(rest[0] if len(rest) == 1 else rest[0].unionByName(rest[1]), shapes, kernel, kind, points).drop("_cell"))
-    return out
+    for k, name in enumerate(("_a", "_b")):
+        out = spread(out, rows[k], name) if repeated[k] else out
+    return out.select(*rows[0].columns, *rows[1].columns, "_value")
 
 
 def with_geometry(pairs: DataFrame, df: DataFrame, geom: str, side: str) -> DataFrame:
@@ -197,7 +211,7 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float | Non
     Rectangles are told by built-in functions, other polygons over all edges of a cell's pairs at once. Without geometries that column is left out."""
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
-    at = points.where(finite(x) & finite(y)).withColumn("_a", F.struct(x.alias("x0"), y.alias("y0"), x.alias("x1"), y.alias("y1")))
+    at = points.where(finite(x) & finite(y)).withColumn("_a", F.struct(x.alias("x0"), y.alias("y0"), x.alias("x1"), y.alias("y1"), F.lit(True).alias("own"), F.lit(None).cast("string").alias("key")))
     within = lambda p, q: (p.x0 < q.x1) & (p.y0 < q.y1)
     pairs = valued(at, polygons, "", "geometry", within, inside, "boolean", size, points=True)
     pairs = pairs.where("_value")

@@ -107,19 +107,37 @@ class Tiling:
 
 
 def fitted(*sides: DataFrame, size: float | None = None, rows: int = ROWS) -> tuple[Tiling, list[int]]:
-    """The tree for the boxes (x0, y0, x1, y1, and own if there are other shapes) of several tables, and how many of each are not
-    rectangles: one pass for extent and numbers, one for the sample of about SAMPLE boxes that the driver holds (each box is drawn or not by
+    """The tree for the boxes of several tables, and how many of each are not rectangles: surveyed() without the rest."""
+    return surveyed(*sides, size=size, rows=rows)[:2]
+
+
+def surveyed(*sides: DataFrame, size: float | None = None, rows: int = ROWS) -> tuple[Tiling, list[int], list[bool], int]:
+    """The tree for the boxes (x0, y0, x1, y1, and own and key if there are other shapes) of several tables, how many of each are not
+    rectangles, which tables repeat their boxes (half as many different ones or fewer), and how many boxes there are where those of such
+    a table count once. One pass for extent and numbers, one for the sample of about SAMPLE boxes that the driver holds (each box is drawn or not by
     itself, so no task sends more than its share). Joins give the same rows whatever the sample is."""
     odd = lambda df: F.when(F.col("own"), 0).otherwise(1) if "own" in df.columns else F.lit(0)
-    boxes = None
+    kinds, boxes = range(len(sides)), None
     for k, df in enumerate(sides):
-        part = df.select("x0", "y0", "x1", "y1", *((odd(df) if i == k else F.lit(0)).alias(f"odd{i}") for i in range(len(sides))))
+        key = F.col("key") if "key" in df.columns else F.lit(None).cast("string")
+        part = df.select("x0", "y0", "x1", "y1", key.alias("key"), F.lit(k).alias("side"), odd(df).alias("odd"))
         boxes = part if boxes is None else boxes.unionByName(part)
-    e = boxes.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1"), F.count("*"), *(F.sum(f"odd{i}") for i in range(len(sides)))).first()
-    if not e[4]:
-        return Tiling(np.zeros((0, 4)), 1, (0.0, 0.0, 0.0, 0.0)), [0] * len(sides)
-    extent, n, others = tuple(e)[:4], e[4], list(e)[5:]
+    of = lambda k, c: F.when(F.col("side") == k, c)
+    counts = [f(k) for k in kinds for f in (lambda k: F.count(of(k, F.lit(1))), lambda k: F.coalesce(F.sum(of(k, F.col("odd"))), F.lit(0)), lambda k: F.approx_count_distinct(of(k, F.struct("x0", "y0", "x1", "y1", "key"))))]
+    e = tuple(boxes.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1"), *counts).first())
+    extent, n, others, different = e[:4], e[4::3], list(e[5::3]), e[6::3]
+    if not sum(n):
+        return Tiling(np.zeros((0, 4)), 1, (0.0, 0.0, 0.0, 0.0)), [0] * len(sides), [False] * len(sides), 0
+    repeated = [n[k] > rows and 2 * different[k] <= n[k] for k in kinds]
+    total = sum(different[k] if repeated[k] else n[k] for k in kinds)
     if size:
-        return Tiling.even(extent, size), others
-    drawn = np.array([tuple(r)[:4] for r in boxes.where(F.rand(1) < SAMPLE / n).collect()], float).reshape(-1, 4) if n > rows else np.zeros((0, 4))
-    return Tiling(drawn, n / max(1, len(drawn)), extent, rows), others
+        return Tiling.even(extent, size), others, repeated, total
+    drawn = np.zeros((0, 4))
+    if total > rows:
+        once = None
+        for k in kinds:
+            part = boxes.where(F.col("side") == k).drop("side", "odd")
+            part = part.distinct() if repeated[k] else part
+            once = part if once is None else once.unionByName(part)
+        drawn = np.array([tuple(r)[:4] for r in once.where(F.rand(1) < SAMPLE / total).collect()], float).reshape(-1, 4)
+    return Tiling(drawn, total / max(1, len(drawn)), extent, rows), others, repeated, total

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atollkit.functions.overlay import Shapes
+from atollkit.operators import spatial
 from atollkit.operators.grid import lattice
 from atollkit.operators.projects import unit_detail
 from atollkit.operators.spatial import dissolved
@@ -94,3 +95,35 @@ def test_parameters_stay_dealt_out(spark):
     """Numbered partitions are not put together at run time."""
     df = registry.queries()["pu19_set_parameters"](spark, SF)
     assert any(n.nodeName() == "Exchange" and "REPARTITION_BY_NUM" in n.simpleString(1000) for n in nodes(df))
+
+
+def test_equal_boxes_meet_once(spark):
+    """Copies of shapes and points, however many, are one pair for the kernels; each row still gets its partners."""
+    from atollkit.functions import crs
+
+    p = lambda x, y: F.struct((F.col("at") + x).cast("double").alias("x"), F.lit(float(y)).alias("y"))
+    notched = F.array(F.array(*(p(x, y) for x, y in ((0, 0), (3, 0), (3, 1), (1, 1), (1, 3), (0, 3), (0, 0)))))
+    many = spark.range(900).selectExpr("id AS a", "id % 3 AS at").select("a", notched.alias("geometry"))
+    x = F.col("b") % 2
+    few = spark.range(2).withColumnRenamed("id", "b").select("b", crs.box_geometry(x, F.lit(0), x + 1, F.lit(1)).alias("other"))
+    made = spatial.valued(many, few, "geometry", "other", spatial.shared_area, lambda o: np.full(o.n, float(o.n)), "double")
+    assert made.count() == 1500 and made.agg(F.max("_value")).first()[0] <= 6
+    areas = spatial.overlap_areas(many, few)
+    assert sorted(map(tuple, areas.collect())) == sorted((a, b, 1.0) for a in range(900) for b in range(2) if b >= a % 3)
+    points = spark.range(1200).selectExpr("id", "id % 4 + 0.5D AS x", "0.5D AS y")
+    found = spatial.points_in_polygons(points, many, geometries=False)
+    assert sorted(map(tuple, found.select("id", "a").collect())) == sorted((i, a) for i in range(1200) for a in range(900) if 0 <= i % 4 - a % 3 < 3)
+
+
+def test_partitions_of_a_join_go_with_its_boxes(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "DEALT", 1)
+    monkeypatch.setattr(spatial, "TASK", 1000)
+    joined = registry.queries()["sj1_touches"](spark, "/root/testdata/sf0.1")
+    assert any(n.nodeName() == "Exchange" and "REPARTITION_BY_NUM" in n.simpleString(1000) for n in nodes(joined))
+
+
+def test_sites_of_a_category_count_once(spark):
+    """Equal sites of a category are one before they meet units."""
+    df = registry.queries()["pa3_protected_for_all"](spark, SF)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert any("iucn_cat" in line and "other" in line for line in text.splitlines() if "Aggregate" in line)
