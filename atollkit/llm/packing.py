@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, ids: bool =
     return texts(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids)
 
 
+@lru_cache(TRIED + 1)
+def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 class Packing:
     """Solutions of one shard: an array with each item's bin, bins numbered from 0."""
 
@@ -118,30 +124,38 @@ class Packing:
         if not len(loose) or not (s >= 0).any():
             return
         loose = list(self.rng.permutation(loose))
+        sizes = np.arange(self.size + 1)
         for _ in range(2 * TRIED):
             tried = np.array(loose[:TRIED])
-            i, j = np.triu_indices(len(tried), 1)
+            i, j = _pairs(len(tried))
             gives = np.concatenate([n[tried], n[tried[i]] + n[tried[j]]])
             order = np.argsort(gives, kind="stable")
             ascending = gives[order]
+            at = np.searchsorted(ascending, sizes, "right") - 1  # for each size the greatest that goes in
+            most = np.where(at >= 0, ascending[np.maximum(at, 0)], -1)
             placed = np.flatnonzero(s >= 0)
-            placed = placed[np.argsort(s[placed], kind="stable")]
-            room = self.size - np.bincount(s[placed], weights=n[placed]).astype(np.int64)
-            takes, ones, twos = [n[placed]], [placed], [np.full(len(placed), -1)]
-            for step in range(1, 6):
-                same = s[placed[step:]] == s[placed[:-step]]
-                x, y = placed[:-step][same], placed[step:][same]
-                takes, ones, twos = [*takes, n[x] + n[y]], [*ones, x], [*twos, y]
-            take, one, two = np.concatenate(takes), np.concatenate(ones), np.concatenate(twos)
-            at = np.searchsorted(ascending, take + room[s[one]], "right") - 1
-            gain = np.where(at >= 0, ascending[np.maximum(at, 0)] - take, 0)
-            k = int(np.argmax(gain))
-            if gain[k] <= 0:
+            bins = s[placed]
+            by_bin = np.argsort(bins.astype(np.int16) if bins.max() < 1 << 15 else bins, kind="stable")
+            placed, bins = placed[by_bin], bins[by_bin]
+            own = n[placed]
+            room = (self.size - np.bincount(bins, weights=own).astype(np.int64))[bins]
+            gain, one, two, space = 0, -1, -1, 0
+            for step in range(6):  # an item alone, then with the next ones of its bin
+                x = np.flatnonzero(bins[step:] == bins[: len(bins) - step]) if step else slice(None)
+                take = own[x] + own[step:][x] if step else own
+                if not len(take):
+                    continue
+                gains = most[take + room[x]] - take
+                k = int(np.argmax(gains))
+                if gains[k] > gain:
+                    first = int(x[k]) if step else k
+                    gain, one, two, space = int(gains[k]), int(placed[first]), int(placed[first + step]) if step else -1, int(take[k] + room[first])
+            if gain <= 0:
                 return
-            g = int(order[at[k]])
+            g = int(order[at[space]])
             into = [int(tried[g])] if g < len(tried) else [int(tried[i[g - len(tried)]]), int(tried[j[g - len(tried)]])]
-            out = [int(x) for x in (one[k], two[k]) if x >= 0]
-            s[into], s[out] = s[one[k]], -1
+            out = [x for x in (one, two) if x >= 0]
+            s[into], s[out] = s[one], -1
             loose = [x for x in loose if x not in into] + out
 
     def evolve(self, population: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
