@@ -24,6 +24,8 @@ WIDTH = 256 + CELLS + 6
 #: Bound of the sample of labelled rows: trusted texts (label 1) that are learnt from.
 POSITIVES = 3000
 FOLDS = 5
+#: Bytes of texts whose features are worked out at once (about 60 bytes of arrays each), and rows of a batch that are taken out of it at once.
+RUN, ROWS = 1 << 18, 512
 #: Matrices of sums that one task adds up.
 FAN_IN = 16
 #: Scores are counted in so many equal steps from -3 to 3.
@@ -37,11 +39,18 @@ def features(rows: list[bytes]) -> np.ndarray:
 
 
 def feature_runs(rows: list[bytes]) -> Iterator[np.ndarray]:
-    """The features of consecutive runs of about a megabyte and at most a thousand texts, one run in memory at a time."""
-    for lo, hi in runs(rows, per_row=1024):
+    """The features of consecutive runs of about RUN bytes, each text counted with a kilobyte more, one run in memory at a time."""
+    for lo, hi in runs(rows, RUN, per_row=1024):
         yield _features(rows[lo:hi])
 
 
+def column_runs(texts: pa.Array) -> Iterator[np.ndarray]:
+    """feature_runs of an Arrow column, of which a few rows at a time become bytes of Python."""
+    for lo in range(0, len(texts), ROWS):
+        yield from feature_runs(texts.slice(lo, ROWS).cast(pa.binary()).to_pylist())
+    trim()
+
+
 def _distinct(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     order = np.lexsort((h, owner))
     o, h = owner[order], h[order]
@@ -165,7 +174,7 @@ def total_moments(texts: DataFrame) -> np.ndarray:
         trim()
         total = np.zeros((WIDTH + 1, WIDTH + 1))
         for b in batches:
-            for x in feature_runs(b.column("text").cast(pa.binary()).to_pylist()):
+            for x in column_runs(b.column("text")):
                 total += moments(x)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total[corner].tobytes()], pa.binary())], ["part", "sums"])
 
@@ -193,7 +202,7 @@ def counted_scores(texts: DataFrame, model: Model) -> np.ndarray:
     def run(batches):
         total = np.zeros(STEPS, np.int64)
         for b in batches:
-            for x in feature_runs(b.column("text").cast(pa.binary()).to_pylist()):
+            for x in column_runs(b.column("text")):
                 total += steps_of(load(raw).value(x))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["step", "n"])
@@ -238,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES) -> Mod
 
     def run(batches):
         for b in batches:
-            x = features(b.column("text").cast(pa.binary()).to_pylist())
+            x = np.concatenate([np.zeros((0, WIDTH), np.float32), *column_runs(b.column("text"))])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
 
     got = sorted(tuple(r) for r in rows.mapInArrow(run, "doc_id long, x binary").dropDuplicates(["doc_id"]).collect())
@@ -263,7 +272,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trim()
         for t in texts:
-            yield pa.array(np.concatenate([np.zeros(0), *(load(raw).score(x) for x in feature_runs(t.cast(pa.binary()).to_pylist()))]), pa.float64())
+            yield pa.array(np.concatenate([np.zeros(0), *(load(raw).score(x) for x in column_runs(t))]), pa.float64())
 
     return rows.select("doc", F.arrow_udf(run, "double")("text").alias("score"))
 
