@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from atollkit.operators.projects import group_ids
 from atollkit.operators.spatial import spatial_join
+from atollkit.session import written
 
 
 def protected_intersections(sites: DataFrame, units: DataFrame, size: float | None = None) -> DataFrame:
@@ -36,8 +37,9 @@ def redone_intersections(existing: DataFrame, old: DataFrame, new: DataFrame, un
     """protected_for_all() of a new release, from that of the old one: only units that a changed site meets are worked out again.
 
     existing: (grid_id, iucn_cat, puid); old and new: (site_id, iucn_cat, other); units: (grid_id, id, geometry). Equal to the full redo: what a
-    unit has depends on the sites that meet it alone."""
-    met = spatial_join(units.select("grid_id", "id", "geometry"), changed_sites(old, new).distinct(), size=size, geometries=False).select("grid_id", "id").distinct()
+    unit has depends on the sites that meet it alone. Changed sites and the units that they meet are written once: joins look at their sides several times."""
+    changed = written(changed_sites(old, new).distinct())
+    met = written(spatial_join(units.select("grid_id", "id", "geometry"), changed, size=size, geometries=False).select("grid_id", "id").distinct())
     again = protected_for_all(new, units.join(met.hint("merge"), ["grid_id", "id"], "left_semi"), size)
     kept = existing.join(met.select("grid_id", F.col("id").alias("puid")).hint("merge"), ["grid_id", "puid"], "left_anti")
     return kept.select("grid_id", "iucn_cat", "puid").unionByName(again)

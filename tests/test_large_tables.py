@@ -127,3 +127,9 @@ def test_sites_of_a_category_count_once(spark):
     df = registry.queries()["pa3_protected_for_all"](spark, SF)
     text = df._jdf.queryExecution().optimizedPlan().toString()
     assert any("iucn_cat" in line and "other" in line for line in text.splitlines() if "Aggregate" in line)
+
+
+def test_changed_units_are_worked_out_once(spark):
+    """What a new release changes is read from where it was written, not joined again by each plan that uses it."""
+    text = registry.queries()["io12_redo_intersections"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in text
