@@ -12,7 +12,7 @@ from atollkit.session import written
 
 def protected_intersections(sites: DataFrame, units: DataFrame, size: float | None = None) -> DataFrame:
     """Distinct (iucn_cat, puid) of sites (iucn_cat, other) and the units (id, geometry) they meet."""
-    return spatial_join(units.select("id", "geometry"), sites.select("iucn_cat", "other").distinct(), size=size, geometries=False).select("iucn_cat", F.col("id").alias("puid")).distinct()
+    return spatial_join(units.select("id", "geometry"), sites.select("iucn_cat", "other"), size=size, geometries=False, distinct=True).select("iucn_cat", F.col("id").alias("puid")).distinct()
 
 
 def protected_by_category(pairs: DataFrame, nested: bool = True) -> DataFrame:
@@ -22,7 +22,7 @@ def protected_by_category(pairs: DataFrame, nested: bool = True) -> DataFrame:
 
 def protected_for_all(sites: DataFrame, units: DataFrame, size: float | None = None) -> DataFrame:
     """protected_intersections of all grids (units: grid_id, id, geometry) in one job."""
-    return spatial_join(units.select("grid_id", "id", "geometry"), sites.select("iucn_cat", "other").distinct(), size=size, geometries=False).select("grid_id", "iucn_cat", F.col("id").alias("puid")).distinct()
+    return spatial_join(units.select("grid_id", "id", "geometry"), sites.select("iucn_cat", "other"), size=size, geometries=False, distinct=True).select("grid_id", "iucn_cat", F.col("id").alias("puid")).distinct()
 
 
 def changed_sites(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -14,9 +14,12 @@ from atollkit.functions import crs, kernels
 from atollkit.functions.geometry_udf import BOX, KINDS, boxes_of, flat, lists_of_polygons
 from atollkit.functions.overlay import Overlay, Shapes, covered, inside, portions
 from atollkit.operators.tiling import CELLS, Tiling, fitted, surveyed
+from atollkit.session import written
 
 #: Boxes of a task of a join; fewer than DEALT of them are left to Spark's own numbers of partitions.
 TASK, DEALT = 32768, 8 * 32768
+#: Rows of a file of boxes, so that a table that was read by one task is read by many from there on.
+ROWS_A_FILE = 1 << 17
 PREDICATES = {"intersects": kernels.intersects, "contains": kernels.contains, "touches": kernels.touches}
 ENDS = ("x0", "y0", "x1", "y1")
 TESTS = {"intersects": Overlay.intersects, "contains": Overlay.contains, "touches": Overlay.touches}
@@ -42,15 +45,35 @@ def boxed(df: DataFrame, geom: str, name: str, tree: Tiling | None = None, keep:
             made["cells"] = tree.listed(*(made[c] for c in ENDS))
         return pa.StructArray.from_arrays(list(made.values()), list(made))
 
-    kind = f"struct<{BOX}{'' if tree is None else f', cells {CELLS}'}>".replace(" double", ":double").replace(" boolean", ":boolean").replace(" string", ":string").replace("cells ", "cells:")
-    rows = df.where(F.col(geom).isNotNull()).withColumn(name, F.arrow_udf(run, kind)(F.col(geom))).where(F.col(f"{name}.x0").isNotNull())
+    rows = df.where(F.col(geom).isNotNull()).withColumn(name, F.arrow_udf(run, _kind(tree is not None))(F.col(geom))).where(F.col(f"{name}.x0").isNotNull())
     return rows if keep else rows.drop(geom)
 
 
+def boxed_once(df: DataFrame, geom: str) -> DataFrame:
+    """df's rows, boxes in place of their geometries as in boxed(), and _shape (the geometry where it is no rectangle), written once and read again.
+
+    A join looks at its sides several times, for the extent, the sample, each kind of shape and the rows of equal boxes, and Spark would make and box every geometry
+    anew each time (twice where a filter on a box is pushed below it). No filter follows the boxes before they are written."""
+    rows = df.where(F.col(geom).isNotNull()).withColumn("_box", F.arrow_udf(_boxes, _kind(False))(F.col(geom)))
+    rows = rows.withColumn("_shape", F.when(~F.col("_box.own"), F.col(geom))).drop(geom).withColumnRenamed("_box", geom)
+    return written(rows, most=ROWS_A_FILE).where(F.col(geom).x0.isNotNull())
+
+
+def _boxes(column: pa.Array) -> pa.Array:
+    made = boxes_of(column)
+    return pa.StructArray.from_arrays(list(made.values()), list(made))
+
+
+def _kind(cells: bool) -> str:
+    return f"struct<{BOX}{f', cells {CELLS}' if cells else ''}>".replace(" double", ":double").replace(" boolean", ":boolean").replace(" string", ":string").replace("cells ", "cells:")
+
+
 def in_cells(rows: DataFrame, name: str, bounds: bool) -> DataFrame:
-    """A row for each cell (_cell) that the box meets, with the cell's bounds (_in) where they are wanted."""
+    """A row for each cell (_cell) that the box meets, with the cell's bounds (_in) where they are wanted; without cells _cell is null, which joins nothing.
+
+    The inner explode would have Spark filter on the number of cells below all else, which finds the cells of every row twice, equal boxes included."""
     plain = F.struct(*(F.col(f"{name}.{c}").alias(c) for c in (*ENDS, "own", "key")))
-    cells = rows.withColumn("_in", F.explode(f"{name}.cells")).withColumn("_cell", F.col("_in.cell")).withColumn(name, plain)
+    cells = rows.withColumn("_in", F.explode_outer(f"{name}.cells")).withColumn("_cell", F.col("_in.cell")).withColumn(name, plain)
     return cells if bounds else cells.drop("_in")
 
 
@@ -127,30 +150,31 @@ def worked_out(pairs: DataFrame, shapes: DataFrame, kernel: Callable, kind: str,
     return pairs.groupBy("_cell").cogroup(sent.groupBy("_at")).applyInArrow(run, schema)
 
 
-def valued(a: DataFrame, b: DataFrame, a_geom: str, b_geom: str, native: Callable[[Column, Column], Column], kernel: Callable, kind: str, size: float | None = None, points: bool = False) -> DataFrame:
+def valued(a: DataFrame, b: DataFrame, a_geom: str, b_geom: str, native: Callable[[Column, Column], Column], kernel: Callable, kind: str, size: float | None = None, points: bool = False, distinct: bool = False) -> DataFrame:
     """Pairs whose boxes meet, with a's and b's other columns, their boxes (_a, _b) and _value.
 
     Where both are rectangles _value is native(_a, _b), built-in functions alone; only pairs with another shape go to kernels, over the flat buffers of all of a
     cell's pairs at once. The two kinds are parted before the join, so that neither pays for the other. Where a side repeats its boxes (as counted
-    with the extent) each different one is worked on once, and its rows join the pairs afterwards."""
-    rows = [a if points else boxed(a, a_geom, "_a"), boxed(b, b_geom, "_b")]
+    with the extent) each different one is worked on once, and its rows join the pairs afterwards. With distinct b's equal rows count once."""
+    full = [a if points else boxed_once(a, a_geom), boxed_once(b, b_geom)]
+    rows = [x.drop("_shape") for x in full]
+    rows = [(x.distinct() if d else x).withColumnRenamed(g, n) for x, d, g, n in zip(rows, (False, distinct), (a_geom, b_geom), ("_a", "_b"), strict=True)]
     tree, odd, repeated, boxes = surveyed(*(x.select(f"{n}.*") for x, n in zip(rows, ("_a", "_b"), strict=True)), size=size)
 
-    def placed(k: int, df: DataFrame, geom: str, name: str) -> DataFrame:
-        if not repeated[k] and not (points and not k):
-            return boxed(df, geom, name, tree)
+    def placed(k: int, name: str) -> DataFrame:
         once = rows[k].select(name).distinct() if repeated[k] else rows[k]
         return once.withColumn(name, F.struct(f"{name}.*", tree.column(F.col(name)).alias("cells")))
 
-    left, right = placed(0, a, a_geom, "_a"), placed(1, b, b_geom, "_b")
+    left, right = placed(0, "_a"), placed(1, "_b")
     whole, other = (lambda df, n: df.where(F.col(f"{n}.own"))), (lambda df, n: df.where(~F.col(f"{n}.own")))
     out = met(whole(left, "_a"), whole(right, "_b"), boxes) if any(odd) else met(left, right, boxes)
     out = out.withColumn("_value", native(F.col("_a"), F.col("_b"))).drop("_cell")
     # Where a side has no other shapes its part of the plan is left out.
     rest = ([met(other(left, "_a"), right, boxes)] if odd[0] else []) + ([met(whole(left, "_a") if odd[0] else left, other(right, "_b"), boxes)] if odd[1] else [])
     if rest:
-        shapes = [shapes_of(df, g) for df, g, n in ((a, a_geom, odd[0]), (b, b_geom, odd[1])) if n]
-        shapes = shapes[0] if len(shapes) == 1 else shapes[0].unionByName(shapes[1]).dropDuplicates(["key"])
+        shapes = [x.where(~F.col(g).own).select(F.col(g).key.alias("key"), F.col("_shape").alias("shape")) for x, g, some in zip(full, (a_geom, b_geom), odd, strict=True) if some]
+        # Told apart by their hash: to take one of each key's, Spark would sort all of them.
+        shapes = (shapes[0] if len(shapes) == 1 else shapes[0].unionByName(shapes[1])).distinct()
         out = out.unionByName(worked_out(rest[0] if len(rest) == 1 else rest[0].unionByName(rest[1]), shapes, kernel, kind, points).drop("_cell"))
     for k, name in enumerate(("_a", "_b")):
         out = spread(out, rows[k], name) if repeated[k] else out
@@ -164,17 +188,17 @@ def with_geometry(pairs: DataFrame, df: DataFrame, geom: str, side: str) -> Data
     return joined.withColumn(geom, F.when(F.col(side).own, _rectangle(F.col(side))).otherwise(F.col("_shape"))).drop("_key", "_shape")
 
 
-def spatial_join(a: DataFrame, b: DataFrame, a_geom: str = "geometry", b_geom: str = "other", pred: str = "intersects", how: str = "inner", size: float | None = None, geometries: bool = True) -> DataFrame:
+def spatial_join(a: DataFrame, b: DataFrame, a_geom: str = "geometry", b_geom: str = "other", pred: str = "intersects", how: str = "inner", size: float | None = None, geometries: bool = True, distinct: bool = False) -> DataFrame:
     """Pairs of rows whose geometries intersect (touching counts), or the first contains the second, or they only touch.
 
     Column names of the two sides must differ. left_semi keeps a's rows that have any partner. Two rectangles are told
     by built-in functions, other pairs by kernels over all pairs of a cell. Cells come from a tree fitted to the boxes, or are even ones of
     the given size; the result does not depend on them. Without geometries the two geometry columns are left out, which
-    saves two joins; rows without a geometry, or with one that is empty or not finite, drop out."""
+    saves two joins; rows without a geometry, or with one that is empty or not finite, drop out. With distinct equal rows of b count once."""
     if how not in ("inner", "left_semi"):
         raise ValueError(f"unknown join {how!r}")
     test = TESTS[pred]
-    pairs = valued(a, b, a_geom, b_geom, lambda p, q: of_boxes(pred, p, q), lambda o: test(o), "boolean", size).where("_value").drop("_value")
+    pairs = valued(a, b, a_geom, b_geom, lambda p, q: of_boxes(pred, p, q), lambda o: test(o), "boolean", size, distinct=distinct).where("_value").drop("_value")
     if how == "left_semi":
         pairs = with_geometry(pairs, a, a_geom, "_a") if a_geom in a.columns and geometries else pairs
         return pairs.select([c for c in a.columns if geometries or c != a_geom]).distinct()

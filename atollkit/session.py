@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, app: str = "atollkit") -> SparkSession:
@@ -35,11 +36,14 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again, so that plans that use it several times do not work it out each time."""
+def written(df: DataFrame, most: int = 0) -> DataFrame:
+    """df written to the shared folder and read again, so that plans that use it several times do not work it out each time. most: rows of a
+    file, 0 for any number. Columns without a type, which files cannot have, are made again."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.drop(*(c for c, kind in df.dtypes if kind == "void"))
+    kept.write.option("maxRecordsPerFile", most).parquet(path)
+    out = df.sparkSession.read.schema(kept.schema).parquet(path)
+    return out.select(*(c if c in kept.columns else F.lit(None).alias(c) for c in df.columns)) if len(kept.columns) < len(df.columns) else out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

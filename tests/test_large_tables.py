@@ -133,3 +133,33 @@ def test_changed_units_are_worked_out_once(spark):
     """What a new release changes is read from where it was written, not joined again by each plan that uses it."""
     text = registry.queries()["io12_redo_intersections"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "sha2" not in text
+
+
+def test_geometries_are_boxed_once(spark):
+    """Cells are found once for each different box: no Python function runs on every row of a side below the aggregate that leaves equal boxes out, and
+    geometries, which are boxed when the sides are written, are not in the plan."""
+    square = "array(array(named_struct('x', {0}, 'y', {1}), named_struct('x', {0} + 2, 'y', {1}), named_struct('x', {0} + 2, 'y', {1} + 2), named_struct('x', {0}, 'y', {1} + 2), named_struct('x', {0}, 'y', {1})))"
+    many = spark.range(2000).selectExpr("id AS a", square.format("CAST(id % 40 AS DOUBLE)", "CAST(id % 30 AS DOUBLE)") + " AS geometry")
+    few = spark.range(50).selectExpr("id AS b", square.format("CAST(id AS DOUBLE)", "CAST(id AS DOUBLE)") + " AS other")
+    pairs = spatial.spatial_join(many, few, pred="touches", geometries=False)
+    plan = pairs._jdf.queryExecution().optimizedPlan()
+
+    def walk(p, below):
+        yield p, below
+        for k in range(p.children().size()):
+            yield from walk(p.children().apply(k), below or p.nodeName() == "Aggregate")
+
+    python = [below for p, below in walk(plan, False) if "EvalPython" in p.nodeName()]
+    assert len(python) == 2 and not any(python)
+    met = {(i, j) for i in range(2000) for j in range(50) if max(abs(i % 40 - j), abs(i % 30 - j)) == 2}
+    assert sorted(map(tuple, pairs.collect())) == sorted(met)
+
+
+def test_equal_rows_of_a_side_count_once(spark):
+    square = "array(array(named_struct('x', {0}, 'y', 0D), named_struct('x', {0} + 1, 'y', 0D), named_struct('x', {0} + {1}, 'y', 1D), named_struct('x', {0}, 'y', 1D), named_struct('x', {0}, 'y', 0D)))"
+    few = spark.range(3).selectExpr("id AS a", square.format("CAST(id * 9 AS DOUBLE)", "1D") + " AS geometry")
+    for wide in ("1D", "2D"):  # rectangles, other shapes
+        many = spark.range(600).selectExpr("id % 2 AS b", "NULL AS c", square.format("CAST(id % 3 * 9 AS DOUBLE)", wide) + " AS other")
+        got = spatial.spatial_join(few, many, geometries=False, distinct=True)
+        assert sorted(map(tuple, got.collect())) == [(i, j, None) for i in range(3) for j in range(2)]
+        assert spatial.spatial_join(few, many, geometries=False).count() == 600
