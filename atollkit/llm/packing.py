@@ -117,6 +117,11 @@ class Packing:
         self.exchange(s)
         return self.best_fit(s, self.decreasing(np.flatnonzero(s < 0), 0.02))
 
+    def roomy(self, s: np.ndarray) -> np.ndarray:
+        """Placed items whose bins have room. Nothing that takes an item's place in a full bin fills it better."""
+        placed = np.flatnonzero(s >= 0)
+        return placed[(np.bincount(s[placed], weights=self.lengths[placed]) < self.size)[s[placed]]]
+
     def exchange(self, s: np.ndarray) -> None:
         """Displaced items, one or two, take the place of one or two in a bin that they fill better; the smaller ones are
         displaced instead, and find a place more easily. Each step takes the greatest gain; it ends when there is none."""
@@ -133,7 +138,9 @@ class Packing:
             ascending = gives[order]
             at = np.searchsorted(ascending, sizes, "right") - 1  # for each size the greatest that goes in
             most = np.where(at >= 0, ascending[np.maximum(at, 0)], -1)
-            placed = np.flatnonzero(s >= 0)
+            placed = self.roomy(s)
+            if not len(placed):
+                return
             bins = s[placed]
             by_bin = np.argsort(bins.astype(np.int16) if bins.max() < 1 << 15 else bins, kind="stable")
             placed, bins = placed[by_bin], bins[by_bin]

@@ -18,3 +18,12 @@ def test_exchange_looks_sizes_up(monkeypatch):
     after = fills(s)
     assert after.max() <= p.size and (after >= before).all() and after.sum() > before.sum()
     assert asked and max(asked) <= p.size + 1 and len(asked) <= 2 * TRIED
+
+
+def test_full_bins_are_not_looked_at():
+    """Items of full bins are no part of an exchange's work."""
+    p = Packing(np.array([60, 40, 70, 20, 100, 30]), 100, 1)
+    assert p.roomy(np.array([0, 0, 1, 1, 2, -1])).tolist() == [2, 3]
+    s = np.array([0, 0, 1, 1, 2, -1])
+    p.exchange(s)
+    assert s.tolist() == [0, 0, 1, -1, 2, 1]
