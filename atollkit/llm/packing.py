@@ -148,7 +148,7 @@ class Packing:
             room = (self.size - np.bincount(bins, weights=own).astype(np.int64))[bins]
             gain, one, two, space = 0, -1, -1, 0
             for step in range(6):  # an item alone, then with the next ones of its bin
-                x = np.flatnonzero(bins[step:] == bins[: len(bins) - step]) if step else slice(None)
+                x = np.flatnonzero(bins[step:] == bins[: max(0, len(bins) - step)]) if step else slice(None)
                 take = own[x] + own[step:][x] if step else own
                 if not len(take):
                     continue

@@ -27,3 +27,10 @@ def test_full_bins_are_not_looked_at():
     s = np.array([0, 0, 1, 1, 2, -1])
     p.exchange(s)
     assert s.tolist() == [0, 0, 1, -1, 2, 1]
+
+
+def test_few_items_have_room():
+    p = Packing(np.array([30, 30, 20, 10, 100, 60]), 100, 1)
+    s = np.array([0, 0, 0, 0, 1, -1])
+    p.exchange(s)
+    assert p.fills(np.where(s < 0, 2, s)).max() <= 100 and (s < 0).any() and s[5] == 0
