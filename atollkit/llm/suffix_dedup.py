@@ -11,8 +11,9 @@ long as its last window reaches, suffixes of dictionary phrases decide the corpu
 3. where one trigger has several phrases, their first occurrences enter a suffix array of the dictionary, whose
    neighbours that share `length` bytes form classes; a window goes if its class has a smaller id.
 
-No task gathers a trigger: phrases meet by trigger and phrase, and where a trigger has more than HOT phrases (a short string that
-many documents have in different surroundings) each distinct window of its phrases is a dictionary phrase of its own, dealt out by its own hash.
+No task gathers a trigger: where a trigger has more than HOT phrases (a short string that many documents have in different surroundings)
+its phrases meet by trigger and phrase, and each distinct window of them is a dictionary phrase of its own, dealt out by its own hash. Step 1
+counts the phrases of each trigger, so those of all others meet by their trigger and nothing is asked about it apart.
 """
 
 from __future__ import annotations
@@ -86,22 +87,39 @@ def from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
+def met(datas: list[bytes], hot_from: int) -> list[bytes]:
+    """For each block's triggers whether another block has them, and whether they may have more than hot_from phrases in all (the
+    numbers of phrases of triggers that agree in the bytes sent are added up)."""
+    sizes = [int(np.frombuffer(d, "<u4", 1)[0]) for d in datas]
+    keys, counts = [unpack(d[4 : 4 + 3 * n], 3) for d, n in zip(datas, sizes, strict=True)], []
+    for d, n in zip(datas, sizes, strict=True):
+        counts.append(np.ones(n, np.int64))
+        more = np.unpackbits(np.frombuffer(d, np.uint8, -(-n // 8), 4 + 3 * n), count=n).astype(bool)
+        counts[-1][more] = np.frombuffer(d, "<u2", -1, 4 + 3 * n + -(-n // 8))
+    which = np.unique(np.concatenate(keys), return_inverse=True)[1]
+    total = np.bincount(which, weights=np.concatenate(counts))
+    wide = np.split((total > hot_from)[which], np.cumsum(sizes)[:-1])
+    return [np.packbits(m).tobytes() + np.packbits(w).tobytes() for m, w in zip(meets(keys), wide, strict=True)]
+
+
 def parse_order(blocks: list[int], datas: list[bytes], hot_from: int | None = None) -> list[bytes]:
     """For each block's phrases that fall to this bucket whether an earlier document has the phrase and whether this is its first, and
-    for its triggers whether they have several phrases and whether more than HOT (or hot_from).
-
-    Phrases are dealt out by trigger and phrase, so those of one trigger spread; of a trigger only a summary meets: a block's number of phrases, the
-    least and the greatest."""
-    heads, ones = zip(*(np.frombuffer(d, "<u4", 2).tolist() for d in datas), strict=True)
-    parts = [(d[8 : 8 + 20 * n], d[8 + 20 * n :]) for d, n in zip(datas, heads, strict=True)]
-    cut = [(unpack(a[: 6 * n], 6), unpack(a[6 * n : 12 * n], 6), from_planes(a[12 * n :])) for (a, _), n in zip(parts, heads, strict=True)]
-    trigger, phrase, doc = (np.concatenate([c[i] for c in cut]) for i in range(3))
+    for the wide triggers whether they have several phrases and whether more than HOT (or hot_from).
+
+    Phrases of a wide trigger are dealt out by trigger and phrase, so they spread; of the trigger only a summary meets: a block's number of phrases,
+    the least and the greatest. All phrases of any other trigger are here: if it has a single one, that is no first."""
+    heads, ones, narrow = zip(*(np.frombuffer(d, "<u4", 3).tolist() for d in datas), strict=True)
+    parts = [(d[12 : 12 + 20 * n], d[12 + 20 * n :]) for d, n in zip(datas, heads, strict=True)]
+    cut = [(unpack(a[: 6 * n], 6), unpack(a[6 * n : 12 * n], 6), from_planes(a[12 * n :]), np.arange(n) < k) for (a, _), n, k in zip(parts, heads, narrow, strict=True)]
+    trigger, phrase, doc, here = (np.concatenate([c[i] for c in cut]) for i in range(4))
     order = np.lexsort((doc, phrase, trigger))
     t, p, d = trigger[order], phrase[order], doc[order]
     new = np.append(True, (t[1:] != t[:-1]) | (p[1:] != p[:-1]))[: len(t)]
     first = d[np.flatnonzero(new)][np.cumsum(new) - 1]
+    begin = np.append(True, t[1:] != t[:-1])[: len(t)]
+    single = (np.bincount(np.cumsum(begin) - 1, weights=new) == 1)[np.cumsum(begin) - 1]  # a trigger's only phrase
     later, is_first = np.empty(len(d), bool), np.empty(len(d), bool)
-    later[order], is_first[order] = first < d, first == d
+    later[order], is_first[order] = first < d, (first == d) & ~(single & here[order])
 
     cut, counts = [], []
     for (_, b), k in zip(parts, ones, strict=True):  # k triggers of one phrase, then those of several
@@ -170,8 +188,29 @@ class State:
             self.own[(np.cumsum(new) - 1)[1:][(key[1:] == key[:-1]) & (ids[1:] != ids[:-1])]] = True
         self.cuts = deal(self.keys, self.buckets)
 
-    def drop_lonely(self, got: dict[int, bytes]):
+    def numbers(self) -> list[tuple[int, bytes]]:
+        """Triggers for each bucket of met(), with how many phrases they have here (65,535 at most) where that is more than one."""
+        t = np.concatenate([p.trigger for p in self.parses] or [np.zeros(0, U)])
+        x = np.concatenate([p.phrase for p in self.parses] or [np.zeros(0, U)])
+        at = np.searchsorted(self.keys, t)
+        often = np.bincount(at, minlength=len(self.keys)) > 1
+        at, x = at[often[at]], x[often[at]]
+        order = np.lexsort((x, at))
+        at, x = at[order], x[order]
+        new = np.append(True, (at[1:] != at[:-1]) | (x[1:] != x[:-1]))[: len(at)].astype(bool)
+        number = np.minimum(np.bincount(at[new], minlength=len(self.keys)), 65535)
+        out = []
+        for b in range(self.buckets):
+            lo, hi = self.cuts[b], self.cuts[b + 1]
+            if hi > lo:
+                n = number[lo:hi]
+                out.append((b, np.uint32(hi - lo).tobytes() + pack(self.keys[lo:hi], 3) + np.packbits(n > 1).tobytes() + n[n > 1].astype("<u2").tobytes()))
+        return out
+
+    def drop_lonely(self, got: dict[int, bytes], wide: dict[int, bytes] | None = None):
+        """got, wide: flags of triggers that others have, and of those that may have more than HOT phrases (all, if that was not asked)."""
         live = bits(got, self.cuts) | self.own
+        self.wide_keys = self.keys if wide is None else self.keys[bits(wide, self.cuts)]
         for p in self.parses:
             p.keep(live[np.searchsorted(self.keys, p.trigger)])
 
@@ -187,7 +226,8 @@ class State:
         self.entry[order] = np.cumsum(new) - 1
         self.first = order[new]  # the occurrence with the smallest id
         self.e_trigger, self.e_phrase, self.e_doc = t[self.first], x[self.first], self.doc[self.first]
-        key = mix(self.e_trigger ^ mix(self.e_phrase))
+        self.e_wide = np.isin(self.e_trigger, self.wide_keys)
+        key = np.where(self.e_wide, mix(self.e_trigger ^ mix(self.e_phrase)), self.e_trigger)
         self.dealt = np.argsort(key, kind="stable")  # phrases in the order in which they are dealt out
         self.e_cuts = deal(key[self.dealt], self.buckets)
         begin = np.flatnonzero(np.append(True, self.e_trigger[1:] != self.e_trigger[:-1])[: len(self.e_trigger)])
@@ -196,31 +236,34 @@ class State:
         seen = (1 << 40) - 1  # as much of a phrase as tells those of a trigger apart
         low = self.e_phrase & U(seen)
         self.t_least, self.t_most = (f.reduceat(low, begin) if len(begin) else low[:0] for f in (np.minimum, np.maximum))
-        self.t_cuts = deal(self.t_key, self.buckets)
+        self.t_wide = np.flatnonzero(self.e_wide[begin])
+        self.t_cuts = deal(self.t_key[self.t_wide], self.buckets)
 
-    def told(self, b: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Phrases and triggers that bucket b is asked about, in their order, and how many triggers come first that have one phrase here."""
-        t = np.arange(self.t_cuts[b], self.t_cuts[b + 1])
-        one = self.t_number[t] == 1
-        return self.dealt[self.e_cuts[b] : self.e_cuts[b + 1]], np.concatenate([t[one], t[~one]]), int(one.sum())
+    def told(self, b: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """Phrases and wide triggers that bucket b is asked about, in their order, how many triggers come first that have one phrase here, and how
+        many phrases come first whose trigger is not wide."""
+        e, t = self.dealt[self.e_cuts[b] : self.e_cuts[b + 1]], self.t_wide[self.t_cuts[b] : self.t_cuts[b + 1]]
+        one, wide = self.t_number[t] == 1, self.e_wide[e]
+        return np.concatenate([e[~wide], e[wide]]), np.concatenate([t[one], t[~one]]), int(one.sum()), int((~wide).sum())
 
     def questions(self) -> list[tuple[int, bytes]]:
-        """Phrases and triggers for each bucket of parse_order()."""
+        """Phrases and wide triggers for each bucket of parse_order()."""
         out = []
         for b in range(self.buckets):
-            e, t, k = self.told(b)
+            e, t, k, narrow = self.told(b)
             if len(e) or len(t):
                 phrases = pack(self.e_trigger[e], 6) + pack(self.e_phrase[e], 6) + planes(self.e_doc[e])
                 one, more = t[:k], t[k:]
                 triggers = pack(self.t_key[one], 6) + pack(self.t_least[one], 5) + pack(self.t_key[more], 6) + pack(self.t_least[more], 5) + pack(self.t_most[more], 5) + self.t_number[more].astype("<u4").tobytes()
-                out.append((b, np.array([len(e), k], "<u4").tobytes() + phrases + triggers))
+                out.append((b, np.array([len(e), k, narrow], "<u4").tobytes() + phrases + triggers))
         return out
 
     def parsed(self, got: dict[int, bytes]):
         self.later, first = np.zeros(len(self.first), bool), np.zeros(len(self.first), bool)
-        several, hot = np.zeros(len(self.t_key), bool), np.zeros(len(self.t_key), bool)
+        several, hot = np.ones(len(self.t_key), bool), np.zeros(len(self.t_key), bool)
+        several[self.t_wide] = False  # of other triggers with one phrase none is a first
         for b, data in got.items():
-            e, t, _ = self.told(b)
+            e, t, *_ = self.told(b)
             n, m = len(e), len(t)
             x = np.unpackbits(np.frombuffer(data, np.uint8), count=2 * (n + m)).astype(bool)
             self.later[e], first[e], several[t], hot[t] = x[:n], x[n : 2 * n], x[2 * n : 2 * n + m], x[2 * n + m :]
@@ -243,14 +286,19 @@ class State:
         text = np.concatenate([*spans, np.zeros(0, np.uint8)])
         size = np.fromiter(map(len, spans), np.int64, len(spans))
         start = np.repeat(np.cumsum(size) - size - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-        one, two = (windows_hash(prefix_sums(BYTE[text], which), self.length, which)[start] for which in (0, 1))
+        hashes = [(np.zeros(0, U), np.zeros(0, U))]
+        for lo, hi in runs(spans):
+            part = np.concatenate(spans[lo:hi])
+            own = start[int(count[:lo].sum()) : int(count[:hi].sum())] - int(size[:lo].sum())
+            hashes.append(tuple(windows_hash(prefix_sums(BYTE[part], which), self.length, which)[own] for which in (0, 1)))
+        one, two = (np.concatenate(x) for x in zip(*hashes, strict=True))
         own = np.repeat(self.e_doc[self.chosen[at]], count)
         order = np.lexsort((own, two, one))
         new = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))[: len(order)]
         self.w_of = np.empty(len(order), np.int64)
         self.w_of[order] = np.cumsum(new) - 1
         self.w_doc = own[order][new]
-        self.w_text = text[start[order][new][:, None] + np.arange(self.length)] if len(order) else np.zeros((0, self.length), np.uint8)
+        self.w_text = np.lib.stride_tricks.sliding_window_view(text, self.length)[start[order][new]] if len(order) else np.zeros((0, self.length), np.uint8)
         self.w_before = self.w_doc[self.w_of] < own  # an earlier document of this block has it
         self.w_cuts = deal(one[order][new], self.buckets)
 
@@ -330,7 +378,8 @@ def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 28, carry: bool = F
         s = State(ids, texts, length, k, buckets)
         s.triggers()
         if upto > 0:
-            s.drop_lonely(got.get(0, {}))
+            half = {b: (d[: len(d) // 2], d[len(d) // 2 :]) for b, d in got.get(0, {}).items()}
+            s.drop_lonely({b: d for b, (d, _) in half.items()}, {b: d for b, (_, d) in half.items()})
             s.phrases()
         if upto > 1:
             s.parsed(got.get(1, {}))
@@ -339,14 +388,11 @@ def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 28, carry: bool = F
     def ask(level, ids, texts, got):
         s = state(ids, texts, got, level)
         if level == 0:
-            return [(b, pack(s.keys[s.cuts[b] : s.cuts[b + 1]], 3)) for b in range(buckets) if s.cuts[b + 1] > s.cuts[b]]
+            return s.numbers()
         if level == 1:
             return s.questions()
         return s.dictionary()
 
-    def lonely(blocks, datas):
-        return [np.packbits(m).tobytes() for m in meets([unpack(d, 3) for d in datas])]
-
     def finish(ids, texts, rest, got):
         s = state(ids, texts, got, 2)
         out = []
@@ -358,7 +404,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 28, carry: bool = F
         more = {"rest": rest} if carry else {}
         return pa.table({"doc_id": pa.array(ids, pa.int64()), **{n: pa.array(c, pa.int64()) for n, c in zip(("n_bytes", "n_removed", "n_spans"), cols, strict=False)}, "kept": pa.array(cols[3], pa.binary()), **more})
 
-    return rounds(rows, n, buckets, ask, [lonely, lambda blocks, datas: parse_order(blocks, datas, hot), dictionary_order(length)], finish, schema)
+    return rounds(rows, n, buckets, ask, [lambda blocks, datas: met(datas, hot), lambda blocks, datas: parse_order(blocks, datas, hot), dictionary_order(length)], finish, schema)
 
 
 def deduplicated_documents(docs: DataFrame, length: int = 50) -> DataFrame:
