@@ -19,7 +19,6 @@ counts the phrases of each trigger, so those of all others meet by their trigger
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -362,7 +361,7 @@ class State:
 
 def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 28, carry: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (bytes left) of every document; with carry also
-    rest, the document's own row without its text. hot: phrases of a trigger from which on its windows are dealt out one by one; the result is the same.
+    rest, the document's own row without its text, and kept is a string, without the parts of characters that were cut. hot: phrases of a trigger from which on its windows are dealt out one by one; the result is the same.
 
     Texts are UTF-8 bytes. A byte goes if it lies in a `length`-byte string that also starts in a document with a smaller
     doc_id, so that the first document keeps each passage; matches stay within documents and are judged on the input.
@@ -372,7 +371,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 28, carry: bool = F
     rows, n = blocked(docs, carry)
     rows = rows.withColumn("rest", F.col("rest").dropFields("text")) if carry else rows
     buckets = max(48, n // 2)
-    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()), *([rows.schema["rest"]] if carry else [])])
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if carry else T.BinaryType()), *([rows.schema["rest"]] if carry else [])])
 
     def state(ids, texts, got, upto):
         s = State(ids, texts, length, k, buckets)
@@ -399,20 +398,20 @@ def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 28, carry: bool = F
         for p, gone in zip(s.parses, s.gone(got.get(2, {})), strict=True):
             for lo, hi in zip(p.at[:-1], p.at[1:], strict=True):
                 g = gone[lo:hi]
-                out.append((hi - lo, int(g.sum()), int((np.diff(g.view(np.int8), prepend=np.int8(0)) == 1).sum()), p.raw[lo:hi][~g].tobytes()))
+                left = p.raw[lo:hi][~g].tobytes()
+                out.append((hi - lo, int(g.sum()), int((np.diff(g.view(np.int8), prepend=np.int8(0)) == 1).sum()), left.decode("utf-8", "ignore") if carry else left))
         cols = list(zip(*out, strict=True)) or [[], [], [], []]
         more = {"rest": rest} if carry else {}
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), **{n: pa.array(c, pa.int64()) for n, c in zip(("n_bytes", "n_removed", "n_spans"), cols, strict=False)}, "kept": pa.array(cols[3], pa.binary()), **more})
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), **{n: pa.array(c, pa.int64()) for n, c in zip(("n_bytes", "n_removed", "n_spans"), cols, strict=False)}, "kept": pa.array(cols[3], pa.string() if carry else pa.binary()), **more})
 
     return rounds(rows, n, buckets, ask, [lambda blocks, datas: met(datas, hot), lambda blocks, datas: parse_order(blocks, datas, hot), dictionary_order(length)], finish, schema)
 
 
 def deduplicated_documents(docs: DataFrame, length: int = 50) -> DataFrame:
-    """docs with the bytes left as text (parts of characters that were cut fall out) and n_chars, if there, to match."""
-    @F.pandas_udf("string")
-    def whole(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: b.decode("utf-8", "ignore"))
+    """docs with the bytes left as text (parts of characters that were cut fall out) and n_chars, if there, to match.
 
-    out = suffix_dedup(docs, length, carry=True).select("rest", whole("kept").alias("text"))
+    The text is made where the bytes are: a function of its own behind it would keep two Python workers busy for each task, and both would
+    live on through all later stages."""
+    out = suffix_dedup(docs, length, carry=True).select("rest", F.col("kept").alias("text"))
     made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*(made[c].alias(c) if c in made else F.col("rest")[c].alias(c) for c in docs.columns))
