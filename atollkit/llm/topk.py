@@ -1,24 +1,29 @@
 """Operator 7: exact top-k inner products by dual-tree search over cover trees.
 
-An upper tree over a bounded sample cuts all vectors into cells. A group of queries first searches a block of its own
-cell; with the scores found there it walks the upper tree, leaves out every cell whose covering radius keeps all of it below the
-group's worst kth score, and asks only the blocks of the others. Inside a pair of blocks the same is done with
-cover trees of both, down to single rows.
+An upper tree over a bounded sample cuts all vectors into cells, neighbours among which share a zone. A group of queries first
+searches a block of its own cell; with the scores found there it walks the upper tree, leaves out every cell whose covering radius
+keeps all of it below the group's worst kth score, and goes to the zones of the others. There the same is done with cover trees of the
+queries and of each block, down to single rows, and what one block gives raises the scores that the next must reach.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from atollkit.session import written
+
 #: Rows of a node that are told apart no more, and queries that search together.
 LEAF, TOGETHER = 8, 32
 #: Each level's radius over that of the level below.
 RATIO = 1.6
 #: Rows of the sample, and so cells, at most.
 SAMPLE = 2048
+#: Zones are made smaller until there are so many, and hold no more bytes of vectors, as doubles, than this.
+ZONES, ZONE_BYTES = 256, 1 << 26
 
 
 def net(x: np.ndarray, rows: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,6 +85,7 @@ class Tree:
             at = np.fromiter(first, np.int64, len(first))
             self.first[at], self.size[at] = np.fromiter(first.values(), np.int64, len(first)), np.fromiter(size.values(), np.int64, len(size))
         self.norm = np.sqrt((x * x).sum(1))[self.centre]
+        self._below: dict[int, np.ndarray] = {}
 
     def _radius(self, parts: list, node: int) -> float:
         if node == 0:
@@ -93,11 +99,13 @@ class Tree:
         return np.repeat(self.first[nodes] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
     def rows(self, node: int) -> np.ndarray:
-        nodes, out = np.array([node]), []
-        while len(nodes):
-            out.append(self.centre[nodes[self.size[nodes] == 0]])
-            nodes = self.children(nodes)
-        return np.concatenate(out)
+        if node not in self._below:
+            nodes, out = np.array([node]), []
+            while len(nodes):
+                out.append(self.centre[nodes[self.size[nodes] == 0]])
+                nodes = self.children(nodes)
+            self._below[node] = np.concatenate(out)
+        return self._below[node]
 
 
 def bounds(c: np.ndarray, radius: float, tree: Tree, nodes: np.ndarray) -> np.ndarray:
@@ -116,12 +124,16 @@ class Best:
         self.kth = np.full(len(q_ids), -np.inf) if floor is None else floor.astype(np.float64)
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, at: np.ndarray, same: bool) -> None:
+        bar = self.kth[rows].astype(scores.dtype)
+        r, c = np.nonzero(scores >= bar[:, None])
         if same:
-            scores = np.where(ids[None, :] == self.ids[rows][:, None], -np.inf, scores)
-        bar = self.kth[rows]
-        if scores.shape[1] > self.k:
-            bar = np.maximum(bar, np.partition(scores, -self.k, axis=1)[:, -self.k])
-        r, c = np.nonzero((scores >= bar[:, None]) & (scores > -np.inf))
+            r, c = (z[ids[c] != self.ids[rows[r]]] for z in (r, c))
+        many = np.flatnonzero(np.bincount(r, minlength=len(rows)) > self.k)
+        if len(many):
+            dense = np.full(scores.shape, -np.inf, scores.dtype)
+            dense[r, c] = scores[r, c]
+            bar[many] = np.partition(dense[many], -self.k, axis=1)[:, -self.k]
+            r, c = (z[scores[r, c] >= bar[r]] for z in (r, c))
         if not len(r):
             return
         old_r, old_c = np.nonzero(self.row[rows] >= 0)
@@ -147,37 +159,48 @@ def dual_tree(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray
     query's own id is none; floor gives scores that each query's kth is known to reach."""
     best, scored = Best(q_ids, k, floor), 0
     if len(q) and len(x):
-        tree = Tree(x)
-        for rows, front in descents(q, best.kth, tree):
-            most = each_bound(q[rows], tree, front)
-            scored += len(rows) * int((tree.size[front] == 0).sum())
-            while len(front):
-                good = (most >= best.kth[rows][:, None]).any(0)
-                front, most = front[good], most[:, good]
-                order = np.argsort(-most.max(0), kind="stable") if len(front) else np.zeros(0, np.int64)
-                n = max(TOGETHER, len(order) // 4) if np.isfinite(best.kth[rows]).all() else 2  # without a kth score nothing can be left out yet
-                now, front, most = front[order[:n]], front[order[n:]], most[:, order[n:]]
-                single = tree.size[now] == 0
-                if single.any():
-                    at = tree.centre[now[single]]
-                    best.add(rows, q[rows] @ x[at].T, x_ids[at], at, same)
-                below = tree.children(now[~single])
-                scored += len(rows) * int((tree.size[below] == 0).sum())
-                front, most = np.concatenate([front, below]), np.concatenate([most, each_bound(q[rows], tree, below)], 1)
+        scored = search(best, q, Tree(q), Tree(x), x_ids, same=same)
     r, n = np.nonzero(best.row >= 0)
     return r, best.row[r, n], best.score[r, n].astype(np.int64), scored / max(1, len(q) * len(x))
 
 
+def search(best: Best, q: np.ndarray, queries: Tree, tree: Tree, x_ids: np.ndarray, base: int = 0, same: bool = True) -> int:
+    """Adds the tree's rows, numbered from base, to the best of q, of which queries is the tree; the number of pairs of rows worked on.
+
+    Rows are scored as they are met, all of them in one product: a bound would be that score."""
+    scored, last = 0, None
+    norms = np.sqrt((q * q).sum(1)).max(initial=0) * np.sqrt((tree.x * tree.x).sum(1)).max(initial=0)
+    kind = np.float32 if norms < 1 << 24 else np.float64  # no sum of products is larger, so whole numbers are exact
+    for rows, below in descents(q, best.kth, tree, queries):
+        own, narrow_own, front, most = q[rows], q[rows].astype(kind), below[:0], np.zeros((len(rows), 0))
+        while len(below) or len(front):
+            if last is None or last[0] is not below:
+                single = tree.size[below] == 0
+                at = tree.centre[below[single]]
+                last = below, below[~single], at, tree.x[at].astype(kind), x_ids[at]
+            _, below, at, x, ids = last
+            if len(at):
+                best.add(rows, narrow_own @ x.T, ids, base + at, same)
+                scored += len(rows) * len(at)
+            front, most = np.concatenate([front, below]), np.concatenate([most, each_bound(own, tree, below)], 1)
+            good = (most >= best.kth[rows][:, None]).any(0)
+            front, most = front[good], most[:, good]
+            order = np.argsort(-most.max(0), kind="stable") if len(front) else np.zeros(0, np.int64)
+            n = max(TOGETHER // 4, len(order) // 4) if np.isfinite(best.kth[rows]).all() else 2  # without a kth score nothing can be left out yet
+            below, front, most = tree.children(front[order[:n]]), front[order[n:]], most[:, order[n:]]
+    return scored
+
+
 def each_bound(q: np.ndarray, tree: Tree, nodes: np.ndarray) -> np.ndarray:
     """The most that each query's inner product with a vector below each node can be, rounding included."""
     b = q @ tree.x[tree.centre[nodes]].T + np.sqrt((q * q).sum(1))[:, None] * tree.radius[nodes]
     return b + np.abs(b) * 1e-9 + 1e-6
 
 
-def descents(q: np.ndarray, kth: np.ndarray, tree: Tree):
+def descents(q: np.ndarray, kth: np.ndarray, tree: Tree, queries: Tree | None = None):
     """(query rows, nodes) for sets of TOGETHER queries at most, near each other where there are such: the nodes that are left to them after the
     query tree's upper nodes have been compared with the tree's. kth may rise between two of them."""
-    queries = Tree(q)
+    queries = queries or Tree(q)
     stack = [(0, np.zeros(1, np.int64))]
     while stack:
         node, front = stack.pop()
@@ -217,6 +240,8 @@ class Cells:
             n += len(self.centres[dim])
         self.count: dict[int, int] = {}
         self.radius: dict[int, float] = {}
+        self.place: dict[int, tuple[int, int, int, int, int]] = {}
+        self._upper: dict[int, tuple[Tree, np.ndarray]] = {}
 
     @staticmethod
     def _cut(tree: Tree, want: int) -> np.ndarray:
@@ -238,8 +263,32 @@ class Cells:
         at = d.argmin(1)
         return self.begin[dim] + at, np.sqrt(((x - c[at]) ** 2).sum(1))
 
+    def length(self, cell: int) -> int:
+        """Components of a cell's vectors."""
+        return -cell if cell < 0 else max((n, dim) for dim, n in self.begin.items() if n <= cell)[1]
+
+    def settle(self, block: int) -> None:
+        """Once all cells are counted: the upper trees, and each cell's place (the first zone of its length, rows of that length
+        before it, its rows, its blocks, rows of a zone). Cells follow each other as in the upper tree, so a zone's are near each other."""
+        n, first = sum(self.count.values()), 0
+        for dim in sorted({self.length(c) for c in self.count}):
+            tree, names = self._upper[dim] = self.upper(dim)
+            deep, start = min(max(block // 2, n // ZONES), max(block, ZONE_BYTES // (8 * dim))), 0
+            for c in names[tree.rows(0)].tolist():
+                self.place[c] = (first, start, self.count[c], -(-self.count[c] // block), deep)
+                start += self.count[c]
+            tree._below.clear()
+            first += -(-start // deep)
+
+    def zones(self, cell: int) -> np.ndarray:
+        """Where the cell's blocks are."""
+        first, start, n, parts, deep = self.place[cell]
+        return np.unique(first + (start + np.arange(parts) * n // parts) // deep)
+
     def upper(self, dim: int) -> tuple[Tree, np.ndarray]:
         """A tree over the centres of all cells of this length that hold rows, its radii widened to cover them, and their numbers."""
+        if dim in self._upper:
+            return self._upper[dim]
         own = [c for c in self.count if (c == -dim if dim not in self.centres else self.begin[dim] <= c < self.begin[dim] + len(self.centres[dim]))]
         centres = np.array([np.zeros(dim) if c < 0 else self.centres[dim][c - self.begin[dim]] for c in own]).reshape(-1, dim)
         tree = Tree(centres)
@@ -262,41 +311,54 @@ def reached(q: np.ndarray, floor: np.ndarray, tree: Tree) -> list[tuple[np.ndarr
     return out
 
 
-def _vectors(column) -> np.ndarray:
-    rows = [np.frombuffer(raw, "<f8") for raw in column.to_pylist()]
-    return np.array(rows).reshape(len(rows), -1)
+#: Types of packed components by their bytes.
+PACKED = {2: "<i2", 4: "<i4", 8: "<f8"}
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """x, of whole numbers, in the shortest of the packed types that holds it."""
+    most = np.abs(x).max(initial=0)
+    return x.astype(PACKED[2 if most < 1 << 15 else 4 if most < 1 << 31 else 8])
+
+
+def _vectors(blobs: list[bytes], counts: list[int], dim: int) -> np.ndarray:
+    """The vectors of blobs that hold so many each."""
+    parts = [np.frombuffer(raw, PACKED[len(raw) // (n * dim)]) for raw, n in zip(blobs, counts, strict=True)]
+    return np.concatenate([np.zeros(0), *parts]).reshape(-1, dim)
 
 
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 FOUND_DDL = "query_id long, vec_id long, score long"
 
 
-def in_cells(rows: DataFrame, cells: Cells) -> DataFrame:
-    """id, cell, away (distance from its centre) and v (packed) of rows of id and v; the centres go along with the function."""
+def packed(rows: DataFrame, scale: float, cells: Cells | None = None) -> DataFrame:
+    """id, cell, away (distance from its centre) and v (packed floor(scale * x)) of rows of id and v, without those that take no part; the
+    centres go along with the function. Without cells, cell is the vector's length and away 0."""
     def run(batches):
         for b in batches:
             lists = b.column("v")
-            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
-            size = np.diff(ends)
-            cell, away = np.zeros(len(size), np.int64), np.zeros(len(size))
+            size = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            with np.errstate(over="ignore"):
+                flat = np.floor(lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale)
+            ends, bad = np.append(0, np.cumsum(size)), np.append(0, np.cumsum(~np.isfinite(lists.flatten().to_numpy(zero_copy_only=False))))
+            fine = np.flatnonzero((size > 0) & (bad[ends[1:]] == bad[ends[:-1]]) & b.column("id").is_valid().to_numpy(zero_copy_only=False))
+            flat, begin, size = np.clip(flat, -(2.0**63), 2.0**63), ends[fine], size[fine]  # as a cast to long does
+            cell, away, v = size.copy(), np.zeros(len(size)), [b""] * len(size)
             for dim in np.unique(size).tolist():
                 for at in np.array_split(np.flatnonzero(size == dim), 1 + int((size == dim).sum()) // 1024):
-                    cell[at], away[at] = cells.nearest(flat[ends[at][:, None] + np.arange(dim)])
-            packed = [flat[lo:hi].astype("<f8").tobytes() for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(cell), pa.array(away), pa.array(packed, pa.binary())], ["id", "cell", "away", "v"])
+                    x = flat[begin[at][:, None] + np.arange(dim)]
+                    if cells:
+                        cell[at], away[at] = cells.nearest(x)
+                    raw = memoryview(narrow(x).tobytes())
+                    wide = len(raw) // max(1, len(at))
+                    for n, i in enumerate(at.tolist()):
+                        v[i] = raw[n * wide : (n + 1) * wide]
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(fine)), pa.array(cell), pa.array(away), pa.array(v, pa.binary())], ["id", "cell", "away", "v"])
 
     return rows.select("id", "v").mapInArrow(run, "id long, cell long, away double, v binary")
 
 
-def looked_up(cell: Column, numbers: dict[int, int], missing: int) -> Column:
-    """A number for each cell (SAMPLE of them at most, and one for each unmet length)."""
-    if not numbers:
-        return F.lit(missing)
-    keys, values = (F.array(*[F.lit(int(x)) for x in xs]) for xs in (numbers.keys(), numbers.values()))
-    return F.coalesce(F.element_at(F.map_from_arrays(keys, values), cell.cast("int")), F.lit(missing))
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, block: int = 8192, query_block: int = 512, cell_rows: int = 2048, sample: int = SAMPLE) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, block: int = 8192, query_block: int = 512, cell_rows: int = 2048, sample: int = SAMPLE, crowd: int = 16384) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: each query's k highest integer inner products with rows of vectors.
 
     Components become floor(scale * x). A query's own vec_id is no candidate; ties go to the smaller vec_id; all candidates
@@ -305,77 +367,120 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     each other alone.
 
     The upper tree is fitted on the `sample` rows with the smallest hashes, which the driver holds; every row gets its nearest cell. A
-    cell of more than `block` rows, say of copies, is cut into blocks by a hash of the id. A query group's rows go to the blocks that its worst
-    kth score does not rule out; where nothing can be ruled out that is all of them, and the work is queries times rows.
-    Memory of a task is bounded by block and query_block."""
+    cell of more than `block` rows, say of copies, is cut into blocks by a hash of the id. Neighbouring blocks make a zone. A query goes to the
+    zones that its kth score in a block of its own cell does not rule out; where nothing can be ruled out that is all of them, and the
+    work is queries times rows. A zone's rows are sent once for each `crowd` of queries that go there, so what is shuffled stays
+    a small part of the work: rows times queries / crowd, and queries times zones. Memory of a task is bounded by a zone and a crowd."""
+    spark, tasks = vectors.sparkSession, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def clean(df):
-        rows = df.select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda v: F.floor(F.lit(float(scale)) * v.cast("double")).cast("double")).alias("v"), F.col("embedding").alias("e"))
-        fine = ~F.exists("e", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-        return rows.where(F.col("id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0)).where(fine).select("id", "v")
-
-    points, asked = clean(vectors), clean(queries).dropDuplicates(["id"])
-    drawn = [np.array(r.v) for r in points.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(sample).collect()]
-    cells = Cells(drawn, max(1, min(sample, points.count() // cell_rows)) if drawn else 1)
-    points, asked = in_cells(points, cells), in_cells(asked, cells)
+        v = F.col("embedding")
+        return df.select(F.col("vec_id").cast("long").alias("id"), (v if dict(df.dtypes)["embedding"] in ("array<float>", "array<double>") else v.cast("array<double>")).alias("v"))
+
+    drawn = packed(clean(vectors), float(scale)).orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(sample).collect()
+    drawn = [_vectors([r.v], [1], r.cell)[0] for r in drawn]
+    cells = Cells(drawn, max(1, min(sample, vectors.count() // cell_rows)) if drawn else 1)
+    points, asked = written(packed(clean(vectors), float(scale), cells)), written(packed(clean(queries), float(scale), cells).dropDuplicates(["id"]))
     for r in points.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect():
         cells.count[r.cell], cells.radius[r.cell] = r.n, r.radius
-    parts = {c: -(-n // block) for c, n in cells.count.items()}
-    part = lambda of, salt: F.pmod(F.xxhash64("id", F.lit(salt)), of)
-    points = points.withColumn("part", part(looked_up(F.col("cell"), parts, 1), "part").cast("int")).select("id", "cell", "part", "v")
-    crowd = {r.cell: -(-r.n // query_block) for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    asked = asked.withColumn("group", part(looked_up(F.col("cell"), crowd, 1), "group").cast("int")).select("id", "cell", "group", "v")
-
-    def met(left: DataFrame, lots: Column, found) -> DataFrame:
-        """left (cell, part, lot, ...) with the points of the same block, which go to each of the cell's lots."""
-        right = points.withColumn("lot", F.explode(F.sequence(F.lit(0), lots.cast("int") - 1)))
-        return left.groupBy("cell", "part", "lot").cogroup(right.groupBy("cell", "part", "lot")).applyInArrow(found, FOUND_DDL)
+    cells.settle(block)
+    places = F.broadcast(spark.createDataFrame([(c, *place) for c, place in cells.place.items()], "cell long, zone0 long, start long, n long, parts long, deep long"))
+    part = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), "parts").alias("part")
+    zone = F.expr("zone0 + (start + (part * n) div parts) div deep").alias("zone")
+    points = points.join(places, "cell").select("*", part("part")).select("id", "cell", "part", zone, "v")
+    asked = asked.join(places, "cell", "left").select("*", part("asked")).select("id", "cell", zone, "v").fillna(-1, ["zone"])  # -1: a cell without points
+
+    def lots_of(counts: DataFrame) -> dict[int, int]:
+        """Into how many lots the queries of a zone are dealt, where that is more than one, of counts (zone, n)."""
+        return {r.zone: -(-r.n // crowd) for r in counts.where(F.col("n") > crowd).collect()}
+
+    def with_lots(df: DataFrame, lots: dict[int, int]) -> DataFrame:
+        if not lots:
+            return df.withColumn("lots", F.lit(1).cast("long"))
+        return df.join(F.broadcast(spark.createDataFrame(sorted(lots.items()), "zone long, lots long")), "zone", "left").fillna(1, ["lots"])
+
+    def met(left: DataFrame, lots: dict[int, int], found) -> DataFrame:
+        """left (zone, lot, ...) with the zone's points, which go to each of its lots."""
+        right = with_lots(points, lots).withColumn("lot", F.explode(F.expr("sequence(0L, lots - 1)"))).drop("lots")
+        left, right = (t.repartition(tasks, "zone", "lot").groupBy("zone", "lot") for t in (left, right))
+        return left.cogroup(right).applyInArrow(found, FOUND_DDL)
+
+    def searched(q_ids: np.ndarray, floor: np.ndarray | None, q: np.ndarray, b: pa.Table, dim: int) -> pa.Table:
+        """The best of a zone's points for each query."""
+        b, out = b.sort_by([("cell", "ascending"), ("part", "ascending"), ("id", "ascending")]), []
+        for at in np.array_split(np.arange(len(q)), -(-len(q) // query_block)):
+            out.append((Best(q_ids[at], k, None if floor is None else floor[at]), q[at], Tree(q[at])))
+        ids = b.column("id").to_numpy()
+        for lo in range(0, len(ids), block):
+            tree = Tree(_vectors(b.column("v")[lo : lo + block].to_pylist(), [1] * min(block, len(ids) - lo), dim))
+            for best, some, queries in out:
+                search(best, some, queries, tree, ids[lo : lo + block], lo)
+        tables = []
+        for best, *_ in out:
+            r, n = np.nonzero(best.row >= 0)
+            tables.append(pa.table([best.ids[r], ids[best.row[r, n]], best.score[r, n].astype(np.int64)], schema=FOUND))
+        return pa.concat_tables(tables)
 
     def near(key, a, b):
         if not len(a) or not len(b):
             return FOUND.empty_table()
-        a, b = a.sort_by("id"), b.sort_by("id")
-        q_ids, ids = a.column("id").to_numpy(), b.column("id").to_numpy()
-        r, c, s, _ = dual_tree(_vectors(a.column("v")), q_ids, _vectors(b.column("v")), ids, k)
-        return pa.table([q_ids[r], ids[c], s], schema=FOUND)
-
-    # First the group's own cell: of its blocks each group takes one.
-    many = {c: -(-g // parts.get(c, 1)) for c, g in crowd.items()}
-    home = looked_up(F.col("cell"), parts, 1)
-    seeds = met(asked.withColumn("part", F.pmod(F.col("group"), home).cast("int")).withColumn("lot", F.floor(F.col("group") / home).cast("int")), looked_up(F.col("cell"), many, 1), near)
-    kth = seeds.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-    floors = asked.join(kth, asked.id == kth.query_id, "left").select("id", "cell", "group", "v", F.when(F.col("n") >= k, F.col("least")).alias("floor"))
-
-    def ask(key, t):
-        t = t.sort_by("id")
-        q, floor = _vectors(t.column("v")), np.array([-np.inf if x is None else x for x in t.column("floor").to_pylist()], np.float64)
-        tree, names = cells.upper(q.shape[1])
-        out = []
-        for rows, at in reached(q, floor, tree) if len(names) else ():
-            some, c = [t.column("id").to_numpy()[rows].astype("<i8").tobytes(), floor[rows].astype("<f8").tobytes(), q[rows].astype("<f8").tobytes()], int(names[at])
-            done = key[1].as_py() % parts[c] if c == key[0].as_py() else -1
-            out += [(c, p, *some) for p in range(parts[c]) if p != done]
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        return pa.table({n: pa.array(x, kind) for n, x, kind in zip(("cell", "part", "ids", "floors", "vs"), cols, (pa.int64(), pa.int32(), *[pa.binary()] * 3), strict=True)})
-
-    wanted = floors.groupBy("cell", "group").applyInArrow(ask, "cell long, part int, ids binary, floors binary, vs binary")
-    lots = F.greatest(F.lit(1), F.ceil(F.col("sets") / F.lit(max(1, query_block // TOGETHER)))).cast("int")
-    busy = wanted.groupBy("cell", "part").agg(F.count("*").alias("sets")).select("cell", "part", lots.alias("lots"))
-    wanted = wanted.join(busy, ["cell", "part"]).withColumn("lot", F.pmod(F.xxhash64("ids"), F.col("lots")).cast("int")).drop("lots")
-    held = points.join(busy, ["cell", "part"]).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+        a, dim = a.sort_by([("cell", "ascending"), ("id", "ascending")]), cells.length(b.column("cell")[0].as_py())
+        return searched(a.column("id").to_numpy(), None, _vectors(a.column("v").to_pylist(), [1] * len(a), dim), b, dim)
+
+    # First the own zone; of a cell in several zones each query takes one.
+    here = asked.groupBy("zone").agg(F.count("*").alias("n"))
+    lots = lots_of(here)
+    seeds = met(with_lots(asked, lots).withColumn("lot", F.pmod(F.xxhash64("id", F.lit("lot")), "lots")).drop("lots"), lots, near)
+    kth = seeds.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), F.col("least").cast("double").alias("floor"))
+    floors = written(asked.join(kth.hint("merge"), "id", "left").fillna(float("-inf"), ["floor"]))
+
+    def groups(batches):
+        """(ids, vectors, floors, zones, which query goes to which) of groups of queries, near each other where there are such."""
+        for b in batches:
+            cell, zone = b.column("cell").to_numpy(), b.column("zone").to_numpy()
+            dims = np.array([cells.length(c) for c in cell.tolist()], np.int64)
+            for dim in np.unique(dims).tolist():
+                rows = np.flatnonzero(dims == dim)
+                rows = rows[np.lexsort((cell[rows], zone[rows]))]
+                tree, names = cells.upper(dim)
+                to = [cells.zones(c) for c in names.tolist()]
+                zones = np.unique(np.concatenate([np.zeros(0, np.int64), *to]))
+                to = [np.searchsorted(zones, z) for z in to]
+                for at in np.array_split(rows, -(-len(rows) // query_block)) if len(names) else ():
+                    some = b.take(pa.array(at))
+                    q, floor = _vectors(some.column("v").to_pylist(), [1] * len(at), dim), some.column("floor").to_numpy()
+                    goes = np.zeros((len(at), len(zones)), bool)
+                    for own, centre in reached(q, floor, tree):
+                        goes[own[:, None], to[centre]] = True
+                    yield some.column("id").to_numpy(), q, floor, zones, goes
+
+    def count(batches):
+        for _, _, _, zones, goes in groups(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(zones, pa.int64()), pa.array(goes.sum(0), pa.int64())], ["zone", "n"])
+
+    dealt = floors.repartition(tasks, "zone", F.pmod(F.xxhash64("id"), F.lit(8)))
+    lots = lots_of(dealt.mapInArrow(count, "zone long, n long").groupBy("zone").agg(F.sum("n").alias("n"))) if floors.count() > crowd else {}
+
+    def ask(batches):
+        for ids, q, floor, zones, goes in groups(batches):
+            v, mixed, out = narrow(q), ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40), []
+            for z in np.flatnonzero(goes.any(0)).tolist():
+                some = np.flatnonzero(goes[:, z])
+                lot = (mixed[some] % np.uint64(lots.get(int(zones[z]), 1))).astype(np.int64)
+                for n in np.unique(lot).tolist():
+                    at = some[lot == n]
+                    out.append((int(zones[z]), n, ids[at].astype("<i8").tobytes(), floor[at].astype("<f8").tobytes(), v[at].tobytes()))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = (*[pa.int64()] * 2, *[pa.binary()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(cols, kinds, strict=True)], ["zone", "lot", "ids", "floors", "vs"])
 
     def far(key, a, b):
-        out = []
-        b = b.sort_by("id")
-        ids = b.column("id").to_numpy()
-        x = _vectors(b.column("v"))
-        sets = sorted(zip(*(a.column(c).to_pylist() for c in ("ids", "floors", "vs")), strict=True))
-        if sets and len(ids):
-            q_ids, floor = np.frombuffer(b"".join(s[0] for s in sets), "<i8"), np.frombuffer(b"".join(s[1] for s in sets), "<f8")
-            q = np.frombuffer(b"".join(s[2] for s in sets), "<f8").reshape(len(q_ids), -1)
-            r, c, s, _ = dual_tree(q, q_ids, x, ids, k, floor=floor)
-            out.append(pa.table([q_ids[r], ids[c], s], schema=FOUND))
-        return pa.concat_tables(out) if out else FOUND.empty_table()
-
-    others = wanted.groupBy("cell", "part", "lot").cogroup(held.groupBy("cell", "part", "lot")).applyInArrow(far, FOUND_DDL)
+        if not len(a) or not len(b):
+            return FOUND.empty_table()
+        dim, sets = cells.length(b.column("cell")[0].as_py()), sorted(zip(*(a.column(c).to_pylist() for c in ("ids", "floors", "vs")), strict=True))
+        q_ids, floor = np.frombuffer(b"".join(s[0] for s in sets), "<i8"), np.frombuffer(b"".join(s[1] for s in sets), "<f8")
+        return searched(q_ids, floor, _vectors([s[2] for s in sets], [len(s[0]) // 8 for s in sets], dim), b, dim)
+
+    found = met(dealt.mapInArrow(ask, "zone long, lot long, ids binary, floors binary, vs binary"), lots, far)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return seeds.unionByName(others).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
