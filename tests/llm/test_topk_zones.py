@@ -28,15 +28,14 @@ def test_search_is_not_put_together_in_one_task(spark):
     """Spark would join small partitions, whose work is that of all pairs."""
     r = np.random.default_rng(12)
     df = spark.createDataFrame([(i, [float(c) for c in v], 1, "v") for i, v in enumerate(r.normal(size=(400, 8)))], SCHEMA)
-    tasks, sc = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext
-    sc.setJobGroup("zones", "top k")
-    try:
-        top_k(df, df.where("vec_id % 20 = 0"), 10, block=40, cell_rows=20).write.format("noop").mode("overwrite").save()
-        tracker = sc.statusTracker()
-        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("zones") for s in tracker.getJobInfo(j).stageIds]
-    finally:
-        sc.setLocalProperty("spark.jobGroup.id", None)
-    assert tasks > 1 and sum(s is not None and s.numTasks == tasks and s.numCompletedTasks == tasks and s.currentAttemptId == 0 for s in stages) >= 3
+    out = top_k(df, df.where("vec_id % 20 = 0"), 10, block=40, cell_rows=20)
+    assert len(out.collect()) == 200
+    lines = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    searches = [i for i, line in enumerate(lines) if "FlatMapCoGroupsInArrow" in line]
+    assert searches
+    for i in searches:
+        to = next(j for j in range(i, len(lines)) if "ShuffleQueryStage" in lines[j])
+        assert not any("AQEShuffleRead" in line for line in lines[i:to]), lines[i:to]
 
 
 def test_neighbours_share_zones():
@@ -62,3 +61,17 @@ def test_whole_numbers_are_exact_in_either_type():
         s = (x[:40].astype(np.int64) @ x.astype(np.int64).T).tolist()
         want = [(i, c, s[i][c]) for i in range(40) for c in sorted((c for c in range(500) if c != i), key=lambda c: (-s[i][c], c))[:10]]
         assert sorted(zip(row.tolist(), at.tolist(), score.tolist(), strict=True)) == sorted(want)
+
+
+def test_only_the_cells_places_are_broadcast(spark):
+    """Queries on their way to zones compress well: broadcast for their size in files, they were beyond the driver's memory."""
+    r = np.random.default_rng(15)
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1, "v") for i, v in enumerate(r.normal(size=(400, 8)))], SCHEMA)
+    out = top_k(df, df.where("vec_id % 20 = 0"), 10, block=40, cell_rows=20)
+    assert len(out.collect()) == 200
+    lines = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    deep = [len(x) - len(x.lstrip(" :+-*(0123456789)")) for x in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(i + 1, len(lines)) if deep[j] <= deep[i]), len(lines))
+            assert not any("Arrow" in x or "Exchange hashpartitioning" in x for x in lines[i + 1 : end]), lines[i:end]
